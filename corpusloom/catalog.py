@@ -4,7 +4,502 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from corpusloom import errors, model
+from corpusloom.functions import text as fn
+from corpusloom.operators import analyse, chunking, incremental, sessions
+from corpusloom.plans import reduce
+from corpusloom.sources import files as src
+from corpusloom.streaming import events as ev
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+_ENDINGS = " ".join(f"WHEN {i} THEN '{e}'" for i, e in enumerate(src.ENDINGS))
+FILES = f"""files AS (SELECT doc_id, source || '/' || lang || '/doc_' || doc_id || ext AS path, ext, source, text, CAST(length(text) AS BIGINT) AS n_chars
+  FROM (SELECT *, CASE doc_id % {len(src.ENDINGS)} {_ENDINGS} END AS ext FROM documents))"""
+_SIZES = " ".join(f"WHEN ext = '{e}' THEN {n}" for e, n in model.CHUNK_SIZES.items())
+SIZE = f"CASE {_SIZES} ELSE {model.DEFAULT_CHUNK_SIZE} END"
+SHA = "substr(sha256({0}), 1, 8)"
+WORDS = "list_filter(regexp_split_to_array(lower({0}), '[ \\t\\n\\r]+'), lambda w: w <> '')"
+MAY_COVER = "CAST({0} AS BIGINT)"
+_FINDINGS = " UNION ALL ".join(
+    f"SELECT doc_id, path, '{r.name}' AS rule, '{r.point}' AS point, unnest(regexp_extract_all(text, '{r.pattern}')) AS evidence, '{r.confidence}' AS confidence FROM files" for r in analyse.RULES
+)
+FINDINGS = f"{FILES}, findings AS ({_FINDINGS})"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return src.documents_as_files(table(spark, sf_dir, "documents"))
+
+
+@query(f"WITH {FINDINGS} SELECT rule, confidence, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT evidence) AS BIGINT) AS n_distinct, CAST(count(DISTINCT path) AS BIGINT) AS n_files FROM findings GROUP BY rule, confidence")
+def minimum_slice(spark, sf_dir):
+    """Files, rule pack, exact duplicates, counts by rule and confidence."""
+    found = analyse.findings(files(spark, sf_dir))
+    return found.groupBy("rule", "confidence").agg(F.count("*").alias("n"), F.countDistinct("evidence").alias("n_distinct"), F.countDistinct("path").alias("n_files"))
+
+
+@query(f"WITH {FILES} SELECT path, ext, n_chars FROM files")
+def files_metadata(spark, sf_dir):
+    return files(spark, sf_dir).select("path", "ext", "n_chars")
+
+
+@query(f"WITH {FILES} SELECT CAST(sum(n_chars) AS BIGINT) AS total_size, CAST(count(*) AS BIGINT) AS file_count, CAST(count(DISTINCT ext) AS BIGINT) AS n_types FROM files")
+def context_metadata(spark, sf_dir):
+    return src.context_metadata(files(spark, sf_dir))
+
+
+@query(f"WITH {FILES} SELECT ext, CAST(count(*) AS BIGINT) AS n, CAST(sum(n_chars) AS BIGINT) AS chars, CAST({SIZE} AS INTEGER) AS chunk_size FROM files GROUP BY ext")
+def size_lookup(spark, sf_dir):
+    rows = files(spark, sf_dir).groupBy("ext").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+    return rows.withColumn("chunk_size", fn.chunk_size(F.col("ext")))
+
+
+_CODE = ", ".join(f"'{e}'" for e in model.CODE_EXTENSIONS)
+_CONFIG = ", ".join(f"'{e}'" for e in model.CONFIG_EXTENSIONS)
+_TYPE = f"CASE WHEN ext IN ({_CODE}) THEN 'code' WHEN ext IN ({_CONFIG}) THEN 'config' WHEN ext IN ('.md', '.rst', '.txt', '.html') THEN 'docs' ELSE 'other' END || ':' || ext"
+_LANG = "CASE ext WHEN '.py' THEN 'python' WHEN '.js' THEN 'javascript' END"
+
+
+@query(f"WITH {FILES} SELECT path, {_TYPE} AS content_type, {_LANG} AS language FROM files")
+def detect_content_type(spark, sf_dir):
+    return files(spark, sf_dir).select("path", fn.content_type(fn.extension(F.col("path"))).alias("content_type"), fn.language(F.col("ext")).alias("language"))
+
+
+@query(f"WITH {FILES} SELECT {_TYPE} AS content_type, CAST(count(*) AS BIGINT) AS n FROM files GROUP BY 1 ORDER BY n DESC, content_type LIMIT 1")
+def content_type_majority(spark, sf_dir):
+    counts = files(spark, sf_dir).groupBy(fn.content_type(F.col("ext")).alias("content_type")).agg(F.count("*").alias("n"))
+    return counts.orderBy(F.desc("n"), "content_type").limit(1)
+
+
+@query(f"WITH {FILES} SELECT path FROM files WHERE NOT (source IN ('src1', 'src3') OR ends_with(path, '.json') OR ends_with(path, '.xml'))")
+def prune(spark, sf_dir):
+    dirs, globs = src.parse_ignore(["# made elsewhere", "src1/", "src3", "*.json", "*.xml", ""])
+    return src.prune(files(spark, sf_dir), dirs, globs).select("path")
+
+
+@query(f"WITH {FILES} SELECT path, n_chars FROM files WHERE starts_with(path, 'src0/') OR starts_with(path, 'src2/en/')")
+def scan_targeted(spark, sf_dir):
+    return src.scan_targeted(files(spark, sf_dir), ["src0", "src2/en", "src0/de"]).select("path", "n_chars")
+
+
+@query(f"""WITH {FILES}, up AS (SELECT path AS file, n_chars, array_to_string(list_slice(string_split(path, '/'), 1, i), '/') AS path FROM files, unnest([1, 2, 3]) AS u(i))
+  SELECT path, CAST(sum(n_chars) AS BIGINT) AS size, CAST(count(*) AS BIGINT) AS files, bool_or(path <> file) AS is_dir, CAST(len(string_split(path, '/')) AS BIGINT) AS depth FROM up
+  WHERE len(string_split(path, '/')) <= 2 GROUP BY path""")
+def tree_explore(spark, sf_dir):
+    return src.tree(files(spark, sf_dir), depth=2).select("path", "size", "files", "is_dir", "depth")
+
+
+@query(f"WITH {FILES} SELECT CAST(count(*) AS BIGINT) AS n_files, CAST(sum(n_chars) AS BIGINT) AS total_size, CAST(max(len(string_split(path, '/'))) AS INTEGER) AS depth FROM files")
+def tree_summary(spark, sf_dir):
+    return files(spark, sf_dir).agg(F.count("*").alias("n_files"), F.sum("n_chars").alias("total_size"), F.max(F.size(F.split("path", "/"))).alias("depth"))
+
+
+@query(f"""WITH {FILES} SELECT path, size, CAST(sum(size) OVER (ORDER BY split_part(path, '/', 1) || '/', path ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS BIGINT) AS start
+  FROM (SELECT path, CAST(length('=== FILE: ' || path || ' ===' || chr(10) || text || chr(10)) AS BIGINT) AS size FROM files)""")
+def concat_with_headers(spark, sf_dir):
+    return src.with_headers(files(spark, sf_dir)).select("path", "size", "start")
+
+
+@query(f"WITH {FILES} SELECT path, substr(text, 1, 100) AS head, right(text, 50) AS tail, substr(text, 11, 20) AS middle FROM files")
+def peek(spark, sf_dir):
+    t = F.col("text")
+    return files(spark, sf_dir).select("path", fn.peek_head(t, 100).alias("head"), fn.peek_tail(t, 50).alias("tail"), fn.peek(t, 10, 30).alias("middle"))
+
+
+@query(f"WITH {FILES} SELECT path, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '... [truncated]' ELSE text END AS out FROM files")
+def truncate_output(spark, sf_dir):
+    return files(spark, sf_dir).select("path", fn.truncate_output(F.col("text"), 200).alias("out"))
+
+
+@query(f"WITH {FILES} SELECT CAST(sum(n_chars) AS BIGINT) AS context_length, CAST(sum(CAST(ceil(n_chars / 4.0) AS BIGINT)) AS BIGINT) AS tokens FROM files")
+def context_length(spark, sf_dir):
+    return files(spark, sf_dir).agg(F.sum("n_chars").alias("context_length"), F.sum(fn.count_tokens(F.col("text"))).alias("tokens"))
+
+
+@query(f"WITH {FILES} SELECT path, CAST(len(m) AS INTEGER) AS n, array_to_string(list_slice(m, 1, 20), '|') AS matches FROM (SELECT path, regexp_extract_all(text, '[0-9]{{2,}}') AS m FROM files) WHERE len(m) > 0")
+def grep(spark, sf_dir):
+    pattern = "[0-9]{2,}"
+    rows = files(spark, sf_dir).select("path", F.regexp_count("text", F.lit(pattern)).alias("n"), F.array_join(fn.grep(F.col("text"), pattern), "|").alias("matches"))
+    return rows.where("n > 0")
+
+
+@query()
+def grep_spans(spark, sf_dir):
+    """Offsets and snippets of matches; tests compare them with a scan by hand."""
+    rows = files(spark, sf_dir).where(F.col("text").rlike("[0-9]{2,}"))
+    return rows.select("path", F.explode(fn.grep_spans(F.col("text"), "[0-9]{2,}")).alias("m")).select("path", "m.*")
+
+
+@query(f"WITH {FILES} SELECT path, unnest(regexp_extract_all(text, 'token = \"[0-9a-f]+\"')) AS match FROM files WHERE path = 'src2/es/doc_22.txt' OR source = 'src2'")
+def grep_file(spark, sf_dir):
+    rows = files(spark, sf_dir).where("source = 'src2'")
+    return rows.select("path", F.explode(fn.grep(F.col("text"), 'token = "[0-9a-f]+"')).alias("match"))
+
+
+@query(f"""WITH {FILES} SELECT path, CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS BIGINT) AS lines,
+  CAST(length(substr(text, 1, 500)) - length(replace(substr(text, 1, 500), chr(10), '')) + 1 AS BIGINT) AS line_at_500, replace(lower(path), '_', '-') AS normal FROM files""")
+def line_number(spark, sf_dir):
+    t = F.col("text")
+    normal = F.replace(fn.normalize_path(F.col("path")), F.lit("_"), F.lit("-"))
+    return files(spark, sf_dir).select("path", fn.line_number(t, F.length(t)).alias("lines"), fn.line_number(t, F.lit(500)).alias("line_at_500"), normal.alias("normal"))
+
+
+@query(f"""WITH {FILES} SELECT path, CASE WHEN n_chars < 1024 THEN n_chars || ' B' WHEN n_chars < 1048576 THEN printf('%.1f', n_chars / 1024.0) || ' KB' ELSE 'large' END AS shown FROM files""")
+def format_size(spark, sf_dir):
+    return files(spark, sf_dir).select("path", fn.format_size(F.col("n_chars")).alias("shown"))
+
+
+def _fixed_sql(size: int, overlap: int) -> str:
+    return f"""WITH {FILES}, cut AS (SELECT path, text, n_chars, unnest(range(0, greatest(n_chars - {overlap}, 1), {size - overlap})) AS start FROM files WHERE n_chars > 0)
+      SELECT path, CAST(start // {size - overlap} AS BIGINT) AS no, CAST(start AS BIGINT) AS start, CAST(least(start + {size}, n_chars) AS BIGINT) AS "end",
+        {SHA.format(f"path || '|' || start || '|' || substr(text, start + 1, {size})")} AS chunk_id FROM cut"""
+
+
+@query(_fixed_sql(1000, 0))
+def chunk_fixed(spark, sf_dir):
+    return chunking.chunk_fixed(files(spark, sf_dir), 1000, 0, strict=False).select("path", "no", "start", "end", "chunk_id")
+
+
+@query(_fixed_sql(800, 100))
+def chunk_overlap(spark, sf_dir):
+    return chunking.chunk_fixed(files(spark, sf_dir), 800, 100, strict=False).select("path", "no", "start", "end", "chunk_id")
+
+
+@query(f"""WITH {FILES}, cut AS (SELECT path, n_chars, size, unnest(range(0, n_chars, size)) AS start FROM (SELECT *, CAST(floor({SIZE} / 100) AS BIGINT) AS size FROM files))
+  SELECT path, CAST(start // size AS BIGINT) AS no, CAST(start AS BIGINT) AS start, CAST(least(start + size, n_chars) AS BIGINT) AS "end" FROM cut""")
+def chunk_adaptive(spark, sf_dir):
+    return chunking.chunk_adaptive(files(spark, sf_dir), 100).select("path", "no", "start", "end")
+
+
+@query(f"""WITH {FILES}, c AS (SELECT count(*) AS n FROM (SELECT unnest(range(0, n_chars, 1000)) FROM files))
+  SELECT CAST(n AS BIGINT) AS n_chunks, CASE WHEN n > 500 THEN 'refuse' WHEN n > 100 THEN 'warn' ELSE 'ok' END AS state FROM c""")
+def chunk_limit(spark, sf_dir):
+    return chunking.chunk_limit(chunking.chunk_fixed(files(spark, sf_dir), 1000, 0, strict=False))
+
+
+@query(f"""WITH {FILES}, l AS (SELECT path, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM files),
+  b AS (SELECT path, length(t) + 1 AS n, coalesce(sum(length(t) + 1) OVER (PARTITION BY path ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM l)
+  SELECT path, CAST(floor(before / 500) AS BIGINT) AS no, CAST(count(*) AS BIGINT) AS n_lines, CAST(sum(n) AS BIGINT) AS n_chars FROM b GROUP BY 1, 2""")
+def chunk_lines(spark, sf_dir):
+    return chunking.chunk_lines(files(spark, sf_dir), 500)
+
+
+@query()
+def chunk_scopes(spark, sf_dir):
+    """Chunks at scopes or lines; tests hold that they join to the text."""
+    return chunking.chunk_scopes(files(spark, sf_dir), 2000).drop("content")
+
+
+@query(f"WITH {FILES} SELECT path, sha256(text) AS hash FROM files")
+def file_hash(spark, sf_dir):
+    return incremental.manifest(files(spark, sf_dir)).select(F.col("file_path").alias("path"), "hash")
+
+
+_MANIFESTS = f"""{FILES}, m0 AS (SELECT path, sha256(text) AS h FROM files WHERE doc_id % 10 <> 0),
+  m1 AS (SELECT path, sha256(CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END) AS h FROM files WHERE doc_id % 10 <> 1),
+  delta AS (SELECT coalesce(m0.path, m1.path) AS file_path, CASE WHEN m0.path IS NULL THEN 'added' WHEN m1.path IS NULL THEN 'deleted' WHEN m0.h <> m1.h THEN 'changed' END AS change
+    FROM m0 FULL OUTER JOIN m1 ON m0.path = m1.path)"""
+
+
+def _versions(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Two states of the tree: files come, go and change by id."""
+    now = files(spark, sf_dir)
+    changed = F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text"))
+    return now.where("doc_id % 10 <> 0"), now.where("doc_id % 10 <> 1").withColumn("text", changed)
+
+
+@query(f"WITH {_MANIFESTS} SELECT file_path, change FROM delta WHERE change IS NOT NULL")
+def manifest_diff(spark, sf_dir):
+    a, b = _versions(spark, sf_dir)
+    return incremental.diff(incremental.manifest(a), incremental.manifest(b))
+
+
+@query(f"WITH {_MANIFESTS} SELECT change, CAST(count(*) AS BIGINT) AS n FROM delta WHERE change IS NOT NULL GROUP BY change")
+def delta_counts(spark, sf_dir):
+    return manifest_diff(spark, sf_dir).groupBy("change").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_MANIFESTS}, c AS (SELECT path, n_chars, text, unnest(range(0, n_chars, 1000)) AS start FROM files WHERE doc_id % 10 <> 0)
+  SELECT DISTINCT {SHA.format("path || '|' || start || '|' || substr(text, start + 1, 1000)")} AS chunk_id FROM c WHERE path IN (SELECT file_path FROM delta WHERE change IN ('changed', 'deleted'))""")
+def affected_chunks(spark, sf_dir):
+    before, _ = _versions(spark, sf_dir)
+    return incremental.affected_chunks(chunking.chunk_fixed(before, 1000, 0, strict=False), manifest_diff(spark, sf_dir))
+
+
+@query(f"WITH {_MANIFESTS}, {FINDINGS.removeprefix(FILES + ', ')} SELECT path, rule, evidence FROM findings WHERE path NOT IN (SELECT file_path FROM delta WHERE change = 'deleted')")
+def ghost_cleanup(spark, sf_dir):
+    found = analyse.findings(files(spark, sf_dir)).withColumn("file", F.col("path"))
+    return reduce.without_deleted(found, manifest_diff(spark, sf_dir).where("change = 'deleted'")).select("path", "rule", "evidence")
+
+
+@query(f"WITH {FINDINGS} SELECT path, rule, point, evidence, confidence FROM findings")
+def rule_map(spark, sf_dir):
+    return analyse.findings(files(spark, sf_dir))
+
+
+@query(f"WITH {FINDINGS} SELECT confidence, CAST(count(*) AS BIGINT) AS n, CAST(max(CASE confidence WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) AS INTEGER) AS score FROM findings GROUP BY confidence")
+def findings_by_confidence(spark, sf_dir):
+    return analyse.findings(files(spark, sf_dir)).groupBy("confidence").agg(F.count("*").alias("n"), F.max(fn.confidence_score(F.col("confidence"))).alias("score"))
+
+
+@query(f"WITH {FINDINGS} SELECT rule, evidence, CAST(min(doc_id) AS BIGINT) AS doc_id, CAST(count(*) AS BIGINT) AS n FROM findings GROUP BY rule, evidence")
+def exact_dedup(spark, sf_dir):
+    found = analyse.findings(files(spark, sf_dir), by="doc_id")
+    return reduce.exact_groups(found, ["rule", "evidence"], "doc_id")
+
+
+@query(f"WITH {FINDINGS}, u AS (SELECT count(*) AS n, count(DISTINCT rule || '|' || evidence) AS d FROM findings) SELECT CAST(n AS BIGINT) AS total, CAST(d AS BIGINT) AS \"unique\", round(1 - d / n, 6) AS ratio FROM u")
+def dedup_ratio(spark, sf_dir):
+    rows = analyse.findings(files(spark, sf_dir)).agg(F.count("*").alias("total"), F.countDistinct(F.concat_ws("|", "rule", "evidence")).alias("unique"))
+    return rows.withColumn("ratio", F.round(reduce.dedup_ratio(F.col("total"), F.col("unique")), 6))
+
+
+@query(f"""WITH {FINDINGS} SELECT path, rule, evidence, CAST(CASE confidence WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END AS INTEGER) AS score FROM (SELECT DISTINCT path, rule, evidence, confidence FROM findings)
+  ORDER BY score DESC, rule, path, evidence LIMIT 10""")
+def top_findings(spark, sf_dir):
+    rows = analyse.findings(files(spark, sf_dir)).select("path", "rule", "evidence", fn.confidence_score(F.col("confidence")).alias("score")).distinct()
+    return rows.orderBy(F.desc("score"), "rule", "path", "evidence").limit(10)
+
+
+@query(f"WITH t AS (SELECT doc_id, list_distinct({WORDS.format('text')}) AS w FROM documents) SELECT doc_id, CAST(len(list_intersect(w, ['the', 'and', 'of'])) AS BIGINT) AS relevance FROM t")
+def relevance_score(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", fn.relevance(F.col("text"), "the and OF").alias("relevance"))
+
+
+_BLOCKS = f"""t AS (SELECT doc_id, length(text) AS len, list_distinct({WORDS.format('text')}) AS w,
+  list_distinct(list_slice(list_filter({WORDS.format('text')}, lambda w: length(w) >= 3), 1, 5)) AS b FROM documents)"""
+
+
+@query(f"WITH {_BLOCKS} SELECT token, CAST(count(*) AS BIGINT) AS n, CAST(min(doc_id) AS BIGINT) AS first_id FROM (SELECT doc_id, unnest(b) AS token FROM t) GROUP BY token")
+def token_index(spark, sf_dir):
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(fn.block_tokens(F.col("text"))).alias("token"))
+    return rows.groupBy("token").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
+
+
+_CLASSES = f"""{_BLOCKS}, k AS (SELECT *, sha256(array_to_string(list_sort(w), ' ') || ' | ' || array_to_string(list_sort(b), ' ') || ' ' || len) AS key FROM t),
+  c AS (SELECT key, min(doc_id) AS id, any_value(w) AS w, any_value(b) AS b, any_value(len) AS len FROM k GROUP BY key),
+  cand AS (SELECT DISTINCT x.id AS a, y.id AS b FROM (SELECT id, unnest(b) AS token FROM c) x JOIN (SELECT id, unnest(b) AS token FROM c) y ON x.token = y.token AND x.id < y.id),
+  p AS (SELECT a, b, s FROM (SELECT cand.a, cand.b, len(list_intersect(x.w, y.w)) / (len(x.w) + len(y.w) - len(list_intersect(x.w, y.w))) AS s
+    FROM cand JOIN c x ON cand.a = x.id JOIN c y ON cand.b = y.id WHERE least(x.len, y.len) >= 0.5 * greatest(x.len, y.len)) WHERE s >= 0.7)"""
+
+
+@query(f"WITH {_CLASSES} SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, round(s, 6) AS similarity FROM p")
+def near_dup_jaccard(spark, sf_dir):
+    """Similar classes of documents: pairs between representatives."""
+    classes, _ = reduce.token_classes(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return reduce.similar_classes(classes, 0.7).select("a", "b", F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"""WITH RECURSIVE {_CLASSES}, e AS (SELECT a AS u, b AS v FROM p UNION ALL SELECT b, a FROM p),
+  r AS (SELECT id, id AS root FROM c UNION SELECT e.v, r.root FROM r JOIN e ON r.id = e.u)
+  SELECT k.doc_id, CAST(c.id AS BIGINT) AS class_id, CAST(g.root AS BIGINT) AS group_id, CAST((SELECT count(*) FROM e WHERE e.u = c.id) AS BIGINT) AS n_links
+  FROM k JOIN c ON k.key = c.key JOIN (SELECT id, min(root) AS root FROM r GROUP BY id) g ON g.id = c.id""")
+def near_dup_groups(spark, sf_dir):
+    return reduce.near_groups(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+_STATEMENTS = """s AS (SELECT doc_id * 2 AS finding_id, 'document ' || doc_id || ' is ' || CASE WHEN toxic = 1 THEN '' ELSE 'not ' END || 'toxic' AS point FROM labels
+  UNION ALL SELECT doc_id * 2 + 1, 'document ' || doc_id || ' is ' || CASE WHEN quality = 1 THEN '' ELSE 'not ' END || 'toxic' FROM labels)"""
+_NEG = "(contains({0}, 'no ') OR contains({0}, 'not ') OR contains({0}, 'never ') OR contains({0}, 'without ') OR contains({0}, 'n''t '))"
+
+
+def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two statements about every labelled document; they contradict where the labels differ."""
+    rows = table(spark, sf_dir, "labels")
+    say = lambda yes: F.concat(F.lit("document "), F.col("doc_id").cast("string"), F.lit(" is "), F.when(yes, "").otherwise("not "), F.lit("toxic"))
+    one = rows.select((F.col("doc_id") * 2).alias("finding_id"), say(F.col("toxic") == 1).alias("point"))
+    return one.unionByName(rows.select((F.col("doc_id") * 2 + 1).alias("finding_id"), say(F.col("quality") == 1).alias("point")))
+
+
+@query(f"""WITH {_STATEMENTS}, t AS (SELECT finding_id, {_NEG.format('lower(point)')} AS neg, list_distinct({WORDS.format('point')}) AS w FROM s)
+  SELECT CAST(a.finding_id AS BIGINT) AS a, CAST(b.finding_id AS BIGINT) AS b FROM t a JOIN t b ON NOT a.neg AND b.neg
+  WHERE len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) >= 0.8""")
+def contradictions(spark, sf_dir):
+    return reduce.contradictions(statements(spark, sf_dir), 0.8).select("a", "b")
+
+
+@query(f"WITH {_STATEMENTS} SELECT CAST(finding_id AS BIGINT) AS finding_id, {_NEG.format('lower(point)')} AS negated FROM s")
+def negation_flag(spark, sf_dir):
+    return statements(spark, sf_dir).select("finding_id", fn.negation(F.col("point")).alias("negated"))
+
+
+_LEAD = """CASE confidence WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END"""
+
+
+@query(f"""WITH {FINDINGS}, f AS (SELECT *, rule || '|' || evidence AS g FROM findings)
+  SELECT g AS group_id, CAST(min(doc_id) AS BIGINT) AS doc_id, any_value(confidence) AS confidence, CAST(count(*) AS BIGINT) AS n_findings, CAST(count(DISTINCT path) AS BIGINT) AS n_files FROM f GROUP BY g""")
+def merge_group(spark, sf_dir):
+    """Findings of one rule and evidence merged; every file counts."""
+    rows = files(spark, sf_dir).select("doc_id", "path", "text")
+    found = analyse.findings(rows.withColumn("key", F.struct("doc_id", "path")), by="key").select("key.doc_id", F.col("key.path").alias("file"), F.concat_ws("|", "rule", "evidence").alias("group_id"), "confidence")
+    lead = F.min_by(F.struct("doc_id", "confidence"), F.struct(-fn.confidence_score(F.col("confidence")), F.col("doc_id")))
+    out = found.groupBy("group_id").agg(lead.alias("lead"), F.count("*").alias("n_findings"), F.countDistinct("file").alias("n_files"))
+    return out.select("group_id", "lead.doc_id", "lead.confidence", "n_findings", "n_files")
+
+
+_ATTEMPTS = "a AS (SELECT event_id, user_id AS chunk_id, ts AS processed_at, CASE WHEN event_type = 'error' THEN 'failed' WHEN event_type = 'view' THEN 'placeholder' ELSE 'success' END AS status, value FROM events)"
+
+
+def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as the log of attempts on chunks."""
+    kind = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "view", "placeholder").otherwise("success")
+    return table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("chunk_id"), F.col("ts").alias("processed_at"), kind.alias("status"), "value")
+
+
+@query(f"WITH {_ATTEMPTS} SELECT chunk_id, event_id, status FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY processed_at DESC, event_id DESC) AS rn FROM a) WHERE rn = 1")
+def idempotent_result(spark, sf_dir):
+    return sessions.latest(attempts(spark, sf_dir), order=("processed_at", "event_id")).select("chunk_id", "event_id", "status")
+
+
+@query(f"WITH {_ATTEMPTS} SELECT DISTINCT o_custkey AS chunk_id FROM orders WHERE o_custkey NOT IN (SELECT chunk_id FROM a WHERE status <> 'placeholder')")
+def pending_chunks(spark, sf_dir):
+    chunks = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("chunk_id")).distinct()
+    return sessions.pending(chunks, attempts(spark, sf_dir))
+
+
+@query(f"""WITH {_ATTEMPTS}, l AS (SELECT chunk_id, status FROM (SELECT *, row_number() OVER (PARTITION BY chunk_id ORDER BY processed_at DESC, event_id DESC) AS rn FROM a) WHERE rn = 1)
+  SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(*) FILTER (status = 'success') AS BIGINT) AS processed, CAST(count(*) FILTER (status = 'failed') AS BIGINT) AS failed,
+  round(100.0 * count(*) FILTER (status = 'success') / count(*), 2) AS percent FROM customer LEFT JOIN l ON c_custkey = chunk_id""")
+def session_status(spark, sf_dir):
+    chunks = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("chunk_id"))
+    return sessions.status(chunks, sessions.latest(attempts(spark, sf_dir), order=("processed_at", "event_id")))
+
+
+@query("""WITH f AS (SELECT event_id + 1 AS no, event_type = 'error' AS failed FROM events), m AS (SELECT min(no) AS low FROM f)
+  SELECT CAST((no - low) // 5 + 1 AS BIGINT) AS batch, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (failed) AS BIGINT) AS failed, round(count(*) FILTER (failed) / count(*), 4) AS rate FROM f, m GROUP BY 1""")
+def batch_stats(spark, sf_dir):
+    return sessions.batches(_numbered(spark, sf_dir))
+
+
+def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events")
+    low = rows.agg(F.min("event_id")).first()[0] or 0
+    return rows.select((F.col("event_id") - low + 1).alias("no"), (F.col("event_type") == "error").alias("failed"), "user_id")
+
+
+@query("""WITH f AS (SELECT event_id, user_id, event_type = 'error' AS failed, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS no FROM events),
+  b AS (SELECT user_id, (no - 1) // 2 + 1 AS batch, count(*) FILTER (failed) / count(*) AS rate FROM f GROUP BY 1, 2)
+  SELECT user_id, CAST(batch AS BIGINT) AS batch, coalesce(lag(rate, 1) OVER w > 0.5, false) AND coalesce(lag(rate, 2) OVER w > 0.5, false) AS fall_back FROM b WINDOW w AS (PARTITION BY user_id ORDER BY batch)""")
+def failure_rate_fallback(spark, sf_dir):
+    turn = Window.partitionBy("user_id").orderBy("event_id")
+    rows = table(spark, sf_dir, "events").select("user_id", (F.col("event_type") == "error").alias("failed"), F.row_number().over(turn).alias("no"))
+    rates = rows.groupBy("user_id", (F.floor((F.col("no") - 1) / 2) + 1).alias("batch")).agg((F.count_if("failed") / F.count("*")).alias("rate"))
+    return sessions.fall_back(rates, ["user_id"]).select("user_id", "batch", "fall_back")
+
+
+@query("SELECT event_id AS no FROM events WHERE event_type = 'error' ORDER BY event_id LIMIT (SELECT least(CAST(floor(0.15 * count(*)) AS BIGINT), 500) FROM events)")
+def escalation_budget(spark, sf_dir):
+    rows = table(spark, sf_dir, "events")
+    return sessions.within_budget(rows.where("event_type = 'error'").select(F.col("event_id").alias("no")), rows.count())
+
+
+@query("""SELECT user_id, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (event_type IN ('error', 'view') AND event_id % 4 >= 2) AS BIGINT) AS escalated FROM events GROUP BY user_id""")
+def should_escalate(spark, sf_dir):
+    failure = F.when(F.col("event_type") == "error", "quality_low").when(F.col("event_type") == "view", "complexity").otherwise("timeout")
+    yes = sessions.should_escalate(failure, F.col("event_id") % 4)
+    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.count_if(yes).alias("escalated"))
+
+
+@query("""WITH s AS (SELECT o_orderkey AS session_id, CAST(o_totalprice * 1000 AS BIGINT) AS size, o_orderdate AS mtime FROM orders), n AS (SELECT max(mtime) AS now FROM s),
+  y AS (SELECT session_id, size, sum(size) OVER (ORDER BY mtime DESC, session_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS kept FROM s, n WHERE mtime >= now - INTERVAL 7 DAY)
+  SELECT session_id, size, 'age' AS reason FROM s, n WHERE mtime < now - INTERVAL 7 DAY UNION ALL SELECT session_id, size, 'space' FROM y WHERE kept > 1073741824""")
+def sessions_gc(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("session_id"), F.round(F.col("o_totalprice") * 1000).cast("long").alias("size"), F.col("o_orderdate").alias("mtime"))
+    return sessions.to_delete(rows, F.lit(rows.agg(F.max("mtime")).first()[0]))
+
+
+@query("SELECT o_orderkey AS session_id, o_orderdate AS mtime FROM orders ORDER BY mtime DESC, session_id LIMIT 20")
+def list_sessions(spark, sf_dir):
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("session_id"), F.col("o_orderdate").alias("mtime")).orderBy(F.desc("mtime"), "session_id").limit(20)
+
+
+_MESSAGE = "CASE event_type WHEN 'error' THEN 'connection timed out' WHEN 'view' THEN '' WHEN 'click' THEN 'rate limit' WHEN 'signup' THEN 'invalid json in answer' ELSE 'short' END"
+
+
+@query(f"""SELECT CASE {_MESSAGE} WHEN 'connection timed out' THEN 'timeout' WHEN '' THEN 'unknown' WHEN 'rate limit' THEN 'rate_limit' WHEN 'short' THEN 'quality_low' ELSE 'parse_error' END AS failure,
+  CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1""")
+def classify_failure(spark, sf_dir):
+    rows = table(spark, sf_dir, "events").select(fn.failure_type(F.expr(_MESSAGE)).alias("failure"))
+    return rows.groupBy("failure").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT conv_id, turn, 'c' || conv_id AS chunk_id, role AS point, CASE WHEN turn % 2 = 0 THEN 'high' ELSE 'low' END AS confidence FROM conversations WHERE turn % 3 <> 2""")
+def parse_response(spark, sf_dir):
+    """Answers built from turns, fenced, bare or broken, read back."""
+    body = F.to_json(F.struct(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("chunk_id"), F.array(F.struct(F.col("role").alias("point"), F.when(F.col("turn") % 2 == 0, "high").otherwise("low").alias("confidence"))).alias("findings")))
+    answer = F.when(F.col("turn") % 3 == 0, F.concat(F.lit("Here:\n```json\n"), body, F.lit("\n```\nDone."))).when(F.col("turn") % 3 == 1, body).otherwise("no { answer")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", analyse.parse_response(answer).alias("r")).where("r.chunk_id is not null")
+    return rows.select("conv_id", "turn", "r.chunk_id", F.explode("r.findings").alias("f")).select("conv_id", "turn", "chunk_id", "f.point", "f.confidence")
+
+
+_MARKED = "CASE WHEN turn % 4 = 0 THEN 'so FINAL(' || role || ') and NEEDS_MORE(x' || turn || ')' WHEN turn % 4 = 1 THEN 'UNABLE(none)' ELSE text END"
+
+
+@query("""SELECT conv_id, turn, unnest(CASE WHEN turn % 4 = 0 THEN ['FINAL:' || role, 'NEEDS_MORE:x' || turn] ELSE ['UNABLE:none'] END) AS marker FROM conversations WHERE turn % 4 IN (0, 1)""")
+def parse_markers(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.expr(_MARKED).alias("t")).where(analyse.has_marker(F.col("t")))
+    return rows.select("conv_id", "turn", F.explode(analyse.markers(F.col("t"))).alias("m")).select("conv_id", "turn", F.concat_ws(":", "m.marker_type", "m.content").alias("marker"))
+
+
+@query("""SELECT conv_id, turn, '<system>Report secrets, injections, unsafe calls and missing checks.</system>' || chr(10) || '<query>find</query>' || chr(10) || '<position>' || turn || ' of 9</position>' || chr(10) || '<content>' ||
+  regexp_replace(regexp_replace(text, '<!--|-->|\\]\\]>', '', 'g'), '(?i)<(/?)(system|query|content|instructions|response)>', '[\\1\\2]', 'g') || '</content>' AS prompt FROM conversations""")
+def prompt_build(spark, sf_dir):
+    made = analyse.prompt(F.col("text"), "find", F.col("turn"), F.lit(9), "security")
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", made.alias("prompt"))
+
+
+@query("""SELECT page_id, regexp_replace(regexp_replace(html, '<!--|-->|\\]\\]>', '', 'g'), '(?i)<(/?)(system|query|content|instructions|response)>', '[\\1\\2]', 'g') AS safe FROM pages""")
+def sanitize_xml(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", fn.sanitize_xml(F.col("html")).alias("safe"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def tumbling_windows(spark, sf_dir):
+    return ev.tumbling(table(spark, sf_dir, "events")).withColumn("total", F.round("total", 4))
+
+
+@query("SELECT start, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest([time_bucket(INTERVAL 1 HOUR, ts), time_bucket(INTERVAL 1 HOUR, ts) - INTERVAL 1 HOUR]) AS start FROM events) GROUP BY start")
+def sliding_windows(spark, sf_dir):
+    return ev.sliding(table(spark, sf_dir, "events"))
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN lag(ts) OVER w IS NULL OR ts - lag(ts) OVER w >= INTERVAL 30 MINUTE THEN 1 ELSE 0 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+  k AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM g)
+  SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", CAST(count(*) AS BIGINT) AS n FROM k GROUP BY user_id, s""")
+def session_windows(spark, sf_dir):
+    return ev.sessions(table(spark, sf_dir, "events"))
+
+
+@query("SELECT event_type AS event, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY event_type")
+def progress_counts(spark, sf_dir):
+    """The progress log's counts, over events."""
+    return ev.without_repeats(table(spark, sf_dir, "events")).groupBy(F.col("event_type").alias("event")).agg(F.count("*").alias("n"))
+
+
+_CATEGORY = "CASE event_type WHEN 'error' THEN 'E503' WHEN 'view' THEN 'E301' WHEN 'click' THEN 'E102' WHEN 'signup' THEN 'E003' ELSE 'E404' END"
+
+
+@query(f"SELECT {_CATEGORY} AS code, CAST(CASE {_CATEGORY} WHEN 'E503' THEN 1 WHEN 'E301' THEN 5 WHEN 'E102' THEN 3 WHEN 'E003' THEN 2 ELSE 6 END AS INTEGER) AS exit_code, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1, 2")
+def error_codes(spark, sf_dir):
+    """Errors in a log, with the exit codes of the taxonomy (31 rows, broadcast)."""
+    rows = table(spark, sf_dir, "events").select(F.expr(_CATEGORY).alias("code"))
+    return rows.join(F.broadcast(errors.table(spark)), "code").groupBy("code", "exit_code").agg(F.count("*").alias("n"))
