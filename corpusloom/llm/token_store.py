@@ -28,8 +28,9 @@ from __future__ import annotations
 
 import re
 import zlib
-from array import array
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -45,82 +46,87 @@ SCHEMA = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n_t
 
 #: Words of ASCII and Latin-1 letters, digits and ASCII marks without apostrophe, which open contractions.
 PLAIN = re.compile(r"[A-Za-z0-9À-ÖØ-öø-ÿ!-&(-/:-@\[-`{-~]+")
-RUN = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
+PLAIN_LINES = re.compile(rf"(?:{PLAIN.pattern}\n)*")
+RUN = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+|\n")
 
 
-class Words(dict):
-    """word -> number, counting up; ``new`` has the words that were numbered since it was last emptied."""
+class Table:
+    """The ids of every key met so far; ``learn`` gives the ids of new keys, flat, and how many each has."""
+
+    def __init__(self, learn: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]):
+        self.learn = learn
+        self._restart()
+
+    def _restart(self) -> None:
+        self.numbers, self.n, self.used = defaultdict(count().__next__), 0, 0  # keys are numbered in turn
+        self.start, self.size, self.pool = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.int32)
+
+    def _append(self, flat: np.ndarray, sizes: np.ndarray) -> None:
+        for name, need in (("start", self.n + len(sizes)), ("size", self.n + len(sizes)), ("pool", self.used + len(flat))):
+            if need > len(old := getattr(self, name)):
+                setattr(self, name, np.concatenate([old, np.zeros(max(need, len(old)), old.dtype)]))
+        self.start[self.n : self.n + len(sizes)] = self.used + np.cumsum(sizes) - sizes
+        self.size[self.n : self.n + len(sizes)] = sizes
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.n += len(sizes)
+        self.used += len(flat)
+
+    def gather(self, keys: list[str], closing: str) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of ``keys``, flat, and how many come up to each ``closing`` key from the one before."""
+        if self.n > KEPT:
+            self._restart()
+        found = np.fromiter(map(self.numbers.__getitem__, keys), np.int64, len(keys))
+        if new := len(self.numbers) - self.n:
+            self._append(*self.learn(list(islice(reversed(self.numbers), new))[::-1]))
+        size = self.size[found]
+        ends = np.cumsum(size)
+        ids = self.pool[np.arange(ends[-1]) + np.repeat(self.start[found] - (ends - size), size)]
+        return ids, np.diff(ends[found == self.numbers[closing]], prepend=0)
 
-    def __init__(self):
-        super().__init__()
-        self.new: list[str] = []
 
-    def __missing__(self, word: str) -> int:
-        self.new.append(word)
-        n = self[word] = len(self)
-        return n
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([i for x in lists for i in x], np.int32), np.array([len(x) for x in lists], np.int64)
 
 
 class Encoder:
-    """Ids of whole texts by one tokenizer file, with tables of words met before."""
+    """Ids of whole texts by one tokenizer file, with tables of words and runs met before."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.last = {i for w, i in self.tokenizer.get_vocab().items() if w.endswith("</w>")}
-        #: run -> its ids, two bytes each while they fit
-        self.code = "H" if max(self.tokenizer.get_vocab().values()) < 1 << 16 else "I"
-        self.runs: dict[str, bytes] = {}
-        self._restart()
-
-    def _restart(self) -> None:
-        self.words, self.n, self.used = Words(), 0, 0
-        self.start, self.size, self.pool = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.int32)
-
-    def _packed(self, ids: list[int]) -> bytes:
-        return array(self.code, ids).tobytes()
+        self.model = self.tokenizer.model
+        letters = [chr(c) for c in range(ord("ß"), 256) if chr(c) != "÷"]
+        #: how the tokenizer's byte alphabet writes the letters beyond ASCII
+        self.alphabet = str.maketrans({c: "".join(p for p, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(c)) for c in letters})
+        self.runs = Table(self._runs)
+        self.words = Table(self._words)
 
     def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
-    def _learn_runs(self, runs: set[str]) -> None:
-        """Encode the runs as one text; a run ends with the only token that closes a word."""
-        order = list(runs)
-        for at in range(0, len(order), 1000):
-            some = order[at : at + 1000]
-            now, found = [], []
-            for i in self._whole(" ".join(some)):
-                now.append(i)
-                if i in self.last:
-                    found.append(self._packed(now))
-                    now = []
-            if len(found) != len(some) or now:
-                found = [self._packed(self._whole(r)) for r in some]
-            self.runs.update(zip(some, found))
-
-    def _learn(self, words: list[str]) -> None:
-        cut = [RUN.findall(w.lower()) if PLAIN.fullmatch(w) and "<|" not in w else None for w in words]
-        self._learn_runs({r for c in cut if c for r in c if r not in self.runs})
-        runs = self.runs
-        ids = [b"".join([runs[r] for r in c]) if c else self._packed([END_ID] if w == "\n" else self._whole(w)) for w, c in zip(words, cut)]
-        sizes = np.array([len(x) for x in ids], np.int64) // array(self.code).itemsize
-        flat = np.frombuffer(b"".join(ids), self.code).astype(np.int32)
-        for name, need in (("start", self.n + len(ids)), ("size", self.n + len(ids)), ("pool", self.used + len(flat))):
-            if need > len(old := getattr(self, name)):
-                setattr(self, name, np.concatenate([old, np.zeros(max(need, len(old)), old.dtype)]))
-        self.start[self.n : self.n + len(ids)] = self.used + np.cumsum(sizes) - sizes
-        self.size[self.n : self.n + len(ids)] = sizes
-        self.pool[self.used : self.used + len(flat)] = flat
-        self.n += len(ids)
-        self.used += len(flat)
+    def _runs(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """A run is what the tokenizer hands to its model in one piece."""
+        of = self.model.tokenize
+        return _flat([[t.id for t in of(r if r.isascii() else r.translate(self.alphabet))] if r != "\n" else [] for r in runs])
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        plain, odd = words, []
+        line = "\n".join([*words, ""])
+        if "\n\n" in line or "<|" in line or not PLAIN_LINES.fullmatch(line):
+            plain = [w if PLAIN.fullmatch(w) and "<|" not in w else "" for w in words]
+            odd = [k for k, (w, p) in enumerate(zip(words, plain)) if w and not p]
+            line = "\n".join([*plain, ""])
+        flat, sizes = self.runs.gather(RUN.findall(line.lower()), "\n")
+        if not odd:
+            return flat, sizes
+        each = np.split(flat, np.cumsum(sizes)[:-1])
+        for k in odd:
+            each[k] = np.array([END_ID] if words[k] == "\n" else self._whole(words[k]), np.int32)
+        return np.concatenate(each), np.array([len(x) for x in each], np.int64)
 
     def batch(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts in turn, number of ids of each), the end id closing each text."""
-        if self.n > KEPT:
-            self._restart()
-        if len(self.runs) > KEPT:
-            self.runs.clear()
         if not texts:
             return np.zeros(0, np.int32), np.zeros(0, np.int64)
         spaced = []
@@ -130,15 +136,7 @@ class Encoder:
                 if c in text:
                     text = text.replace(c, " ")
             spaced.append(text)
-        words = " \n ".join([*spaced, ""]).split(" ")[:-1]  # a line feed closes a text
-        found = np.fromiter(map(self.words.__getitem__, words), np.int64, len(words))
-        if self.words.new:
-            self._learn(self.words.new)
-            self.words.new.clear()
-        size = self.size[found]
-        ends = np.cumsum(size)
-        ids = self.pool[np.arange(ends[-1]) + np.repeat(self.start[found] - (ends - size), size)]
-        return ids, np.diff(ends[found == self.words["\n"]], prepend=0)
+        return self.words.gather(" \n ".join([*spaced, ""]).split(" ")[:-1], "\n")  # a line feed closes a text
 
 
 _encoders: dict[str, Encoder] = {}
@@ -167,7 +165,7 @@ def _tokenized(path: str):
 def write(docs: DataFrame, tokenizer: str, path: str, stripe_mb: int = 64, row_index_stride: int = 10_000) -> None:
     """Encode ``docs`` and write the store, in ascending doc_id order."""
     spark = docs.sparkSession
-    smaller_batches(spark, 200)
+    smaller_batches(spark, 400)
     ranged = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id")
     encoded = ranged.mapInArrow(_tokenized(tokenizer), SCHEMA)
     options = {
