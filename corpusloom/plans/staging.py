@@ -13,12 +13,16 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+_own: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; one of our own where it is unset (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
-        named = tempfile.mkdtemp(prefix="corpusloom-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="corpusloom-"))
+        named = _own[0]
     return named.rstrip("/")
 
 

@@ -20,29 +20,34 @@ def watch(log: DataFrame, name: str, seconds: int = 2) -> StreamingQuery:
     return counts.writeStream.outputMode("complete").format("memory").queryName(name).trigger(processingTime=f"{seconds} seconds").start()
 
 
+def _marked(events: DataFrame, late: str) -> DataFrame:
+    """Watermarks need an instant; times without zone are taken in the session's zone."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late)
+
+
 def tumbling(events: DataFrame, length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """(start, event_type, n, total) by window; the same for a table and for a stream."""
     if events.isStreaming:
-        events = events.withWatermark("ts", late)
+        events = _marked(events, late)
     out = events.groupBy(F.window("ts", length), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return out.select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
 def sliding(events: DataFrame, length: str = "2 hours", step: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     if events.isStreaming:
-        events = events.withWatermark("ts", late)
+        events = _marked(events, late)
     return events.groupBy(F.window("ts", length, step)).agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "n")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
     """(user_id, start, end, n) of runs of events with no pause of ``gap``."""
     if events.isStreaming:
-        events = events.withWatermark("ts", late)
+        events = _marked(events, late)
     out = events.groupBy("user_id", F.session_window("ts", gap)).agg(F.count("*").alias("n"))
     return out.select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
 def without_repeats(events: DataFrame, key: str = "event_id", late: str = "10 minutes") -> DataFrame:
     if events.isStreaming:
-        return events.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
+        return _marked(events, late).dropDuplicatesWithinWatermark([key])
     return events.dropDuplicates([key])
