@@ -38,11 +38,15 @@ MOST = 2
 PIECE_ROWS = 20_000
 
 
+def _place() -> Column:
+    """A document's place in its source's queue."""
+    return F.xxhash64(F.lit("queue"), "doc_id", F.xxhash64("text"))
+
+
 def sizes(docs: DataFrame) -> DataFrame:
     """(doc_id, source, size, h): words of each document and its place in the queue."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    order = F.xxhash64(F.lit("queue"), "doc_id", F.xxhash64("text"))
-    return docs.select("doc_id", "source", size.alias("size"), order.alias("h"))
+    return docs.select("doc_id", "source", size.alias("size"), _place().alias("h"))
 
 
 def targets(rows: DataFrame) -> DataFrame:
@@ -133,21 +137,19 @@ def mix(docs: DataFrame) -> DataFrame:
 
 
 def keep_mix(docs: DataFrame) -> DataFrame:
-    """The documents of the mix with the columns of ``docs``; one taken in both laps comes twice."""
-    mixed = mix(docs)
-    laps = stage(mixed.where("taken > 0").select("doc_id", F.expr("cast(taken div size as int)").alias("__laps")), "mix")
-    laps = laps.withColumnRenamed("doc_id", "__doc_id")
-    same = F.col("doc_id").eqNullSafe(F.col("__doc_id"))
-    many = stage(laps.groupBy("__doc_id").agg(F.count("*").alias("n")).where("n > 1"), "mix-repeated")
-    if many.isEmpty():
-        joined = docs.join(laps, same).drop("__doc_id")
-    else:  # an id on several rows: the rows with words take the laps of the id in turn
-        total = laps.groupBy("__doc_id").agg(F.sum("__laps").alias("__sum"))
-        turn = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), "source")
-        rows = docs.where(F.regexp_count("text", F.lit(WORD)) > 0)
-        counted = rows.withColumn("__no", F.row_number().over(turn)).withColumn("__of", F.count("*").over(Window.partitionBy("doc_id")))
-        joined = counted.join(total, same).drop("__doc_id")
-        share = F.expr("cast(__sum div __of + if(__no <= __sum % __of, 1, 0) as int)")
-        joined = joined.withColumn("__laps", share).where("__laps > 0").select(*[F.col(f"`{c}`") for c in docs.columns], "__laps")
-    lap = F.explode(F.sequence(F.lit(1), F.col("__laps"))).alias("__lap")
-    return joined.select(*[F.col(f"`{c}`") for c in docs.columns], lap).drop("__lap")
+    """The documents of the mix with the columns of ``docs``; one taken in both laps comes twice.
+
+    Each lap takes a source's queue up to some place, so that a row's laps follow
+    from its own place and the last places taken: two per source, broadcast if
+    they are few. The texts aren't shuffled. Repeated rows have one place
+    and are taken together.
+    """
+    place = F.struct("h", "doc_id", "size")
+    ends = schedule(docs).where("taken").groupBy("source", "lap").agg(F.max(place).alias("end"))
+    ends = stage(ends.groupBy("source").agg(F.collect_list("end").alias("__ends")), "mix-ends")
+    size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+    mine = F.struct(_place().alias("h"), F.col("doc_id").alias("doc_id"), size.alias("size"))
+    rows = _with_goals(docs.withColumn("__place", F.when(size > 0, mine)), ends)
+    laps = F.filter("__ends", lambda end: F.col("__place") <= end)
+    lap = F.explode(laps).alias("__lap")
+    return rows.select(*[F.col(f"`{c}`") for c in docs.columns], lap).drop("__lap")

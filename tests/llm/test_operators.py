@@ -431,3 +431,11 @@ def test_page(page, text):
 
 def test_deep_page():
     assert html.extract("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
+
+
+def test_mix_of_repeated_rows_and_nulls(spark, edge):
+    """Rows alike are taken together; every row with words is in the mix at most twice."""
+    kept = mixing.keep_mix(edge.where("doc_id is null or doc_id < 7"))
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    rows = Counter((i, t) for i, t, _, _ in EDGE)
+    assert got and all(n <= 2 * rows[k] and n % rows[k] == 0 for k, n in got.items()) and kept.columns == edge.columns
