@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom import errors, model
 from corpusloom.functions import text as fn
 from corpusloom.operators import analyse, chunking, incremental, sessions
 from corpusloom.plans import reduce
+from corpusloom.plans.running import running_sum
 from corpusloom.sources import files as src
 from corpusloom.streaming import events as ev
 
@@ -116,7 +117,7 @@ def tree_summary(spark, sf_dir):
 @query(f"""WITH {FILES} SELECT path, size, CAST(sum(size) OVER (ORDER BY split_part(path, '/', 1) || '/', path ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - size AS BIGINT) AS start
   FROM (SELECT path, CAST(length('=== FILE: ' || path || ' ===' || chr(10) || text || chr(10)) AS BIGINT) AS size FROM files)""")
 def concat_with_headers(spark, sf_dir):
-    return src.with_headers(files(spark, sf_dir)).select("path", "size", "start")
+    return src.entry_offsets(files(spark, sf_dir))
 
 
 @query(f"WITH {FILES} SELECT path, substr(text, 1, 100) AS head, right(text, 50) AS tail, substr(text, 11, 20) AS middle FROM files")
@@ -400,8 +401,8 @@ def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
   b AS (SELECT user_id, (no - 1) // 2 + 1 AS batch, count(*) FILTER (failed) / count(*) AS rate FROM f GROUP BY 1, 2)
   SELECT user_id, CAST(batch AS BIGINT) AS batch, coalesce(lag(rate, 1) OVER w > 0.5, false) AND coalesce(lag(rate, 2) OVER w > 0.5, false) AS fall_back FROM b WINDOW w AS (PARTITION BY user_id ORDER BY batch)""")
 def failure_rate_fallback(spark, sf_dir):
-    turn = Window.partitionBy("user_id").orderBy("event_id")
-    rows = table(spark, sf_dir, "events").select("user_id", (F.col("event_type") == "error").alias("failed"), F.row_number().over(turn).alias("no"))
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_type") == "error").alias("failed"))
+    rows = running_sum(rows, F.lit(1), [F.col("event_id")], "no", ("user_id",))
     rates = rows.groupBy("user_id", (F.floor((F.col("no") - 1) / 2) + 1).alias("batch")).agg((F.count_if("failed") / F.count("*")).alias("rate"))
     return sessions.fall_back(rates, ["user_id"]).select("user_id", "batch", "fall_back")
 
@@ -503,3 +504,200 @@ def error_codes(spark, sf_dir):
     """Errors in a log, with the exit codes of the taxonomy (31 rows, broadcast)."""
     rows = table(spark, sf_dir, "events").select(F.expr(_CATEGORY).alias("code"))
     return rows.join(F.broadcast(errors.table(spark)), "code").groupBy("code", "exit_code").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {FILES}, l AS (SELECT path, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM files),
+  b AS (SELECT *, CAST(floor(coalesce(sum(length(t) + 1) OVER (PARTITION BY path ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 500) AS BIGINT) AS bucket FROM l),
+  c AS (SELECT path, bucket, min(line) AS low, max(line) AS high FROM b GROUP BY 1, 2),
+  n AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY bucket) - 1 AS no, greatest(low - 5, 1) AS first FROM c)
+  SELECT n.path, CAST(n.no AS BIGINT) AS no, CAST(n.first AS BIGINT) AS start_line, CAST(n.high AS BIGINT) AS end_line, sha256(string_agg(l.t, chr(10) ORDER BY l.line)) AS hash
+  FROM n JOIN l ON l.path = n.path AND l.line BETWEEN n.first AND n.high GROUP BY 1, 2, 3, 4""")
+def fallback_text_chunk(spark, sf_dir):
+    rows = chunking.chunk_lines_overlapping(files(spark, sf_dir), 500, 5)
+    return rows.select("path", "no", "start_line", "end_line", F.sha2("content", 256).alias("hash"))
+
+
+@query(f"WITH {FILES} SELECT path, greatest(30.0, least(octet_length(encode(text)) / 1048576 * 2, 120.0)) AS seconds, octet_length(encode(text)) > 4096 AS large FROM files")
+def chunking_timeout(spark, sf_dir):
+    size = F.octet_length("text")
+    return files(spark, sf_dir).select("path", fn.chunking_timeout(size).alias("seconds"), (size > 4096).alias("large"))
+
+
+@query(f"WITH {FILES} SELECT path, ends_with(path, '.js') OR contains(path, 'src1/') OR contains(path, '/de/') AS ignored FROM files WHERE NOT contains(path, 'src1')  OR starts_with(path, 'src1/')")
+def should_ignore(spark, sf_dir):
+    rows = files(spark, sf_dir).where("not contains(path, 'src1') or startswith(path, 'src1/')")
+    return rows.select("path", src.should_ignore(F.col("path"), ("*.js", "src1", "de")).alias("ignored"))
+
+
+@query(f"WITH {FILES} SELECT path, n_chars FROM files WHERE path = (SELECT min(path) FROM files WHERE octet_length(encode(text)) <= 10485760)")
+def load_file(spark, sf_dir):
+    rows = files(spark, sf_dir)
+    first = rows.agg(F.min("path")).first()[0] or "none"
+    return src.load_file(rows, first).select("path", "n_chars")
+
+
+@query(f"""WITH {FILES}, c AS (SELECT path, text, unnest(range(0, n_chars, 1000)) AS start FROM files WHERE path = (SELECT max(path) FROM files))
+  SELECT CAST(start AS BIGINT) AS start, {SHA.format("path || '|' || start || '|' || substr(text, start + 1, 1000)")} AS chunk_id FROM c""")
+def chunks_for_file(spark, sf_dir):
+    rows = files(spark, sf_dir)
+    path = rows.agg(F.max("path")).first()[0]
+    return incremental.chunks_for_file(chunking.chunk_fixed(rows, 1000, 0, strict=False), path).select("start", "chunk_id")
+
+
+@query(f"WITH {_BLOCKS} SELECT token, CAST(count(*) AS BIGINT) AS n, CAST(count(*) * (count(*) - 1) // 2 AS BIGINT) AS candidates FROM (SELECT doc_id, unnest(b) AS token FROM t) GROUP BY token HAVING count(*) > 1")
+def block_candidates(spark, sf_dir):
+    """How many pairs each word of the starts would bring together; they are counted, not listed."""
+    rows = table(spark, sf_dir, "documents").select(F.explode(fn.block_tokens(F.col("text"))).alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+    return rows.where("n > 1").withColumn("candidates", F.expr("n * (n - 1) div 2"))
+
+
+@query()
+def near_dup_ratio(spark, sf_dir):
+    """Turns of conversations alike by their characters' order; tests compare them with all pairs."""
+    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100_000 + F.col("turn")).alias("id"), "text")
+    return reduce.similar_by_ratio(rows, "id", "text", 0.7)
+
+
+@query("""SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (toxic = 1) AS BIGINT) AS flagged, CAST(sum(length('document ' || doc_id)) AS BIGINT) AS chars FROM labels""")
+def verification_counts(spark, sf_dir):
+    point = F.concat(F.when(F.col("toxic") == 1, f"{fn.VERIFY}: ").otherwise(""), F.lit("document "), F.col("doc_id").cast("string"))
+    return table(spark, sf_dir, "labels").select(point.alias("point")).agg(
+        F.count("*").alias("n"), F.count_if(fn.needs_verification(F.col("point"))).alias("flagged"), F.sum(F.length(fn.without_flag(F.col("point")))).cast("long").alias("chars")
+    )
+
+
+@query(f"WITH {_MANIFESTS}, {FINDINGS.removeprefix(FILES + ', ')} SELECT path, CAST(count(*) AS BIGINT) AS n FROM findings WHERE path IN (SELECT file_path FROM delta WHERE change = 'deleted') GROUP BY path")
+def filtered_deleted_files(spark, sf_dir):
+    """Ghost findings by deleted file."""
+    found = analyse.findings(files(spark, sf_dir)).withColumn("file", F.col("path"))
+    deleted = manifest_diff(spark, sf_dir).where("change = 'deleted'")
+    gone = reduce.ghosts(found.withColumnRenamed("evidence", "quoted"), deleted).distinct()
+    rows = found.withColumnRenamed("evidence", "quoted")
+    return rows.withColumn("ghost", reduce.row_hash(rows)).join(gone.select("ghost"), "ghost", "left_semi").groupBy("path").agg(F.count("*").alias("n"))
+
+
+_SAID = f"""{_STATEMENTS}, x AS (SELECT finding_id, point, CASE finding_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS confidence, finding_id % 5 = 0 AS verify,
+  finding_id % 7 = 0 AS gone FROM s), k AS (SELECT * FROM x WHERE NOT gone)"""
+
+
+def _said(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Statements as findings in files, of which every seventh is deleted."""
+    rows = statements(spark, sf_dir)
+    sure = F.element_at(F.array(F.lit("high"), F.lit("medium"), F.lit("low")), (F.col("finding_id") % 3 + 1).cast("int"))
+    point = F.concat(F.when(F.col("finding_id") % 5 == 0, f"{fn.VERIFY} ").otherwise(""), "point")
+    found = rows.select("finding_id", point.alias("point"), sure.alias("confidence"), F.concat(F.lit("docs/"), F.col("finding_id").cast("string")).alias("file"))
+    return found, found.where("finding_id % 7 = 0").select(F.upper("file").alias("file_path"))
+
+
+@query(f"""WITH {_SAID}, g AS (SELECT point, count(*) AS n, bool_or(verify) AS verify, arg_min(finding_id, CASE confidence WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END * 10000000000 + finding_id) AS lead FROM k GROUP BY point),
+  t AS (SELECT lead, {_NEG.format('point')} AS neg, list_distinct({WORDS.format('point')}) AS w FROM g),
+  o AS (SELECT count(*) AS n FROM t a JOIN t b ON NOT a.neg AND b.neg WHERE len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) >= 0.8)
+  SELECT CAST(sum(g.n) AS BIGINT) AS total_findings, CAST(count(*) AS BIGINT) AS unique_findings, CAST(count(*) FILTER (verify) AS BIGINT) AS verification_required, round(1 - count(*) / sum(g.n), 6) AS deduplication_ratio,
+    CAST((SELECT count(*) FROM x WHERE gone) AS BIGINT) AS filtered_deleted, CAST((SELECT n FROM o) AS BIGINT) AS contradictions FROM g""")
+def aggregate_findings(spark, sf_dir):
+    """The whole reduce over statements about labelled documents, as its row of counts."""
+    found, deleted = _said(spark, sf_dir)
+    return reduce.aggregate_findings(found, "toxic document", deleted, 0.9).counts
+
+
+@query(f"""WITH {_SAID}, g AS (SELECT point, bool_or(verify) AS verify, min(CASE confidence WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END * 10000000000 + finding_id) AS lead FROM k GROUP BY point)
+  SELECT CAST(row_number() OVER (ORDER BY lead) AS BIGINT) AS place, '[' || CASE lead // 10000000000 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END || '] ' || point || CASE WHEN verify THEN ' (to verify)' ELSE '' END AS line
+  FROM g ORDER BY lead LIMIT 10""")
+def format_summary(spark, sf_dir):
+    """The ten findings that lead the report."""
+    found, deleted = _said(spark, sf_dir)
+    return reduce.summary(reduce.aggregate_findings(found, "toxic document", deleted, 0.9).findings)
+
+
+@query(f"""WITH {FINDINGS} SELECT rule, confidence, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT path) AS BIGINT) AS n_files FROM findings GROUP BY ROLLUP (rule, confidence)""")
+def findings_rollup(spark, sf_dir):
+    """Findings by rule and confidence with subtotals; beyond the reference."""
+    return analyse.findings(files(spark, sf_dir)).rollup("rule", "confidence").agg(F.count("*").alias("n"), F.countDistinct("path").alias("n_files"))
+
+
+@query(f"""WITH {FILES}, c AS (SELECT path, text, unnest(range(0, n_chars, 1000)) AS start FROM files), n AS (SELECT path, start, row_number() OVER (ORDER BY path, start) AS no FROM c)
+  SELECT path, CAST(start AS BIGINT) AS start, CAST(no AS BIGINT) AS no, CAST((no - 1) // 5 + 1 AS BIGINT) AS batch FROM n""")
+def map_batches(spark, sf_dir):
+    """Chunks dealt to batches of five."""
+    chunks = chunking.chunk_fixed(files(spark, sf_dir), 1000, 0, strict=False).select("path", "start")
+    return analyse.numbered_batches(chunks, [F.col("path"), F.col("start")]).select("path", "start", F.col("no").cast("long").alias("no"), "batch")
+
+
+@query(f"""WITH {FILES}, c AS (SELECT path, text, unnest(range(0, n_chars, 1000)) AS start FROM files)
+  SELECT path, CAST(start AS BIGINT) AS start FROM c ORDER BY path, start LIMIT 5 OFFSET 10""")
+def map_page(spark, sf_dir):
+    """The third page of chunks; a page is the feature."""
+    chunks = chunking.chunk_fixed(files(spark, sf_dir), 1000, 0, strict=False).select("path", "start")
+    return analyse.page(chunks, [F.col("path"), F.col("start")], 3)
+
+
+@query(f"""WITH {FILES}, c AS (SELECT path, substr(text, start + 1, 1000) AS content, start FROM (SELECT path, text, unnest(range(0, n_chars, 1000)) AS start FROM files))
+  SELECT {SHA.format("path || '|' || start || '|' || content")} AS chunk_id, 'success' AS status, CAST({" + ".join(f"len(regexp_extract_all(content, '{r.pattern}'))" for r in analyse.RULES)} AS INTEGER) AS n_findings FROM c""")
+def process_map_phase(spark, sf_dir):
+    """Every chunk's result of the rule pack."""
+    chunks = chunking.chunk_fixed(files(spark, sf_dir), 1000, 0, strict=False)
+    return analyse.run_map(chunks).select("chunk_id", "status", F.size("findings").alias("n_findings"))
+
+
+@query("""WITH f AS (SELECT event_id, user_id FROM events WHERE event_type IN ('error', 'view') AND event_id % 4 >= 2)
+  SELECT event_id AS no, user_id AS chunk_id, 'stronger' AS tier FROM f ORDER BY event_id LIMIT (SELECT least(CAST(floor(0.15 * count(*)) AS BIGINT), 500) FROM events)""")
+def escalate(spark, sf_dir):
+    rows = table(spark, sf_dir, "events")
+    failure = F.when(F.col("event_type") == "error", "quality_low").when(F.col("event_type") == "view", "complexity").otherwise("timeout")
+    failed = rows.select(F.col("event_id").alias("no"), F.col("user_id").alias("chunk_id"), failure.alias("failure"), (F.col("event_id") % 4).alias("attempt"))
+    return sessions.escalate(failed, rows.count()).select("no", "chunk_id", "tier")
+
+
+@query(f"""WITH {_ATTEMPTS}, l AS (SELECT chunk_id, arg_max(status, (processed_at, event_id)) AS status FROM a GROUP BY chunk_id)
+  SELECT c_custkey AS chunk_id, coalesce(status, 'pending') AS status FROM customer LEFT JOIN l ON c_custkey = chunk_id""")
+def restore_checkpoint(spark, sf_dir):
+    chunks = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("chunk_id"))
+    return sessions.restored(chunks, sessions.latest(attempts(spark, sf_dir), order=("processed_at", "event_id")).select("chunk_id", "status"))
+
+
+@query("SELECT o_orderkey AS session_id, o_orderdate AS mtime FROM orders ORDER BY mtime DESC, session_id LIMIT 1")
+def resume_latest(spark, sf_dir):
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("session_id"), F.col("o_orderdate").alias("mtime"))
+    return rows.agg(F.max_by(F.struct("session_id", "mtime"), F.struct("mtime", -F.col("session_id"))).alias("s")).select("s.*")
+
+
+@query(f"""WITH {_ATTEMPTS}, u AS (SELECT chunk_id, status, event_id FROM a WHERE event_id % 2 = 0 UNION ALL SELECT chunk_id, status, event_id FROM a WHERE event_id % 3 = 0)
+  SELECT status, CAST(count(DISTINCT event_id) AS BIGINT) AS n, CAST(count(*) - count(DISTINCT event_id) AS BIGINT) AS repeated FROM u GROUP BY status""")
+def merge_runs(spark, sf_dir):
+    """Results of two runs put together; what both have counts once."""
+    rows = attempts(spark, sf_dir)
+    both = rows.where("event_id % 2 = 0").unionByName(rows.where("event_id % 3 = 0"))
+    per = both.groupBy("status", "event_id").agg(F.count("*").alias("c"))
+    return per.groupBy("status").agg(F.count("*").alias("n"), F.sum(F.col("c") - 1).alias("repeated"))
+
+
+_ANSWERED = """CASE turn % 4 WHEN 0 THEN 'so FINAL({"role": "' || role || '", "f": "g(1)"}) and FINAL(x)' WHEN 1 THEN 'NEEDS_MORE(y) FINAL_VAR(role)' WHEN 2 THEN 'FINAL_VAR(nothing)' ELSE 'SEMIFINAL(' END"""
+
+
+@query("""SELECT conv_id, turn, CASE turn % 4 WHEN 0 THEN 'final' WHEN 1 THEN 'final_var' WHEN 2 THEN 'final_var_error' ELSE 'none' END AS kind,
+  CASE turn % 4 WHEN 0 THEN '{"role": "' || role || '", "f": "g(1)"}' WHEN 1 THEN role WHEN 2 THEN 'no variable nothing' END AS value FROM conversations""")
+def extract_final_answer(spark, sf_dir):
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", analyse.final_answer(F.expr(_ANSWERED), F.create_map(F.lit("role"), F.col("role"))).alias("a"))
+    return rows.select("conv_id", "turn", "a.kind", "a.value")
+
+
+@query("""SELECT conv_id, turn, '--- chunk ' || turn || ' of 9: find ---' || chr(10) ||
+  regexp_replace(regexp_replace(text, '<!--|-->|\\]\\]>', '', 'g'), '(?i)<(/?)(system|query|content|instructions|response)>', '[\\1\\2]', 'g') || chr(10) || '--- end of chunk ---' AS prompt FROM conversations""")
+def sequential_prompt(spark, sf_dir):
+    made = analyse.sequential_prompt(F.col("text"), "find", F.col("turn"), F.lit(9))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", made.alias("prompt"))
+
+
+@query(f"""WITH {FILES}, t AS (SELECT path, list_distinct({WORDS.format('text')}) AS w, n_chars FROM files), q AS (SELECT list_distinct({WORDS.format("'the of and in a license'")}) AS q)
+  SELECT path, round(len(list_intersect(w, q)) / (len(w) + len(q) - len(list_intersect(w, q))), 6) AS jaccard, n_chars <= 46 AND n_chars >= 11.5 AND len(list_intersect(w, q)) > 0 AS alike FROM t, q""")
+def can_be_similar(spark, sf_dir):
+    """Each text beside a query's words."""
+    words = F.lit("the of and in a license")
+    return files(spark, sf_dir).select("path", F.round(fn.jaccard(F.col("text"), words), 6).alias("jaccard"), fn.can_be_similar(F.col("text"), words).alias("alike"))
+
+
+@query("SELECT session_id, CAST(sum(CASE WHEN regexp_full_match(session_id, '[a-zA-Z0-9_-]+') THEN 1 ELSE 0 END) AS BIGINT) AS valid, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN event_id % 3 = 0 THEN '../' ELSE 's-' END || event_type AS session_id FROM events) GROUP BY 1")
+def validate_session_hash(spark, sf_dir):
+    name = F.concat(F.when(F.col("event_id") % 3 == 0, "../").otherwise("s-"), "event_type")
+    rows = table(spark, sf_dir, "events").select(name.alias("session_id"))
+    return rows.groupBy("session_id").agg(F.count_if(fn.valid_session(F.col("session_id"))).alias("valid"), F.count("*").alias("n"))

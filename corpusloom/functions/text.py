@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import re
+from difflib import SequenceMatcher
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corpusloom import model
 from corpusloom.errors import CorpusError
 
+#: A finding that starts with this asks for a check.
+VERIFY = "NEEDS_VERIFICATION"
+
 
 def peek(text: Column, start: int = 0, end: int | None = None) -> Column:
     """Characters start (from 0) up to end, at most 50,000."""
@@ -157,6 +163,49 @@ def confidence_score(c: Column) -> Column:
     return F.when(F.lower(c) == "high", 3).when(F.lower(c) == "medium", 2).otherwise(1)
 
 
+def needs_verification(point: Column) -> Column:
+    """Whether a finding asks to be checked."""
+    return F.coalesce(point.startswith(VERIFY), F.lit(False))
+
+
+def without_flag(point: Column) -> Column:
+    """The finding's text without the request to check it."""
+    return F.regexp_replace(point, f"^{VERIFY}:?[ ]*", "")
+
+
+def can_be_similar(a: Column, b: Column, ratio: float = 0.5) -> Column:
+    """Lengths within ``ratio`` of each other and a word in common."""
+    short, long = F.least(F.length(a), F.length(b)), F.greatest(F.length(a), F.length(b))
+    return (short >= long * ratio) & F.arrays_overlap(tokens(a), tokens(b))
+
+
+def jaccard(a: Column, b: Column) -> Column:
+    """Shared words over all words; 0 if neither text has a word."""
+    both = F.size(F.array_intersect(tokens(a), tokens(b)))
+    every = F.size(F.array_union(tokens(a), tokens(b)))
+    return F.when(every > 0, both / every).otherwise(F.lit(0.0))
+
+
+@F.pandas_udf(T.DoubleType())
+def similarity_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Characters in matching blocks, twice, over all characters; the smaller text first, so that order has no effect."""
+    return pd.Series([SequenceMatcher(None, *sorted((x or "", y or "")), autojunk=False).ratio() for x, y in zip(a, b)], dtype="float64")
+
+
+def chunking_timeout(n_bytes: Column) -> Column:
+    """Seconds to allow for cutting a file: two a megabyte, from 30 to 120."""
+    return F.greatest(F.lit(30.0), F.least(n_bytes / (1 << 20) * 2, F.lit(120.0)))
+
+
+def content_hash(text: Column, algorithm: str = "sha256") -> Column:
+    """Hex digest of a text: sha256, or xxh64 (seed 42)."""
+    if algorithm == "xxh64":
+        return F.lower(F.lpad(F.hex(F.xxhash64(text)), 16, "0"))
+    if algorithm != "sha256":
+        raise CorpusError("E401", f"{algorithm} is not sha256 or xxh64", what="algorithm")
+    return F.sha2(text, 256)
+
+
 def sanitize_xml(text: Column) -> Column:
     """Comment and CDATA ends and the prompt's own tags lose their angle brackets."""
     out = F.regexp_replace(text, "<!--|-->|\\]\\]>", "")

@@ -61,6 +61,10 @@ PRUNED_DIRECTORIES = (
     ".pytest_cache", ".tox", ".cache", "coverage",
 )
 
+IGNORED_GLOBS = (
+    "*.pyc", "*.pyo", "*.log", "*.tmp", "*.swp", "*.lock", "*.min.js", "*.map", ".env", ".env.*", "*.pem", "*.key", "*.p12", ".DS_Store", "*.egg-info", "*.class",
+)
+
 
 @dataclass(frozen=True)
 class Config:

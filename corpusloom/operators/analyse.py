@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom import model
 from corpusloom.functions.text import sanitize_xml
+from corpusloom.plans.running import running_sum
 
 
 @dataclass(frozen=True)
@@ -77,3 +80,96 @@ def prompt(content: Column, query: str, no: Column, of: Column, agent: str = "ge
     """The text an analyser is given for one chunk; the content can't close the prompt's sections."""
     head = f"<system>{FOCUS[agent]}</system>\n<query>{query}</query>\n<position>"
     return F.concat(F.lit(head), no.cast("string"), F.lit(" of "), of.cast("string"), F.lit("</position>\n<content>"), sanitize_xml(content), F.lit("</content>"))
+
+
+def sequential_prompt(content: Column, query: str, no: Column, of: Column) -> Column:
+    """The short form of the prompt, with the chunk between two boundaries."""
+    head = F.concat(F.lit("--- chunk "), no.cast("string"), F.lit(" of "), of.cast("string"), F.lit(f": {query} ---\n"))
+    return F.concat(head, sanitize_xml(content), F.lit("\n--- end of chunk ---"))
+
+
+def agent_types(spark: SparkSession) -> DataFrame:
+    """(agent_type, instructions)."""
+    return spark.createDataFrame(list(FOCUS.items()), "agent_type string, instructions string")
+
+
+def numbered_batches(chunks: DataFrame, order: list[Column], size: int = 5) -> DataFrame:
+    """``chunks`` with their place ``no`` from 1 and the ``batch`` they fall into."""
+    numbered = running_sum(chunks, F.lit(1), order, "no")
+    return numbered.withColumn("batch", (F.floor((F.col("no") - 1) / size) + 1).cast("long"))
+
+
+def page(chunks: DataFrame, order: list[Column], batch: int, limit: int = 5) -> DataFrame:
+    """The chunks of one batch, counted from 1."""
+    return chunks.orderBy(*order).offset((batch - 1) * limit).limit(limit)
+
+
+def map_instructions(chunks: DataFrame, query: str, batch: int = 1, limit: int = 5, failed_only: bool = False, agent: str = "general") -> DataFrame:
+    """(chunk_id, prompt) for a page of pending chunks (chunk_id, no, content, status), or of failed ones."""
+    wanted = chunks.where(F.col("status") == ("failed" if failed_only else "pending"))
+    shown = page(wanted, [F.col("no")], batch, limit)
+    return shown.select("chunk_id", prompt(F.col("content"), query, F.col("no"), F.lit(chunks.count()), agent).alias("prompt"))
+
+
+def run_map(chunks: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "content") -> DataFrame:
+    """(chunk_id, status, findings): every chunk's result in one pass; a chunk without text fails."""
+
+    def pack(r: Rule) -> Column:
+        found = lambda e: F.struct(F.lit(r.name).alias("rule"), F.lit(r.point).alias("point"), e.alias("evidence"), F.lit(r.confidence).alias("confidence"))
+        return F.transform(F.regexp_extract_all(text, F.lit(r.pattern), 0), found)
+
+    status = F.when(F.col(text).isNull(), "failed").otherwise("success")
+    return chunks.select("chunk_id", status.alias("status"), F.concat(*map(pack, rules)).alias("findings"))
+
+
+OPENS = re.compile(r"(?<![A-Za-z0-9_])(FINAL_VAR|FINAL|NEEDS_MORE|UNABLE)\(")
+
+
+def scan_markers(text: str) -> list[tuple[str, str, int]]:
+    """(type, content, offset) of every marker; parentheses nest, but not inside double quotes. One never closed is none."""
+    out, at = [], 0
+    while m := OPENS.search(text, at):
+        depth, quoted, i = 1, False, m.end()
+        while i < len(text) and depth:
+            c = text[i]
+            if c == "\\" and quoted:
+                i += 1
+            elif c == '"':
+                quoted = not quoted
+            elif not quoted:
+                depth += (c == "(") - (c == ")")
+            i += 1
+        if depth:
+            at = m.end()
+            continue
+        out.append((m[1], text[m.end() : i - 1].strip(), m.start()))
+        at = i
+    return out
+
+
+MARKERS_FOUND = T.ArrayType(T.StructType([T.StructField("marker_type", T.StringType()), T.StructField("content", T.StringType()), T.StructField("offset", T.IntegerType())]))
+
+
+@F.pandas_udf(MARKERS_FOUND)
+def nested_markers(texts: pd.Series) -> pd.Series:
+    """Markers whose content may hold parentheses and JSON."""
+    return texts.map(lambda t: [dict(zip(("marker_type", "content", "offset"), m)) for m in scan_markers(t or "")])
+
+
+def final_answer(text: Column, values: Column) -> Column:
+    """struct<kind, value> of the first FINAL or FINAL_VAR; a variable is looked up in the map ``values``.
+
+    Kinds: final, final_var, final_var_error (no such variable), none.
+    """
+    ends = F.filter(nested_markers(text), lambda m: m["marker_type"].isin("FINAL", "FINAL_VAR"))
+
+    def answer(m: Column) -> Column:
+        name = F.regexp_replace(m["content"], "^[\"']|[\"']$", "")
+        held = F.try_element_at(values, name)
+        plain = F.struct(F.lit("final").alias("kind"), m["content"].alias("value"))
+        known = F.struct(F.lit("final_var").alias("kind"), held.alias("value"))
+        lost = F.struct(F.lit("final_var_error").alias("kind"), F.concat(F.lit("no variable "), name).alias("value"))
+        return F.when(m["marker_type"] == "FINAL", plain).when(held.isNotNull(), known).otherwise(lost)
+
+    none = F.struct(F.lit("none").alias("kind"), F.lit(None).cast("string").alias("value"))
+    return F.coalesce(F.try_element_at(F.transform(ends, answer), F.lit(1)), none)

@@ -6,6 +6,7 @@ import ast
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -66,6 +67,28 @@ def chunk_lines(files: DataFrame, size: int) -> DataFrame:
     return rows.groupBy("path", "no").agg(F.count("*").alias("n_lines"), F.sum("n").cast("long").alias("n_chars"))
 
 
+def line_chunks(text: str, size: int, overlap_lines: int) -> list[tuple[int, int, str]]:
+    """(first line, last line, content): lines dealt by the characters before them, each chunk led by the lines before it."""
+    lines = text.split("\n")
+    before = np.cumsum([0, *(len(line) + 1 for line in lines[:-1])])
+    starts = np.flatnonzero(np.diff(before // size, prepend=-1))
+    ends = [*starts[1:].tolist(), len(lines)]
+    first = [max(a - overlap_lines, 0) for a in starts.tolist()]
+    return [(a + 1, b, "\n".join(lines[a:b])) for a, b in zip(first, ends)]
+
+
+def chunk_lines_overlapping(files: DataFrame, size: int = model.DEFAULT_CHUNK_SIZE, overlap_lines: int = 5) -> DataFrame:
+    """(path, no, start_line, end_line, content, is_fallback): whole lines, for files that have no scopes."""
+    smaller_batches(files.sparkSession)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(p, k, *c, True) for p, t in zip(pdf["path"], pdf["text"]) for k, c in enumerate(line_chunks(t or "", size, overlap_lines))]
+            yield pd.DataFrame(rows, columns=["path", "no", "start_line", "end_line", "content", "is_fallback"])
+
+    return files.select("path", "text").mapInPandas(cut, "path string, no long, start_line long, end_line long, content string, is_fallback boolean")
+
+
 SCOPE = {
     "javascript": re.compile(r"^(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:function|class)\b", re.M),
     "typescript": re.compile(r"^(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:function|class|interface|enum|type|namespace)\b", re.M),

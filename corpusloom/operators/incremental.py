@@ -4,6 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+from corpusloom.plans.staging import stage
 
 
 def manifest(files: DataFrame) -> DataFrame:
@@ -36,3 +39,32 @@ def to_analyse(files: DataFrame, delta: DataFrame) -> DataFrame:
     """Files that are new or changed."""
     fresh = delta.where("change <> 'deleted'")
     return files.join(fresh, files.path == fresh.file_path, "left_semi")
+
+
+def chunks_for_file(chunk_map: DataFrame, path: str) -> DataFrame:
+    """The chunks of one file, in order."""
+    return chunk_map.where(F.col("path") == path).orderBy("start")
+
+
+def watch_files(spark: SparkSession, folder: str, schema: str, manifest_path: str, name: str) -> StreamingQuery:
+    """Follow a folder of Parquet tables of files: each batch's new or changed files go to the table ``name``'s folder beside the manifest.
+
+    The manifest is appended to; the last entry of a path counts. A repeated batch
+    finds its own entries and gives nothing twice.
+    """
+
+    def step(batch: DataFrame, no: int) -> None:
+        now = batch.sparkSession
+        fresh = stage(batch.dropDuplicates(["path"]), "arrivals")
+        seen = load_manifest(now, manifest_path)
+        mine = manifest(fresh).withColumn("batch", F.lit(no))
+        if seen is None:
+            changed = fresh
+        else:
+            last = seen.where(F.col("batch") < no).groupBy("file_path").agg(F.max_by("hash", "batch").alias("hash"))
+            same = last.join(mine.select("file_path", "hash"), ["file_path", "hash"], "left_semi").select(F.col("file_path").alias("path"))
+            changed = fresh.join(same, "path", "left_anti")
+        changed.write.mode("overwrite").parquet(f"{manifest_path}-{name}/batch={no}")
+        mine.write.mode("append").parquet(manifest_path)
+
+    return spark.readStream.schema(schema).parquet(folder).writeStream.foreachBatch(step).trigger(availableNow=True).option("checkpointLocation", f"{manifest_path}-{name}-log").start()

@@ -5,11 +5,15 @@ from __future__ import annotations
 import secrets
 import time
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.errors import CorpusError
 from corpusloom.model import PHASES, Config
+from corpusloom.plans.running import running_sum
+
+LOG = "session_id string, query string, phase string, config string, final_answer string, at timestamp"
+NOTES = "note string, at timestamp"
 
 
 def new_session_id(prefix: str = "session") -> str:
@@ -50,10 +54,18 @@ def batches(attempts: DataFrame, size: int = 5) -> DataFrame:
 
 
 def fall_back(batch_rates: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Batches that follow two in a row with over half failed; from there on work is sequential."""
-    w = Window.partitionBy(*keys or [F.lit(1)]).orderBy("batch")
-    bad = lambda k: F.coalesce(F.lag("rate", k).over(w) > 0.5, F.lit(False))
-    return batch_rates.withColumn("fall_back", bad(1) & bad(2))
+    """Batches that follow two in a row with over half failed; from there on work is sequential.
+
+    Batches are numbered without gaps: each gives its state to the two after it, so
+    that no series is gathered in one task.
+    """
+    keys = keys or []
+    rest = [c for c in batch_rates.columns if c not in (*keys, "batch")]
+    ahead = batch_rates.withColumn("__k", F.explode(F.array(*map(F.lit, (0, 1, 2)))))
+    bad = lambda k: F.coalesce(F.bool_or((F.col("__k") == k) & (F.col("rate") > 0.5)), F.lit(False))
+    own = F.max(F.when(F.col("__k") == 0, F.struct(*rest))).alias("__own")
+    out = ahead.groupBy(*keys, (F.col("batch") + F.col("__k")).alias("batch")).agg(own, (bad(1) & bad(2)).alias("fall_back"))
+    return out.where("__own is not null").select(*keys, "batch", *[F.col(f"__own.{c}").alias(c) for c in rest], "fall_back")
 
 
 def should_escalate(failure: Column, attempt: Column) -> Column:
@@ -66,12 +78,18 @@ def within_budget(wanted: DataFrame, total: int, ratio: float = 0.15, cost: floa
     return wanted.orderBy("no").limit(most)
 
 
+def escalate(failures: DataFrame, total: int, **caps: float) -> DataFrame:
+    """``failures`` (no, failure, attempt, ...) that go to the stronger analyser, within the budget, with ``tier``."""
+    wanted = failures.where(should_escalate(F.col("failure"), F.col("attempt")))
+    return within_budget(wanted, total, **caps).withColumn("tier", F.lit("stronger"))
+
+
 def to_delete(sessions: DataFrame, now: Column, days: int = 7, most_bytes: int = 1 << 30) -> DataFrame:
     """(session_id, size, reason): too old, then the least recent beyond ``most_bytes``."""
+    rows = sessions.select("session_id", "size", "mtime")
     old = F.col("mtime") < now - F.expr(f"interval {days} days")
-    newest_first = Window.orderBy(F.desc("mtime"), "session_id").rowsBetween(Window.unboundedPreceding, 0)
-    young = sessions.where(~old).withColumn("kept", F.sum("size").over(newest_first)).where(F.col("kept") > most_bytes)
-    return sessions.where(old).select("session_id", "size", F.lit("age").alias("reason")).unionByName(young.select("session_id", "size", F.lit("space").alias("reason")))
+    young = running_sum(rows.where(~old), F.col("size"), [F.desc("mtime"), F.col("session_id")], "kept").where(F.col("kept") > most_bytes)
+    return rows.where(old).select("session_id", "size", F.lit("age").alias("reason")).unionByName(young.select("session_id", "size", F.lit("space").alias("reason")))
 
 
 class Session:
@@ -90,29 +108,108 @@ class Session:
         s = cls(spark, root, session_id or new_session_id())
         if s.exists() and not force:
             raise CorpusError("E201", "the session exists; force replaces it", what=s.session_id)
-        row = (s.session_id, query, PHASES[0], str(config or Config()))
-        spark.createDataFrame([row], "session_id string, query string, phase string, config string").withColumn("at", F.current_timestamp()).write.mode("overwrite").parquet(f"{s.path}/log")
+        row = (s.session_id, query, PHASES[0], str(config or Config()), None, None)
+        spark.createDataFrame([row], LOG).withColumn("at", F.current_timestamp()).write.mode("overwrite").parquet(f"{s.path}/log")
         return s
 
-    def exists(self) -> bool:
-        jpath = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/log")
+    @classmethod
+    def resume(cls, spark: SparkSession, root: str, session_id: str | None = None) -> Session:
+        """The named session, or the one last changed."""
+        if session_id is None:
+            newest = cls.every(spark, root).orderBy(F.desc("at"), "session_id").first()
+            if newest is None:
+                raise CorpusError("E306", "there is no session to resume", what=root)
+            session_id = newest["session_id"]
+        s = cls(spark, root, session_id)
+        if not s.exists():
+            raise CorpusError("E306", "no such session", what=session_id)
+        return s
+
+    @classmethod
+    def every(cls, spark: SparkSession, root: str) -> DataFrame:
+        """(session_id, query, phase, final_answer, at): the last state of every session below ``root``."""
+        logs = f"{root.rstrip('/')}/*/log"
+        jpath = spark._jvm.org.apache.hadoop.fs.Path(logs)
+        if not jpath.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(jpath):
+            return spark.createDataFrame([], LOG).drop("config")
+        return latest(spark.read.schema(LOG).parquet(logs), "session_id", ("at",)).select("session_id", "query", "phase", "final_answer", "at")
+
+    def _there(self, what: str) -> bool:
+        jpath = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{what}")
         return jpath.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(jpath)
 
+    def exists(self) -> bool:
+        return self._there("log")
+
     def log(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/log")
+        return self.spark.read.schema(LOG).parquet(f"{self.path}/log")
 
     def phase(self) -> str:
         return self.log().orderBy(F.desc("at")).first()["phase"]
 
+    def _append(self, **changed: str) -> None:
+        last = self.log().orderBy(F.desc("at")).limit(1)
+        for name, value in changed.items():
+            last = last.withColumn(name, F.lit(value).cast("string"))
+        last.withColumn("at", F.current_timestamp()).write.mode("append").parquet(f"{self.path}/log")
+
     def set_phase(self, phase: str) -> None:
         if phase not in PHASES:
             raise CorpusError("E401", f"{phase} is no phase", what="phase")
-        last = self.log().orderBy(F.desc("at")).limit(1)
-        last.withColumn("phase", F.lit(phase)).withColumn("at", F.current_timestamp()).write.mode("append").parquet(f"{self.path}/log")
+        self._append(phase=phase)
+
+    def set_final_answer(self, answer: str) -> None:
+        """Keep the answer; the session is completed."""
+        self._append(final_answer=answer, phase="completed")
+
+    def final_answer(self) -> str | None:
+        return self.log().orderBy(F.desc("at")).first()["final_answer"]
 
     def add_results(self, results: DataFrame) -> None:
+        missing = {"chunk_id", "status", "processed_at"} - set(results.columns)
+        if missing:
+            raise CorpusError("E204", f"results lack {sorted(missing)}", what="results")
         results.write.mode("append").parquet(f"{self.path}/results")
 
     def results(self) -> DataFrame:
         """The latest result of every chunk."""
         return latest(self.spark.read.parquet(f"{self.path}/results"))
+
+    def add_note(self, note: str) -> None:
+        row = self.spark.createDataFrame([(note,)], "note string").withColumn("at", F.current_timestamp())
+        row.write.mode("append").parquet(f"{self.path}/notes")
+
+    def notes(self) -> DataFrame:
+        """(note, at)."""
+        if not self._there("notes"):
+            return self.spark.createDataFrame([], NOTES)
+        return self.spark.read.schema(NOTES).parquet(f"{self.path}/notes")
+
+    def clear_notes(self) -> None:
+        self.spark.createDataFrame([], NOTES).write.mode("overwrite").parquet(f"{self.path}/notes")
+
+    def status(self, chunks: DataFrame) -> DataFrame:
+        """(total, processed, failed, percent) of the session's chunks."""
+        return status(chunks, self.results() if self._there("results") else chunks.select("chunk_id", F.lit("pending").alias("status")).limit(0))
+
+    def checkpoint(self, chunks: DataFrame) -> DataFrame:
+        """Chunks with the status that their results give them; what is pending is run on resuming."""
+        return restored(chunks, self.results()) if self._there("results") else chunks.withColumn("status", F.lit("pending"))
+
+    def reset(self) -> None:
+        """Back to the first phase, without results or notes; the query stays."""
+        self._drop("results")
+        self._drop("notes")
+        self._append(phase=PHASES[0], final_answer=None)
+
+    def clean(self) -> None:
+        """Remove the session's tables."""
+        self._drop("")
+
+    def abort(self) -> None:
+        """Cancel what the session's jobs are running; written batches stay."""
+        self.spark.sparkContext.cancelJobGroup(self.session_id)
+
+    def _drop(self, what: str) -> None:
+        jpath = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{what}" if what else self.path)
+        jpath.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(jpath, True)

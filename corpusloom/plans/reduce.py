@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import block_tokens, confidence_score, negation, normalize_path, tokens
+from corpusloom.functions.text import block_tokens, confidence_score, needs_verification, negation, normalize_path, relevance, similarity_ratio, tokens, without_flag
 from corpusloom.plans.components import star_components
 from corpusloom.plans.staging import stage
 
@@ -15,11 +17,11 @@ def exact_groups(rows: DataFrame, key: list[str], id_col: str) -> DataFrame:
     return rows.groupBy(*key).agg(F.min(id_col).alias(id_col), F.count("*").alias("n"))
 
 
-def token_classes(rows: DataFrame, id_col: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """(classes, members): texts with one token set and one start are one class, named by its smallest id."""
-    known = rows.select(F.col(id_col).alias("id"), tokens(F.col(text)).alias("t"), block_tokens(F.col(text)).alias("b"), F.length(text).alias("len"))
-    known = known.withColumn("key", F.sha2(F.concat_ws(" ", F.array_sort("t"), F.lit("|"), F.array_sort("b"), F.col("len").cast("string")), 256))
-    known = stage(known, "token-sets")
+def token_classes(rows: DataFrame, id_col: str, text: str, exact: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(classes, members): texts with one token set and one start (``exact``: equal texts) are one class, named by its smallest id."""
+    known = rows.select(F.col(id_col).alias("id"), tokens(F.col(text)).alias("t"), block_tokens(F.col(text)).alias("b"), F.length(text).alias("len"), F.col(text).alias("text"))
+    same = F.coalesce("text", F.lit("")) if exact else F.concat_ws(" ", F.array_sort("t"), F.lit("|"), F.array_sort("b"), F.col("len").cast("string"))
+    known = stage(known.withColumn("key", F.sha2(same, 256)).drop("text"), "token-sets")
     classes = known.groupBy("key").agg(F.min("id").alias("class_id"), F.first("t").alias("t"), F.first("b").alias("b"), F.first("len").alias("len"))
     classes = stage(classes, "token-classes")
     return classes, known.join(classes.select("key", "class_id"), "key").select(F.col("id").alias(id_col), "class_id")
@@ -84,10 +86,76 @@ def contradictions(findings: DataFrame, least: float = 0.4) -> DataFrame:
     return joined.withColumn("similarity", shared / (F.size("ta") + F.size("tb") - shared)).where(F.col("similarity") >= least).select("a", "b", "similarity")
 
 
+def ghosts(findings: DataFrame, deleted: DataFrame) -> DataFrame:
+    """(ghost, path): the findings, as hashes of their rows, that name a deleted file.
+
+    A file is named by ``file``, or as a word of ``chunk_id`` or ``evidence`` where
+    there are such columns. Words are compared whole, so this is an equi-join and
+    no finding meets every deleted path.
+    """
+    gone = deleted.select(normalize_path(F.col("file_path")).alias("path")).distinct()
+    named = [F.array(normalize_path(F.col("file")))]
+    named += [F.regexp_extract_all(normalize_path(F.coalesce(c, F.lit(""))), F.lit(r"[^\s\"'`()<>,;:|]*[^\s\"'`()<>,;:|.!?]"), 0) for c in ("chunk_id", "evidence") if c in findings.columns]
+    return findings.select(row_hash(findings).alias("ghost"), F.explode(F.array_distinct(F.concat(*named))).alias("path")).join(gone, "path", "left_semi").select("ghost", "path")
+
+
+def row_hash(rows: DataFrame) -> Column:
+    """A digest of all columns; equal rows share it, and share every verdict over their columns."""
+    return F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns])), 256)
+
+
 def without_deleted(findings: DataFrame, deleted: DataFrame) -> DataFrame:
-    """Findings of files that are still there."""
-    gone = deleted.select(normalize_path(F.col("file_path")).alias("__gone")).distinct()
-    return findings.join(gone, normalize_path(F.col("file")) == F.col("__gone"), "left_anti")
+    """Findings that name no deleted file."""
+    gone = ghosts(findings, deleted).select("ghost").distinct()
+    return findings.withColumn("ghost", row_hash(findings)).join(gone, "ghost", "left_anti").drop("ghost")
+
+
+@dataclass(frozen=True)
+class Reduced:
+    """``findings`` (group_id, finding_id, point, confidence, verify, relevance, n_findings, n_files), ``opposed`` (a, b, similarity), ``counts`` (one row)."""
+
+    findings: DataFrame
+    opposed: DataFrame
+    counts: DataFrame
+
+
+def aggregate_findings(findings: DataFrame, query: str, deleted: DataFrame | None = None, least: float = 0.7, opposed: float = 0.8) -> Reduced:
+    """The whole reduce of (finding_id, point, confidence, file, ...): ghosts go, near-duplicates merge, contradictions are named, all is counted."""
+    total = findings.count()
+    kept = stage(findings if deleted is None else without_deleted(findings, deleted), "kept")
+    kept = kept.withColumn("verify", needs_verification(F.col("point"))).withColumn("point", without_flag(F.col("point")))
+    groups = stage(near_groups(kept, "finding_id", "point", least), "groups")
+    lead = merged(kept, groups, "finding_id")
+    flags = kept.join(groups.select("finding_id", "group_id"), "finding_id").groupBy("group_id").agg(F.bool_or("verify").alias("verify"))
+    points = kept.select("finding_id", "point", relevance(F.col("point"), query).alias("relevance"))
+    out = stage(lead.join(points, "finding_id").join(flags, "group_id").select("group_id", "finding_id", "point", "confidence", "verify", "relevance", "n_findings", "n_files"), "merged")
+    pairs = stage(contradictions(out.select("finding_id", "point"), opposed), "opposed")
+    counts = out.agg(F.coalesce(F.sum("n_findings"), F.lit(0)).alias("total_findings"), F.count("*").alias("unique_findings"), F.count_if("verify").alias("verification_required"))
+    ratio = F.round(dedup_ratio(F.col("total_findings"), F.col("unique_findings")), 6)
+    counts = counts.withColumn("deduplication_ratio", ratio).withColumn("filtered_deleted", F.lit(total) - F.col("total_findings"))
+    return Reduced(out, pairs, counts.withColumn("contradictions", F.lit(pairs.count()).cast("long")))
+
+
+def summary(reduced: DataFrame, most: int = 10) -> DataFrame:
+    """(place, line): the surest and most relevant merged findings, one line each."""
+    best = reduced.orderBy(F.desc(confidence_score(F.col("confidence"))), F.desc("relevance"), "finding_id").limit(most)
+    place = F.row_number().over(Window.orderBy(F.desc(confidence_score(F.col("confidence"))), F.desc("relevance"), "finding_id"))
+    check = F.when(F.col("verify"), " (to verify)").otherwise("")
+    return best.select(place.cast("long").alias("place"), F.concat(F.lit("["), F.upper("confidence"), F.lit("] "), "point", check).alias("line"))
+
+
+def similar_by_ratio(rows: DataFrame, id_col: str, text: str, least: float = 0.7) -> DataFrame:
+    """(a, b, ratio) of classes of texts alike in words as well as in their characters' order.
+
+    Candidates are the pairs of ``similar_classes``; their texts are compared
+    character by character in tasks that hold a batch of pairs.
+    """
+    classes, _ = token_classes(rows, id_col, text, exact=True)
+    pairs = similar_classes(classes, least).select("a", "b")
+    left = rows.select(F.col(id_col).alias("a"), F.col(text).alias("ta"))
+    right = rows.select(F.col(id_col).alias("b"), F.col(text).alias("tb"))
+    rated = pairs.join(left, "a").join(right, "b").select("a", "b", similarity_ratio("ta", "tb").alias("ratio"))
+    return rated.where(F.col("ratio") >= least)
 
 
 def dedup_ratio(total: Column, unique: Column) -> Column:

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pathlib import PurePosixPath
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom import model
 from corpusloom.errors import CorpusError
 from corpusloom.functions.text import extension, format_size, glob_to_regex
+from corpusloom.plans.running import running_sum
 
 #: Endings dealt to documents by id, so that tables of documents can stand for trees of files.
 ENDINGS = (".py", ".md", ".json", ".txt", ".html", ".xml", ".csv", ".js")
@@ -48,8 +49,10 @@ def scan_targeted(files: DataFrame, targets: list[str]) -> DataFrame:
     return files.where(cond)
 
 
-def load_file(files: DataFrame, path: str) -> DataFrame:
-    return files.where(F.col("path") == path)
+def load_file(files: DataFrame, path: str, most_bytes: int = model.FILE_BYTES) -> DataFrame:
+    """The row of one file, if its text isn't larger than ``most_bytes``; a path that leaves the root raises."""
+    contained("", path)
+    return files.where((F.col("path") == path) & (F.octet_length("text") <= most_bytes))
 
 
 def _relative(path: Column, root: str) -> Column:
@@ -125,19 +128,30 @@ def tree_view(files: DataFrame, depth: int = 3, most: int = model.TREE_ENTRIES,
     return "\n".join([*lines, f"{n} files, {len(shown) - n} directories" + (", truncated" if len(shown) == most else "")])
 
 
-def with_headers(files: DataFrame) -> DataFrame:
-    """Files with ``entry`` (header, text, footer), its length and the offset it has among all entries by path.
+def preview_dir(files: DataFrame, below: str, depth: int = 2, most: int = 30) -> str:
+    """The listing of one directory, ``depth`` levels deep."""
+    contained("", below)
+    prefix = below.strip("/") + "/"
+    inside = files.where(F.col("path").startswith(prefix)).withColumn("path", F.substring("path", len(prefix) + 1, 1 << 30))
+    return tree_view(inside, depth, most)
+
+
+def should_ignore(path: Column, globs: tuple[str, ...] = model.IGNORED_GLOBS) -> Column:
+    """Whether a path or one of its components matches an ignore pattern."""
+    return skipped(path, [], list(globs))
 
-    Offsets are summed in two steps, by directory and then within it.
-    """
+
+def with_headers(files: DataFrame) -> DataFrame:
+    """Files with ``entry`` (header, text, footer) and its length ``size``."""
     entry = F.concat(F.lit("=== FILE: "), "path", F.lit(" ===\n"), "text", F.lit("\n"))
-    rows = files.withColumn("entry", entry).withColumn("size", F.length("entry").cast("long")).withColumn("__dir", F.regexp_extract("path", "^([^/]*/?)", 1))
-    per = rows.groupBy("__dir").agg(F.sum("size").alias("__n"))
-    before = Window.orderBy("__dir").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.select("__dir", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__before"))
-    within = Window.partitionBy("__dir").orderBy("path").rowsBetween(Window.unboundedPreceding, 0)
-    joined = rows.join(per, "__dir")
-    return joined.withColumn("start", F.col("__before") + F.sum("size").over(within) - F.col("size")).drop("__dir", "__before")
+    return files.withColumn("entry", entry).withColumn("size", F.length("entry").cast("long"))
+
+
+def entry_offsets(files: DataFrame) -> DataFrame:
+    """(path, size, start): where each entry starts among all entries by directory and path. Texts aren't shuffled."""
+    rows = with_headers(files).select("path", "size", F.regexp_extract("path", "^([^/]*/?)", 1).alias("dir"))
+    order = [F.col("dir"), F.col("path"), F.col("size")]
+    return running_sum(rows, F.col("size"), order, "through").select("path", "size", (F.col("through") - F.col("size")).alias("start"))
 
 
 def context_metadata(files: DataFrame) -> DataFrame:
@@ -160,3 +174,20 @@ def export_results(results: DataFrame, session_id: str, query: str, final_answer
     """JSON lines, one result each, with the session's fields; written in parallel."""
     rows = results.select(F.to_json(F.struct(F.lit(session_id).alias("session_id"), F.lit(query).alias("query"), F.lit(final_answer).alias("final_answer"), F.struct("*").alias("result"))).alias("value"))
     rows.write.text(out)
+
+
+def export_document(results: DataFrame, notes: DataFrame, session_id: str, query: str, final_answer: str | None, most: int = 10_000) -> DataFrame:
+    """One row: a JSON document of the session, its results and notes. Larger sessions are refused; ``export_results`` takes them."""
+    if results.limit(most + 1).count() > most:
+        raise CorpusError("E304", f"more than {most} results; export them as lines", what=session_id)
+    noted = F.struct("at", "note")
+    rows = results.select(F.struct("*").alias("r")).unionByName(notes.orderBy("at").limit(most).select(noted.alias("n")), allowMissingColumns=True)
+    buffers = F.transform(F.sort_array(F.collect_list("n")), lambda n: n["note"])
+    both = rows.agg(F.sort_array(F.collect_list("r")).alias("results"), buffers.alias("buffers"))
+    document = F.struct(F.lit(session_id).alias("session_id"), F.lit(query).alias("query"), "results", "buffers", F.lit(final_answer).alias("final_answer"))
+    return both.select(F.to_json(document).alias("value"))
+
+
+def emit(events: DataFrame, folder: str) -> None:
+    """Append events (ts, event, chunk_id, batch, data) to the progress log, a folder of JSON lines."""
+    events.write.mode("append").json(folder)

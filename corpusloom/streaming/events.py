@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 PROGRESS = "ts timestamp, event string, chunk_id string, batch long, data string"
 
@@ -51,3 +55,36 @@ def without_repeats(events: DataFrame, key: str = "event_id", late: str = "10 mi
     if events.isStreaming:
         return _marked(events, late).dropDuplicatesWithinWatermark([key])
     return events.dropDuplicates([key])
+
+
+def upsert_results(results: DataFrame, path: str, log: str) -> StreamingQuery:
+    """Append a stream of results (chunk_id, status, processed_at) to a table, a folder for each batch: the session's checkpoint.
+
+    A batch that is run again replaces its own folder, so that a lost driver or
+    executor leaves no result twice; ``sessions.latest`` reads one row per chunk.
+    """
+
+    def save(batch: DataFrame, no: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={no}")
+
+    return results.writeStream.foreachBatch(save).option("checkpointLocation", log).trigger(availableNow=True).start()
+
+
+def failure_runs(attempts: DataFrame, most: int = 2) -> DataFrame:
+    """(user_id, run, ts): a row whenever a key's failures in a row reach ``most`` or more, kept as state per key.
+
+    ``attempts``: user_id, ts, failed. A success ends the run. Attempts of one batch are taken in order of time.
+    """
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        run = state.get[0] if state.exists else 0
+        rows = []
+        for ts, failed in pd.concat(list(batches)).sort_values("ts")[["ts", "failed"]].itertuples(index=False):
+            run = run + 1 if failed else 0
+            if run >= most:
+                rows.append((key[0], run, ts))
+        state.update((run,))
+        yield pd.DataFrame(rows, columns=["user_id", "run", "ts"]).astype({"user_id": "int64", "run": "int64", "ts": "datetime64[us]"})
+
+    zoned = attempts.withColumn("ts", F.col("ts").cast("timestamp"))
+    return zoned.groupBy("user_id").applyInPandasWithState(step, "user_id long, run long, ts timestamp", "run long", "append", GroupStateTimeout.NoTimeout)
