@@ -12,6 +12,7 @@ from corpusloom.functions import text as fn
 from corpusloom.operators import analyse, chunking, incremental, sessions
 from corpusloom.plans import reduce
 from corpusloom.plans.running import running_sum
+from corpusloom.plans.staging import dealt
 from corpusloom.sources import files as src
 from corpusloom.streaming import events as ev
 
@@ -54,7 +55,7 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {FINDINGS} SELECT rule, confidence, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT evidence) AS BIGINT) AS n_distinct, CAST(count(DISTINCT path) AS BIGINT) AS n_files FROM findings GROUP BY rule, confidence")
 def minimum_slice(spark, sf_dir):
     """Files, rule pack, exact duplicates, counts by rule and confidence."""
-    found = analyse.findings(files(spark, sf_dir))
+    found = analyse.findings(dealt(files(spark, sf_dir)))
     return found.groupBy("rule", "confidence").agg(F.count("*").alias("n"), F.countDistinct("evidence").alias("n_distinct"), F.countDistinct("path").alias("n_files"))
 
 
@@ -248,36 +249,36 @@ def affected_chunks(spark, sf_dir):
 
 @query(f"WITH {_MANIFESTS}, {FINDINGS.removeprefix(FILES + ', ')} SELECT path, rule, evidence FROM findings WHERE path NOT IN (SELECT file_path FROM delta WHERE change = 'deleted')")
 def ghost_cleanup(spark, sf_dir):
-    found = analyse.findings(files(spark, sf_dir)).withColumn("file", F.col("path"))
+    found = analyse.findings(dealt(files(spark, sf_dir))).withColumn("file", F.col("path"))
     return reduce.without_deleted(found, manifest_diff(spark, sf_dir).where("change = 'deleted'")).select("path", "rule", "evidence")
 
 
 @query(f"WITH {FINDINGS} SELECT path, rule, point, evidence, confidence FROM findings")
 def rule_map(spark, sf_dir):
-    return analyse.findings(files(spark, sf_dir))
+    return analyse.findings(dealt(files(spark, sf_dir)))
 
 
 @query(f"WITH {FINDINGS} SELECT confidence, CAST(count(*) AS BIGINT) AS n, CAST(max(CASE confidence WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END) AS INTEGER) AS score FROM findings GROUP BY confidence")
 def findings_by_confidence(spark, sf_dir):
-    return analyse.findings(files(spark, sf_dir)).groupBy("confidence").agg(F.count("*").alias("n"), F.max(fn.confidence_score(F.col("confidence"))).alias("score"))
+    return analyse.findings(dealt(files(spark, sf_dir))).groupBy("confidence").agg(F.count("*").alias("n"), F.max(fn.confidence_score(F.col("confidence"))).alias("score"))
 
 
 @query(f"WITH {FINDINGS} SELECT rule, evidence, CAST(min(doc_id) AS BIGINT) AS doc_id, CAST(count(*) AS BIGINT) AS n FROM findings GROUP BY rule, evidence")
 def exact_dedup(spark, sf_dir):
-    found = analyse.findings(files(spark, sf_dir), by="doc_id")
+    found = analyse.findings(dealt(files(spark, sf_dir)), by="doc_id")
     return reduce.exact_groups(found, ["rule", "evidence"], "doc_id")
 
 
 @query(f"WITH {FINDINGS}, u AS (SELECT count(*) AS n, count(DISTINCT rule || '|' || evidence) AS d FROM findings) SELECT CAST(n AS BIGINT) AS total, CAST(d AS BIGINT) AS \"unique\", round(1 - d / n, 6) AS ratio FROM u")
 def dedup_ratio(spark, sf_dir):
-    rows = analyse.findings(files(spark, sf_dir)).agg(F.count("*").alias("total"), F.countDistinct(F.concat_ws("|", "rule", "evidence")).alias("unique"))
+    rows = analyse.findings(dealt(files(spark, sf_dir))).agg(F.count("*").alias("total"), F.countDistinct(F.concat_ws("|", "rule", "evidence")).alias("unique"))
     return rows.withColumn("ratio", F.round(reduce.dedup_ratio(F.col("total"), F.col("unique")), 6))
 
 
 @query(f"""WITH {FINDINGS} SELECT path, rule, evidence, CAST(CASE confidence WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END AS INTEGER) AS score FROM (SELECT DISTINCT path, rule, evidence, confidence FROM findings)
   ORDER BY score DESC, rule, path, evidence LIMIT 10""")
 def top_findings(spark, sf_dir):
-    rows = analyse.findings(files(spark, sf_dir)).select("path", "rule", "evidence", fn.confidence_score(F.col("confidence")).alias("score")).distinct()
+    rows = analyse.findings(dealt(files(spark, sf_dir))).select("path", "rule", "evidence", fn.confidence_score(F.col("confidence")).alias("score")).distinct()
     return rows.orderBy(F.desc("score"), "rule", "path", "evidence").limit(10)
 
 
@@ -306,7 +307,7 @@ _CLASSES = f"""{_BLOCKS}, k AS (SELECT *, sha256(array_to_string(list_sort(w), '
 @query(f"WITH {_CLASSES} SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, round(s, 6) AS similarity FROM p")
 def near_dup_jaccard(spark, sf_dir):
     """Similar classes of documents: pairs between representatives."""
-    classes, _ = reduce.token_classes(table(spark, sf_dir, "documents"), "doc_id", "text")
+    classes, _ = reduce.token_classes(dealt(table(spark, sf_dir, "documents")), "doc_id", "text")
     return reduce.similar_classes(classes, 0.7).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
@@ -315,7 +316,7 @@ def near_dup_jaccard(spark, sf_dir):
   SELECT k.doc_id, CAST(c.id AS BIGINT) AS class_id, CAST(g.root AS BIGINT) AS group_id, CAST((SELECT count(*) FROM e WHERE e.u = c.id) AS BIGINT) AS n_links
   FROM k JOIN c ON k.key = c.key JOIN (SELECT id, min(root) AS root FROM r GROUP BY id) g ON g.id = c.id""")
 def near_dup_groups(spark, sf_dir):
-    return reduce.near_groups(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return reduce.near_groups(dealt(table(spark, sf_dir, "documents")), "doc_id", "text")
 
 
 _STATEMENTS = """s AS (SELECT doc_id * 2 AS finding_id, 'document ' || doc_id || ' is ' || CASE WHEN toxic = 1 THEN '' ELSE 'not ' END || 'toxic' AS point FROM labels
@@ -513,7 +514,7 @@ def error_codes(spark, sf_dir):
   SELECT n.path, CAST(n.no AS BIGINT) AS no, CAST(n.first AS BIGINT) AS start_line, CAST(n.high AS BIGINT) AS end_line, sha256(string_agg(l.t, chr(10) ORDER BY l.line)) AS hash
   FROM n JOIN l ON l.path = n.path AND l.line BETWEEN n.first AND n.high GROUP BY 1, 2, 3, 4""")
 def fallback_text_chunk(spark, sf_dir):
-    rows = chunking.chunk_lines_overlapping(files(spark, sf_dir), 500, 5)
+    rows = chunking.chunk_lines_overlapping(dealt(files(spark, sf_dir)), 500, 5)
     return rows.select("path", "no", "start_line", "end_line", F.sha2("content", 256).alias("hash"))
 
 
@@ -569,7 +570,7 @@ def verification_counts(spark, sf_dir):
 @query(f"WITH {_MANIFESTS}, {FINDINGS.removeprefix(FILES + ', ')} SELECT path, CAST(count(*) AS BIGINT) AS n FROM findings WHERE path IN (SELECT file_path FROM delta WHERE change = 'deleted') GROUP BY path")
 def filtered_deleted_files(spark, sf_dir):
     """Ghost findings by deleted file."""
-    found = analyse.findings(files(spark, sf_dir)).withColumn("file", F.col("path"))
+    found = analyse.findings(dealt(files(spark, sf_dir))).withColumn("file", F.col("path"))
     deleted = manifest_diff(spark, sf_dir).where("change = 'deleted'")
     gone = reduce.ghosts(found.withColumnRenamed("evidence", "quoted"), deleted).distinct()
     rows = found.withColumnRenamed("evidence", "quoted")
@@ -612,7 +613,7 @@ def format_summary(spark, sf_dir):
 @query(f"""WITH {FINDINGS} SELECT rule, confidence, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT path) AS BIGINT) AS n_files FROM findings GROUP BY ROLLUP (rule, confidence)""")
 def findings_rollup(spark, sf_dir):
     """Findings by rule and confidence with subtotals; beyond the reference."""
-    return analyse.findings(files(spark, sf_dir)).rollup("rule", "confidence").agg(F.count("*").alias("n"), F.countDistinct("path").alias("n_files"))
+    return analyse.findings(dealt(files(spark, sf_dir))).rollup("rule", "confidence").agg(F.count("*").alias("n"), F.countDistinct("path").alias("n_files"))
 
 
 @query(f"""WITH {FILES}, c AS (SELECT path, text, unnest(range(0, n_chars, 1000)) AS start FROM files), n AS (SELECT path, start, row_number() OVER (ORDER BY path, start) AS no FROM c)
@@ -635,7 +636,7 @@ def map_page(spark, sf_dir):
   SELECT {SHA.format("path || '|' || start || '|' || content")} AS chunk_id, 'success' AS status, CAST({" + ".join(f"len(regexp_extract_all(content, '{r.pattern}'))" for r in analyse.RULES)} AS INTEGER) AS n_findings FROM c""")
 def process_map_phase(spark, sf_dir):
     """Every chunk's result of the rule pack."""
-    chunks = chunking.chunk_fixed(files(spark, sf_dir), 1000, 0, strict=False)
+    chunks = chunking.chunk_fixed(dealt(files(spark, sf_dir)), 1000, 0, strict=False)
     return analyse.run_map(chunks).select("chunk_id", "status", F.size("findings").alias("n_findings"))
 
 
@@ -693,7 +694,7 @@ def sequential_prompt(spark, sf_dir):
 def can_be_similar(spark, sf_dir):
     """Each text beside a query's words."""
     words = F.lit("the of and in a license")
-    return files(spark, sf_dir).select("path", F.round(fn.jaccard(F.col("text"), words), 6).alias("jaccard"), fn.can_be_similar(F.col("text"), words).alias("alike"))
+    return dealt(files(spark, sf_dir)).select("path", F.round(fn.jaccard(F.col("text"), words), 6).alias("jaccard"), fn.can_be_similar(F.col("text"), words).alias("alike"))
 
 
 @query("SELECT session_id, CAST(sum(CASE WHEN regexp_full_match(session_id, '[a-zA-Z0-9_-]+') THEN 1 ELSE 0 END) AS BIGINT) AS valid, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN event_id % 3 = 0 THEN '../' ELSE 's-' END || event_type AS session_id FROM events) GROUP BY 1")

@@ -32,18 +32,25 @@ def similar_classes(classes: DataFrame, least: float, length_ratio: float = 0.5)
 
     Candidates share a token of both prefixes: tokens in order of rarity, of which
     a set of n needs n - ceil(least * n) + 1. Common words are in no prefix but of
-    the shortest texts, so a word that all texts share makes no candidates. A pair
-    that passes has its first shared prefix token counted only once. Exact.
+    the shortest texts, so a word that all texts share makes no candidates. A
+    candidate must also be able to share enough words after the place of the shared
+    one, and share a word of the starts, before the sets are fetched. The sets are
+    compared as words. Exact.
     """
-    own = classes.select("class_id", F.size("t").alias("n"), "len", F.explode("t").alias("w"))
+    own = classes.select("class_id", F.size("t").alias("n"), F.explode("t").alias("w"))
     often = own.groupBy("w").agg(F.count("*").alias("df"))
-    ranked = own.join(often, "w").groupBy("class_id", "n", "len").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("s"))
+    ranked = own.join(often, "w").groupBy("class_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("s"))
     prefix = F.slice("s", 1, F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1)
-    pre = stage(ranked.select("class_id", "n", "len", F.explode(prefix).alias("p")).select("class_id", "n", "len", F.xxhash64("p.w").alias("h")), "prefixes")
-    a = pre.select(F.col("class_id").alias("a"), F.col("n").alias("na"), F.col("len").alias("la"), "h")
-    b = pre.select(F.col("class_id").alias("b"), F.col("n").alias("nb"), F.col("len").alias("lb"), "h")
-    near = a.join(b, "h").where("a < b").where((F.least("na", "nb") >= F.greatest("na", "nb") * least) & (F.least("la", "lb") >= F.greatest("la", "lb") * length_ratio))
-    pairs = near.select("a", "b").distinct()
+    starts = classes.select("class_id", "len", F.transform("b", lambda w: F.xxhash64(w)).alias("start"))
+    pre = ranked.select("class_id", "n", F.posexplode(prefix).alias("at", "p")).join(starts, "class_id")
+    pre = stage(pre.select("class_id", "n", "len", "at", F.xxhash64("p.w").alias("h"), "start"), "prefixes")
+    a, b = (pre.select("h", *[F.col(c).alias(f"{c}_{side}") for c in ("class_id", "n", "len", "at", "start")]) for side in "ab")
+    fits = (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * least) & (F.least("len_a", "len_b") >= F.greatest("len_a", "len_b") * length_ratio)
+    # The first word shared by both prefixes has all other shared words after it, in either set.
+    rest = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    enough = rest * (1 + least) + 1e-6 >= (F.col("n_a") + F.col("n_b")) * least
+    near = a.join(b, "h").where("class_id_a < class_id_b").where(fits).groupBy(F.col("class_id_a").alias("a"), F.col("class_id_b").alias("b"))
+    pairs = near.agg(F.bool_or(enough & F.arrays_overlap("start_a", "start_b")).alias("can")).where("can").select("a", "b")
     left = classes.select(F.col("class_id").alias("a"), F.col("t").alias("ta"), F.col("b").alias("ba"))
     right = classes.select(F.col("class_id").alias("b"), F.col("t").alias("tb"), F.col("b").alias("bb"))
     joined = pairs.join(left, "a").join(right, "b").where(F.arrays_overlap("ba", "bb"))

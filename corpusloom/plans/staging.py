@@ -39,6 +39,15 @@ def stage(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """``df`` over as many tasks as there are cores, where a scan of few files would leave cores idle; else as it is.
+
+    For work that costs far more than moving the rows. A table of many splits isn't shuffled.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(2 * cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def smaller_batches(spark: SparkSession, rows: int = 500) -> None:
     """Bound the rows in an Arrow batch, since one row may hold a very long text."""
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
