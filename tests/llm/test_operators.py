@@ -5,6 +5,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -341,6 +342,36 @@ def test_guess_cost():
     assert [s[2] for s in found if s[2] == "guess"] == ["guess"] and found[-1][:2] == (9, 21) or (9, 21, "guess") in found
 
 
+def segment_cost(part):
+    """The cheapest reading of one segment, without looking at its neighbours."""
+    lower, n = part.lower(), len(part)
+    costs = [sum(map(secrets._alphabet, part))]
+    plain = lower.translate(secrets.LEET)
+    if rank := (secrets.RANK.get(lower) or secrets.RANK.get(plain)) if n >= 2 else None:
+        cased = 0 if part == lower else np.log10(2) if part in (part.upper(), part.capitalize()) else n * np.log10(2)
+        costs.append(np.log10(rank + 1) + cased + (0 if lower in secrets.RANK else np.log10(4)))
+    if secrets.DATE.fullmatch(part):
+        costs.append(np.log10(36_500 if n > 4 else 120))
+    if n >= 3 and all(a + b in secrets.NEXT for a, b in zip(lower, lower[1:])):
+        costs.append(np.log10(secrets.KEYS * n))
+    for unit in range(1, 9):
+        if n >= 3 and n % unit == 0 and n > unit and part == part[:unit] * (n // unit):
+            costs.append(sum(map(secrets._alphabet, part[:unit])) + np.log10(n // unit))
+    return min(costs)
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["a", "b", "1", "9", "-", "R", "my", "Is", "p4ss", "abc", "tuv", "qwe", "321", "2019", "05", "xyxy", "777", "test"]), max_size=4))
+def test_guess_cost_is_the_least_of_all_segmentations(parts):
+    value = "".join(parts)[:11]
+    n = len(value)
+    best = min(
+        (sum(segment_cost(value[a:b]) for a, b in zip([0, *cuts], [*cuts, n])) for r in range(n) for cuts in combinations(range(1, n), r)),
+        default=0.0,
+    )
+    assert secrets.guess_cost(value) == pytest.approx(best)
+
+
 def test_added_personal_data():
     kinds = {s[2] for s in pii.find("IBAN: DE89 3704 0044 0532 0130 00; http://bob:pw@ex.com/x; account no. 123456789")}
     assert {"account", "url", "email"} <= kinds
