@@ -239,6 +239,8 @@ def brute_leaks(docs, items):
         a = shingles(t)
         for i, s in items:
             b = shingles(s)
+            if not set(a) & set(b):
+                continue
             for at in range(max(1, len(a) - len(b) + 1)):
                 win = Counter(a[at : at + len(b)])
                 common = sum((win & Counter(b)).values())
