@@ -10,15 +10,17 @@ items are listed under every value within 2 bits of each block. Pairs are then
 verified by the exact weighted (multiset) Jaccard similarity of their shingles,
 0.8 or more.
 
-Which windows. A window that is 0.8 similar to an item shares shingles with it.
-So documents' shingles are matched against the items' shingles, and
-each match names the window in which its place is the item's place. A window
-that no shingle lines up with isn't fingerprinted; it shares no run of five words
-at the item's offset.
+Which windows. All that can be similar enough. A window that is 0.8 similar to an
+item of ``size`` shingles has at least ``similar / (1 + similar)`` of the shingles
+of both in common, so ``similar * size`` at least, and so one of any ``size -
+ceil(similar * size) + 1`` of the item's: the rarest among the items are looked up
+in the documents. Each window is named by the first rare shingle in it; around it
+the places that hold any shingle of the item are counted, and every window with
+enough of them is fingerprinted, whatever their order.
 
 Scale. The one pass over all words is a map with a hash lookup; nothing is
-shuffled before the lookup. The items' shingles are broadcast in blocks of at most
-``BLOCK_ROWS``; a larger benchmark takes several passes. Matched windows are kept by
+shuffled before the lookup. The items' rare shingles are broadcast in blocks of at most
+``BLOCK_ROWS`` with their items; a larger benchmark takes several passes. Windows are kept by
 content, so thousands of copies of a passage are fingerprinted and verified once.
 
 Cases. Null or wordless texts and items: no shingle, no match. Under five words,
@@ -84,16 +86,35 @@ def items(benchmark: DataFrame) -> DataFrame:
     return rows.select("item_id", F.size("h").alias("size"), "h").where("size > 0")
 
 
-def windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, start, size, content, win): windows of item size in which some shingle lines up with an item's.
+def rare_shingles(known: DataFrame, similar: float) -> DataFrame:
+    """(item, size, own, rare): an item's shingles, and those of which each window ``similar`` to it holds one."""
+    whole = known.select(F.xxhash64("h").alias("item"), "size", F.col("h").alias("own")).dropDuplicates(["item"])
+    each = whole.select("item", F.explode("own").alias("s"))
+    often = each.distinct().groupBy("s").agg(F.count("*").alias("n"))
+    ranked = each.join(often, "s").groupBy("item").agg(F.array_sort(F.collect_list(F.struct("n", "s"))).alias("r"))
+    enough = F.ceil(F.col("size") * similar - 1e-9).cast("int")
+    return whole.join(ranked, "item").select("item", "size", "own", F.array_distinct(F.slice("r.s", 1, F.col("size") - enough + 1)).alias("rare"))
 
-    ``wanted`` is (s, place, size) of items' shingles, of bounded size.
+
+def windows(docs: DataFrame, wanted: DataFrame, similar: float) -> DataFrame:
+    """(doc_id, start, size, content, win): all windows of item size that hold enough of an item's shingles.
+
+    ``wanted`` is of ``rare_shingles``, of bounded size.
     """
     rows = docs.select("doc_id", shingles(F.col("text")).alias("h"))
     each = rows.select("doc_id", "h", F.posexplode("h").alias("at", "s"))
-    hits = each.join(F.broadcast(wanted), "s")
-    start = F.greatest(F.lit(0), F.least(F.col("at") - F.col("place"), F.size("h") - F.col("size")))
-    found = hits.select("doc_id", start.alias("start"), "size", F.slice("h", start + 1, F.col("size")).alias("win"))
+    hits = each.join(F.broadcast(wanted.select("item", F.explode("rare").alias("s"))), "s").join(F.broadcast(wanted), "item")
+    low, long = F.greatest(F.lit(0), F.col("at") - F.col("size") + 1), F.least(F.size("h"), F.col("size"))
+    hits = hits.withColumns({"low": low, "long": long, "last": F.least(F.col("at"), F.size("h") - long)})
+    before = F.transform(F.slice("h", F.col("low") + 1, F.col("at") - F.col("low")), lambda x, i: F.when(F.array_contains("rare", x), i + 1))
+    hits = hits.withColumn("first", F.col("low") + F.coalesce(F.array_max(before), F.lit(0))).where("first <= last")
+    held = F.transform(F.slice("h", F.col("first") + 1, F.col("last") + F.col("long") - F.col("first")), lambda x: F.array_contains("own", x).cast("int"))
+    need = F.ceil((F.col("long") + F.col("size")) * (similar / (1 + similar)) - 1e-9)
+    total = lambda flags: F.aggregate(flags, F.lit(0), lambda n, x: n + x)
+    hits = hits.withColumns({"held": held, "need": need}).where(total(F.col("held")) >= F.col("need"))
+    starts = F.filter(F.sequence("first", "last"), lambda w: total(F.slice("held", w - F.col("first") + 1, F.col("long"))) >= F.col("need"))
+    found = hits.select("doc_id", "h", "size", F.explode(starts).alias("start"))
+    found = found.select("doc_id", "start", "size", F.slice("h", F.col("start") + 1, F.col("size")).alias("win"))
     found = found.withColumn("content", F.xxhash64("win", "size"))
     return found.dropDuplicates(["doc_id", "start", "size", "content"])
 
@@ -101,11 +122,11 @@ def windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def leaks(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(doc_id, item_id, similarity, start_word, n_windows): one row per contaminated document and leaked item."""
     known = stage(items(benchmark), "items")
-    placed = known.select("size", F.posexplode("h").alias("place", "s")).distinct()
-    passes = max(1, -(-placed.count() // BLOCK_ROWS))
+    sought = stage(rare_shingles(known, similar), "rare-shingles")
+    passes = max(1, -(-(sought.agg(F.sum(F.size("rare"))).first()[0] or 0) // BLOCK_ROWS))
     found = None
     for k in range(passes):
-        part = windows(docs, placed.where(F.pmod(F.col("s"), F.lit(passes)) == k))
+        part = windows(docs, sought.where(F.pmod(F.col("item"), F.lit(passes)) == k), similar)
         found = part if found is None else found.unionByName(part)
     if passes > 1:
         found = found.dropDuplicates(["doc_id", "start", "size", "content"])

@@ -270,6 +270,22 @@ def test_leaks(spark, docs):
     assert decontam.leaks(rows.where("doc_id < 0"), known).count() == decontam.leaks(rows, known.where("item_id < 0")).count() == 0
 
 
+def test_leaks_with_parts_swapped(spark):
+    """A window similar to an item counts though none of its shingles is at the item's place; so do repeated and short ones."""
+    items = [" ".join(f"i{k}w{j}" for j in range(59)) for k in range(2)] + ["a b c " * 12, "x y z"]
+    filler = lambda k, n: " ".join(f"f{k}n{j}" for j in range(n))
+    w = items[0].split()
+    swapped = " ".join(w[30:] + w[:30])
+    thirds = " ".join(w[40:] + w[20:40] + w[:20])
+    texts = [f"{filler(0, 200)} {swapped} {filler(1, 150)}", f"{swapped} {filler(2, 90)} {items[1]}", thirds, f"{filler(3, 40)} {swapped}", swapped, " ".join(w[30:56] + w[:30]), "b c a " * 30, f"{filler(4, 9)} a b c x y z"]
+    rows = docs_of(spark, [(i, t, None, None) for i, t in enumerate(texts)])
+    known = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    want = brute_leaks(list(enumerate(texts)), list(enumerate(items)))
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontam.leaks(rows, known).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in got)
+    assert {(0, 0), (1, 0), (1, 1), (3, 0), (4, 0)} <= got.keys()
+
+
 def test_leaks_in_passes(spark, docs, monkeypatch):
     known = spark.read.parquet(f"{SF}/benchmark.parquet")
     one = sorted(map(tuple, decontam.leaks(docs, known).collect()))
