@@ -35,13 +35,14 @@ from corpusloom.plans.staging import smaller_batches
 
 TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>")
 LOOSE_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)>")
-ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b\s*(?:=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 MARK = re.compile(r"[.,;:!?。，；：！？]")
 WHITE = re.compile(r"\s+")
 
 # Tag names by what they mean here.
 RAW = frozenset("script style textarea title noscript template iframe xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+ATTRIBUTES = frozenset("class id role hidden aria-hidden".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split()
 )
@@ -134,7 +135,7 @@ class Page:
         if name in ENDS:
             self._pop(ENDS[name], {"ul", "ol", "dl", "table", "select"})
         self._inline.clear()
-        found = {k.lower(): (a or b or c or "") for k, a, b, c in ATTRIBUTE.findall(attributes)} if len(attributes) > 1 else {}
+        found = {n: a or b or c for k, a, b, c in reversed(ATTRIBUTE.findall(attributes)) if (n := k.lower()) in ATTRIBUTES} if len(attributes) > 1 else {}
         label = f"{found.get('class', '')} {found.get('id', '')}".lower() if found else " "
         up = self._open[-1]
         key = (self.path[up], name, label)

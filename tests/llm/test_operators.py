@@ -478,6 +478,20 @@ def test_page(page, text):
     assert html.extract(page) == text
 
 
+@pytest.mark.parametrize(
+    "attributes,kept",
+    [
+        ('style="overflow:hidden"', True), ("title='a hidden gem'", True), ('data-id="ad"', True), ("data-role=search", True), ('data-hidden class="story"', True),
+        ('alt="id = ad class=ad"', True), ("style=overflow:hidden", True), ("data-x = 'hidden' id=story", True), ("title=it's hidden", False), ("hidden", False),
+        ('title="x" HIDDEN=""', False), ("class=story role='search'", False), ('data-a="b"aria-hidden="true"', False),
+    ],
+)
+def test_attributes_are_told_by_name(attributes, kept):
+    assert html.extract(f"<article {attributes}><p>Long words, more words; and so on.</p></article>") == ("Long words, more words; and so on." if kept else "")
+    page = f"<body><div {attributes}><p>First, one.</p></div><p>Other words, here.</p></body>"
+    assert html.extract(page) == ("First, one. Other words, here." if kept else "Other words, here.")
+
+
 def test_deep_page():
     assert html.extract("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
 
