@@ -7,8 +7,8 @@ punctuation marks per block, links counted against it. Both are smoothed over
 the paths in page order, with weights that fall with distance, and fused by
 multiplication; paths at or above a share of the page's spread are content.
 
-The content paths fix the region: from the root, the element that holds most of
-their text is entered while there is one, down to ``article`` or ``main``. All
+The content paths fix the region: the lowest element that holds all of their
+blocks, or the ``article`` or ``main`` around it. All
 blocks in the region are the main text, short ones too, but for parts that
 their tag, role, class or id name as menus, headers, footers, sidebars, notices,
 adverts, forms, scripts or comments. A part named only by class or id stays if
@@ -241,7 +241,7 @@ def extract(source: str | None, share: float = 0.3) -> str:
             children.setdefault(page.parent[k], []).append(k)
     while page.tag[at] not in ("article", "main") and at in children:
         best = max(children[at], key=lambda k: content[k])
-        if content[best] < 0.7 * content[0]:
+        if content[best] < content[0]:
             break
         at = best
     inside = np.zeros(len(page.tag), bool)

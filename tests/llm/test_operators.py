@@ -492,6 +492,16 @@ def test_attributes_are_told_by_name(attributes, kept):
     assert html.extract(page) == ("First, one. Other words, here." if kept else "Other words, here.")
 
 
+@pytest.mark.parametrize("tag", ["div", "section", "article", "div class=part"])
+@pytest.mark.parametrize("shares", [(3, 1), (1, 3), (9, 1), (2, 1, 1)])
+def test_text_in_sibling_parts(tag, shares):
+    """No content path is left out, however the text is dealt over containers side by side."""
+    parts = [[f"Part {k}, line {j}: long words, more words; and so on. Really, it goes on." for j in range(4 * n)] for k, n in enumerate(shares)]
+    inner = "".join(f"<{tag}><h2>Head {k}</h2>{''.join(f'<p>{t}</p>' for t in part)}</{tag.split()[0]}>" for k, part in enumerate(parts))
+    page = f"<body><nav><a href=x>Home</a></nav><div id=page>{inner}</div><div class=sidebar><p>Side, bar.</p></div><footer>f</footer></body>"
+    assert html.extract(page) == " ".join(t for k, part in enumerate(parts) for t in [f"Head {k}", *part])
+
+
 def test_deep_page():
     assert html.extract("<div>" * 3000 + "deep" + "</div>" * 3000) == "deep"
 
