@@ -2,15 +2,23 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
+from difflib import SequenceMatcher
+from itertools import accumulate
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import block_tokens, confidence_score, needs_verification, negation, normalize_path, relevance, similarity_ratio, tokens, without_flag
+from corpusloom.functions.text import block_tokens, confidence_score, needs_verification, negation, normalize_path, relevance, tokens, without_flag
 from corpusloom.plans.components import star_components
 from corpusloom.plans.staging import stage
 
+#: Texts of one start word that are compared in one task, with as many others; texts compared at once.
+CELL = 1000
+LANES = 64
+
 
 def exact_groups(rows: DataFrame, key: list[str], id_col: str) -> DataFrame:
     """One row per distinct key: the smallest id and how many rows."""
@@ -151,18 +159,80 @@ def summary(reduced: DataFrame, most: int = 10) -> DataFrame:
     return best.select(place.cast("long").alias("place"), F.concat(F.lit("["), F.upper("confidence"), F.lit("] "), "point", check).alias("line"))
 
 
-def similar_by_ratio(rows: DataFrame, id_col: str, text: str, least: float = 0.7) -> DataFrame:
-    """(a, b, ratio) of classes of texts alike in words as well as in their characters' order.
+def similar_by_ratio(rows: DataFrame, id_col: str, text: str, least: float = 0.7, length_ratio: float = 0.5) -> DataFrame:
+    """(a, b, ratio) of classes of equal texts whose starts share a word, alike by their characters' order.
 
-    Candidates are the pairs of ``similar_classes``; their texts are compared
-    character by character in tasks that hold a batch of pairs.
+    All pairs of a start word are compared, in cells of two parts of its texts, so
+    that a common word is spread over many tasks. A pair meets under each word it
+    shares and is compared under the first. Exact.
+    """
+    texts = rows.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).groupBy("text").agg(F.min("id").alias("id"))
+    known = stage(texts.where("id is not null").withColumn("start", block_tokens(F.col("text"))), "texts")
+    each = known.withColumn("w", F.explode("start"))
+    parts = each.groupBy("w").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts"))
+    each = each.join(parts, "w").withColumn("part", F.pmod(F.xxhash64("text"), F.col("parts")).cast("int"))
+    each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cells = each.select("w", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "id", "text", "start")
+    kind = rows.select(F.col(id_col).alias("id")).schema["id"].dataType.simpleString()
+
+    def compared(cell: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame(ratio_pairs(cell, least, length_ratio), columns=["a", "b", "ratio"])
+
+    return cells.groupBy("w", "low", "high").applyInPandas(compared, f"a {kind}, b {kind}, ratio double")
+
+
+def ratio_pairs(cell: pd.DataFrame, least: float, length_ratio: float) -> list[tuple]:
+    """(a, b, ratio) of the pairs of one cell: of its part, or of a text of each of two parts."""
+    word, low, high = cell["w"].iat[0], cell["low"].iat[0], cell["high"].iat[0]
+    rows = sorted(((len(t), i, t, {x for x in s if x < word}, p) for i, t, s, p in zip(cell["id"], cell["text"], cell["start"], cell["part"])), key=lambda r: r[:2])
+    left, right = [r for r in rows if r[4] == low], [r for r in rows if r[4] == high]
+    out = []
+    for at in range(0, len(left), LANES):
+        group = left[at : at + LANES]
+        common = common_lengths([r[2] for r in group])
+        for place, (n, i, t, earlier, _) in enumerate(right):
+            if low == high and place <= at:
+                continue
+            fit = [
+                k for k, (m, j, _, others, _) in enumerate(group)
+                if min(m, n) >= max(m, n) * length_ratio and 2 * min(m, n) >= least * (m + n) and i != j and (low < high or at + k < place) and earlier.isdisjoint(others)
+            ]
+            lengths = common(t) if fit else ()
+            for k in fit:
+                m, j, u = group[k][:3]
+                if 2 * lengths[k] / (m + n) >= least and (ratio := SequenceMatcher(None, *sorted((t, u)), autojunk=False).ratio()) >= least:
+                    out.append((min(i, j), max(i, j), ratio))
+    return out
+
+
+def common_lengths(texts: list[str]) -> Callable[[str], list[int]]:
+    """A function giving the length of the longest common subsequence of a text and each of ``texts``.
+
+    Matching blocks are a common subsequence, so no ratio is above twice this length
+    over both lengths. The texts lie side by side in one number, a bit a character
+    and a free bit after each text for the carry.
     """
-    classes, _ = token_classes(rows, id_col, text, exact=True)
-    pairs = similar_classes(classes, least).select("a", "b")
-    left = rows.select(F.col(id_col).alias("a"), F.col(text).alias("ta"))
-    right = rows.select(F.col(id_col).alias("b"), F.col(text).alias("tb"))
-    rated = pairs.join(left, "a").join(right, "b").select("a", "b", similarity_ratio("ta", "tb").alias("ratio"))
-    return rated.where(F.col("ratio") >= least)
+    ends = list(accumulate(len(t) + 1 for t in texts))
+    spans = [(end - 1 - len(t), end - 1) for t, end in zip(texts, ends)]
+    joined = "".join(f"{t}\0" for t in texts)
+    guards = {end - 1 for end in ends}
+    bits: dict[str, bytearray] = {}
+    for k, c in enumerate(joined):
+        if k not in guards:
+            bits.setdefault(c, bytearray(len(joined) // 8 + 1))[k >> 3] |= 1 << (k & 7)
+    masks = {c: int.from_bytes(b, "little") for c, b in bits.items()}
+    every = sum(masks.values())
+
+    def common(text: str) -> list[int]:
+        v = every
+        for c in text:
+            if m := masks.get(c):
+                u = v & m
+                v = ((v + u) | (v - u)) & every
+        left = f"{v:0{len(joined)}b}"[::-1]
+        return [left.count("0", a, b) for a, b in spans]
+
+    return common
 
 
 def dedup_ratio(total: Column, unique: Column) -> Column:

@@ -1,6 +1,7 @@
 """Running sums, markers, ratio groups, sessions, table functions, exports and stateful streams on small inputs."""
 
 import json
+import random
 import re
 from difflib import SequenceMatcher
 from itertools import combinations
@@ -88,6 +89,37 @@ def test_ratio_pairs_against_all_pairs(spark):
     assert (-2, -1) in got and (-3, -1) not in got  # same words in another order are one set, far apart as strings
 
 
+@pytest.mark.parametrize("cell", [1000, 7])
+def test_ratio_pairs_need_no_words_in_common_but_a_start(spark, monkeypatch, cell):
+    """All pairs with a start word in common, without a condition on their words; small cells split the words' texts."""
+    monkeypatch.setattr(reduce, "CELL", cell)
+    monkeypatch.setattr(reduce, "LANES", 3)
+    r = random.Random(3)
+    base = ["the turn holds ten words of which two are altered", "please send reports before friday noon and call them back", "über die brücke gehen wir heute abend mit freunden 😀"]
+    texts = list(base)
+    for t in base:
+        for n in (1, 2, 4, 8, 16):
+            for _ in range(3):
+                chars = list(t)
+                for at in r.sample(range(6, len(t)), n):
+                    chars[at] = r.choice("abcxyz ")
+                texts.append("".join(chars))
+    texts += [texts[0], "", None, "a b", base[0] * 2, base[0][:30], base[1][::-1]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    got = [tuple(r) for r in reduce.similar_by_ratio(rows, "id", "text", 0.7).collect()]
+    first, want = {}, {}
+    for i, t in enumerate(texts):
+        first.setdefault(t or "", i)
+    start = lambda t: {w for w in [w for w in re.split("[ \t\n\r]+", t.lower()) if len(w) >= 3][:5]}
+    for (s, a), (t, b) in combinations(first.items(), 2):
+        ratio = SequenceMatcher(None, *sorted((s, t)), autojunk=False).ratio()
+        if start(s) & start(t) and min(len(s), len(t)) >= 0.5 * max(len(s), len(t)) and ratio >= 0.7:
+            want[a, b] = ratio
+    assert {(a, b): x for a, b, x in got} == want and len(got) == len(want)
+    alike = lambda s, t: len(set(s.split()) & set(t.split())) >= 0.7 * len(set(s.split()) | set(t.split()))
+    assert sum(not alike(texts[a], texts[b]) for a, b in want) > 20
+
+
 def test_ghosts_are_found_in_evidence_and_ids(spark):
     found = spark.createDataFrame([("k.py", "c", "see src/A.py."), ("src/a.py", "c", None), ("k.py", "src\\a.py:1", ""), ("k.py", "c", "src/a.pyc")], "file string, chunk_id string, evidence string")
     found = found.unionByName(found.limit(0))
