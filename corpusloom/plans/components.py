@@ -5,29 +5,34 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.errors import CorpusError
 from corpusloom.plans.staging import stage
 
 
-def star_components(edges: DataFrame, rounds: int = 40) -> DataFrame:
+def star_components(edges: DataFrame, rounds: int = 200) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v) but the roots themselves.
 
     ``root`` is the smallest node reachable. Each round is a table in the shared
     folder; a round joins edges with one minimum per node, so that no
-    neighbourhood is gathered in one place. Rounds end when all edges form stars.
+    neighbourhood is gathered in one place. Rounds end when all edges form stars, and
+    only then; edges that don't after ``rounds`` are an error.
     """
     edges = stage(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    before = None
     for _ in range(rounds):
+        if are_stars(edges):
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
         edges = stage(small.where("u <> v").distinct(), "links")
-        now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v") % 1_000_003), F.countDistinct("u")).first()
-        if now[0] == 0 or now == before:
-            break
-        if now[0] == now[2] and edges.join(edges.select(F.col("u").alias("x")), F.col("v") == F.col("x")).isEmpty():
-            break
-        before = now
+    if not are_stars(edges):
+        raise CorpusError("E503", f"components not settled after {rounds} rounds", what="rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def are_stars(edges: DataFrame) -> bool:
+    """Whether each node but the roots has one edge, to a root."""
+    n, nodes = edges.agg(F.count("*"), F.countDistinct("u")).first()
+    return n == nodes and (n == 0 or edges.join(edges.select(F.col("u").alias("x")), F.col("v") == F.col("x"), "left_semi").isEmpty())

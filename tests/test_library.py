@@ -101,6 +101,16 @@ def test_components_of_a_long_chain(spark):
     assert star_components(edges.where("u < 0")).count() == 0
 
 
+def test_components_that_are_not_settled_are_an_error(spark):
+    """Too few rounds never give parts of a component; enough ones give it whole."""
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)], "u long, v long")
+    with pytest.raises(errors.CorpusError):
+        star_components(edges, rounds=1)
+    assert {r.root for r in star_components(edges.where("u < 4"), rounds=4).collect()} == {0}
+    stars = spark.createDataFrame([(0, 1), (2, 0), (3, 3), (5, 4)], "u long, v long")
+    assert {r.node: r.root for r in star_components(stars, rounds=0).collect()} == {1: 0, 2: 0, 5: 4}
+
+
 def test_near_groups_boundary_and_copies(spark):
     base = [f"w{i}xx" for i in range(10)]
     rows = [(1, " ".join(base)), (2, " ".join(base)), (3, " ".join(base[:7])), (4, " ".join(base[:6])), (5, ""), (6, None), (7, "other words here entirely")]
