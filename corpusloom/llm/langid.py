@@ -178,7 +178,7 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     return found.select(*kept, "__scored.lang_pred", "__scored.score", "__scored.ambiguous")
 
 
-def keep_identified(docs: DataFrame, model: Model, least: float = 0.4) -> DataFrame:
-    """The documents with a language: ``und`` goes, and so does a text of which no language has ``least``."""
+def keep_identified(docs: DataFrame, model: Model) -> DataFrame:
+    """The documents with a language: only ``und`` goes, however close the languages of a text are."""
     found = docs.withColumn("__scored", scorer(docs.sparkSession, model)(F.col("text")))
-    return found.where((F.col("__scored.lang_pred") != UNKNOWN) & (F.col("__scored.score") >= least)).drop("__scored")
+    return found.where(F.col("__scored.lang_pred") != UNKNOWN).drop("__scored")

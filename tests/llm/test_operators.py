@@ -74,6 +74,18 @@ def test_language_edges(spark, edge, docs):
     assert langid.identify(edge.where("doc_id < 0"), model).count() == 0
 
 
+def test_documents_of_low_score_stay(spark, docs):
+    """What operator 1 names a language for is kept, short and mixed texts too."""
+    model = langid.train(docs)
+    some = {r.lang: r.text for r in docs.collect() if r.text}
+    words = sorted({w for t in some.values() for w in WORD.findall(t)[:60]})
+    mixed = [" ".join(" ".join(WORD.findall(t)[k : k + 5]) for t in some.values()) for k in range(0, 40, 5)]
+    rows = docs_of(spark, [(i, t, None, None) for i, t in enumerate(words + mixed + ["12 34 !", ""])])
+    named = {r.doc_id: r for r in langid.identify(rows, model).select("doc_id", "lang_pred", F.col("score").alias("s")).collect()}
+    assert any(r.lang_pred != "und" and r.s < 0.4 for r in named.values())
+    assert sorted(r.doc_id for r in langid.keep_identified(rows, model).collect()) == sorted(i for i, r in named.items() if r.lang_pred != "und")
+
+
 # --- 2 near duplicates
 
 
