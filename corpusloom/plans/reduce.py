@@ -35,9 +35,11 @@ def token_classes(rows: DataFrame, id_col: str, text: str, exact: bool = False)
     return classes, known.join(classes.select("key", "class_id"), "key").select(F.col("id").alias(id_col), "class_id")
 
 
-def similar_classes(classes: DataFrame, least: float, length_ratio: float = 0.5) -> DataFrame:
+def similar_classes(classes: DataFrame, least: float, length_ratio: float = 0.5, by_start: bool = True) -> DataFrame:
     """(a, b, similarity) of classes whose Jaccard similarity is ``least`` or more and whose starts share a word.
 
+    Without ``by_start`` and with a ``length_ratio`` of 0 these are all pairs of that similarity.
+
     Candidates share a token of both prefixes: tokens in order of rarity, of which
     a set of n needs n - ceil(least * n) + 1. Common words are in no prefix but of
     the shortest texts, so a word that all texts share makes no candidates. A
@@ -58,10 +60,10 @@ def similar_classes(classes: DataFrame, least: float, length_ratio: float = 0.5)
     rest = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
     enough = rest * (1 + least) + 1e-6 >= (F.col("n_a") + F.col("n_b")) * least
     near = a.join(b, "h").where("class_id_a < class_id_b").where(fits).groupBy(F.col("class_id_a").alias("a"), F.col("class_id_b").alias("b"))
-    pairs = near.agg(F.bool_or(enough & F.arrays_overlap("start_a", "start_b")).alias("can")).where("can").select("a", "b")
+    pairs = near.agg(F.bool_or(enough & (F.arrays_overlap("start_a", "start_b") if by_start else F.lit(True))).alias("can")).where("can").select("a", "b")
     left = classes.select(F.col("class_id").alias("a"), F.col("t").alias("ta"), F.col("b").alias("ba"))
     right = classes.select(F.col("class_id").alias("b"), F.col("t").alias("tb"), F.col("b").alias("bb"))
-    joined = pairs.join(left, "a").join(right, "b").where(F.arrays_overlap("ba", "bb"))
+    joined = pairs.join(left, "a").join(right, "b").where(F.arrays_overlap("ba", "bb") if by_start else F.lit(True))
     shared = F.size(F.array_intersect("ta", "tb"))
     rated = joined.withColumn("similarity", shared / (F.size("ta") + F.size("tb") - shared))
     return rated.where(F.col("similarity") >= least).select("a", "b", "similarity")

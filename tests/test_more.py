@@ -89,6 +89,19 @@ def test_ratio_pairs_against_all_pairs(spark):
     assert (-2, -1) in got and (-3, -1) not in got  # same words in another order are one set, far apart as strings
 
 
+def test_all_jaccard_pairs_without_the_start_rule(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.col("doc_id").alias("id"), "text")
+    extra = [(-1, "alpha beta gamma delta epsilon one two three four five six seven eight"), (-2, "one two three four five six seven eight alpha beta gamma delta epsilon")]
+    classes, _ = reduce.token_classes(rows.unionByName(spark.createDataFrame(extra, "id long, text string")), "id", "text")
+    got = {(r.a, r.b): r.similarity for r in reduce.similar_classes(classes, 0.7, 0.0, by_start=False).collect()}
+    want = {}
+    for (a, u), (b, v) in combinations(sorted((r.class_id, set(r.t)) for r in classes.collect()), 2):
+        if u and v and len(u & v) >= 0.7 * len(u | v):
+            want[a, b] = pytest.approx(len(u & v) / len(u | v))
+    assert got == want and (-2, -1) in got
+    assert {(r.a, r.b) for r in reduce.similar_classes(classes, 0.7).collect()} < got.keys() - {(-2, -1)}
+
+
 @pytest.mark.parametrize("cell", [1000, 7])
 def test_ratio_pairs_need_no_words_in_common_but_a_start(spark, monkeypatch, cell):
     """All pairs with a start word in common, without a condition on their words; small cells split the words' texts."""
