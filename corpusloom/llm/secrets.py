@@ -36,7 +36,6 @@ CONTEXT = re.compile(
     re.ASCII,
 )
 CONTEXT_CUES = ("pass", "pwd", "secret", "token", "key", "credential", "auth", "bearer")
-SHORTEST = 8
 #: Values longer than this are beyond guessing whatever they hold.
 LONGEST = 128
 DEAR = 9.0
@@ -142,7 +141,7 @@ def added_spans(text: str, lower: str, base: list[Span]) -> list[Span]:
     for m in CONTEXT.finditer(text):
         value = m[1].rstrip(".:!?#*$%&|")
         start, end = m.start(1), m.start(1) + len(value)
-        if len(value) < SHORTEST or any(a < end and start < b for a, b, _ in base):
+        if any(a < end and start < b for a, b, _ in base):
             continue
         if len(value) > LONGEST or guess_cost(value) >= DEAR:
             out.append((start, end, "guess"))

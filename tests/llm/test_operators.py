@@ -372,6 +372,11 @@ def test_guess_cost():
     assert [s[2] for s in found if s[2] == "guess"] == ["guess"] and found[-1][:2] == (9, 21) or (9, 21, "guess") in found
 
 
+@pytest.mark.parametrize("value,dear", [("kqzmtpg", True), ("k#9!vQ~", True), ("#~^/#+", True), ("kq7wvb", False), ("monkey1", False), ("abcdefg", False), ("12/34", False)])
+def test_short_values_are_told_by_cost(value, dear):
+    assert ("guess" in {s[2] for s in secrets.find(f"pwd: {value} and more")}) == dear == (secrets.guess_cost(value) >= secrets.DEAR)
+
+
 def segment_cost(part):
     """The cheapest reading of one segment, without looking at its neighbours."""
     lower, n = part.lower(), len(part)
