@@ -5,26 +5,36 @@ root-to-leaf path of block-level tags (with class and id) are taken together:
 the path's text ratio is its characters per block and its punctuation ratio its
 punctuation marks per block, links counted against it. Both are smoothed over
 the paths in page order, with weights that fall with distance, and fused by
-multiplication; paths at or above a share of the page's spread are content.
-
-The content paths fix the region: the lowest element that holds all of their
-blocks, or the ``article`` or ``main`` around it. All
-blocks in the region are the main text, short ones too, but for parts that
-their tag, role, class or id name as menus, headers, footers, sidebars, notices,
-adverts, forms, scripts or comments. A part named only by class or id stays if
-an ``article`` or ``main`` is in it, or, on a page without those, four fifths of
-the text.
-
-Cases. Null or empty html, or no text: empty text. Markup that never closes ends
-with the page. ``<`` before anything but a tag is text. Repeated rows are read
-each. Character references are decoded once; white space in a block becomes one
-space. Nothing is dropped for length.
+multiplication. Paths whose fused score reaches a share of the scores' spread are
+content, and their blocks are the main text.
+
+Tag names and classes are features. Parts that a tag, role, class or id names as
+menus, headers, footers, sidebars, notices, adverts, forms, scripts or comments
+are vetoed: their blocks have no score. On a page with an ``article`` or ``main``
+the score of a path outside of them is divided by ``OUTSIDE``.
+A part named only by class or id stays if an ``article`` or ``main`` is in it, or, on
+a page without those, four fifths of the text.
+
+Short blocks. Headings, list items and cells have few marks, so a block whose path
+is below the threshold joins content beside it: any content in the outermost
+``article`` or ``main`` around it; elsewhere, if it isn't mostly links, that of the nearest
+element that can hold a text, of whose characters ``HELD`` must lie on content paths.
+
+Cases. Null or empty html, or no text: empty text. An empty table gives an empty
+table. Markup that never closes ends with the page; a tag whose quotes never
+close ends at its next ``>``, and quotes aren't trusted from there on. ``<`` before
+anything but a tag is text. Repeated rows are read each; paths of equal score are kept or
+left out together. Character references are decoded once, those beyond Unicode to
+U+FFFD; white space in a block becomes one space. Nothing is dropped for length, and the
+time of a page grows with its length. Columns other than page_id, url and html
+are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
@@ -34,10 +44,20 @@ from pyspark.sql import functions as F
 from corpusloom.plans.staging import smaller_batches
 
 TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>")
+#: Used where quotes are not trusted.
 LOOSE_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)>")
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 MARK = re.compile(r"[.,;:!?。，；：！？]")
 WHITE = re.compile(r"\s+")
+LEADING_ZEROS = re.compile(r"&#0+(?=[0-9])")
+BEYOND = re.compile(r"&#[0-9]{8,};?")
+
+#: A path is content from ``SPREAD`` standard deviations and ``SHARE`` of the best score on.
+SPREAD, SHARE = 0.5, 0.4
+#: What the score of a path outside ``article`` and ``main`` is divided by where a page has them.
+OUTSIDE = 8.0
+#: Share of a container's characters on content paths from which its other blocks join.
+HELD = 0.25
 
 # Tag names by what they mean here.
 RAW = frozenset("script style textarea title noscript template iframe xmp".split())
@@ -53,6 +73,9 @@ CLOSES_P = frozenset(
     "address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split()
 )
 REGIONS = frozenset("html body div section article main td tr tbody table center".split())
+ARTICLE = ("article", "main")
+P_ENDS_AT = REGIONS | {"li", "td", "th", "button"}
+LIST_ENDS_AT = frozenset("ul ol dl table select".split())
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 # Words in a class or id that name what is not the article.
@@ -73,43 +96,50 @@ class Page:
         self.linked: list[int] = []
         self._paths: dict[tuple, int] = {}
         self._open = [0]
-        self._inline: list[str] = []
+        self._places: dict[str, list[int]] = {}  # tag -> its places among the open elements
+        self._in_link = False
         self._now: list[str] = []
         self._links = 0
         self._read(source)
 
     def _read(self, s: str) -> None:
-        at = 0
-        while (lt := s.find("<", at)) >= 0:
+        at, last, trusted = 0, s.rfind(">"), True
+        while 0 <= (lt := s.find("<", at)) < last:
             if lt > at:
                 self._add(s[at:lt])
             if s.startswith("<!--", lt):
                 end = s.find("-->", lt + 4)
                 at = len(s) if end < 0 else end + 3
-            elif s.startswith(("<!", "<?"), lt):
-                end = s.find(">", lt)
-                at = len(s) if end < 0 else end + 1
-            elif m := TAG.match(s, lt) or LOOSE_TAG.match(s, lt):
-                at = m.end()
-                name = m[2].lower()
-                if m[1]:
-                    self._end(name)
-                elif name in RAW:
-                    close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(s, at)
-                    at = close.end() if close else len(s)
-                    self._now.append(" ")
-                else:
-                    self._start(name, m[3])
-            else:
+                continue
+            if s.startswith(("<!", "<?"), lt):
+                at = s.find(">", lt) + 1
+                continue
+            m = TAG.match(s, lt) if trusted else None
+            if not m and (m := LOOSE_TAG.match(s, lt)):
+                trusted = False
+            if not m:
                 self._add("<")
                 at = lt + 1
-        self._add(s[at:])
+                continue
+            at, name = m.end(), m[2].lower()
+            if m[1]:
+                self._end(name)
+            elif name in RAW:
+                close = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.IGNORECASE).search(s, at)
+                at = close.end() if close else len(s)
+                self._now.append(" ")
+            else:
+                self._start(name, m[3])
+        if (comment := s.find("<!--", at)) >= 0:
+            self._add(s[at:comment])
+        else:
+            self._add(s[at:])
         self._flush()
 
     def _add(self, raw: str) -> None:
-        text = entities.unescape(raw) if "&" in raw else raw
+        text = entities.unescape(BEYOND.sub("\ufffd", LEADING_ZEROS.sub("&#", raw))) if "&" in raw else raw
         self._now.append(text)
-        if "a" in self._inline:
+        if self._in_link:
             self._links += len(text.strip())
 
     def _flush(self) -> None:
@@ -127,14 +157,14 @@ class Page:
             self._now.append(" ")
             return
         if name in INLINE:
-            self._inline.append(name)
+            self._in_link |= name == "a"
             return
         self._flush()
         if name in CLOSES_P:
-            self._pop({"p"}, REGIONS | {"li", "td", "th", "button"})
+            self._pop({"p"}, P_ENDS_AT)
         if name in ENDS:
-            self._pop(ENDS[name], {"ul", "ol", "dl", "table", "select"})
-        self._inline.clear()
+            self._pop(ENDS[name], LIST_ENDS_AT)
+        self._in_link = False
         found = {n: a or b or c for k, a, b, c in reversed(ATTRIBUTE.findall(attributes)) if (n := k.lower()) in ATTRIBUTES} if len(attributes) > 1 else {}
         label = f"{found.get('class', '')} {found.get('id', '')}".lower() if found else " "
         up = self._open[-1]
@@ -144,50 +174,61 @@ class Page:
         self.path.append(self._paths.setdefault(key, len(self._paths) + 1))
         hard = name in NOT_TEXT or found.get("role", "").lower() in ROLES or "hidden" in found or found.get("aria-hidden") == "true"
         if name == "header":
-            hard = hard or not any(self.tag[k] in ("article", "main") for k in self._open)
+            hard = hard or not any(self._places.get(t) for t in ARTICLE)
         self.hard.append(hard or self.hard[up])
         self.soft.append(name not in ("html", "body", "article", "main") and label != " " and any(w in NAMES for w in re.split(r"[\s_-]+", label)))
+        self._places.setdefault(name, []).append(len(self._open))
         self._open.append(len(self.tag) - 1)
 
-    def _pop(self, names: set[str] | frozenset[str], barrier: set[str] | frozenset[str]) -> None:
-        for i in range(len(self._open) - 1, 0, -1):
-            tag = self.tag[self._open[i]]
-            if tag in names:
-                del self._open[i:]
-                return
-            if tag in barrier:
-                return
+    def _innermost(self, names: Iterable[str]) -> int:
+        """The place of the innermost open element of these names; 0 if there is none."""
+        return max((places[-1] for n in names if (places := self._places.get(n))), default=0)
+
+    def _cut(self, place: int) -> None:
+        while len(self._open) > place:
+            self._places[self.tag[self._open.pop()]].pop()
+
+    def _pop(self, names: Iterable[str], barrier: Iterable[str]) -> None:
+        place = self._innermost(names)
+        if place and place > self._innermost(barrier):
+            self._cut(place)
 
     def _end(self, name: str) -> None:
         if name in INLINE:
-            if name in self._inline:
-                del self._inline[len(self._inline) - 1 - self._inline[::-1].index(name)]
-            return
-        if name == "p" and not any(self.tag[k] == "p" for k in self._open):
+            self._in_link &= name != "a"
+        elif place := self._innermost((name,)):
             self._flush()
-            return
-        if any(self.tag[k] == name for k in self._open):
+            self._in_link = False
+            self._cut(place)
+        elif name == "p":
             self._flush()
-            self._inline.clear()
-            while self.tag[self._open.pop()] != name:
-                pass
         elif name == "br":
             self._now.append(" ")
 
-    def above(self, k: int) -> list[int]:
-        """The elements around an element."""
-        out = []
-        while k > 0:
-            k = self.parent[k]
-            out.append(k)
-        return out
-
     def sums(self, weight: np.ndarray) -> np.ndarray:
         """Each element's total of a weight of blocks, its descendants' included."""
-        total = np.bincount(self.block_of, weight, len(self.tag))
+        total = np.bincount(self.block_of, weight, len(self.tag)).tolist()
         for k in range(len(self.tag) - 1, 0, -1):
             total[self.parent[k]] += total[k]
-        return total
+        return np.array(total)
+
+    def around_articles(self) -> tuple[list[bool], list[int]]:
+        """Whether an ``article`` or ``main`` is in an element, and the outermost one that it is or lies in (-1: none)."""
+        holds, within = [False] * len(self.tag), [-1] * len(self.tag)
+        for k in range(1, len(self.tag)):
+            up = within[self.parent[k]]
+            within[k] = up if up >= 0 else k if self.tag[k] in ARTICLE else -1
+        for k in range(len(self.tag) - 1, 0, -1):
+            if holds[k] or self.tag[k] in ARTICLE:
+                holds[self.parent[k]] = True
+        return holds, within
+
+    def containers(self) -> list[int]:
+        """For each element itself or the nearest one around it that can hold a text."""
+        out = [0] * len(self.tag)
+        for k in range(1, len(self.tag)):
+            out[k] = k if self.tag[k] in REGIONS else out[self.parent[k]]
+        return out
 
 
 def path_scores(page: Page, kept: np.ndarray, sigma: float = 1.0) -> np.ndarray:
@@ -212,43 +253,37 @@ def path_scores(page: Page, kept: np.ndarray, sigma: float = 1.0) -> np.ndarray:
     return scores
 
 
-def extract(source: str | None, share: float = 0.3) -> str:
+def extract(source: str | None) -> str:
     """The main text of one page."""
     if not source:
         return ""
     page = Page(source)
     if not page.text:
         return ""
+    at = np.array(page.block_of)
     size = np.array([len(t) for t in page.text], float)
-    hard = np.array(page.hard)[page.block_of]
-    out = np.array(page.hard)
+    holds, within = page.around_articles()
+    some = any(t in ARTICLE for t in page.tag)
+    out = list(page.hard)
     if any(page.soft):
-        around = {k for at, tag in enumerate(page.tag) if tag in ("article", "main") for k in page.above(at)}
-        held = page.sums(size * ~hard)
+        held = page.sums(size * ~np.array(page.hard)[at])
         for k in range(1, len(page.tag)):
-            soft = page.soft[k] and k not in around and (around or held[k] <= 0.8 * held[0])
-            out[k] = out[k] or out[page.parent[k]] or bool(soft)
-    kept = ~out[page.block_of]
+            out[k] = out[k] or out[page.parent[k]] or (page.soft[k] and not holds[k] and (some or held[k] <= 0.8 * held[0]))
+    kept = ~np.array(out)[at]
     if not kept.any():
         return ""
-    scores = path_scores(page, kept)
-    limit = min(share * scores[kept].std() + 0.1 * scores.max(), scores.max())
-    content = page.sums(size * (kept & (scores >= limit)))
-    at = 0
-    children: dict[int, list[int]] = {}
-    for k in range(1, len(page.tag)):
-        if page.tag[k] in REGIONS and not out[k]:
-            children.setdefault(page.parent[k], []).append(k)
-    while page.tag[at] not in ("article", "main") and at in children:
-        best = max(children[at], key=lambda k: content[k])
-        if content[best] < content[0]:
-            break
-        at = best
-    inside = np.zeros(len(page.tag), bool)
-    inside[at] = True
-    for k in range(at + 1, len(page.tag)):
-        inside[k] = inside[page.parent[k]]
-    return " ".join(t for t, k, keep in zip(page.text, page.block_of, kept) if keep and inside[k])
+    inside = np.array(within)[at] >= 0
+    scores = path_scores(page, kept) / np.where(inside | (not some), 1.0, OUTSIDE)
+    paths, first = np.unique(np.array(page.path)[at][kept], return_index=True)
+    each = scores[kept][first]
+    content = kept & (scores >= min(SPREAD * each.std() + SHARE * each.max(), each.max()))
+    # Blocks of low score join the content that they share a container with.
+    box = np.where(inside, np.array(within)[at], np.array(page.containers())[at])
+    on_content = page.sums(size * content)[box]
+    share = on_content >= HELD * page.sums(size * kept)[box]
+    plain = 2 * np.array(page.linked) < size
+    taken = content | (kept & np.where(inside, on_content > 0, share & plain))
+    return " ".join(t for t, keep in zip(page.text, taken.tolist()) if keep)
 
 
 def main_text(pages: DataFrame) -> DataFrame:
