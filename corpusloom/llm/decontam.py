@@ -3,36 +3,45 @@
 Texts are lower-cased (A-Z) and cut into words and five-word shingles. A window
 of a document has as many words as a benchmark item. Windows and items get a
 SimHash fingerprint of 64 bits over their shingles, each weighing as often as it
-occurs. A window is compared with the items of its length: fingerprints within
-``RADIUS`` bits are found by multi-index hashing, 8 blocks of 8 bits, where
-by the pigeonhole at least one block differs in at most RADIUS // 8 = 2 bits, so
-items are listed under every value within 2 bits of each block. Pairs are then
-verified by the exact weighted (multiset) Jaccard similarity of their shingles,
-0.8 or more.
-
-Which windows. All that can be similar enough. A window that is 0.8 similar to an
-item of ``size`` shingles has at least ``similar / (1 + similar)`` of the shingles
-of both in common, so ``similar * size`` at least, and so one of any ``size -
+occurs. Fingerprints within ``RADIUS`` bits are found by multi-index hashing, 8 blocks
+of 8 bits, where by the pigeonhole at least one block differs in at most
+RADIUS // 8 = 2 bits, so items are listed under every value within 2 bits of each
+block. Pairs are then verified by the exact weighted (multiset) Jaccard similarity of
+their shingles, 0.8 or more.
+
+Which windows. All that can be similar enough, wherever they start. A window that is
+0.8 similar to an item of ``size`` shingles has at least ``similar / (1 + similar)`` of the
+shingles of both in common, so ``similar * size`` at least, and so one of any ``size -
 ceil(similar * size) + 1`` of the item's: the rarest among the items are looked up
-in the documents. Each window is named by the first rare shingle in it; around it
-the places that hold any shingle of the item are counted, and every window with
-enough of them is fingerprinted, whatever their order.
+in the documents. A hit names the item, and the index is asked for that item only. Each window
+is named by the first rare shingle in it; around it the places that hold any shingle of
+the item are counted, and every window with enough of them is fingerprinted,
+whatever their order.
+
+Radius. Of 4,000 random windows at the limit of similarity for each of 8 sizes none was further
+than 22 bits from its item, but for items of a few shingles repeated over and over.
+Items of fewer than ``FEW`` distinct shingles are therefore verified without the index.
 
 Scale. The one pass over all words is a map with a hash lookup; nothing is
-shuffled before the lookup. The items' rare shingles are broadcast in blocks of at most
-``BLOCK_ROWS`` with their items; a larger benchmark takes several passes. Windows are kept by
-content, so thousands of copies of a passage are fingerprinted and verified once.
+shuffled before the lookup. A benchmark of up to ``BLOCK_ROWS`` shingles is broadcast. A
+larger one is joined by shuffle: a first scan finds the hits, a second one their
+surroundings, so two scans whatever its size. Windows are kept by content, so thousands of
+copies of a passage are fingerprinted and verified once.
 
 Cases. Null or wordless texts and items: no shingle, no match. Under five words,
 the whole sequence is one shingle: such an item is found in documents that are
 that sequence. A document shorter than an item is one window, of its own size.
-Repeated rows of an id count as one document. Several items, or several windows
-for one item: a row per document and item, with the most similar window, the
-first on ties. No contaminated document, or an empty table: an empty result.
+Repeated rows of an id count as one document; items of equal text each have their rows. Several
+items, or several windows for one item: a row per document and item, with the most similar
+window, the first on ties. No contaminated document, or an empty table: an empty result. Of the
+input only doc_id, text, item_id are read; other columns, whatever their names, pass
+through in ``keep_clean``.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,18 +52,27 @@ SHINGLE = 5
 SIMILAR = 0.8
 RADIUS = 23
 BLOCKS = 8
-BLOCK_ROWS = 200_000
+#: Distinct shingles below which an item's fingerprint may stray beyond the radius.
+FEW = 8
+#: Shingles of a benchmark up to which it is broadcast.
+BLOCK_ROWS = 1_000_000
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.transform(F.array(value), use)[0]
 
 
 def shingles(text: Column) -> Column:
-    """array<long> of the hashes of a text's shingles, in order."""
+    """array<long> of the hashes of a text's shingles, in order: a hash of the hashes of its words."""
 
-    def of(words: Column) -> Column:
-        n = F.size(words)
-        each = F.transform(F.sequence(F.lit(1), n - (SHINGLE - 1)), lambda i: F.xxhash64(F.slice(words, i, SHINGLE)))
-        return F.when(n >= SHINGLE, each).when(n > 0, F.array(F.xxhash64(words))).otherwise(F.array().cast("array<bigint>"))
+    def of(h: Column) -> Column:
+        n = F.size(h)
+        starts = F.slice(h, 1, F.greatest(n - (SHINGLE - 1), F.lit(0)))
+        each = F.transform(starts, lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, SHINGLE)]))
+        return F.when(n >= SHINGLE, each).when(n > 0, F.array(F.xxhash64(h))).otherwise(F.array().cast("array<bigint>"))
 
-    return F.transform(F.array(words_of(ascii_lower(text))), of)[0]
+    return _bound(F.transform(words_of(ascii_lower(text)), lambda w: F.xxhash64(w)), of)
 
 
 def simhash(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -81,14 +99,14 @@ def _near() -> Column:
 
 
 def items(benchmark: DataFrame) -> DataFrame:
-    """(item_id, size, h): items with words; ``size`` is their number of shingles."""
+    """(item_id, item, size, h): items with words; ``item`` names their content, ``size`` is their number of shingles."""
     rows = benchmark.select("item_id", shingles(F.col("text")).alias("h"))
-    return rows.select("item_id", F.size("h").alias("size"), "h").where("size > 0")
+    return rows.select("item_id", F.xxhash64("h").alias("item"), F.size("h").alias("size"), "h").where("size > 0")
 
 
 def rare_shingles(known: DataFrame, similar: float) -> DataFrame:
     """(item, size, own, rare): an item's shingles, and those of which each window ``similar`` to it holds one."""
-    whole = known.select(F.xxhash64("h").alias("item"), "size", F.col("h").alias("own")).dropDuplicates(["item"])
+    whole = known.select("item", "size", F.col("h").alias("own")).dropDuplicates(["item"])
     each = whole.select("item", F.explode("own").alias("s"))
     often = each.distinct().groupBy("s").agg(F.count("*").alias("n"))
     ranked = each.join(often, "s").groupBy("item").agg(F.array_sort(F.collect_list(F.struct("n", "s"))).alias("r"))
@@ -97,62 +115,73 @@ def rare_shingles(known: DataFrame, similar: float) -> DataFrame:
 
 
 def windows(docs: DataFrame, wanted: DataFrame, similar: float) -> DataFrame:
-    """(doc_id, start, size, content, win): all windows of item size that hold enough of an item's shingles.
+    """(doc_id, start, size, item, content, win): all windows of an item's size that hold enough of its shingles.
 
-    ``wanted`` is of ``rare_shingles``, of bounded size.
+    ``wanted`` is of ``rare_shingles``.
     """
     rows = docs.select("doc_id", shingles(F.col("text")).alias("h"))
-    each = rows.select("doc_id", "h", F.posexplode("h").alias("at", "s"))
-    hits = each.join(F.broadcast(wanted.select("item", F.explode("rare").alias("s"))), "s").join(F.broadcast(wanted), "item")
-    low, long = F.greatest(F.lit(0), F.col("at") - F.col("size") + 1), F.least(F.size("h"), F.col("size"))
-    hits = hits.withColumns({"low": low, "long": long, "last": F.least(F.col("at"), F.size("h") - long)})
-    before = F.transform(F.slice("h", F.col("low") + 1, F.col("at") - F.col("low")), lambda x, i: F.when(F.array_contains("rare", x), i + 1))
-    hits = hits.withColumn("first", F.col("low") + F.coalesce(F.array_max(before), F.lit(0))).where("first <= last")
-    held = F.transform(F.slice("h", F.col("first") + 1, F.col("last") + F.col("long") - F.col("first")), lambda x: F.array_contains("own", x).cast("int"))
+    keys = wanted.select("item", F.explode("rare").alias("s"))
+    if (wanted.agg(F.sum("size")).first()[0] or 0) <= BLOCK_ROWS:
+        each = rows.select("doc_id", "h", F.posexplode("h").alias("at", "s"))
+        hits = each.join(F.broadcast(keys), "s").join(F.broadcast(wanted), "item")
+    else:
+        rows = rows.withColumn("d", F.xxhash64("h"))
+        named = rows.select("d", F.posexplode("h").alias("at", "s")).join(keys, "s").select("d", "at", "item").distinct()
+        hits = rows.join(stage(named, "shingle-hits"), "d").join(wanted, "item")
+    # What can lie in a window with the hit: at most size - 1 shingles before it and after it.
+    n, at, size = F.size("h"), F.col("at"), F.col("size")
+    low, long = F.greatest(F.lit(0), at - size + 1), F.least(n, size)
+    near = F.slice("h", low + 1, F.least(n, at + size) - low)
+    hits = hits.select("doc_id", "item", "size", "own", "rare", low.alias("low"), long.alias("long"), (at - low).alias("place"), (F.least(at, n - long) - low).alias("last"), near.alias("near"))
+    before = F.transform(F.slice("near", 1, F.col("place")), lambda x, i: F.when(F.array_contains("rare", x), i + 1))
+    hits = hits.withColumn("first", F.coalesce(F.array_max(before), F.lit(0))).where("first <= last")
     need = F.ceil((F.col("long") + F.col("size")) * (similar / (1 + similar)) - 1e-9)
     total = lambda flags: F.aggregate(flags, F.lit(0), lambda n, x: n + x)
-    hits = hits.withColumns({"held": held, "need": need}).where(total(F.col("held")) >= F.col("need"))
-    starts = F.filter(F.sequence("first", "last"), lambda w: total(F.slice("held", w - F.col("first") + 1, F.col("long"))) >= F.col("need"))
-    found = hits.select("doc_id", "h", "size", F.explode(starts).alias("start"))
-    found = found.select("doc_id", "start", "size", F.slice("h", F.col("start") + 1, F.col("size")).alias("win"))
-    found = found.withColumn("content", F.xxhash64("win", "size"))
-    return found.dropDuplicates(["doc_id", "start", "size", "content"])
+    hits = hits.withColumns({"held": F.transform("near", lambda x: F.array_contains("own", x).cast("int")), "need": need}).where(total(F.col("held")) >= F.col("need"))
+    starts = F.filter(F.sequence("first", "last"), lambda w: total(F.slice("held", w + 1, F.col("long"))) >= F.col("need"))
+    found = hits.select("doc_id", "item", "size", "low", "near", F.explode(starts).alias("w"))
+    found = found.select("doc_id", (F.col("low") + F.col("w")).alias("start"), "size", "item", F.slice("near", F.col("w") + 1, F.col("size")).alias("win"))
+    return found.withColumn("content", F.xxhash64("win", "size")).dropDuplicates(["doc_id", "start", "size", "item", "content"])
+
+
+def near_pairs(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """(content, size, item): the pairs of ``asked`` (content, size, item, fp) whose fingerprints are within the radius.
+
+    ``known``: (item, item_fp, few). Found through the blocks of both.
+    """
+    listed = known.where("not few").select("item", "item_fp", F.explode(blocks_of(F.col("item_fp"))).alias("b"))
+    listed = listed.select("item", "item_fp", "b.block", F.explode(F.transform(_near(), lambda m: m.bitwiseXOR(F.col("b.part")))).alias("part"))
+    blocks = asked.select("content", "size", "item", "fp", F.explode(blocks_of(F.col("fp"))).alias("b")).select("content", "size", "item", "fp", "b.*")
+    near = blocks.join(listed, ["item", "block", "part"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
+    few = asked.join(known.where("few").select("item"), "item", "left_semi")
+    return near.select("content", "size", "item").distinct().unionByName(few.select("content", "size", "item"))
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, similar: float = SIMILAR) -> DataFrame:
     """(doc_id, item_id, similarity, start_word, n_windows): one row per contaminated document and leaked item."""
     known = stage(items(benchmark), "items")
     sought = stage(rare_shingles(known, similar), "rare-shingles")
-    passes = max(1, -(-(sought.agg(F.sum(F.size("rare"))).first()[0] or 0) // BLOCK_ROWS))
-    found = None
-    for k in range(passes):
-        part = windows(docs, sought.where(F.pmod(F.col("item"), F.lit(passes)) == k), similar)
-        found = part if found is None else found.unionByName(part)
-    if passes > 1:
-        found = found.dropDuplicates(["doc_id", "start", "size", "content"])
-    found = stage(found, "windows")
+    found = stage(windows(docs, sought, similar), "windows")
 
     contents = found.groupBy("content", "size").agg(F.first("win").alias("win"))
     parts = stage(contents.select("content", "size", F.explode("win").alias("s")).groupBy("content", "size", "s").agg(F.count("*").alias("c")), "window-shingles")
     prints = simhash(parts.select("content", "size", F.explode(F.array_repeat("s", F.col("c").cast("int"))).alias("s")), ["content", "size"], "s")
-    item_rows = known.select("item_id", "size", F.explode("h").alias("s"))
-    item_prints = simhash(item_rows, ["item_id", "size"], "s").withColumnRenamed("fp", "item_fp")
-
-    listed = item_prints.select("item_id", "size", "item_fp", F.explode(blocks_of(F.col("item_fp"))).alias("b"))
-    listed = listed.select("item_id", "size", "item_fp", "b.block", F.explode(F.transform(_near(), lambda m: m.bitwiseXOR(F.col("b.part")))).alias("part"))
-    asked = prints.select("content", "size", "fp", F.explode(blocks_of(F.col("fp"))).alias("b")).select("content", "size", "fp", "b.*")
-    near = asked.join(listed, ["size", "block", "part"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS)
-    pairs = near.select("content", "size", "item_id").distinct()
-
-    item_parts = item_rows.groupBy("item_id", "s").agg(F.count("*").alias("ci"))
-    shared = pairs.join(parts, ["content", "size"]).join(item_parts, ["item_id", "s"])
-    common = shared.groupBy("content", "size", "item_id").agg(F.sum(F.least("c", "ci")).alias("common"))
+    item_rows = sought.select("item", F.explode("own").alias("s"))
+    few = sought.select("item", (F.size(F.array_distinct("own")) < FEW).alias("few"))
+    item_prints = simhash(item_rows, ["item"], "s").withColumnRenamed("fp", "item_fp").join(few, "item")
+    asked = found.select("content", "size", "item").distinct().join(prints, ["content", "size"])
+    pairs = near_pairs(asked, item_prints)
+
+    item_parts = item_rows.groupBy("item", "s").agg(F.count("*").alias("ci"))
+    shared = pairs.join(parts, ["content", "size"]).join(item_parts, ["item", "s"])
+    common = shared.groupBy("content", "size", "item").agg(F.sum(F.least("c", "ci")).alias("common"))
     own = parts.groupBy("content", "size").agg(F.sum("c").alias("own"))
     rated = common.join(own, ["content", "size"])
     rated = rated.withColumn("similarity", F.col("common") / (F.col("own") + F.col("size") - F.col("common"))).where(F.col("similarity") >= similar)
-    hit = found.select("doc_id", "start", "size", "content").join(rated, ["content", "size"])
+    hit = found.select("doc_id", "start", "size", "item", "content").join(rated, ["content", "size", "item"])
     best = F.max_by(F.col("start"), F.struct("similarity", -F.col("start")))
-    return hit.groupBy("doc_id", "item_id").agg(F.max("similarity").alias("similarity"), best.cast("long").alias("start_word"), F.count("*").alias("n_windows"))
+    each = hit.groupBy("doc_id", "item").agg(F.max("similarity").alias("similarity"), best.cast("long").alias("start_word"), F.count("*").alias("n_windows"))
+    return each.join(known.select("item", "item_id"), "item").select("doc_id", "item_id", "similarity", "start_word", "n_windows")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
