@@ -25,7 +25,7 @@ FILES = f"""files AS (SELECT doc_id, source || '/' || lang || '/doc_' || doc_id
   FROM (SELECT *, CASE doc_id % {len(src.ENDINGS)} {_ENDINGS} END AS ext FROM documents))"""
 _SIZES = " ".join(f"WHEN ext = '{e}' THEN {n}" for e, n in model.CHUNK_SIZES.items())
 SIZE = f"CASE {_SIZES} ELSE {model.DEFAULT_CHUNK_SIZE} END"
-SHA = "substr(sha256({0}), 1, 8)"
+SHA = "substr(sha256({0}), 1, 16)"
 WORDS = "list_filter(regexp_split_to_array(lower({0}), '[ \\t\\n\\r]+'), lambda w: w <> '')"
 MAY_COVER = "CAST({0} AS BIGINT)"
 _FINDINGS = " UNION ALL ".join(
@@ -497,14 +497,16 @@ def progress_counts(spark, sf_dir):
     return ev.without_repeats(table(spark, sf_dir, "events")).groupBy(F.col("event_type").alias("event")).agg(F.count("*").alias("n"))
 
 
-_CATEGORY = "CASE event_type WHEN 'error' THEN 'E503' WHEN 'view' THEN 'E301' WHEN 'click' THEN 'E102' WHEN 'signup' THEN 'E003' ELSE 'E404' END"
-
-
-@query(f"SELECT {_CATEGORY} AS code, CAST(CASE {_CATEGORY} WHEN 'E503' THEN 1 WHEN 'E301' THEN 5 WHEN 'E102' THEN 3 WHEN 'E003' THEN 2 ELSE 6 END AS INTEGER) AS exit_code, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1, 2")
+@query("""WITH r AS (SELECT CAST(floor(l_extendedprice * 5) AS BIGINT) AS size, CAST(floor(l_quantity * 1500) AS BIGINT) AS overlap FROM lineitem),
+  c AS (SELECT CASE WHEN size < 50000 OR size > 300000 THEN 'chunk_size' WHEN overlap > 50000 OR overlap >= size THEN 'overlap' ELSE 'none' END AS code FROM r)
+  SELECT code, CAST(CASE code WHEN 'none' THEN 0 ELSE 2 END AS INTEGER) AS exit_code, CAST(count(*) AS BIGINT) AS n FROM c GROUP BY code""")
 def error_codes(spark, sf_dir):
-    """Errors in a log, with the exit codes of the taxonomy (31 rows, broadcast)."""
-    rows = table(spark, sf_dir, "events").select(F.expr(_CATEGORY).alias("code"))
-    return rows.join(F.broadcast(errors.table(spark)), "code").groupBy("code", "exit_code").agg(F.count("*").alias("n"))
+    """Requests for chunks, what the library refuses of them, and the exit code of that."""
+    rows = table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_extendedprice") * 5).alias("size"), F.floor(F.col("l_quantity") * 1500).alias("overlap"))
+    code = F.coalesce(chunking.size_fault(F.col("size"), F.col("overlap")), F.lit("none"))
+    counts = rows.groupBy(code.alias("code")).agg(F.count("*").alias("n"))
+    exits = errors.table(spark).select("code", F.col("exit_code").alias("e"))
+    return counts.join(F.broadcast(exits), "code", "left").select("code", F.coalesce("e", F.lit(0)).alias("exit_code"), "n")
 
 
 @query(f"""WITH {FILES}, l AS (SELECT path, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM files),

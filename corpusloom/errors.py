@@ -1,4 +1,4 @@
-"""The error taxonomy: 31 codes in six categories, as a table and as an exception."""
+"""What the library refuses, as a table and as an exception."""
 
 from __future__ import annotations
 
@@ -6,51 +6,46 @@ import json
 
 from pyspark.sql import DataFrame, SparkSession
 
-EXIT = {"validation": 2, "parsing": 3, "chunking": 4, "resource": 5, "config": 6, "system": 1}
-CANCELLED_EXIT = 130
-
-# Category -> hundreds of the code and titles in order.
-TITLES = {
-    "validation": (0, ("bad path", "bad session hash", "missing query", "bad chunk size", "overlap exceeds size", "empty context")),
-    "parsing": (100, ("syntax parse failed", "invalid JSON", "encoding failed", "analyser response unreadable", "corrupt checkpoint")),
-    "chunking": (200, ("chunk too large", "no chunks", "aggregation conflict", "result validation failed", "batch failed")),
-    "resource": (300, ("not found", "permission denied", "file too large", "context too large", "cache directory unusable", "session not found")),
-    "config": (400, ("bad configuration", "missing setting", "bad model", "budget exceeded")),
-    "system": (500, ("internal error", "state corrupted", "timed out", "rate limited", "cancelled")),
+#: Process exit codes by kind of fault.
+EXIT = {"argument": 2, "data": 3, "state": 4, "system": 1}
+
+#: fault -> (kind, what went wrong, what to do about it)
+FAULTS = {
+    "pattern": ("argument", "pattern can't be used", "Write {what} without repeats inside repeats and without alternatives that start alike."),
+    "path": ("argument", "path outside of its root", "Give {what} relative to the root, without `..`."),
+    "session_name": ("argument", "name can't be a session's", "Use letters, digits, - and _ in {what}."),
+    "query": ("argument", "no query", "Say what {what} asks for."),
+    "chunk_size": ("argument", "chunk size out of range", "Choose {what} within the limits, or strict=False."),
+    "overlap": ("argument", "overlap doesn't fit", "Choose {what} below the chunk size and the largest overlap."),
+    "setting": ("argument", "no such value", "Set {what} to one of the values that its documentation lists."),
+    "columns": ("data", "columns missing or taken", "Add or rename the columns of {what}."),
+    "too_many": ("data", "more rows than one document takes", "Export {what} as lines."),
+    "structure_only": ("data", "texts were not loaded", "Scan {what} in full or by targets before reading texts."),
+    "binary": ("data", "not a text", "Leave {what} out, or convert it to UTF-8."),
+    "session_exists": ("state", "session exists", "Resume {what}, or replace it with force=True."),
+    "no_session": ("state", "no such session", "List the sessions; {what} is not among them."),
+    "unsettled": ("system", "components did not settle", "Allow more {what}."),
+    "no_shared_folder": ("system", "no shared folder", "Set {what} to a folder that all executors reach."),
+    "cancelled": ("system", "work was cancelled", "Resume {what}; batches that were written stay."),
 }
-HINTS = {
-    "validation": "Correct the argument {what}.",
-    "parsing": "Look at {what}; it could not be read as expected.",
-    "chunking": "Change the chunk size or overlap for {what}.",
-    "resource": "Check that {what} exists, is readable and within the limits.",
-    "config": "Set {what} to an allowed value.",
-    "system": "Run again from the last checkpoint; {what} did not finish.",
-}
-
-
-def rows() -> list[tuple[str, str, str, int, str]]:
-    out = []
-    for category, (base, titles) in TITLES.items():
-        for i, title in enumerate(titles, 1):
-            code = CANCELLED_EXIT if title == "cancelled" else EXIT[category]
-            out.append((f"E{base + i:03d}", category, title, code, HINTS[category]))
-    return out
 
 
 def table(spark: SparkSession) -> DataFrame:
-    """(code, category, title, exit_code, hint), one row per code."""
-    return spark.createDataFrame(rows(), "code string, category string, title string, exit_code int, hint string")
+    """(code, kind, title, exit_code, hint), one row per fault."""
+    rows = [(code, kind, title, EXIT[kind], hint) for code, (kind, title, hint) in FAULTS.items()]
+    return spark.createDataFrame(rows, "code string, kind string, title string, exit_code int, hint string")
 
 
 class CorpusError(Exception):
-    """``[CODE] Title: message`` with its context; unknown context fields are kept."""
+    """``[code] title: message`` with its context; unknown context fields are kept."""
 
     def __init__(self, code: str, message: str, **context: object):
-        known = {r[0]: r for r in rows()}
-        self.code, self.category, self.title, self.exit_code, hint = known[code]
+        self.code = code
+        self.kind, self.title, hint = FAULTS[code]
+        self.exit_code = EXIT[self.kind]
         self.message, self.context = message, context
         self.hint = hint.format(what=context.get("what", "it"))
         super().__init__(f"[{self.code}] {self.title}: {message}")
 
     def to_json(self) -> str:
-        return json.dumps({"code": self.code, "category": self.category, "title": self.title, "message": self.message, "context": self.context}, default=str)
+        return json.dumps({"code": self.code, "kind": self.kind, "title": self.title, "message": self.message, "hint": self.hint, "context": self.context}, default=str)

@@ -19,7 +19,7 @@ class Grep:
 
     def eval(self, text: str, pattern: str) -> Iterator[tuple]:
         if not is_safe_regex(pattern):
-            raise CorpusError("E001", "the pattern may take very long", what="pattern")
+            raise CorpusError("pattern", "the pattern may take very long", what="pattern")
         for n, m in enumerate(re.finditer(pattern, text or "")):
             if n == model.GREP_MATCHES:
                 return
@@ -33,7 +33,7 @@ class Chunks:
 
     def eval(self, text: str, size: int, overlap: int) -> Iterator[tuple]:
         if size <= 0 or not 0 <= overlap < size:
-            raise CorpusError("E005", f"{overlap} does not fit a size of {size}", what="overlap")
+            raise CorpusError("overlap", f"{overlap} does not fit a size of {size}", what="overlap")
         n = len(text or "")
         for no, a in enumerate(range(0, max(n - overlap, 1) if n else 0, size - overlap)):
             yield no, a, min(a + size, n), text[a : a + size]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from re import _parser
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -35,38 +36,144 @@ def truncate_output(text: Column, most: int = model.OUTPUT_CHARS, suffix: str =
     return F.when(F.length(text) > most, F.concat(F.left(text, F.lit(most)), F.lit(suffix))).otherwise(text)
 
 
-# Shapes of patterns whose matching may take exponential time.
-UNSAFE_SHAPES = (
-    r"\([^)]*[+*]\)[+*]",
-    r"\([^)]*[+*]\)\{\d+,\d*\}",
-    r"\(\.\*\)[+*]",
-    r"\(\.\+\)[+*]",
-    r"\([^)|]*\|[^)]*\)[+*]{1,2}[+*]",
-    r"(\.\*){3,}",
-    r"(\.\+){3,}",
-    r"\[[^\]]*\][+*]\[[^\]]*\][+*]\[[^\]]*\][+*]\$",
-    r"\(\?:[^)]*[+*]\)[+*]",
-    r"(\\w[+*]){2,}",
-    r"(\\s[+*]){2,}",
-    r"(\\d[+*]){2,}",
-    r"\{\d{4,},?\d*\}",
-)
-_UNSAFE = [re.compile(p) for p in UNSAFE_SHAPES]
-
-
 def is_safe_regex(pattern: str) -> bool:
-    """False for patterns that don't compile or have one of the 13 unsafe shapes."""
+    r"""Whether a pattern compiles and its matching can't take exponential, or a high power of the text's, time.
+
+    Refused are, read from the parsed pattern: a repeat inside a repeat (``(a+)+``, ``(.*){5}``, ``(abc){2,}`` over a
+    counted group); repeated alternatives that can start with the same character (``(a|a)*``, ``(a|ab)+``); three or more
+    open repeats in a row that share a character (``.*.*.*``, two if they are equal: ``\w+\w+``); counts of 1,000 or more.
+    """
     try:
-        re.compile(pattern)
-    except re.error:
+        return not (_unsafe(_parser.parse(pattern), False) or _alike(pattern))
+    except (re.error, OverflowError, RecursionError):
         return False
-    return not any(p.search(pattern) for p in _UNSAFE)
+
+
+_REPEATS = {_parser.MAX_REPEAT, _parser.MIN_REPEAT, _parser.POSSESSIVE_REPEAT}
+
+
+def _unsafe(tree, repeated: bool) -> bool:
+    before: list[tuple[frozenset, str]] = []
+    for op, arg in tree:
+        if op in _REPEATS:
+            low, high, inner = arg
+            if high != _parser.MAXREPEAT and high >= 1000 or low >= 1000:
+                return True
+            many = high == _parser.MAXREPEAT or high > 1
+            if many and repeated and op != _parser.POSSESSIVE_REPEAT:
+                return True
+            group = any(o in (_parser.SUBPATTERN, _parser.ATOMIC_GROUP) for o, _ in inner)
+            if many and group and (low, high) != (0, 1) and high != _parser.MAXREPEAT and _loose(inner):
+                return True
+            if many and group and high == _parser.MAXREPEAT and low >= 2:
+                return True
+            if _unsafe(inner, repeated or many):
+                return True
+            if high == _parser.MAXREPEAT:
+                mine = (_starts(inner), str(inner))
+                run = [s for s in before if s[0] & mine[0]]
+                if len(run) >= 2 or any(s[1] == mine[1] for s in before):
+                    return True
+                before.append(mine)
+                continue
+        elif op == _parser.SUBPATTERN:
+            if _unsafe(arg[-1], repeated):
+                return True
+        elif op in (_parser.ASSERT, _parser.ASSERT_NOT):
+            if _unsafe(arg[1], repeated):
+                return True
+        elif op == _parser.ATOMIC_GROUP:
+            if _unsafe(arg, False):
+                return True
+        elif op == _parser.BRANCH:
+            firsts = [_starts(b) for b in arg[1]]
+            if repeated and any(x & y for i, x in enumerate(firsts) for y in firsts[:i]):
+                return True
+            if any(_unsafe(b, repeated) for b in arg[1]):
+                return True
+        if op not in (_parser.AT, _parser.ASSERT, _parser.ASSERT_NOT):
+            before = []
+    return False
+
+
+def _alike(pattern: str) -> bool:
+    """Whether a repeated group has alternatives that can start alike (read from the text, since the parser joins such alternatives)."""
+    opened: list[list[int]] = []
+    skip, in_class = False, False
+    for i, c in enumerate(pattern):
+        if skip:
+            skip = False
+        elif c == "\\":
+            skip = True
+        elif in_class:
+            in_class = c != "]" or pattern[i - 1] == "["
+        elif c == "[":
+            in_class = True
+        elif c == "(":
+            opened.append([i])
+        elif c == "|" and opened:
+            opened[-1].append(i)
+        elif c == ")" and opened:
+            bars = opened.pop()
+            if len(bars) > 1 and re.match(r"[*+]|\{\d*(,\d*)?\}", pattern[i + 1 :]) and not re.match(r"\{[01]?(,1)?\}", pattern[i + 1 :]):
+                first = re.sub(r"^\((\?(:|P<\w+>|[a-zA-Z-]+:))?", "", pattern[bars[0] : bars[1]])
+                parts = [first, *(pattern[a + 1 : b] for a, b in zip(bars[1:], [*bars[2:], i]))]
+                firsts = [_starts(_parser.parse(x)) for x in parts]
+                if not all(parts) or any(x & y for k, x in enumerate(firsts) for y in firsts[:k]):
+                    return True
+    return False
+
+
+def _loose(tree) -> bool:
+    """Whether a repeat without end is in the tree."""
+    return any(
+        op in _REPEATS and (arg[1] == _parser.MAXREPEAT or _loose(arg[2])) or op == _parser.SUBPATTERN and _loose(arg[-1]) or op == _parser.BRANCH and any(map(_loose, arg[1]))
+        for op, arg in tree
+    )
+
+
+def _starts(tree) -> frozenset:
+    """The characters below 128, and one for all others (128), that a match of the tree can start with; all where that is unknown."""
+    every, out = frozenset(range(129)), frozenset()
+    one = lambda c: frozenset({min(c, 128)})
+    kinds = {"DIGIT": "0-9", "SPACE": r"\s", "WORD": r"\w"}
+    for op, arg in tree:
+        if op == _parser.LITERAL:
+            return out | one(arg)
+        if op == _parser.NOT_LITERAL:
+            return out | every - one(arg) | {128}
+        if op == _parser.IN:
+            got, negated = frozenset(), False
+            for kind, value in arg:
+                if kind == _parser.NEGATE:
+                    negated = True
+                elif kind == _parser.LITERAL:
+                    got |= one(value)
+                elif kind == _parser.RANGE:
+                    got |= frozenset(range(min(value[0], 128), min(value[1], 128) + 1))
+                else:
+                    name = str(value).removeprefix("CATEGORY_")
+                    cls = re.compile("[" + kinds[name.removeprefix("NOT_")] + "]")
+                    inside = frozenset(c for c in range(128) if cls.match(chr(c))) | {128}
+                    got |= (every - inside | {128}) if name.startswith("NOT_") else inside
+            return out | (every - got | {128} if negated else got)
+        if op in _REPEATS:
+            out |= _starts(arg[2])
+            if arg[0]:
+                return out
+        elif op == _parser.SUBPATTERN:
+            return out | _starts(arg[-1])
+        elif op == _parser.BRANCH:
+            return out.union(*map(_starts, arg[1]))
+        elif op not in (_parser.AT, _parser.ASSERT, _parser.ASSERT_NOT):
+            return every
+    return out
 
 
 def grep(text: Column, pattern: str, most: int = model.GREP_MATCHES) -> Column:
     """array<string> of the first matches; raises for unsafe patterns."""
     if not is_safe_regex(pattern):
-        raise CorpusError("E001", "the pattern may take very long", what="pattern")
+        raise CorpusError("pattern", "the pattern may take very long", what="pattern")
     return F.slice(F.regexp_extract_all(text, F.lit(pattern), 0), 1, most)
 
 
@@ -75,15 +182,19 @@ def grep_spans(text: Column, pattern: str, window: int = model.GREP_WINDOW, most
     found = grep(text, pattern, most)
 
     def spans(m: Column) -> Column:
-        gaps = F.split(text, pattern, -1)
-        lead = F.transform(F.sequence(F.lit(0), F.size(m) - 1), lambda i: F.aggregate(F.slice(gaps, 1, i + 1), F.lit(0), lambda a, g: a + F.length(g)))
-        taken = lambda i: F.aggregate(F.slice(m, 1, i), F.lit(0), lambda a, g: a + F.length(g))
-        def one(at: Column, i: Column) -> Column:
-            start = at + taken(i)
-            end = start + F.length(m[i])
-            left = F.greatest(F.lit(0), start - window)
-            return F.struct(m[i].alias("match"), start.alias("start"), end.alias("end"), F.substring(text, left + 1, end + window - left).alias("snippet"))
-        return F.when(F.size(m) > 0, F.transform(lead, one)).otherwise(F.array().cast("array<struct<match:string,start:int,end:int,snippet:string>>"))
+        gaps = F.slice(F.split(text, pattern, -1), 1, F.size(m))
+        step = lambda done, pair: F.struct((done["at"] + F.length(pair["gap"]) + F.length(pair["m"])).alias("at"), pair["m"].alias("m"))
+        pairs = F.zip_with(gaps, m, lambda gap, x: F.struct(gap.alias("gap"), x.alias("m")))
+        start = F.struct(F.lit(0).alias("at"), F.lit("").alias("m"))
+        # One pass: the end of each match is the end before it, the gap and the match itself.
+        ends = F.aggregate(pairs, F.array(start), lambda done, pair: F.concat(done, F.array(step(F.element_at(done, -1), pair))))
+
+        def one(e: Column) -> Column:
+            first, end = e["at"] - F.length(e["m"]), e["at"]
+            left = F.greatest(F.lit(0), first - window)
+            return F.struct(e["m"].alias("match"), first.alias("start"), end.alias("end"), F.substring(text, left + 1, end + window - left).alias("snippet"))
+
+        return F.transform(F.slice(ends, 2, F.greatest(F.size(m), F.lit(0))), one)
 
     return F.transform(F.array(found), spans)[0]
 
@@ -116,10 +227,16 @@ def count_tokens(text: Column) -> Column:
     return F.ceil(F.length(text) / 4).cast("long")
 
 
-def chunk_id(path: Column, start_line: Column, content: Column, digits: int = 8) -> Column:
+def chunk_id(path: Column, start_line: Column, content: Column, digits: int = 16) -> Column:
+    """64 bits by default, so that ids of different chunks don't meet; ``short_id`` is for reading."""
     return F.left(F.sha2(F.concat_ws("|", path, start_line.cast("string"), content), 256), F.lit(digits))
 
 
+def short_id(chunk: Column) -> Column:
+    """The first 8 digits of a chunk's id, for listings; not a key."""
+    return F.left(chunk, F.lit(8))
+
+
 def line_number(text: Column, offset: Column) -> Column:
     """1-based line of a character offset."""
     head = F.left(text, offset)
@@ -202,18 +319,27 @@ def content_hash(text: Column, algorithm: str = "sha256") -> Column:
     if algorithm == "xxh64":
         return F.lower(F.lpad(F.hex(F.xxhash64(text)), 16, "0"))
     if algorithm != "sha256":
-        raise CorpusError("E401", f"{algorithm} is not sha256 or xxh64", what="algorithm")
+        raise CorpusError("setting", f"{algorithm} is not sha256 or xxh64", what="algorithm")
     return F.sha2(text, 256)
 
 
+#: Look-alikes of angle brackets and the solidus, and what they become; invisible characters go.
+LOOK_ALIKES = ("\uff1c\u2039\u27e8\u3008\ufe64\uff1e\u203a\u27e9\u3009\ufe65\uff0f\u2044\u2215", "<<<<<>>>>>///")
+INVISIBLE = "[\u200b-\u200f\u2060-\u2064\ufeff\u00ad]"
+
+
 def sanitize_xml(text: Column) -> Column:
-    """Comment and CDATA ends and the prompt's own tags lose their angle brackets."""
-    out = F.regexp_replace(text, "<!--|-->|\\]\\]>", "")
-    return F.regexp_replace(out, "(?i)<(/?)(system|query|content|instructions|response)>", "[$1$2]")
+    """Comment and CDATA ends and the prompt's own tags lose their angle brackets, also where look-alikes or invisible characters spell them."""
+    tags = "system|query|position|content|instructions|response|format"
+    odd = f"[{LOOK_ALIKES[0]}]"
+    plain = F.translate(F.regexp_replace(text, INVISIBLE, ""), *LOOK_ALIKES)
+    spelled = F.when(text.rlike(f"{odd}|{INVISIBLE}") & plain.rlike(f"(?i)</?\\s*({tags})\\b[^<>]*>|<!--|-->|\\]\\]>"), plain).otherwise(text)
+    out = F.regexp_replace(spelled, "<!--|-->|\\]\\]>", "")
+    return F.regexp_replace(out, f"(?i)<(/?)\\s*({tags})\\b[^<>]*>", "[$1$2]")
 
 
 def valid_session(name: Column) -> Column:
-    return name.rlike("^[a-zA-Z0-9_-]+$")
+    return name.rlike(r"\A[a-zA-Z0-9_-]+\z")
 
 
 def failure_type(message: Column) -> Column:
@@ -226,5 +352,16 @@ def failure_type(message: Column) -> Column:
 
 
 def glob_to_regex(glob: str) -> str:
-    """A shell pattern as a regular expression for a whole path component or path."""
-    return "^" + re.escape(glob).replace(r"\*", ".*").replace(r"\?", ".") + "$"
+    """A shell pattern (``*``, ``?``, ``[..]``, ``[!..]``) as a regular expression for a whole path component or path."""
+    out, i = "", 0
+    while i < len(glob):
+        c, i = glob[i], i + 1
+        close = glob.find("]", i + 1 + (glob[i : i + 1] == "!")) if c == "[" else -1
+        if c in "*?":
+            out += ".*" if c == "*" else "."
+        elif close > 0:
+            body = re.sub(r"([\\\[\]^&])", r"\\\1", glob[i + (glob[i] == "!") : close])
+            out, i = f"{out}[{'^' if glob[i] == '!' else ''}{body}]", close + 1
+        else:
+            out += re.escape(c)
+    return rf"\A(?s:{out})\z"

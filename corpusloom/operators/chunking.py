@@ -14,15 +14,20 @@ from pyspark.sql import functions as F
 from corpusloom import model
 from corpusloom.errors import CorpusError
 from corpusloom.functions.text import chunk_id, chunk_size, language
-from corpusloom.plans.staging import smaller_batches
+
+
+def size_fault(size: Column, overlap: Column, strict: bool = True) -> Column:
+    """The code of what is wrong with a size and overlap, for requests that come as rows; null if nothing is."""
+    low, high = (model.MIN_CHUNK, model.MAX_CHUNK) if strict else (1, 1 << 40)
+    return F.when(~size.between(low, high), "chunk_size").when((overlap < 0) | (overlap > model.MAX_OVERLAP) | (overlap >= size), "overlap")
 
 
 def check_sizes(size: int, overlap: int, strict: bool = True) -> None:
     low, high = (model.MIN_CHUNK, model.MAX_CHUNK) if strict else (1, 1 << 40)
     if not low <= size <= high:
-        raise CorpusError("E004", f"{size} is not within {low} to {high}", what="size")
+        raise CorpusError("chunk_size", f"{size} is not within {low} to {high}", what="size")
     if not 0 <= overlap <= model.MAX_OVERLAP or overlap >= size:
-        raise CorpusError("E005", f"{overlap} does not fit a size of {size}", what="overlap")
+        raise CorpusError("overlap", f"{overlap} does not fit a size of {size}", what="overlap")
 
 
 def bounds(n: Column, size: Column, overlap: int = 0) -> Column:
@@ -79,7 +84,6 @@ def line_chunks(text: str, size: int, overlap_lines: int) -> list[tuple[int, int
 
 def chunk_lines_overlapping(files: DataFrame, size: int = model.DEFAULT_CHUNK_SIZE, overlap_lines: int = 5) -> DataFrame:
     """(path, no, start_line, end_line, content, is_fallback): whole lines, for files that have no scopes."""
-    smaller_batches(files.sparkSession)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -137,7 +141,6 @@ def scope_chunks(text: str, lang: str | None, most: int) -> list[tuple[int, int,
 
 def chunk_scopes(files: DataFrame, most: int = model.DEFAULT_CHUNK_SIZE) -> DataFrame:
     """(path, no, start_line, end_line, content, is_fallback): chunks that end where scopes begin."""
-    smaller_batches(files.sparkSession)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:

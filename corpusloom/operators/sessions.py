@@ -97,17 +97,17 @@ class Session:
 
     def __init__(self, spark: SparkSession, root: str, session_id: str):
         if not session_id or not all(c.isalnum() or c in "-_" for c in session_id):
-            raise CorpusError("E002", "letters, digits, - and _ only", what="session_id")
+            raise CorpusError("session_name", "letters, digits, - and _ only", what="session_id")
         self.spark, self.path, self.session_id = spark, f"{root.rstrip('/')}/{session_id}", session_id
 
     @classmethod
     def init(cls, spark: SparkSession, root: str, query: str, config: Config | None = None, session_id: str | None = None, force: bool = False) -> Session:
         """A new session; refuses to reuse an id unless forced."""
         if not query:
-            raise CorpusError("E003", "a session needs a query", what="query")
+            raise CorpusError("query", "a session needs a query", what="query")
         s = cls(spark, root, session_id or new_session_id())
         if s.exists() and not force:
-            raise CorpusError("E201", "the session exists; force replaces it", what=s.session_id)
+            raise CorpusError("session_exists", "the session exists; force replaces it", what=s.session_id)
         row = (s.session_id, query, PHASES[0], str(config or Config()), None, None)
         spark.createDataFrame([row], LOG).withColumn("at", F.current_timestamp()).write.mode("overwrite").parquet(f"{s.path}/log")
         return s
@@ -118,11 +118,11 @@ class Session:
         if session_id is None:
             newest = cls.every(spark, root).orderBy(F.desc("at"), "session_id").first()
             if newest is None:
-                raise CorpusError("E306", "there is no session to resume", what=root)
+                raise CorpusError("no_session", "there is no session to resume", what=root)
             session_id = newest["session_id"]
         s = cls(spark, root, session_id)
         if not s.exists():
-            raise CorpusError("E306", "no such session", what=session_id)
+            raise CorpusError("no_session", "no such session", what=session_id)
         return s
 
     @classmethod
@@ -155,7 +155,7 @@ class Session:
 
     def set_phase(self, phase: str) -> None:
         if phase not in PHASES:
-            raise CorpusError("E401", f"{phase} is no phase", what="phase")
+            raise CorpusError("setting", f"{phase} is no phase", what="phase")
         self._append(phase=phase)
 
     def set_final_answer(self, answer: str) -> None:
@@ -168,7 +168,7 @@ class Session:
     def add_results(self, results: DataFrame) -> None:
         missing = {"chunk_id", "status", "processed_at"} - set(results.columns)
         if missing:
-            raise CorpusError("E204", f"results lack {sorted(missing)}", what="results")
+            raise CorpusError("columns", f"results lack {sorted(missing)}", what="results")
         results.write.mode("append").parquet(f"{self.path}/results")
 
     def results(self) -> DataFrame:

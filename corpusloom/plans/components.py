@@ -6,29 +6,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.errors import CorpusError
-from corpusloom.plans.staging import stage
+from corpusloom.plans.staging import drop, join_hot, stage
 
 
-def star_components(edges: DataFrame, rounds: int = 200) -> DataFrame:
+def star_components(edges: DataFrame, rounds: int = 200, hot: int = 100_000) -> DataFrame:
     """(node, root) for every node of ``edges`` (u, v) but the roots themselves.
 
     ``root`` is the smallest node reachable. Each round is a table in the shared
-    folder; a round joins edges with one minimum per node, so that no
-    neighbourhood is gathered in one place. Rounds end when all edges form stars, and
-    only then; edges that don't after ``rounds`` are an error.
+    folder that replaces the one before; a round joins edges with one minimum per node, so that no
+    neighbourhood is gathered in one place, and nodes of over ``hot`` edges meet their minimum
+    by broadcast. Rounds end when all edges form stars, and only then; edges that don't
+    after ``rounds`` are an error.
     """
     edges = stage(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
     for _ in range(rounds):
         if are_stars(edges):
             return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        edges = stage(small.where("u <> v").distinct(), "links")
+        least = stage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n")), "minima")
+        large = join_hot(both, least, "u", hot).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        large = stage(large, "large-stars")
+        low = stage(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "minima")
+        small = join_hot(large, low, "u", hot).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        after = stage(small.where("u <> v").distinct(), "links")
+        drop(edges, least, large, low)
+        edges = after
     if not are_stars(edges):
-        raise CorpusError("E503", f"components not settled after {rounds} rounds", what="rounds")
+        raise CorpusError("unsettled", f"components not settled after {rounds} rounds", what="rounds")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 

@@ -20,7 +20,7 @@ def contained(root: str, path: str) -> str:
     """``path`` below ``root``; raises for absolute paths, ``..`` and NUL."""
     parts = PurePosixPath(path.replace("\\", "/"))
     if "\0" in path or parts.is_absolute() or ".." in parts.parts:
-        raise CorpusError("E001", "the path leaves its root", what=path)
+        raise CorpusError("path", "the path leaves its root", what=path)
     return f"{root.rstrip('/')}/{parts}"
 
 
@@ -179,7 +179,7 @@ def export_results(results: DataFrame, session_id: str, query: str, final_answer
 def export_document(results: DataFrame, notes: DataFrame, session_id: str, query: str, final_answer: str | None, most: int = 10_000) -> DataFrame:
     """One row: a JSON document of the session, its results and notes. Larger sessions are refused; ``export_results`` takes them."""
     if results.limit(most + 1).count() > most:
-        raise CorpusError("E304", f"more than {most} results; export them as lines", what=session_id)
+        raise CorpusError("too_many", f"more than {most} results; export them as lines", what=session_id)
     noted = F.struct("at", "note")
     rows = results.select(F.struct("*").alias("r")).unionByName(notes.orderBy("at").limit(most).select(noted.alias("n")), allowMissingColumns=True)
     buffers = F.transform(F.sort_array(F.collect_list("n")), lambda n: n["note"])

@@ -44,7 +44,7 @@ def test_scans(spark, folder):
 def test_paths_stay_inside(path):
     with pytest.raises(errors.CorpusError) as e:
         src.contained("/root/data", path)
-    assert e.value.code == "E001" and json.loads(e.value.to_json())["context"]
+    assert e.value.code == "path" and json.loads(e.value.to_json())["context"]
 
 
 def test_ignore_file():
@@ -164,8 +164,11 @@ def test_responses_and_markers(spark, tmp_path):
 
 def test_errors_table(spark):
     rows = errors.table(spark).collect()
-    assert len(rows) == 31 and len({r.code for r in rows}) == 31
-    assert str(errors.CorpusError("E004", "x", what="y")).startswith("[E004] bad chunk size")
+    assert len(rows) == len({r.code for r in rows}) == len(errors.FAULTS) and all(r.exit_code in errors.EXIT.values() and r.hint for r in rows)
+    for code in errors.FAULTS:
+        e = errors.CorpusError(code, "x", what="y")
+        assert str(e).startswith(f"[{code}] ") and json.loads(e.to_json())["hint"] == e.hint
+    assert str(errors.CorpusError("chunk_size", "x", what="y")).startswith("[chunk_size] chunk size out of range")
 
 
 def test_streams_equal_batches(spark, tmp_path):
@@ -188,3 +191,70 @@ def test_streams_equal_batches(spark, tmp_path):
 
 def test_every_query_has_a_twin_or_a_test():
     assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"grep_spans", "chunk_scopes", "near_dup_ratio"}
+
+
+UNSAFE = (
+    "(a+)+", "(a*)+", "(a+)*", "(a*)*", "(?:a+)+", "(?:a*)+", "(?P<name>a+)+", "(?P<name>a*)+", "(a|a)+", "(a|a)*", "([a-z]+)+", "(.*){5}", "(abc){2,}",
+    "(.*a){20}", "(a|ab)+c", ".*.*.*=", r"\w+\w+", "a{5000}", "((a+)b?)+", "(", "(?:x|xy)*z", "(a+){2,}",
+)
+SAFE = ("[0-9]{2,}", "(foo|bar)+", "(ab)+c", ".*error.*", r"def \w+\(", "(?:abc)?", "a{2,5}", "(a|b){3}", r"^\s*class\s+\w+", r"[(|)]+", r"\(a\|a\)+")
+
+
+@pytest.mark.parametrize("pattern", UNSAFE + SAFE)
+def test_unsafe_patterns(pattern):
+    assert fn.is_safe_regex(pattern) == (pattern in SAFE)
+
+
+@pytest.mark.parametrize("glob,fits,others", [("*.py", ["a.py", "x/y.py"], ["a.pyc"]), ("[ab]*.py", ["ax.py"], ["cx.py"]), ("[!ab].c", ["c.c"], ["a.c"]), ("a?b", ["axb"], ["ab"]), ("[]x]", ["]", "x"], ["y"]), ("x[1", ["x[1"], ["x1"]), ("[a-c]&[", ["b&["], ["d&["])])
+def test_globs(spark, glob, fits, others):
+    rows = spark.createDataFrame([(p,) for p in fits + others], "p string")
+    assert [r.m for r in rows.select(F.col("p").rlike(fn.glob_to_regex(glob)).alias("m")).collect()] == [True] * len(fits) + [False] * len(others)
+
+
+def test_session_names(spark):
+    names = ["abc", "a-b_C1", "abc\n", "", "a b", "\u00e4", "../a", "a/b"]
+    rows = spark.createDataFrame([(n,) for n in names], "n string")
+    assert [r.v for r in rows.select(fn.valid_session(F.col("n")).alias("v")).collect()] == [True, True] + [False] * 6
+
+
+def test_staging(spark, tmp_path, monkeypatch):
+    """Staged tables go when told to; settings return; a cluster without a shared folder is refused."""
+    from corpusloom.plans import staging
+
+    made = staging.stage(spark.range(5), "five")
+    folder = made.inputFiles()[0].rsplit("/", 1)[0]
+    fs, path = staging.file_system(spark, folder)
+    assert made.count() == 5 and fs.exists(path)
+    staging.drop(made)
+    assert not fs.exists(path)
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    with staging.bounded_batches(spark, 2):
+        assert spark.conf.get(name) != before
+    assert spark.conf.get(name) == before
+
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda *_: None)
+
+        class sparkContext:
+            master = "spark://host:7077"
+            getConf = staticmethod(dict)
+
+    with pytest.raises(errors.CorpusError, match="no_shared_folder"):
+        staging.shared_dir(Cluster)
+
+
+def test_hot_keys_and_centres(spark):
+    """Frequent keys are joined by broadcast, the rest by shuffle; a star of one centre settles."""
+    from corpusloom.plans.components import star_components
+    from corpusloom.plans.staging import join_hot
+
+    rows = spark.createDataFrame([(k, i) for k in range(6) for i in range(1 + 20 * (k < 2))], "k int, i int")
+    sizes = rows.groupBy("k").agg(F.count("*").alias("n"), F.max("i").alias("top"))
+    want = sorted(map(tuple, rows.join(sizes.drop("n"), "k").collect()))
+    for hot in (10, 1, 1000):
+        assert sorted(map(tuple, join_hot(rows, sizes, "k", hot).collect())) == want
+    star = spark.range(1, 400).select(F.lit(500).cast("long").alias("u"), F.col("id").alias("v")).unionByName(spark.createDataFrame([(500, 0), (700, 701)], "u long, v long"))
+    roots = {r.node: r.root for r in star_components(star, hot=50).collect()}
+    assert roots == {k: 0 for k in [*range(1, 400), 500]} | {701: 700}

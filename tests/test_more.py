@@ -167,7 +167,7 @@ def test_lifecycle_of_sessions(spark, tmp_path):
     assert sessions.Session.every(spark, root).count() == 0
     with pytest.raises(errors.CorpusError) as e:
         sessions.Session.resume(spark, root)
-    assert e.value.code == "E306"
+    assert e.value.code == "no_session"
     sessions.Session.init(spark, root, "first", session_id="a")
     s = sessions.Session.init(spark, root, "second", session_id="b")
     assert sessions.Session.resume(spark, root).session_id == "b"
