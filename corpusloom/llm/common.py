@@ -29,6 +29,6 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
-def spread(*cols: Column) -> Column:
-    """A value in 0..999999 that depends on the columns alone; for stable samples."""
-    return F.pmod(F.xxhash64(*cols), F.lit(1_000_000))
+def drawn(h: Column, share: Column) -> Column:
+    """True for the given share of all 64-bit hashes ``h``, the lowest; shares far below a millionth are kept apart too."""
+    return h.cast("double") + 2.0**63 <= share * 2.0**64

@@ -41,8 +41,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.plans.staging import smaller_batches
-
 TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>\"']*(?:(?:\"[^\"]*\"|'[^']*')[^>\"']*)*)>")
 #: Used where quotes are not trusted.
 LOOSE_TAG = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)>")
@@ -288,8 +286,6 @@ def extract(source: str | None) -> str:
 
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars), a row for each row of ``pages``."""
-    smaller_batches(pages.sparkSession)
-
     @F.pandas_udf("string")
     def extracted(sources: pd.Series) -> pd.Series:
         return sources.map(extract)

@@ -9,8 +9,9 @@ the second codeword flags the text as ambiguous.
 Cases. Null text, or a text without a letter: ``und``, score 0, not ambiguous.
 A null language is never learned. No labelled row at all: every text ``und``.
 One language only: every text with a letter gets it, with score 1. Repeated rows
-are scored each. Very long texts are read whole, in pieces of bounded size.
-Other columns pass through; the result columns replace any of the same name.
+are scored each, and learned from once. Codewords of equal loss: the first language
+by name. Very long texts are read whole, in pieces of bounded size. An empty table gives
+an empty one. Other columns pass through; the result columns replace any of the same name.
 """
 
 from __future__ import annotations
@@ -21,11 +22,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import held_out, spread
-from corpusloom.plans.staging import smaller_batches
+from corpusloom.llm.common import drawn, held_out
+from corpusloom.plans.staging import bounded_batches
 
 UNKNOWN = "und"
 LETTER = re.compile(r"[^\W\d_]")
@@ -34,10 +35,12 @@ PIECE = 1 << 20
 
 @dataclass(frozen=True)
 class Settings:
-    """``per_language`` bounds the labelled rows that are learned from."""
+    """What is learned from: of the ``languages`` most frequent labels ``per_language`` rows each, ``learned`` rows in all."""
 
     buckets: int = 4096
     per_language: int = 400
+    languages: int = 500
+    learned: int = 40_000
     rounds: int = 120
     rate: float = 0.05
     decay: float = 1e-4
@@ -131,36 +134,41 @@ def predict(model: Model, text: str | None) -> tuple[str, float, bool]:
     return decode(model, profile(text, model.settings.buckets) @ model.weights + model.bias)
 
 
-def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
-    """Fit on at most ``per_language`` rows of each language, chosen by a hash of the id.
+def sample(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
+    """(l, h, t): at most ``per_language`` different rows of each language learned, those of the lowest hash of id and text.
 
-    Rows of the held-out fold and rows without a language are left out. The
-    texts stay on the executors: the driver gets one n-gram profile a row.
+    Rows of the held-out fold and rows without a language are left out. A share that
+    follows from the language's count is drawn first, so that ranks are only given to
+    about as many rows as are kept.
     """
-    smaller_batches(docs.sparkSession)
     rows = docs.select(F.col("doc_id").alias("i"), F.col("text").alias("t"), F.col("lang").alias("l"))
     rows = rows.where(F.col("l").isNotNull() & F.col("t").isNotNull() & ~held_out(F.col("i")))
-    sizes = {r["l"]: r["count"] for r in rows.groupBy("l").count().collect()}
-    if not sizes:
-        return Model([], codewords(0), np.zeros((settings.buckets, 1)), np.zeros(1), np.ones(1), settings)
-    share = {k: int(min(1, settings.per_language / n) * 1_000_000) for k, n in sizes.items()}
-    limit = F.create_map(*[F.lit(x) for kv in share.items() for x in kv])[F.col("l")]
+    sizes = rows.groupBy("l").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "l").limit(settings.languages).collect()
+    each = min(settings.per_language, max(1, settings.learned // max(len(sizes), 1)))
+    shares = [x for r in sizes for x in (F.lit(r["l"]), F.lit(min(1.0, 1.2 * each / r["n"] + 40 / r["n"])))]
+    share = F.coalesce(F.try_element_at(F.create_map(*shares), F.col("l")), F.lit(-1.0)) if shares else F.lit(-1.0)
+    some = rows.withColumn("h", F.xxhash64(F.col("i"), F.xxhash64("t"))).where(drawn(F.col("h"), share)).dropDuplicates(["l", "h"])
+    place = F.row_number().over(Window.partitionBy("l").orderBy("h"))
+    return some.withColumn("place", place).where(F.col("place") <= each).select("l", "h", "t")
+
+
+def train(docs: DataFrame, settings: Settings = Settings()) -> Model:
+    """Fit on the rows of ``sample``. The texts stay on the executors: the driver gets one n-gram profile a row."""
     buckets = settings.buckets
 
     @F.pandas_udf("binary")
     def profiles(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: profile(t, buckets).tobytes())
 
-    drawn = rows.withColumn("h", spread(F.col("i"), F.col("t"))).where(F.col("h") < limit)
-    got = drawn.select("l", "h", profiles("t").alias("p")).toPandas().sort_values(["l", "h"])
-    got = got.groupby("l").head(settings.per_language)
-    x = np.stack([np.frombuffer(p, np.float32) for p in got["p"]])
-    return fit(x, got["l"].tolist(), settings)
+    with bounded_batches(docs.sparkSession):
+        got = sample(docs, settings).select("l", "h", profiles("t").alias("p")).toPandas().sort_values(["l", "h"])
+    if not len(got):
+        return Model([], codewords(0), np.zeros((settings.buckets, 1)), np.zeros(1), np.ones(1), settings)
+    return fit(np.stack([np.frombuffer(p, np.float32) for p in got["p"]]), got["l"].tolist(), settings)
 
 
 def scorer(spark: SparkSession, model: Model):
     """A function of a text column giving struct<lang_pred, score, ambiguous>; only the text goes to Python."""
-    smaller_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double, ambiguous boolean")

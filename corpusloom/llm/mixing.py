@@ -85,12 +85,11 @@ def _running(rows: DataFrame, keys: list[str], piece: str, value: str, order: li
     return joined.withColumn(out, F.col("__before") + F.sum(value).over(within)).drop("__before")
 
 
-def schedule(docs: DataFrame) -> DataFrame:
-    """Both laps of every document with ``finish``, ``position`` (running words) and ``taken``.
+def schedule(rows: DataFrame) -> DataFrame:
+    """Both laps of every document of ``sizes`` with ``finish``, ``position`` (running words) and ``taken``.
 
-    One row per document and lap: doc_id, source, size, h, source_size, target, lap.
+    One row per document and lap: doc_id, source, size, h, source_size, target, lap. ``rows`` must be cheap to read again.
     """
-    rows = stage(sizes(docs), "sizes")
     goals = targets(rows)
     n = rows.count()
     # Pieces of a queue: the top bits of the hash, so many that a piece has a few rows.
@@ -119,8 +118,8 @@ def _with_goals(rows: DataFrame, goals: DataFrame, most: int = 10_000) -> DataFr
 
 def mix(docs: DataFrame) -> DataFrame:
     """(doc_id, size, source_size, target, taken): one row per row of ``docs``."""
-    laps = schedule(docs)
-    rows = sizes(docs)
+    rows = stage(sizes(docs), "sizes")
+    laps = schedule(rows)
     key = ["doc_id", "source", "size", "h"]
     took = laps.where("taken").groupBy(*[F.col(k).alias(f"__{k}") for k in key]).agg(F.count("*").alias("laps"))
     goals = targets(rows)
@@ -145,7 +144,7 @@ def keep_mix(docs: DataFrame) -> DataFrame:
     and are taken together.
     """
     place = F.struct("h", "doc_id", "size")
-    ends = schedule(docs).where("taken").groupBy("source", "lap").agg(F.max(place).alias("end"))
+    ends = schedule(stage(sizes(docs), "sizes")).where("taken").groupBy("source", "lap").agg(F.max(place).alias("end"))
     ends = stage(ends.groupBy("source").agg(F.collect_list("end").alias("__ends")), "mix-ends")
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     mine = F.struct(_place().alias("h"), F.col("doc_id").alias("doc_id"), size.alias("size"))

@@ -4,8 +4,9 @@ Word vectors. Every word has a sparse index vector (``signs`` entries of +1/-1
 among ``dims``) that follows from its hash. A word's vector is the sum of the
 index vectors of the words within ``window`` places of it, over all documents;
 words are hashed into ``rows`` rows, so that the table has a fixed size. Each
-task adds up its own documents, then one streaming pass per block of rows adds
-up the tasks. The table (rows x dims floats, 4 MB as set) is broadcast.
+task adds up its own documents; the tasks' blocks of rows are added up in two steps, first
+by block and one of ``SALTS`` salts, then by block, so that no task reads what all
+others wrote. The table (rows x dims floats, 4 MB as set) is broadcast.
 
 Document vector. Mean and standard deviation of the unit word vectors over all
 words of the text, length of the mean, and logarithm of the number of words.
@@ -18,9 +19,9 @@ output before the logistic function.
 Cases. Null, empty or wordless text: pooled vectors of zeros, scored like any
 other. Null labels are not learned from; several labels of an id each count. No
 label, or one value only: the score is that share (0.5 without labels). Repeated
-rows are scored each. Very long texts are read whole, in pieces that end at
-white space. Other columns pass through; the result columns replace any of the
-same name.
+rows are scored each. A score on the threshold counts as good. Very long texts are
+read whole, in pieces that end at white space. An empty table gives an empty one.
+Other columns pass through; the result columns replace any of the same name.
 """
 
 from __future__ import annotations
@@ -33,12 +34,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import held_out, spread
-from corpusloom.plans.staging import smaller_batches
+from corpusloom.llm.common import held_out
+from corpusloom.plans.staging import bounded_batches
 
 PIECE = 1 << 20
-#: Words of an input batch that are hashed together.
-MANY = 1 << 22
+#: Groups of tasks whose sums are added up apart.
+SALTS = 64
 
 
 @dataclass(frozen=True)
@@ -149,7 +150,7 @@ def _contexts(s: Settings):
             add(runs)
         blocks = table.reshape(-1, s.block * s.dims)
         used = np.flatnonzero(blocks.any(1))
-        yield pd.DataFrame({"block": used.astype(np.int32), "sums": [blocks[k].astype("<f4").tobytes() for k in used]})
+        yield pd.DataFrame({"block": used.astype(np.int32), "sums": [blocks[k].tobytes() for k in used]})
 
     return add_up
 
@@ -158,16 +159,19 @@ def _totals(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     sums: dict[int, np.ndarray] = {}
     for pdf in parts:
         for block, data in zip(pdf["block"], pdf["sums"]):
-            got = np.frombuffer(data, "<f4").astype(np.float64)
+            got = np.frombuffer(data, "<f8")
             sums[block] = sums[block] + got if block in sums else got
     yield pd.DataFrame({"block": np.array(list(sums), np.int32), "sums": [v.tobytes() for v in sums.values()]})
 
 
 def word_vectors(docs: DataFrame, s: Settings = Settings()) -> np.ndarray:
     """The table of unit word vectors (rows x dims), gathered from all of ``docs``."""
-    smaller_batches(docs.sparkSession)
     parts = docs.select(F.col("text").alias("t")).mapInPandas(_contexts(s), "block int, sums binary")
-    blocks = parts.repartition(16, "block").mapInPandas(_totals, "block int, sums binary").toPandas()
+    parts = parts.withColumn("salt", F.spark_partition_id() % SALTS).repartition("block", "salt")
+    once = parts.select("block", "sums").mapInPandas(_totals, "block int, sums binary")
+    twice = once.repartition("block").mapInPandas(_totals, "block int, sums binary")
+    with bounded_batches(docs.sparkSession):
+        blocks = twice.toPandas()
     table = np.zeros((s.rows // s.block, s.block * s.dims))
     for block, data in zip(blocks["block"], blocks["sums"]):
         table[block] = np.frombuffer(data, np.float64)
@@ -226,16 +230,16 @@ def train(docs: DataFrame, labels: DataFrame, vectors: np.ndarray, s: Settings =
     """Fit on at most ``labelled`` label rows outside the held-out fold; the driver gets pooled vectors only."""
     spark = docs.sparkSession
     known = labels.select(F.col("doc_id").alias("i"), F.col("quality").alias("y")).where(F.col("y").isNotNull() & F.col("i").isNotNull() & ~held_out(F.col("i")))
-    drawn = known.orderBy(spread(F.col("i")), "i", "y").limit(s.labelled)
+    drawn = known.orderBy(F.xxhash64("i"), "i", "y").limit(s.labelled)
     pooled = pooler(spark, vectors)
     rows = docs.select(F.col("doc_id").alias("d"), F.col("text").alias("t")).join(F.broadcast(drawn), F.col("d") == F.col("i"))
-    got = rows.select("i", "y", pooled("t").alias("x")).toPandas().sort_values(["i", "y"])
+    with bounded_batches(spark):
+        got = rows.select("i", "y", pooled("t").alias("x")).toPandas().sort_values(["i", "y"])
     x = np.stack([np.frombuffer(b, np.float32) for b in got["x"]]) if len(got) else np.zeros((0, 2 * s.dims + 2))
     return fit(x, got["y"].to_numpy(int), s)
 
 
 def pooler(spark: SparkSession, vectors: np.ndarray):
-    smaller_batches(spark)
     shared = spark.sparkContext.broadcast(vectors)
 
     @F.pandas_udf("binary")
@@ -250,7 +254,6 @@ def pooler(spark: SparkSession, vectors: np.ndarray):
 def score(docs: DataFrame, vectors: np.ndarray, net: Network, s: Settings = Settings()) -> DataFrame:
     """``docs`` with ``score`` and ``predicted``; only the text goes to Python."""
     spark = docs.sparkSession
-    smaller_batches(spark)
     shared = spark.sparkContext.broadcast((vectors, net))
 
     @F.pandas_udf("double")

@@ -3,71 +3,87 @@
 Base measures of a text: words, code points in words, symbols, repeated lines,
 and words inside 8-word windows that occur twice or more. The base rules reject
 short texts and texts of repeated windows. What they keep goes through a cascade
-of further rules (RULES); a text is rejected by the first rule it fails, and the
-rules after it aren't evaluated. The order is set on a sample: every rule's cost
-(time of the expression over the sample) and selectivity (share it rejects)
-are measured, and rules run by rejections per cost, best first. The verdict is
-the conjunction of all rules, so it doesn't depend on the order.
+of further rules (``rules``); a text is rejected by the first rule it fails, and the
+rules after it aren't evaluated. The order is set on a sample: every rule's
+selectivity is the share it rejects, its cost the work it would do there, counted as
+what it reads (characters, words, or the text's measures only) times ``WORK`` a unit,
+and rules run by rejections per cost, best first. Counts rather than clocks, so that
+the same table always gives the same order. The verdict is the conjunction of all
+rules, so it doesn't depend on the order.
 
 Repeated windows stay within their row: the windows' hashes are an array, and
 only texts whose hashes aren't all distinct are sorted by (hash, place) to find
 the places that repeat. No window is shuffled.
 
 Cases. Null or empty text: zeros, ``base_failed`` (under 20 words), not kept.
-Under 8 words: no window. Repeated rows are judged each; ties can't occur. Very
-long texts are read whole. An empty sample keeps the rules in their stated
-order. Other columns pass through in ``keep_passing``.
+Under 8 words: no window. Repeated rows are judged each, but count once in the
+sample. Rules of equal worth run in their stated order. Very long texts are read
+whole. An empty sample keeps the rules in their stated order; an empty table gives an
+empty one. Other columns pass through in ``keep_passing``, but for those named
+``__words``, ``__lines`` and ``__m``, which are refused.
 """
 
 from __future__ import annotations
 
-import time
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.common import spread, words_of
+from corpusloom.errors import CorpusError
+from corpusloom.llm.common import drawn, words_of
 
 LEAST_WORDS = 20
 WINDOW = 8
 SAMPLE_ROWS = 2000
 
 
+#: Work of a rule: what it reads in a text, and how much a unit of that costs beside a comparison (measured once, in
+#: character steps of a plain pattern).
+WORK = {
+    "symbols": ("text", 1.0), "mean_word_length": ("text", 1.0), "repeated_lines": ("text", 1.0), "shouting": ("characters", 1.0), "letters": ("characters", 2.5),
+    "capitals": ("characters", 3.5), "few_distinct_words": ("words", 10.0), "adjacent_repeats": ("characters", 3.5),
+}
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once, however often it is named."""
+    return F.transform(F.array(value), use)[0]
+
+
 def repeated_words(words: Column) -> Column:
     """Words inside windows of 8 that occur twice or more in the array, first occurrences included."""
 
-    def counted(w: Column) -> Column:
-        n = F.size(w)
-        hashes = F.transform(F.sequence(F.lit(1), n - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(w, i, WINDOW)))
-        return F.when(n > WINDOW, _covered(hashes)).otherwise(F.lit(0)).cast("long")
+    def counted(h: Column) -> Column:
+        starts = F.slice(h, 1, F.size(h) - (WINDOW - 1))
+        windows = F.transform(starts, lambda x, i: F.xxhash64(x, *[F.get(h, i + k) for k in range(1, WINDOW)]))
+        return F.when(F.size(h) > WINDOW, _bound(windows, _covered)).otherwise(F.lit(0)).cast("long")
 
-    return F.transform(F.array(words), counted)[0]
+    return _bound(F.transform(words, lambda w: F.xxhash64(w)), counted)
 
 
-def _covered(hashes: Column) -> Column:
-    def places(h: Column) -> Column:
-        placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
-        return F.transform(F.array(placed), _repeats)[0]
+def _covered(h: Column) -> Column:
+    """Words in the windows, of these hashes in order, that occur twice or more."""
+    placed = F.sort_array(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
+    return F.when(F.size(F.array_distinct(h)) < F.size(h), _bound(_bound(placed, _repeats), _cover)).otherwise(0)
 
-    def _repeats(s: Column) -> Column:
-        last = F.size(s) - 1
-        twin = lambda i: ((i > 0) & (s[F.greatest(i - 1, F.lit(0))]["h"] == s[i]["h"])) | ((i < last) & (s[F.least(i + 1, last)]["h"] == s[i]["h"]))
-        at = F.filter(F.sequence(F.lit(0), last), twin)
-        return F.sort_array(F.transform(at, lambda i: s[i]["p"]))
 
-    def cover(p: Column) -> Column:
-        gaps = F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: F.least(F.lit(WINDOW), p[i] - p[i - 1]))
-        return F.aggregate(gaps, F.lit(WINDOW), lambda a, g: a + g)
+def _repeats(s: Column) -> Column:
+    """The places, in order, of windows beside an equal one in the sorted array."""
+    last = F.size(s) - 1
+    twin = lambda i: ((i > 0) & (s[F.greatest(i - 1, F.lit(0))]["h"] == s[i]["h"])) | ((i < last) & (s[F.least(i + 1, last)]["h"] == s[i]["h"]))
+    return F.sort_array(F.transform(F.filter(F.sequence(F.lit(0), last), twin), lambda i: s[i]["p"]))
 
-    # Each array is bound once by a one-element transform, so that no step is evaluated again.
-    def counted(h: Column) -> Column:
-        return F.when(F.size(F.array_distinct(h)) < F.size(h), F.transform(F.array(places(h)), cover)[0]).otherwise(0)
 
-    return F.transform(F.array(hashes), counted)[0]
+def _cover(p: Column) -> Column:
+    gaps = F.transform(F.sequence(F.lit(1), F.size(p) - 1), lambda i: F.least(F.lit(WINDOW), p[i] - p[i - 1]))
+    return F.aggregate(gaps, F.lit(WINDOW), lambda a, g: a + g)
 
 
 def measured(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with ``__words``, ``__lines`` and the struct ``__m`` of base measures."""
+    if taken := {"__words", "__lines", "__m"} & {c.lower() for c in docs.columns}:
+        raise CorpusError("columns", f"{sorted(taken)} are names of the measures", what="docs")
     t = F.coalesce(F.col(text), F.lit(""))
     cut = docs.withColumn("__words", words_of(F.col(text))).withColumn("__lines", F.filter(F.split(t, "\n"), lambda line: line.rlike(r"[^\x20\x09-\x0D]")))
     w = F.col("__words")
@@ -102,24 +118,16 @@ def rules() -> dict[str, Column]:
 
 
 def order_rules(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> list[str]:
-    """Rule names by rejections per cost, measured on about ``sample_rows`` rows chosen by a hash of id and text."""
+    """Rule names by rejections per cost, counted in one pass over about ``sample_rows`` different rows chosen by a hash of id and text."""
     names = rules()
-    total = docs.count()
-    if not total:
-        return list(names)
-    share = int(min(1, sample_rows / total) * 1_000_000)
-    drawn = measured(docs.where(spread(F.col("doc_id"), F.xxhash64("text")) < share).select("doc_id", "text")).where(~base_failed()).cache()
-    n = drawn.count()
-    began = time.monotonic()
-    drawn.agg(F.count_if(F.col("__m.n_words") > 0)).first()
-    idle = time.monotonic() - began
-    worth = {}
-    for at, (name, fails) in enumerate(names.items()):
-        began = time.monotonic()
-        rejected = drawn.agg(F.count_if(fails)).first()[0]
-        cost = time.monotonic() - began - idle
-        worth[name] = (-(rejected + 1) / (n + 1) / max(cost, 1e-3), at)
-    drawn.unpersist()
+    share = min(1.0, sample_rows / max(docs.count(), 1))
+    place = F.xxhash64(F.col("doc_id"), F.xxhash64("text"))
+    rows = docs.select(place.alias("h"), "text").where(drawn(F.col("h"), F.lit(share))).dropDuplicates(["h"])
+    rows = measured(rows).where(~base_failed())
+    reads = {"text": F.lit(1), "characters": F.length("text"), "words": F.col("__m.n_words")}
+    counts = [F.coalesce(F.sum(reads[kind] * unit), F.lit(0.0)).alias(f"work_{name}") for name, (kind, unit) in WORK.items()]
+    seen = rows.agg(F.count("*").alias("n"), *[F.count_if(fails).alias(name) for name, fails in names.items()], *counts).first()
+    worth = {name: -((seen[name] + 1) / (seen["n"] + 1)) / max(seen[f"work_{name}"], 1.0) for name in names}
     return sorted(names, key=worth.get)
 
 

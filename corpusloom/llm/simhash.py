@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.plans.components import star_components
-from corpusloom.plans.staging import smaller_batches, stage
+from corpusloom.plans.staging import drop, join_hot, stage
 
 RADIUS = 3
 SHINGLE = 3
@@ -69,8 +69,6 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
 
 def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, fp) of every row."""
-    smaller_batches(docs.sparkSession)
-
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
         return texts.map(fingerprint)
@@ -174,13 +172,14 @@ def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame
 
 def with_components(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame:
     """(doc_id, fp) to (doc_id, fp, component_id). ``prints`` must be cheap to read again."""
-    distinct = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "fingerprints")
+    distinct = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "fingerprints")
     found = star_components(links(distinct.select("fp"), radius, block))
     member = distinct.join(found, distinct.fp == found.node, "left")
-    member = stage(member.select("fp", "least", F.coalesce("root", "fp").alias("root")), "members")
-    lowest = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = member.join(lowest, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", "fp", "component_id")
+    member = stage(member.select("fp", "n", "least", F.coalesce("root", "fp").alias("root")), "members")
+    lowest = stage(member.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("n")), "lowest")
+    named = stage(join_hot(member.withColumnRenamed("n", "rows"), lowest, "root").select("fp", F.col("rows").alias("n"), "component_id"), "named")
+    drop(distinct, member, lowest)
+    return join_hot(prints, named, "fp").select("doc_id", "fp", "component_id")
 
 
 def components(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
