@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom import errors, model
+from corpusloom.functions import tables
 from corpusloom.functions import text as fn
 from corpusloom.operators import analyse, chunking, incremental, sessions
 from corpusloom.plans import reduce
 from corpusloom.plans.running import running_sum
-from corpusloom.plans.staging import dealt
+from corpusloom.plans.staging import dealt, new_path, stage
 from corpusloom.sources import files as src
 from corpusloom.streaming import events as ev
 
@@ -25,6 +26,10 @@ FILES = f"""files AS (SELECT doc_id, source || '/' || lang || '/doc_' || doc_id
   FROM (SELECT *, CASE doc_id % {len(src.ENDINGS)} {_ENDINGS} END AS ext FROM documents))"""
 _SIZES = " ".join(f"WHEN ext = '{e}' THEN {n}" for e, n in model.CHUNK_SIZES.items())
 SIZE = f"CASE {_SIZES} ELSE {model.DEFAULT_CHUNK_SIZE} END"
+#: DuckDB's lines of files, and whole lines dealt to chunks as they fit, one line after the other.
+LINES = "l AS MATERIALIZED (SELECT path, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM files)"
+PACKED = """g AS (SELECT path, line, n AS used, 0 AS no FROM n WHERE line = 1 UNION ALL
+  SELECT n.path, n.line, CASE WHEN used + n > {0} THEN n ELSE used + n END, CASE WHEN used + n > {0} THEN no + 1 ELSE no END FROM g JOIN n ON n.path = g.path AND n.line = g.line + 1)"""
 SHA = "substr(sha256({0}), 1, 16)"
 WORDS = "list_filter(regexp_split_to_array(lower({0}), '[ \\t\\n\\r]+'), lambda w: w <> '')"
 MAY_COVER = "CAST({0} AS BIGINT)"
@@ -144,17 +149,33 @@ def grep(spark, sf_dir):
     return rows.where("n > 0")
 
 
-@query()
+_SPANS = f"""{FILES}, m AS (SELECT path, text, regexp_extract_all(text, '[0-9]{{2,}}') AS m, regexp_split_to_array(text, '[0-9]{{2,}}') AS p FROM files),
+  i AS (SELECT *, unnest(range(1, least(len(m), 20) + 1)) AS i FROM m),
+  s AS (SELECT path, text, m[i] AS match, CAST(list_sum(list_transform(p[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS INTEGER) AS start FROM i)"""
+
+
+@query(f"""WITH {_SPANS} SELECT path, match, start, CAST(start + length(match) AS INTEGER) AS "end",
+  substr(text, greatest(start - 100, 0) + 1, start + length(match) + 100 - greatest(start - 100, 0)) AS snippet FROM s""")
 def grep_spans(spark, sf_dir):
-    """Offsets and snippets of matches; tests compare them with a scan by hand."""
+    """Offsets and snippets of matches."""
     rows = files(spark, sf_dir).where(F.col("text").rlike("[0-9]{2,}"))
     return rows.select("path", F.explode(fn.grep_spans(F.col("text"), "[0-9]{2,}")).alias("m")).select("path", "m.*")
 
 
-@query(f"WITH {FILES} SELECT path, unnest(regexp_extract_all(text, 'token = \"[0-9a-f]+\"')) AS match FROM files WHERE path = 'src2/es/doc_22.txt' OR source = 'src2'")
+@query(f'WITH {_SPANS} SELECT path, match, start, CAST(start + length(match) AS INTEGER) AS "end" FROM s')
+def sql_grep(spark, sf_dir):
+    """The same as a table function in SQL."""
+    tables.register(spark, corpus_files=dealt(files(spark, sf_dir)))
+    return spark.sql("SELECT path, match, start, end FROM corpus_files, LATERAL grep_text(text, '[0-9]{2,}')")
+
+
+@query(f"""WITH {FILES}, f AS (SELECT * FROM files WHERE path = (SELECT max(path) FROM files WHERE regexp_matches(text, 'token = "[0-9a-f]+"')))
+  SELECT path, unnest(regexp_extract_all(text, 'token = "[0-9a-f]+"')) AS match FROM f""")
 def grep_file(spark, sf_dir):
-    rows = files(spark, sf_dir).where("source = 'src2'")
-    return rows.select("path", F.explode(fn.grep(F.col("text"), 'token = "[0-9a-f]+"')).alias("match"))
+    """Matches in one file, the last that has any."""
+    rows, pattern = files(spark, sf_dir), 'token = "[0-9a-f]+"'
+    path = rows.where(F.col("text").rlike(pattern)).agg(F.max("path")).first()[0] or "none"
+    return src.load_file(rows, path).select("path", F.explode(fn.grep(F.col("text"), pattern)).alias("match"))
 
 
 @query(f"""WITH {FILES} SELECT path, CAST(length(text) - length(replace(text, chr(10), '')) + 1 AS BIGINT) AS lines,
@@ -198,17 +219,30 @@ def chunk_limit(spark, sf_dir):
     return chunking.chunk_limit(chunking.chunk_fixed(files(spark, sf_dir), 1000, 0, strict=False))
 
 
-@query(f"""WITH {FILES}, l AS (SELECT path, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM files),
-  b AS (SELECT path, length(t) + 1 AS n, coalesce(sum(length(t) + 1) OVER (PARTITION BY path ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM l)
-  SELECT path, CAST(floor(before / 500) AS BIGINT) AS no, CAST(count(*) AS BIGINT) AS n_lines, CAST(sum(n) AS BIGINT) AS n_chars FROM b GROUP BY 1, 2""")
+@query(f"""WITH RECURSIVE {FILES}, {LINES}, n AS MATERIALIZED (SELECT path, line, length(t) + 1 AS n FROM l), {PACKED.format(500)}
+  SELECT g.path, CAST(no AS BIGINT) AS no, CAST(count(*) AS BIGINT) AS n_lines, CAST(sum(n) AS BIGINT) AS n_chars FROM g JOIN n USING (path, line) GROUP BY 1, 2""")
 def chunk_lines(spark, sf_dir):
-    return chunking.chunk_lines(files(spark, sf_dir), 500)
+    return chunking.chunk_lines(dealt(files(spark, sf_dir)), 500)
 
 
-@query()
+@query(f"""WITH RECURSIVE {FILES}, {LINES}, z AS (SELECT path, max(line) AS last FROM l GROUP BY path),
+  n AS MATERIALIZED (SELECT path, line, length(t) + CAST(line < last AS INTEGER) AS n FROM l JOIN z USING (path) WHERE line < last OR t <> ''), {PACKED.format(2000)}
+  SELECT path, CAST(no AS BIGINT) AS no, CAST(min(line) AS BIGINT) AS start_line, CAST(max(line) AS BIGINT) AS end_line, true AS is_fallback FROM g GROUP BY 1, 2""")
 def chunk_scopes(spark, sf_dir):
-    """Chunks at scopes or lines; tests hold that they join to the text."""
-    return chunking.chunk_scopes(files(spark, sf_dir), 2000).drop("content")
+    """Chunks at scopes or lines; the given texts hold no scopes, code does in the tests."""
+    return chunking.chunk_scopes(dealt(files(spark, sf_dir)), 2000).drop("content")
+
+
+@query(f"""WITH {FILES}, f AS (SELECT path, unnest(range(0, n_chars, 700)) AS start, n_chars FROM files), q AS (SELECT path, start, least(start + 150, n_chars) AS "end" FROM f),
+  c AS (SELECT path, n_chars, unnest(range(0, greatest(n_chars - 100, 1), 700)) AS low FROM files WHERE n_chars > 0)
+  SELECT q.path, CAST(q.start AS BIGINT) AS start, CAST(c.low // 700 AS BIGINT) AS no FROM q JOIN c ON q.path = c.path AND q.start < least(c.low + 800, c.n_chars) AND c.low < q."end" """)
+def findings_in_chunks(spark, sf_dir):
+    """Spans of 150 characters with the overlapping chunks that they touch."""
+    rows = files(spark, sf_dir)
+    n = F.col("n_chars")
+    starts = F.explode(F.when(n > 0, F.sequence(F.lit(0).cast("long"), n - 1, F.lit(700).cast("long"))).otherwise(F.array().cast("array<bigint>")))
+    found = rows.select("path", "n_chars", starts.alias("start")).select("path", "start", F.least(F.col("start") + 150, n).alias("end"))
+    return chunking.overlapping(found, chunking.chunk_fixed(rows, 800, 100, strict=False), 800).select("path", "start", "no")
 
 
 @query(f"WITH {FILES} SELECT path, sha256(text) AS hash FROM files")
@@ -332,11 +366,26 @@ def statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.unionByName(rows.select((F.col("doc_id") * 2 + 1).alias("finding_id"), say(F.col("quality") == 1).alias("point")))
 
 
-@query(f"""WITH {_STATEMENTS}, t AS (SELECT finding_id, {_NEG.format('lower(point)')} AS neg, list_distinct({WORDS.format('point')}) AS w FROM s)
-  SELECT CAST(a.finding_id AS BIGINT) AS a, CAST(b.finding_id AS BIGINT) AS b FROM t a JOIN t b ON NOT a.neg AND b.neg
-  WHERE len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) >= 0.8""")
+def _opposed_sql(said: str, least: float) -> str:
+    """Classes of equal words, asserting or denying, and the pairs of them that are alike."""
+    return f"""WITH {said}, w AS (SELECT finding_id, {_NEG.format('lower(point)')} AS neg, list_sort(list_distinct({WORDS.format('point')})) AS w FROM s),
+      t AS (SELECT min(finding_id) AS id, neg, w, count(*) AS n FROM w GROUP BY neg, w),
+      p AS (SELECT a.id AS a, b.id AS b, a.n AS n_a, b.n AS n_b, len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w))) AS s FROM t a JOIN t b ON NOT a.neg AND b.neg)
+      SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b, round(s, 6) AS similarity, CAST(n_a AS BIGINT) AS n_a, CAST(n_b AS BIGINT) AS n_b FROM p WHERE s >= {least}"""
+
+
+@query(_opposed_sql(_STATEMENTS, 0.8))
 def contradictions(spark, sf_dir):
-    return reduce.contradictions(statements(spark, sf_dir), 0.8).select("a", "b")
+    """Pairs of classes of statements about labelled documents that are alike and opposed."""
+    return reduce.contradictions(statements(spark, sf_dir), 0.8).withColumn("similarity", F.round("similarity", 6))
+
+
+@query(_opposed_sql("s AS (SELECT event_id AS finding_id, event_type || ' was ' || CASE WHEN value < 50 THEN 'not ' ELSE '' END || 'seen by user ' || user_id AS point FROM events)", 0.4))
+def contradictions_broad(spark, sf_dir):
+    """The same at the default similarity, over what events say about their users: many statements of each class."""
+    said = F.concat("event_type", F.lit(" was "), F.when(F.col("value") < 50, "not ").otherwise(""), F.lit("seen by user "), F.col("user_id").cast("string"))
+    found = reduce.contradictions(table(spark, sf_dir, "events").select(F.col("event_id").alias("finding_id"), said.alias("point")))
+    return found.withColumn("similarity", F.round("similarity", 6))
 
 
 @query(f"WITH {_STATEMENTS} SELECT CAST(finding_id AS BIGINT) AS finding_id, {_NEG.format('lower(point)')} AS negated FROM s")
@@ -386,16 +435,17 @@ def session_status(spark, sf_dir):
     return sessions.status(chunks, sessions.latest(attempts(spark, sf_dir), order=("processed_at", "event_id")))
 
 
-@query("""WITH f AS (SELECT event_id + 1 AS no, event_type = 'error' AS failed FROM events), m AS (SELECT min(no) AS low FROM f)
-  SELECT CAST((no - low) // 5 + 1 AS BIGINT) AS batch, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (failed) AS BIGINT) AS failed, round(count(*) FILTER (failed) / count(*), 4) AS rate FROM f, m GROUP BY 1""")
+@query("""WITH f AS (SELECT event_id + 1 AS no, CASE event_type WHEN 'error' THEN 'failed' WHEN 'view' THEN 'placeholder' ELSE 'success' END AS s FROM events), m AS (SELECT min(no) AS low FROM f)
+  SELECT CAST((no - low) // 5 + 1 AS BIGINT) AS batch, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (s = 'success') AS BIGINT) AS succeeded, CAST(count(*) FILTER (s = 'placeholder') AS BIGINT) AS placeholders,
+    CAST(count(*) FILTER (s = 'failed') AS BIGINT) AS failed, round(count(*) FILTER (s = 'failed') / count(*), 4) AS rate FROM f, m GROUP BY 1""")
 def batch_stats(spark, sf_dir):
     return sessions.batches(_numbered(spark, sf_dir))
 
 
 def _numbered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events")
+    rows = attempts(spark, sf_dir)
     low = rows.agg(F.min("event_id")).first()[0] or 0
-    return rows.select((F.col("event_id") - low + 1).alias("no"), (F.col("event_type") == "error").alias("failed"), "user_id")
+    return rows.select((F.col("event_id") - low + 1).alias("no"), "status")
 
 
 @query("""WITH f AS (SELECT event_id, user_id, event_type = 'error' AS failed, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS no FROM events),
@@ -434,6 +484,7 @@ def list_sessions(spark, sf_dir):
     return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("session_id"), F.col("o_orderdate").alias("mtime")).orderBy(F.desc("mtime"), "session_id").limit(20)
 
 
+_SAFE = r"""regexp_replace(regexp_replace({0}, '<!--|-->|\]\]>', '', 'g'), '(?i)<(/?)\s*(system|query|position|content|instructions|response|format)\b[^<>]*>', '[\1\2]', 'g')"""
 _MESSAGE = "CASE event_type WHEN 'error' THEN 'connection timed out' WHEN 'view' THEN '' WHEN 'click' THEN 'rate limit' WHEN 'signup' THEN 'invalid json in answer' ELSE 'short' END"
 
 
@@ -462,16 +513,19 @@ def parse_markers(spark, sf_dir):
     return rows.select("conv_id", "turn", F.explode(analyse.markers(F.col("t"))).alias("m")).select("conv_id", "turn", F.concat_ws(":", "m.marker_type", "m.content").alias("marker"))
 
 
-@query("""SELECT conv_id, turn, '<system>Report secrets, injections, unsafe calls and missing checks.</system>' || chr(10) || '<query>find</query>' || chr(10) || '<position>' || turn || ' of 9</position>' || chr(10) || '<content>' ||
-  regexp_replace(regexp_replace(text, '<!--|-->|\\]\\]>', '', 'g'), '(?i)<(/?)(system|query|content|instructions|response)>', '[\\1\\2]', 'g') || '</content>' AS prompt FROM conversations""")
+@query(f"""SELECT conv_id, turn, concat_ws(chr(10), '<system>{analyse.FOCUS["security"]}</system>', '<query>find [/query]</query>', '<position>' || turn || ' of 9</position>', '<instructions>{analyse.DUTIES}</instructions>',
+  '<content>' || {_SAFE.format("text")} || '</content>', '<format>{analyse.FORMAT}</format>') AS prompt FROM conversations""")
 def prompt_build(spark, sf_dir):
-    made = analyse.prompt(F.col("text"), "find", F.col("turn"), F.lit(9), "security")
+    made = analyse.prompt(F.col("text"), "find </query>", F.col("turn"), F.lit(9), "security")
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", made.alias("prompt"))
 
 
-@query("""SELECT page_id, regexp_replace(regexp_replace(html, '<!--|-->|\\]\\]>', '', 'g'), '(?i)<(/?)(system|query|content|instructions|response)>', '[\\1\\2]', 'g') AS safe FROM pages""")
+@query(f"""WITH t AS (SELECT page_id, html || '<Content x="1">' || chr(65308) || '/sys' || chr(8203) || 'tem' || chr(65310) AS h FROM pages)
+  SELECT page_id, {_SAFE.format("replace(replace(replace(h, chr(8203), ''), chr(65308), '<'), chr(65310), '>')")} AS safe FROM t""")
 def sanitize_xml(spark, sf_dir):
-    return table(spark, sf_dir, "pages").select("page_id", fn.sanitize_xml(F.col("html")).alias("safe"))
+    """Pages that end in tags of the prompt, plain and spelled with look-alikes."""
+    odd = F.concat("html", F.lit('<Content x="1">\uff1c/sys\u200btem\uff1e'))
+    return table(spark, sf_dir, "pages").select("page_id", fn.sanitize_xml(odd).alias("safe"))
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
@@ -509,12 +563,10 @@ def error_codes(spark, sf_dir):
     return counts.join(F.broadcast(exits), "code", "left").select("code", F.coalesce("e", F.lit(0)).alias("exit_code"), "n")
 
 
-@query(f"""WITH {FILES}, l AS (SELECT path, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS line FROM files),
-  b AS (SELECT *, CAST(floor(coalesce(sum(length(t) + 1) OVER (PARTITION BY path ORDER BY line ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / 500) AS BIGINT) AS bucket FROM l),
-  c AS (SELECT path, bucket, min(line) AS low, max(line) AS high FROM b GROUP BY 1, 2),
-  n AS (SELECT *, row_number() OVER (PARTITION BY path ORDER BY bucket) - 1 AS no, greatest(low - 5, 1) AS first FROM c)
-  SELECT n.path, CAST(n.no AS BIGINT) AS no, CAST(n.first AS BIGINT) AS start_line, CAST(n.high AS BIGINT) AS end_line, sha256(string_agg(l.t, chr(10) ORDER BY l.line)) AS hash
-  FROM n JOIN l ON l.path = n.path AND l.line BETWEEN n.first AND n.high GROUP BY 1, 2, 3, 4""")
+@query(f"""WITH RECURSIVE {FILES}, {LINES}, n AS MATERIALIZED (SELECT path, line, length(t) + 1 AS n FROM l), {PACKED.format(500)},
+  c AS (SELECT path, no, greatest(min(line) - 5, 1) AS first, max(line) AS high FROM g GROUP BY 1, 2)
+  SELECT c.path, CAST(c.no AS BIGINT) AS no, CAST(c.first AS BIGINT) AS start_line, CAST(c.high AS BIGINT) AS end_line, sha256(string_agg(l.t, chr(10) ORDER BY l.line)) AS hash
+  FROM c JOIN l ON l.path = c.path AND l.line BETWEEN c.first AND c.high GROUP BY 1, 2, 3, 4""")
 def fallback_text_chunk(spark, sf_dir):
     rows = chunking.chunk_lines_overlapping(dealt(files(spark, sf_dir)), 500, 5)
     return rows.select("path", "no", "start_line", "end_line", F.sha2("content", 256).alias("hash"))
@@ -526,10 +578,9 @@ def chunking_timeout(spark, sf_dir):
     return files(spark, sf_dir).select("path", fn.chunking_timeout(size).alias("seconds"), (size > 4096).alias("large"))
 
 
-@query(f"WITH {FILES} SELECT path, ends_with(path, '.js') OR contains(path, 'src1/') OR contains(path, '/de/') AS ignored FROM files WHERE NOT contains(path, 'src1')  OR starts_with(path, 'src1/')")
+@query(f"WITH {FILES} SELECT path, ends_with(path, '.js') OR list_has_any(string_split(path, '/'), ['src1', 'src3', 'de']) AS ignored FROM files")
 def should_ignore(spark, sf_dir):
-    rows = files(spark, sf_dir).where("not contains(path, 'src1') or startswith(path, 'src1/')")
-    return rows.select("path", src.should_ignore(F.col("path"), ("*.js", "src1", "de")).alias("ignored"))
+    return files(spark, sf_dir).select("path", src.should_ignore(F.col("path"), ("*.js", "src[13]", "d?")).alias("ignored"))
 
 
 @query(f"WITH {FILES} SELECT path, n_chars FROM files WHERE path = (SELECT min(path) FROM files WHERE octet_length(encode(text)) <= 10485760)")
@@ -556,9 +607,10 @@ def block_candidates(spark, sf_dir):
 
 @query()
 def near_dup_ratio(spark, sf_dir):
-    """Turns of conversations alike by their characters' order; tests compare them with all pairs."""
+    """Turns of conversations, and every fourth again with changed letters, alike by their characters' order; tests compare them with all pairs."""
     rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 100_000 + F.col("turn")).alias("id"), "text")
-    return reduce.similar_by_ratio(rows, "id", "text", 0.7)
+    changed = rows.where("id % 4 = 0").select((F.col("id") + 50_000).alias("id"), F.translate(F.regexp_replace("text", "([aeiou])n", "n$1"), "d", "b").alias("text"))
+    return reduce.similar_by_ratio(rows.unionByName(changed), "id", "text", 0.7)
 
 
 @query("""SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (toxic = 1) AS BIGINT) AS flagged, CAST(sum(length('document ' || doc_id)) AS BIGINT) AS chars FROM labels""")
@@ -600,7 +652,7 @@ def _said(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def aggregate_findings(spark, sf_dir):
     """The whole reduce over statements about labelled documents, as its row of counts."""
     found, deleted = _said(spark, sf_dir)
-    return reduce.aggregate_findings(found, "toxic document", deleted, 0.9).counts
+    return reduce.aggregate_findings(found, "toxic document", deleted, 0.9, 0.8).counts
 
 
 @query(f"""WITH {_SAID}, g AS (SELECT point, bool_or(verify) AS verify, min(CASE confidence WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END * 10000000000 + finding_id) AS lead FROM k GROUP BY point)
@@ -609,7 +661,7 @@ def aggregate_findings(spark, sf_dir):
 def format_summary(spark, sf_dir):
     """The ten findings that lead the report."""
     found, deleted = _said(spark, sf_dir)
-    return reduce.summary(reduce.aggregate_findings(found, "toxic document", deleted, 0.9).findings)
+    return reduce.summary(reduce.aggregate_findings(found, "toxic document", deleted, 0.9, 0.8).findings)
 
 
 @query(f"""WITH {FINDINGS} SELECT rule, confidence, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT path) AS BIGINT) AS n_files FROM findings GROUP BY ROLLUP (rule, confidence)""")
@@ -699,8 +751,145 @@ def can_be_similar(spark, sf_dir):
     return dealt(files(spark, sf_dir)).select("path", F.round(fn.jaccard(F.col("text"), words), 6).alias("jaccard"), fn.can_be_similar(F.col("text"), words).alias("alike"))
 
 
-@query("SELECT session_id, CAST(sum(CASE WHEN regexp_full_match(session_id, '[a-zA-Z0-9_-]+') THEN 1 ELSE 0 END) AS BIGINT) AS valid, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN event_id % 3 = 0 THEN '../' ELSE 's-' END || event_type AS session_id FROM events) GROUP BY 1")
+@query("""SELECT session_id, CAST(count(*) FILTER (regexp_full_match(session_id, '[a-zA-Z0-9_-]+')) AS BIGINT) AS valid, CAST(count(*) AS BIGINT) AS n
+  FROM (SELECT CASE WHEN event_id % 3 = 0 THEN '../' ELSE 's-' END || event_type || CASE WHEN event_id % 5 = 1 THEN chr(10) WHEN event_id % 5 = 2 THEN 'ä' ELSE '' END AS session_id FROM events) GROUP BY 1""")
 def validate_session_hash(spark, sf_dir):
-    name = F.concat(F.when(F.col("event_id") % 3 == 0, "../").otherwise("s-"), "event_type")
+    tail = F.when(F.col("event_id") % 5 == 1, "\n").when(F.col("event_id") % 5 == 2, "ä").otherwise("")
+    name = F.concat(F.when(F.col("event_id") % 3 == 0, "../").otherwise("s-"), "event_type", tail)
     rows = table(spark, sf_dir, "events").select(name.alias("session_id"))
     return rows.groupBy("session_id").agg(F.count_if(fn.valid_session(F.col("session_id"))).alias("valid"), F.count("*").alias("n"))
+
+
+# Shapes of patterns (W stands for a word of the row) and whether they are safe.
+_SHAPES = (
+    ("(W+)+", False), ("(W*)+", False), ("(W+)*", False), ("(W*)*", False), ("(?:W+)+", False), ("(?:W*)+", False), ("(?P<name>W+)+", False), ("(?P<name>W*)+", False), ("(W|W)+", False), ("(W|W)*", False),
+    ("([a-z]+)+W", False), ("(.*){5}W", False), ("(W){2,}", False), ("(W|Wx)+", False), (".*W.*", True), ("W|[0-9]+", True), ("(W)+x", True), ("[0-9]{2,}W", True),
+)
+_SHAPE_ROWS = ", ".join(f"({k}, '{shape}', {safe})" for k, (shape, safe) in enumerate(_SHAPES))
+
+
+@query(f"""WITH s AS (SELECT * FROM (VALUES {_SHAPE_ROWS}) AS v(k, shape, safe)), p AS (SELECT p_partkey % {len(_SHAPES)} AS k, split_part(p_name, ' ', 1) AS w FROM part)
+  SELECT replace(shape, 'W', w) AS pattern, safe, CAST(count(*) AS BIGINT) AS n FROM p JOIN s USING (k) GROUP BY 1, 2""")
+def safe_patterns(spark, sf_dir):
+    """Patterns written for words of part names, and whether they may be run."""
+    shapes = F.array(*[F.lit(shape) for shape, _ in _SHAPES])
+    shape = F.element_at(shapes, (F.col("p_partkey") % len(_SHAPES) + 1).cast("int"))
+    rows = table(spark, sf_dir, "part").select(F.replace(shape, F.lit("W"), F.split_part("p_name", F.lit(" "), F.lit(1))).alias("pattern"))
+    return rows.groupBy("pattern").agg(F.count("*").alias("n")).select("pattern", fn.safe_regex(F.col("pattern")).alias("safe"), "n")
+
+
+def _as_tree(spark: SparkSession, sf_dir: str) -> str:
+    """The documents as a folder of text files, one for each source and language; German ones hold a NUL."""
+    rows = table(spark, sf_dir, "documents").select("source", "lang", F.concat("text", F.when(F.col("lang") == "de", "\0").otherwise("")).alias("text"))
+    path = new_path(spark, "tree")
+    rows.repartition("source", "lang").write.partitionBy("source", "lang").text(path)
+    return path
+
+
+@query("""SELECT 'source=' || source || '/lang=' || lang AS folder, CASE lang WHEN 'de' THEN 'binary' ELSE 'read' END AS reason, CAST(sum(octet_length(encode(text)) + 1 + CAST(lang = 'de' AS INTEGER)) AS BIGINT) AS size,
+  CAST(sum(CASE WHEN lang <> 'de' THEN length(text) + 1 ELSE 0 END) AS BIGINT) AS n_chars FROM documents GROUP BY source, lang""")
+def scan_full(spark, sf_dir):
+    """A folder of files written from the documents, read back; files that hold NUL have a reason instead of a text."""
+    rows = src.scan_files(spark, _as_tree(spark, sf_dir), most_bytes=1 << 30).where("name like 'part-%'")
+    folder = F.regexp_replace("path", "/[^/]*$", "")
+    n_chars = F.sum(F.coalesce(F.length("text"), F.lit(0))).cast("long")
+    return rows.groupBy(folder.alias("folder"), F.coalesce("reason", F.lit("read")).alias("reason")).agg(F.sum("size").alias("size"), n_chars.alias("n_chars"))
+
+
+@query("""SELECT 'source=' || source || '/lang=' || lang AS folder, CAST(sum(octet_length(encode(text)) + 1 + CAST(lang = 'de' AS INTEGER)) AS BIGINT) AS size FROM documents GROUP BY source, lang""")
+def scan_lazy(spark, sf_dir):
+    """The same folder's structure, without its texts."""
+    rows = src.scan_lazy(spark, _as_tree(spark, sf_dir), depth=3, most=None).where("name like 'part-%'")
+    return rows.groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("folder")).agg(F.sum("size").alias("size"))
+
+
+@query(f"""WITH {FILES}, c AS (SELECT source, n_chars, unnest(range(0, n_chars, 1000)) AS start FROM files)
+  SELECT source AS session_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(least(start + 1000, n_chars) - start) AS BIGINT) AS n_chars FROM c GROUP BY source""")
+def write_chunks(spark, sf_dir):
+    """Chunks written to a folder for each session (here: source) and read back."""
+    rows, path = files(spark, sf_dir), new_path(spark, "chunks")
+    src.write_chunks(chunking.chunk_fixed(rows, 1000, 0, strict=False).withColumn("session_id", F.split_part("path", F.lit("/"), F.lit(1))), path)
+    return spark.read.parquet(path).groupBy("session_id").agg(F.count("*").alias("n"), F.sum(F.length("content")).cast("long").alias("n_chars"))
+
+
+@query("""SELECT CASE WHEN turn % 3 = 2 THEN 'unreadable' ELSE 'read' END AS kind, CAST(count(*) AS BIGINT) AS n FROM conversations GROUP BY 1""")
+def read_results(spark, sf_dir):
+    """Lines of results, every third broken, read from a file."""
+    body = F.to_json(F.struct(F.concat_ws("-", "conv_id", "turn").alias("chunk_id"), F.lit("success").alias("status")))
+    path = new_path(spark, "lines")
+    table(spark, sf_dir, "conversations").select(F.when(F.col("turn") % 3 == 2, "{ no json").otherwise(body).alias("value")).write.text(path)
+    good, bad = src.read_results(spark, path)
+    both = good.select(F.lit("read").alias("kind")).unionByName(bad.select(F.lit("unreadable").alias("kind")))
+    return both.groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_ATTEMPTS}, l AS (SELECT chunk_id, arg_max(status, (processed_at, event_id)) AS status FROM a GROUP BY chunk_id) SELECT 's-1' AS session_id, 'what failed' AS query, chunk_id, status FROM l""")
+def export_results(spark, sf_dir):
+    """The last results of all chunks exported as lines of JSON and read back."""
+    last, path = sessions.latest(attempts(spark, sf_dir), order=("processed_at", "event_id")).select("chunk_id", "status"), new_path(spark, "export")
+    src.export_results(last, "s-1", "what failed", None, path)
+    lines = spark.read.schema("session_id string, query string, result struct<chunk_id: bigint, status: string>").json(path)
+    return lines.select("session_id", "query", "result.chunk_id", "result.status")
+
+
+@query("SELECT event_type AS event, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY event_type")
+def progress_log(spark, sf_dir):
+    """Events appended to the progress log, which is then followed as a stream to its end."""
+    folder = new_path(spark, "progress")
+    rows = table(spark, sf_dir, "events")
+    src.emit(rows.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("event"), F.col("user_id").cast("string").alias("chunk_id"), F.lit(0).cast("long").alias("batch"), F.col("props").alias("data")), folder)
+    counts = ev.progress(spark, folder).groupBy("event").agg(F.count("*").alias("n"))
+    return _drained(spark, counts, "complete", "event string, n long")
+
+
+def _drained(spark: SparkSession, stream: DataFrame, mode: str, schema: str) -> DataFrame:
+    """What a stream has given when its input is used up."""
+    out, log = new_path(spark, "drained"), new_path(spark, "log")
+
+    def save(batch: DataFrame, no: int) -> None:
+        batch.write.mode("overwrite").parquet(out if mode == "complete" else f"{out}/batch={no}")
+
+    stream.writeStream.outputMode(mode).foreachBatch(save).trigger(availableNow=True).option("checkpointLocation", log).start().awaitTermination()
+    return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(out)
+
+
+def _event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, folder = table(spark, sf_dir, "events"), new_path(spark, "events")
+    rows.write.parquet(folder)
+    return spark.readStream.schema(rows.schema).parquet(folder)
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+def stream_windows(spark, sf_dir):
+    """Tumbling windows over a stream of events, with a watermark."""
+    got = _drained(spark, ev.tumbling(_event_stream(spark, sf_dir)), "complete", "start timestamp, event_type string, n long, total double")
+    return got.withColumns({"start": F.col("start").cast("timestamp_ntz"), "total": F.round("total", 4)})
+
+
+@query("""WITH f AS (SELECT user_id, ts, event_type = 'error' AS failed, sum(CASE WHEN event_type = 'error' THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM events),
+  r AS (SELECT user_id, ts, failed, count(*) FILTER (failed) OVER (PARTITION BY user_id, k ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM f)
+  SELECT user_id, CAST(run AS BIGINT) AS run, ts FROM r WHERE failed AND run >= 2""")
+def stream_failure_runs(spark, sf_dir):
+    """Failures in a row by user, kept as state over a stream of events."""
+    tries = _event_stream(spark, sf_dir).select("user_id", "ts", (F.col("event_type") == "error").alias("failed"))
+    return _drained(spark, ev.failure_runs(tries), "append", "user_id long, run long, ts timestamp").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query(f"WITH {_MANIFESTS} SELECT file_path, change FROM delta WHERE change IS NOT NULL")
+def manifest_saved(spark, sf_dir):
+    """A manifest saved, loaded and compared with the present files."""
+    before, now = _versions(spark, sf_dir)
+    path = new_path(spark, "manifest")
+    incremental.manifest(before).write.parquet(path)
+    return incremental.diff(incremental.load_manifest(spark, path), incremental.manifest(now))
+
+
+@query(f"""WITH {FILES}, c AS (SELECT path, start, n_chars, substr(text, start + 1, 50000) AS content FROM (SELECT path, text, n_chars, unnest(range(0, n_chars, 50000)) AS start FROM files))
+  SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(*) AS BIGINT) AS processed, CAST(0 AS BIGINT) AS failed, 100.0::DOUBLE AS percent, CAST(sum({" + ".join(f"len(regexp_extract_all(content, '{r.pattern}'))" for r in analyse.RULES)}) AS BIGINT) AS n_findings FROM c""")
+def session_run(spark, sf_dir):
+    """A session from its start through scan, chunks and map; its status and how many findings its results hold."""
+    s = sessions.Session.init(spark, new_path(spark, "sessions"), "what is in the files", model.Config(chunk_size=50_000), "s-1")
+    s.scan(dealt(files(spark, sf_dir)))
+    chunks = s.chunk()
+    found = s.map()
+    return s.status(chunks).withColumn("n_findings", F.lit(found.agg(F.sum(F.size("findings"))).first()[0]).cast("long"))

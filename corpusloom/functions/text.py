@@ -170,6 +170,12 @@ def _starts(tree) -> frozenset:
     return out
 
 
+@F.pandas_udf(T.BooleanType())
+def safe_regex(patterns: pd.Series) -> pd.Series:
+    """``is_safe_regex`` of patterns that come as rows."""
+    return patterns.map(lambda p: p is not None and is_safe_regex(p))
+
+
 def grep(text: Column, pattern: str, most: int = model.GREP_MATCHES) -> Column:
     """array<string> of the first matches; raises for unsafe patterns."""
     if not is_safe_regex(pattern):

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import types as T
 
@@ -30,8 +30,6 @@ CHUNK_RESULT = T.StructType(
 
 PHASES = ("initialized", "scouting", "chunking", "mapping", "reducing", "completed")
 SCAN_MODES = ("full", "lazy", "targeted")
-AGENT_TYPES = ("general", "security", "architecture", "performance")
-MARKERS = ("FINAL", "FINAL_VAR", "NEEDS_MORE", "UNABLE")
 
 MIN_CHUNK, MAX_CHUNK, MAX_OVERLAP = 50_000, 300_000, 50_000
 WARN_CHUNKS, MOST_CHUNKS = 100, 500
@@ -39,7 +37,7 @@ PREVIEW_CHARS, OUTPUT_CHARS = 50_000, 500_000
 GREP_MATCHES, GREP_WINDOW = 20, 100
 FILE_BYTES = 10 << 20
 TREE_ENTRIES = 10_000
-TOKEN_MARGIN = 0.8
+CHUNK_TOKENS, TOKEN_MARGIN = 40_000, 0.8
 
 # Extensions by kind of content, and the chunk size of each kind.
 CODE_EXTENSIONS = (".py", ".js", ".ts", ".tsx", ".jsx", ".java", ".go", ".rs", ".c", ".cpp", ".h", ".hpp", ".rb", ".php", ".cs", ".swift", ".kt")
@@ -68,21 +66,17 @@ IGNORED_GLOBS = (
 
 @dataclass(frozen=True)
 class Config:
-    """Defaults of a session."""
+    """How a session scans, cuts, retries and escalates; kept with the session."""
 
     chunk_size: int = DEFAULT_CHUNK_SIZE
     chunk_overlap: int = 0
-    max_parallel_agents: int = 5
-    max_retries: int = 3
-    timeout_seconds: int = 300
     adaptive_chunking: bool = False
+    max_retries: int = 3
     enable_escalation: bool = True
     max_escalation_ratio: float = 0.15
     max_cost: float = 5.0
-    incremental: bool = False
     previous_session: str | None = None
     scan_mode: str = "full"
     lazy_depth: int = 3
     lazy_file_limit: int = 50
-    target_paths: tuple[str, ...] = field(default_factory=tuple)
-    agent_type: str = "general"
+    target_paths: tuple[str, ...] = ()

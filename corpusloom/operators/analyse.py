@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corpusloom import model
+from corpusloom.errors import CorpusError
 from corpusloom.functions.text import sanitize_xml
 from corpusloom.plans.running import running_sum
 
@@ -55,9 +56,6 @@ def parse_response(response: Column) -> Column:
     return F.from_json(F.when(F.length(fenced) > 0, fenced).otherwise(F.trim(response)), model.CHUNK_RESULT, {"mode": "PERMISSIVE"})
 
 
-MARKER = r"\b(FINAL_VAR|FINAL|NEEDS_MORE|UNABLE)\("
-
-
 def has_marker(text: Column) -> Column:
     return text.rlike(r"(^|[^A-Za-z0-9_])(FINAL_VAR|FINAL|NEEDS_MORE|UNABLE)\(")
 
@@ -76,15 +74,24 @@ FOCUS = {
 }
 
 
+DUTIES = "Use this chunk only. Quote evidence word for word. Say what is missing."
+FORMAT = "One JSON object: chunk_id, status, findings (point, evidence, confidence, location), missing_info, suggested_queries, partial_answer."
+
+
 def prompt(content: Column, query: str, no: Column, of: Column, agent: str = "general") -> Column:
-    """The text an analyser is given for one chunk; the content can't close the prompt's sections."""
-    head = f"<system>{FOCUS[agent]}</system>\n<query>{query}</query>\n<position>"
-    return F.concat(F.lit(head), no.cast("string"), F.lit(" of "), of.cast("string"), F.lit("</position>\n<content>"), sanitize_xml(content), F.lit("</content>"))
+    """The text an analyser is given for one chunk, in six sections; neither content nor query can close them."""
+    if agent not in FOCUS:
+        raise CorpusError("setting", f"{agent} is no kind of analyser", what="agent")
+    if not query.strip():
+        raise CorpusError("query", "a prompt needs a query", what="query")
+    place = F.concat(no.cast("string"), F.lit(" of "), of.cast("string"))
+    sections = {"system": F.lit(FOCUS[agent]), "query": sanitize_xml(F.lit(query)), "position": place, "instructions": F.lit(DUTIES), "content": sanitize_xml(content), "format": F.lit(FORMAT)}
+    return F.concat_ws("\n", *[F.concat(F.lit(f"<{name}>"), F.coalesce(text, F.lit("")), F.lit(f"</{name}>")) for name, text in sections.items()])
 
 
 def sequential_prompt(content: Column, query: str, no: Column, of: Column) -> Column:
     """The short form of the prompt, with the chunk between two boundaries."""
-    head = F.concat(F.lit("--- chunk "), no.cast("string"), F.lit(" of "), of.cast("string"), F.lit(f": {query} ---\n"))
+    head = F.concat(F.lit("--- chunk "), no.cast("string"), F.lit(" of "), of.cast("string"), F.lit(": "), sanitize_xml(F.lit(query)), F.lit(" ---\n"))
     return F.concat(head, sanitize_xml(content), F.lit("\n--- end of chunk ---"))
 
 

@@ -8,12 +8,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom import model
 from corpusloom.errors import CorpusError
 from corpusloom.functions.text import chunk_id, chunk_size, language
+from corpusloom.sources.files import with_text
 
 
 def size_fault(size: Column, overlap: Column, strict: bool = True) -> Column:
@@ -50,7 +51,7 @@ def chunk_adaptive(files: DataFrame, scale: int = 1) -> DataFrame:
 
 
 def _cut(files: DataFrame, size: Column, overlap: int) -> DataFrame:
-    rows = files.select("path", "text", F.posexplode(bounds(F.length("text"), size, overlap)).alias("no", "b"))
+    rows = with_text(files).select("path", "text", F.posexplode(bounds(F.length("text"), size, overlap)).alias("no", "b"))
     content = F.substring("text", F.col("b.start").cast("int") + 1, (F.col("b.end") - F.col("b.start")).cast("int"))
     rows = rows.select("path", F.col("no").cast("long").alias("no"), "b.start", "b.end", content.alias("content"))
     return rows.withColumn("chunk_id", chunk_id(F.col("path"), F.col("start"), F.col("content")))
@@ -64,22 +65,38 @@ def chunk_limit(chunks: DataFrame) -> DataFrame:
 
 
 def chunk_lines(files: DataFrame, size: int) -> DataFrame:
-    """(path, no, n_lines, n_chars): whole lines, dealt by the characters that precede them in the file."""
-    lines = F.split("text", "\n")
-    rows = files.select("path", F.posexplode(lines).alias("line", "t")).withColumn("n", F.length("t") + 1)
-    before = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("no", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / size))
-    return rows.groupBy("path", "no").agg(F.count("*").alias("n_lines"), F.sum("n").cast("long").alias("n_chars"))
+    """(path, no, n_lines, n_chars): whole lines, as many to a chunk as ``size`` characters hold; a longer line is a chunk."""
+    rows = chunk_lines_overlapping(files, size, 0)
+    n_lines = F.col("end_line") - F.col("start_line") + 1
+    return rows.select("path", "no", n_lines.alias("n_lines"), (F.length("content") + 1).cast("long").alias("n_chars"))
+
+
+def overlapping(findings: DataFrame, chunks: DataFrame, step: int) -> DataFrame:
+    """``findings`` (path, start, end, ...) with the ``no`` and ``chunk_id`` of every chunk that they lie in or touch.
+
+    Both sides are cut at multiples of ``step`` (about a chunk's size), so that intervals meet by equality; each
+    pair is given where the later of the two begins.
+    """
+    cuts = lambda low, high: F.explode(F.sequence(F.floor(low / step), F.floor((F.greatest(high, low + 1) - 1) / step))).alias("cut")
+    a = findings.select("*", cuts(F.col("start"), F.col("end")))
+    b = chunks.select(F.col("path").alias("__path"), F.col("start").alias("__start"), F.col("end").alias("__end"), "no", "chunk_id", cuts(F.col("start"), F.col("end"))).withColumnRenamed("cut", "__cut")
+    meet = (F.col("path") == F.col("__path")) & (F.col("cut") == F.col("__cut")) & (F.col("start") < F.col("__end")) & (F.col("__start") < F.col("end"))
+    first = F.col("cut") == F.floor(F.greatest("start", "__start") / step)
+    return a.join(b, meet).where(first).select(*[f"`{c}`" for c in findings.columns], "no", "chunk_id")
 
 
 def line_chunks(text: str, size: int, overlap_lines: int) -> list[tuple[int, int, str]]:
-    """(first line, last line, content): lines dealt by the characters before them, each chunk led by the lines before it."""
+    """(first line, last line, content): as many whole lines as fit, at least one, each chunk led by the lines before it."""
     lines = text.split("\n")
-    before = np.cumsum([0, *(len(line) + 1 for line in lines[:-1])])
-    starts = np.flatnonzero(np.diff(before // size, prepend=-1))
-    ends = [*starts[1:].tolist(), len(lines)]
-    first = [max(a - overlap_lines, 0) for a in starts.tolist()]
-    return [(a + 1, b, "\n".join(lines[a:b])) for a, b in zip(first, ends)]
+    ends = np.cumsum([len(line) + 1 for line in lines])
+    out, at = [], 0
+    while at < len(lines):
+        before = int(ends[at - 1]) if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + size, "right")))
+        first = max(at - overlap_lines, 0)
+        out.append((first + 1, to, "\n".join(lines[first:to])))
+        at = to
+    return out
 
 
 def chunk_lines_overlapping(files: DataFrame, size: int = model.DEFAULT_CHUNK_SIZE, overlap_lines: int = 5) -> DataFrame:
@@ -90,7 +107,7 @@ def chunk_lines_overlapping(files: DataFrame, size: int = model.DEFAULT_CHUNK_SI
             rows = [(p, k, *c, True) for p, t in zip(pdf["path"], pdf["text"]) for k, c in enumerate(line_chunks(t or "", size, overlap_lines))]
             yield pd.DataFrame(rows, columns=["path", "no", "start_line", "end_line", "content", "is_fallback"])
 
-    return files.select("path", "text").mapInPandas(cut, "path string, no long, start_line long, end_line long, content string, is_fallback boolean")
+    return with_text(files).select("path", "text").mapInPandas(cut, "path string, no long, start_line long, end_line long, content string, is_fallback boolean")
 
 
 SCOPE = {
@@ -101,45 +118,71 @@ SCOPE = {
 }
 
 
-def scope_starts(text: str, lang: str | None) -> list[int]:
-    """1-based lines on which a class or function of the outermost level begins."""
+def scopes(text: str, lang: str | None) -> dict[int, int]:
+    """1-based first line -> depth of every class and function, 0 for the outermost; by pattern the indentation is the depth."""
+    out: dict[int, int] = {}
     if lang == "python":
         try:
-            body = ast.parse(text).body
-        except (SyntaxError, ValueError, RecursionError):
-            return []
-        nodes = [n for n in body if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef))]
-        return [min([n.lineno, *(d.lineno for d in n.decorator_list)]) for n in nodes]
-    if lang in SCOPE:
-        return [text.count("\n", 0, m.start()) + 1 for m in SCOPE[lang].finditer(text)]
-    return []
+            inside = [(node, 0) for node in ast.parse(text).body]
+        except (SyntaxError, ValueError, RecursionError, MemoryError):
+            return {}
+        while inside:
+            node, depth = inside.pop()
+            is_scope = isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef))
+            if is_scope:
+                line = min([node.lineno, *(d.lineno for d in node.decorator_list)])
+                out[line] = min(depth, out.get(line, depth))
+            inside += [(child, depth + is_scope) for child in ast.iter_child_nodes(node) if isinstance(child, ast.stmt)]
+    elif lang in SCOPE:
+        for m in SCOPE[lang].finditer(text):
+            start = m.start() + len(m[0]) - len(m[0].lstrip())
+            out[text.count("\n", 0, start) + 1] = 0 if lang != "java" else (start - text.rfind("\n", 0, start) - 1) // 4
+    return out
+
+
+def scope_starts(text: str, lang: str | None) -> list[int]:
+    """1-based lines on which a class or function of the outermost level begins."""
+    return sorted(line for line, depth in scopes(text, lang).items() if depth == 0)
 
 
 def scope_chunks(text: str, lang: str | None, most: int) -> list[tuple[int, int, str, bool]]:
     """(first line, last line, content, is_fallback) of chunks of whole scopes up to ``most`` characters.
 
-    Contents joined give the text. A scope larger than ``most`` is cut between
-    lines; without scopes all chunks are such fallbacks. A longer line is a chunk.
+    Contents joined give the text. Chunks of half that size or more end where an outermost scope begins. A
+    scope larger than ``most`` is cut where the last of its least deep inner scopes begins, and between lines where
+    there is none; without scopes all chunks are such fallbacks. A longer line is a chunk.
     """
     lines = text.split("\n")
     lines = [line + "\n" for line in lines[:-1]] + ([lines[-1]] if lines[-1] else [])
-    starts = set(scope_starts(text, lang))
+    depth = scopes(text, lang)
     out: list[tuple[int, int, str, bool]] = []
-    held: list[str] = []
-    size = 0
-    for no, line in enumerate(lines, 1):
-        end_of_scope = no in starts and size >= most // 2
-        if held and (size + len(line) > most or end_of_scope):
-            out.append((no - len(held), no - 1, "".join(held), not starts or not end_of_scope))
-            held, size = [], 0
-        held.append(line)
+    first, size = 0, 0
+
+    def close(to: int, fallback: bool) -> None:
+        nonlocal first, size
+        out.append((first + 1, to, "".join(lines[first:to]), fallback))
+        size -= sum(map(len, lines[first:to]))
+        first = to
+
+    for no, line in enumerate(lines):
+        while first < no and size + len(line) > most:
+            inner = [k - 1 for k in range(first + 2, no + 2) if k in depth]
+            least = min((depth[k + 1] for k in inner), default=0)
+            cut = max((k for k in inner if depth[k + 1] == least), default=no)
+            close(cut, not inner)
+        if first < no and depth.get(no + 1) == 0 and size >= most // 2:
+            close(no, False)
         size += len(line)
-    if held:
-        out.append((len(lines) - len(held) + 1, len(lines), "".join(held), not starts))
+    if first < len(lines):
+        close(len(lines), not depth)
     return out
 
 
-def chunk_scopes(files: DataFrame, most: int = model.DEFAULT_CHUNK_SIZE) -> DataFrame:
+#: Characters of a chunk that stays within its tokens, at four characters a token.
+SCOPE_CHARS = int(model.CHUNK_TOKENS * model.TOKEN_MARGIN) * 4
+
+
+def chunk_scopes(files: DataFrame, most: int = SCOPE_CHARS) -> DataFrame:
     """(path, no, start_line, end_line, content, is_fallback): chunks that end where scopes begin."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -147,5 +190,5 @@ def chunk_scopes(files: DataFrame, most: int = model.DEFAULT_CHUNK_SIZE) -> Data
             rows = [(p, k, *c) for p, t, lang in zip(pdf["path"], pdf["text"], pdf["lang"]) for k, c in enumerate(scope_chunks(t or "", lang, most))]
             yield pd.DataFrame(rows, columns=["path", "no", "start_line", "end_line", "content", "is_fallback"])
 
-    rows = files.select("path", "text", language(F.col("ext")).alias("lang"))
+    rows = with_text(files).select("path", "text", language(F.col("ext")).alias("lang"))
     return rows.mapInPandas(cut, "path string, no long, start_line long, end_line long, content string, is_fallback boolean")

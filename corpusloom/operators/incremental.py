@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from corpusloom.plans.staging import stage
+from corpusloom.plans.staging import file_system, stage
 
 
 def manifest(files: DataFrame) -> DataFrame:
@@ -15,11 +17,15 @@ def manifest(files: DataFrame) -> DataFrame:
 
 
 def load_manifest(spark: SparkSession, path: str) -> DataFrame | None:
-    """A saved manifest; none if it is missing."""
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not jpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(jpath):
+    """A saved manifest; none if it is missing or can't be read as one."""
+    fs, jpath = file_system(spark, path)
+    if not fs.exists(jpath):
         return None
-    return spark.read.parquet(path)
+    try:
+        found = spark.read.parquet(path)
+    except (PySparkException, Py4JJavaError):
+        return None
+    return found if {"file_path", "hash"} <= set(found.columns) else None
 
 
 def diff(before: DataFrame, now: DataFrame) -> DataFrame:

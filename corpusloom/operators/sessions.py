@@ -2,16 +2,32 @@
 
 from __future__ import annotations
 
+import json
+import re
 import secrets
 import time
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from dataclasses import asdict
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.errors import CorpusError
-from corpusloom.model import PHASES, Config
+from corpusloom.model import PHASES, SCAN_MODES, Config
+from corpusloom.operators.analyse import run_map
+from corpusloom.operators.chunking import chunk_adaptive, chunk_fixed
+from corpusloom.operators.incremental import diff, load_manifest, manifest
+from corpusloom.plans.reduce import Reduced, aggregate_findings
 from corpusloom.plans.running import running_sum
+from corpusloom.plans.staging import file_system, stage
+from corpusloom.sources.files import export_results, scan_targeted, with_text
 
+#: Results (chunk_id, status, findings) of chunks (chunk_id, content, ...).
+Analyser = Callable[[DataFrame], DataFrame]
+NAME = re.compile(r"[A-Za-z0-9_-]+")
 LOG = "session_id string, query string, phase string, config string, final_answer string, at timestamp"
 NOTES = "note string, at timestamp"
 
@@ -47,10 +63,11 @@ def status(chunks: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def batches(attempts: DataFrame, size: int = 5) -> DataFrame:
-    """(batch, n, failed, rate): attempts in turn (``no`` from 1), ``size`` to a batch."""
+    """(batch, n, succeeded, placeholders, failed, rate): attempts in turn (``no`` from 1, ``status``), ``size`` to a batch; ``rate`` is that of failures."""
     batch = F.floor((F.col("no") - 1) / size) + 1
-    failed = F.count_if("failed")
-    return attempts.groupBy(batch.alias("batch")).agg(F.count("*").alias("n"), failed.alias("failed"), F.round(failed / F.count("*"), 4).alias("rate"))
+    of = lambda *kinds: F.count_if(F.col("status").isin(*kinds))
+    counts = [of("success").alias("succeeded"), of("placeholder", "pending").alias("placeholders"), of("failed").alias("failed")]
+    return attempts.groupBy(batch.alias("batch")).agg(F.count("*").alias("n"), *counts, F.round(of("failed") / F.count("*"), 4).alias("rate"))
 
 
 def fall_back(batch_rates: DataFrame, keys: list[str] | None = None) -> DataFrame:
@@ -93,22 +110,26 @@ def to_delete(sessions: DataFrame, now: Column, days: int = 7, most_bytes: int =
 
 
 class Session:
-    """A session's tables below one folder: phases, results, notes. Each change is an appended file."""
+    """A session's tables below one folder: phases, files, chunks, results, notes. Each change is an appended file."""
 
     def __init__(self, spark: SparkSession, root: str, session_id: str):
-        if not session_id or not all(c.isalnum() or c in "-_" for c in session_id):
+        if not NAME.fullmatch(session_id):
             raise CorpusError("session_name", "letters, digits, - and _ only", what="session_id")
-        self.spark, self.path, self.session_id = spark, f"{root.rstrip('/')}/{session_id}", session_id
+        self.spark, self.root, self.path, self.session_id = spark, root, f"{root.rstrip('/')}/{session_id}", session_id
 
     @classmethod
     def init(cls, spark: SparkSession, root: str, query: str, config: Config | None = None, session_id: str | None = None, force: bool = False) -> Session:
         """A new session; refuses to reuse an id unless forced."""
         if not query:
             raise CorpusError("query", "a session needs a query", what="query")
+        config = config or Config()
+        if config.scan_mode not in SCAN_MODES:
+            raise CorpusError("setting", f"{config.scan_mode} is no way to scan", what="scan_mode")
         s = cls(spark, root, session_id or new_session_id())
         if s.exists() and not force:
             raise CorpusError("session_exists", "the session exists; force replaces it", what=s.session_id)
-        row = (s.session_id, query, PHASES[0], str(config or Config()), None, None)
+        s._drop("")
+        row = (s.session_id, query, PHASES[0], json.dumps(asdict(config)), None, None)
         spark.createDataFrame([row], LOG).withColumn("at", F.current_timestamp()).write.mode("overwrite").parquet(f"{s.path}/log")
         return s
 
@@ -129,14 +150,14 @@ class Session:
     def every(cls, spark: SparkSession, root: str) -> DataFrame:
         """(session_id, query, phase, final_answer, at): the last state of every session below ``root``."""
         logs = f"{root.rstrip('/')}/*/log"
-        jpath = spark._jvm.org.apache.hadoop.fs.Path(logs)
-        if not jpath.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(jpath):
+        fs, jpath = file_system(spark, logs)
+        if not fs.globStatus(jpath):
             return spark.createDataFrame([], LOG).drop("config")
         return latest(spark.read.schema(LOG).parquet(logs), "session_id", ("at",)).select("session_id", "query", "phase", "final_answer", "at")
 
     def _there(self, what: str) -> bool:
-        jpath = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{what}")
-        return jpath.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(jpath)
+        fs, jpath = file_system(self.spark, f"{self.path}/{what}")
+        return fs.exists(jpath)
 
     def exists(self) -> bool:
         return self._there("log")
@@ -207,9 +228,104 @@ class Session:
         self._drop("")
 
     def abort(self) -> None:
-        """Cancel what the session's jobs are running; written batches stay."""
-        self.spark.sparkContext.cancelJobGroup(self.session_id)
+        """Cancel what ``map`` and ``reduce`` are running, from another thread; batches that were written stay."""
+        self.spark.sparkContext.cancelJobGroup(self.path)
+
+    @contextmanager
+    def _running(self, phase: str) -> Iterator[None]:
+        """Jobs inside belong to the session and end with ``abort``."""
+        sc = self.spark.sparkContext
+        self.set_phase(phase)
+        sc.setJobGroup(self.path, f"{self.session_id}: {phase}", interruptOnCancel=True)
+        try:
+            yield
+        except (PySparkException, Py4JJavaError) as e:
+            if "cancelled" in str(e).lower():
+                raise CorpusError("cancelled", f"{phase} was cancelled", what=self.session_id) from e
+            raise
+        finally:
+            sc.setLocalProperty("spark.jobGroup.id", None)
+
+    def config(self) -> Config:
+        kept = json.loads(self.log().orderBy(F.desc("at")).first()["config"])
+        return Config(**kept | {"target_paths": tuple(kept["target_paths"])})
+
+    def query(self) -> str:
+        return self.log().orderBy(F.desc("at")).first()["query"]
+
+    def scan(self, files: DataFrame) -> DataFrame:
+        """Take ``files`` (path, text, ...) as the session's, in its scan mode, and keep their manifest."""
+        config = self.config()
+        if config.scan_mode == "targeted":
+            files = scan_targeted(files, list(config.target_paths))
+        if config.scan_mode == "lazy":
+            files = files.drop("text").where(F.size(F.split("path", "/")) <= config.lazy_depth).orderBy("path").limit(config.lazy_file_limit)
+        self._drop("files")
+        self._drop("manifest")
+        files.write.parquet(f"{self.path}/files")
+        if "text" in files.columns:
+            manifest(self.files()).write.parquet(f"{self.path}/manifest")
+        self.set_phase("scouting")
+        return self.files()
+
+    def files(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/files")
+
+    def chunk(self, strict: bool = True) -> DataFrame:
+        """Cut the session's files as its configuration says; of files that a previous session has unchanged, chunks and results are taken over."""
+        config, files = self.config(), self.files()
+        cut = lambda rows: chunk_adaptive(rows) if config.adaptive_chunking else chunk_fixed(rows, config.chunk_size, config.chunk_overlap, strict)
+        chunks = cut(with_text(files))
+        self._drop("chunks")
+        chunks.write.parquet(f"{self.path}/chunks")
+        if config.previous_session:
+            before = Session(self.spark, self.root, config.previous_session)
+            old = load_manifest(self.spark, f"{before.path}/manifest")
+            if old is not None and before._there("results"):
+                stale = diff(old, load_manifest(self.spark, f"{self.path}/manifest")).select(F.col("file_path").alias("path"))
+                same = self.chunks().join(stale, "path", "left_anti").select("chunk_id").distinct()
+                self.add_results(before.results().join(same, "chunk_id", "left_semi"))
+        self.set_phase("chunking")
+        return self.chunks()
+
+    def chunks(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/chunks")
+
+    def map(self, analyser: Analyser = run_map, stronger: Analyser | None = None) -> DataFrame:
+        """Analyse the chunks without a result, again those that fail, up to ``max_retries`` times in all; (chunk_id, status, findings, ...) of every chunk.
+
+        Chunks that fail twice go to the ``stronger`` analyser, if there is one, as far as ratio and cost allow.
+        """
+        config, chunks = self.config(), self.chunks()
+        with self._running("mapping"):
+            total, escalated = chunks.count(), 0
+            cap = min(int(config.max_escalation_ratio * total), int(config.max_cost / 0.01 + 1e-9)) if stronger and config.enable_escalation else 0
+            for attempt in range(1, config.max_retries + 1):
+                left = chunks if not self._there("results") else chunks.join(self.results().where("status = 'success'").select("chunk_id"), "chunk_id", "left_anti")
+                if left.isEmpty():
+                    break
+                parts = [(left, analyser)]
+                if attempt > 2 and cap > escalated:
+                    chosen = stage(left.orderBy("chunk_id").limit(cap - escalated), "escalated")
+                    escalated += chosen.count()
+                    parts = [(chosen, stronger), (left.join(chosen.select("chunk_id"), "chunk_id", "left_anti"), analyser)]
+                for rows, by in parts:
+                    self.add_results(by(rows).withColumns({"attempt": F.lit(attempt), "processed_at": F.current_timestamp()}))
+        return self.results()
+
+    def reduce(self, least: float = 0.7, opposed: float = 0.4) -> Reduced:
+        """Merge the findings of all results: near-duplicates, contradictions, counts."""
+        with self._running("reducing"):
+            where = self.chunks().select("chunk_id", F.col("path").alias("file"))
+            found = self.results().where("status = 'success'").select("chunk_id", F.posexplode("findings").alias("place", "f"))
+            name = F.sha2(F.concat_ws("|", "chunk_id", "place"), 256)
+            findings = stage(found.join(where, "chunk_id").select(F.left(name, F.lit(16)).alias("finding_id"), F.concat_ws(": ", "f.point", "f.evidence").alias("point"), "f.confidence", "file"), "findings")
+            return aggregate_findings(findings, self.query(), None, least, opposed)
+
+    def export(self, out: str) -> None:
+        """Results as JSON lines, with the session's fields."""
+        export_results(self.results(), self.session_id, self.query(), self.final_answer(), out)
 
     def _drop(self, what: str) -> None:
-        jpath = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{what}" if what else self.path)
-        jpath.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(jpath, True)
+        fs, jpath = file_system(self.spark, f"{self.path}/{what}" if what else self.path)
+        fs.delete(jpath, True)

@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from corpusloom.functions.text import block_tokens, confidence_score, needs_verification, negation, normalize_path, relevance, tokens, without_flag
 from corpusloom.plans.components import star_components
-from corpusloom.plans.staging import stage
+from corpusloom.plans.staging import join_hot, stage
 
+#: Counts into which all words fall by their hash, to tell rare ones from common ones.
+RARITY = 1 << 16
 #: Texts of one start word that are compared in one task, with as many others; texts compared at once.
 CELL = 1000
 LANES = 64
@@ -25,14 +27,59 @@ def exact_groups(rows: DataFrame, key: list[str], id_col: str) -> DataFrame:
     return rows.groupBy(*key).agg(F.min(id_col).alias(id_col), F.count("*").alias("n"))
 
 
+def hashed(words: Column) -> Column:
+    """A set of words as sorted 64-bit hashes; sets are compared as these."""
+    return F.array_sort(F.transform(words, lambda w: F.xxhash64(w)))
+
+
 def token_classes(rows: DataFrame, id_col: str, text: str, exact: bool = False) -> tuple[DataFrame, DataFrame]:
     """(classes, members): texts with one token set and one start (``exact``: equal texts) are one class, named by its smallest id."""
-    known = rows.select(F.col(id_col).alias("id"), tokens(F.col(text)).alias("t"), block_tokens(F.col(text)).alias("b"), F.length(text).alias("len"), F.col(text).alias("text"))
-    same = F.coalesce("text", F.lit("")) if exact else F.concat_ws(" ", F.array_sort("t"), F.lit("|"), F.array_sort("b"), F.col("len").cast("string"))
+    known = rows.select(F.col(id_col).alias("id"), hashed(tokens(F.col(text))).alias("t"), hashed(block_tokens(F.col(text))).alias("b"), F.length(text).alias("len"), F.col(text).alias("text"))
+    same = F.coalesce("text", F.lit("")) if exact else F.to_json(F.struct("t", "b", "len"))
     known = stage(known.withColumn("key", F.sha2(same, 256)).drop("text"), "token-sets")
-    classes = known.groupBy("key").agg(F.min("id").alias("class_id"), F.first("t").alias("t"), F.first("b").alias("b"), F.first("len").alias("len"))
+    classes = known.groupBy("key").agg(F.min("id").alias("class_id"), F.first("t").alias("t"), F.first("b").alias("b"), F.first("len").alias("len"), F.count("*").alias("n"))
     classes = stage(classes, "token-classes")
-    return classes, known.join(classes.select("key", "class_id"), "key").select(F.col("id").alias(id_col), "class_id")
+    members = join_hot(known.select("key", "id"), classes.select("key", "class_id", "n"), "key")
+    return classes.drop("n"), members.select(F.col("id").alias(id_col), "class_id")
+
+
+def prefixes(classes: DataFrame, least: float, *more: str) -> DataFrame:
+    """(class_id, n, at, h, more...): the rarest of each set's hashes ``t``, as many as two sets of similarity ``least`` can't both miss.
+
+    Rare by a table of ``RARITY`` counts into which all hashes fall, made by one sum over all sets: any fixed order of all
+    words is right, and in this one common words come last. The table is a value of the plan; sets are ranked in their own rows.
+    """
+    slot = F.pmod(F.col("h"), F.lit(RARITY))
+    counts = classes.select(F.explode("t").alias("h")).groupBy(slot.alias("slot")).agg(F.count("*").alias("c"))
+    every = counts.unionByName(classes.sparkSession.range(RARITY).select(F.col("id").alias("slot"), F.lit(0).cast("long").alias("c"))).groupBy("slot").agg(F.sum("c").alias("c"))
+    rarity = every.agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "c"))), lambda x: x["c"]).alias("rarity"))
+    ranked = F.array_sort(F.transform("t", lambda h: F.struct(F.get("rarity", F.pmod(h, F.lit(RARITY)).cast("int")).alias("c"), h.alias("h"))))
+    n = F.size("t")
+    cut = F.slice(ranked, 1, n - F.ceil(n * least - 1e-9).cast("int") + 1)
+    sets = classes.withColumn("rarity", rarity.scalar())
+    return sets.select("class_id", n.alias("n"), *more, F.posexplode(cut).alias("at", "p")).select("class_id", "n", *more, "at", F.col("p.h").alias("h"))
+
+
+def met(a: DataFrame, b: DataFrame, least: float, also: Column) -> DataFrame:
+    """(a, b): the classes of two sides of ``prefixes`` that share a word there and can share enough words in all.
+
+    The first word shared by both prefixes has all other shared words after it, in either set.
+    """
+    rest = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+    enough = rest * (1 + least) + 1e-6 >= (F.col("n_a") + F.col("n_b")) * least
+    fits = F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * least
+    near = a.join(b, "h").where(fits & also).groupBy(F.col("class_id_a").alias("a"), F.col("class_id_b").alias("b"))
+    return near.agg(F.bool_or(enough).alias("can")).where("can").select("a", "b")
+
+
+def _side(pre: DataFrame, side: str) -> DataFrame:
+    return pre.select("h", *[F.col(c).alias(f"{c}_{side}") for c in pre.columns if c != "h"])
+
+
+def _shared(a: str, b: str) -> Column:
+    """Jaccard similarity of two sets."""
+    shared = F.size(F.array_intersect(a, b))
+    return shared / (F.size(a) + F.size(b) - shared)
 
 
 def similar_classes(classes: DataFrame, least: float, length_ratio: float = 0.5, by_start: bool = True) -> DataFrame:
@@ -40,32 +87,17 @@ def similar_classes(classes: DataFrame, least: float, length_ratio: float = 0.5,
 
     Without ``by_start`` and with a ``length_ratio`` of 0 these are all pairs of that similarity.
 
-    Candidates share a token of both prefixes: tokens in order of rarity, of which
-    a set of n needs n - ceil(least * n) + 1. Common words are in no prefix but of
-    the shortest texts, so a word that all texts share makes no candidates. A
-    candidate must also be able to share enough words after the place of the shared
-    one, and share a word of the starts, before the sets are fetched. The sets are
-    compared as words. Exact.
+    Candidates share a word of both prefixes, of which a set of n has n - ceil(least * n) + 1. Common words are in no
+    prefix but of the shortest texts, so a word that all texts share makes no candidates. Sizes, lengths, starts and
+    the places of the shared word are tested before the sets are fetched.
     """
-    own = classes.select("class_id", F.size("t").alias("n"), F.explode("t").alias("w"))
-    often = own.groupBy("w").agg(F.count("*").alias("df"))
-    ranked = own.join(often, "w").groupBy("class_id", "n").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("s"))
-    prefix = F.slice("s", 1, F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1)
-    starts = classes.select("class_id", "len", F.transform("b", lambda w: F.xxhash64(w)).alias("start"))
-    pre = ranked.select("class_id", "n", F.posexplode(prefix).alias("at", "p")).join(starts, "class_id")
-    pre = stage(pre.select("class_id", "n", "len", "at", F.xxhash64("p.w").alias("h"), "start"), "prefixes")
-    a, b = (pre.select("h", *[F.col(c).alias(f"{c}_{side}") for c in ("class_id", "n", "len", "at", "start")]) for side in "ab")
-    fits = (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * least) & (F.least("len_a", "len_b") >= F.greatest("len_a", "len_b") * length_ratio)
-    # The first word shared by both prefixes has all other shared words after it, in either set.
-    rest = F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
-    enough = rest * (1 + least) + 1e-6 >= (F.col("n_a") + F.col("n_b")) * least
-    near = a.join(b, "h").where("class_id_a < class_id_b").where(fits).groupBy(F.col("class_id_a").alias("a"), F.col("class_id_b").alias("b"))
-    pairs = near.agg(F.bool_or(enough & (F.arrays_overlap("start_a", "start_b") if by_start else F.lit(True))).alias("can")).where("can").select("a", "b")
-    left = classes.select(F.col("class_id").alias("a"), F.col("t").alias("ta"), F.col("b").alias("ba"))
-    right = classes.select(F.col("class_id").alias("b"), F.col("t").alias("tb"), F.col("b").alias("bb"))
-    joined = pairs.join(left, "a").join(right, "b").where(F.arrays_overlap("ba", "bb") if by_start else F.lit(True))
-    shared = F.size(F.array_intersect("ta", "tb"))
-    rated = joined.withColumn("similarity", shared / (F.size("ta") + F.size("tb") - shared))
+    pre = stage(prefixes(classes, least, "len", "b"), "prefixes")
+    also = (F.col("class_id_a") < F.col("class_id_b")) & (F.least("len_a", "len_b") >= F.greatest("len_a", "len_b") * length_ratio)
+    if by_start:
+        also &= F.arrays_overlap("b_a", "b_b")
+    pairs = met(_side(pre, "a"), _side(pre, "b"), least, also)
+    left, right = (classes.select(F.col("class_id").alias(side), F.col("t").alias(f"t{side}")) for side in "ab")
+    rated = pairs.join(left, "a").join(right, "b").withColumn("similarity", _shared("ta", "tb"))
     return rated.where(F.col("similarity") >= least).select("a", "b", "similarity")
 
 
@@ -87,20 +119,27 @@ def merged(findings: DataFrame, groups: DataFrame, id_col: str) -> DataFrame:
     return out.select("group_id", F.col(f"lead.{id_col}").alias(id_col), F.col("lead.confidence").alias("confidence"), "n_findings", "n_files")
 
 
+def statement_classes(findings: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(classes, members): statements with the same words, asserting or denying alike, are one class, named by its smallest id."""
+    rows = findings.select("finding_id", hashed(tokens(F.col("point"))).alias("t"), negation(F.col("point")).alias("neg"))
+    rows = stage(rows.withColumn("key", F.sha2(F.to_json(F.struct("t", "neg")), 256)), "statements")
+    classes = rows.groupBy("key").agg(F.min("finding_id").alias("class_id"), F.first("t").alias("t"), F.first("neg").alias("neg"), F.count("*").alias("n"))
+    classes = stage(classes, "statement-classes")
+    members = join_hot(rows.select("key", "finding_id"), classes.select("key", "class_id", "n"), "key")
+    return classes.select("class_id", "t", "neg", F.col("n").alias("members")), members.select("finding_id", "class_id")
+
+
 def contradictions(findings: DataFrame, least: float = 0.4) -> DataFrame:
-    """(a, b, similarity): statements alike of which just one denies. Each pair once, the asserting one first."""
-    rows = findings.select("finding_id", tokens(F.col("point")).alias("t"), negation(F.col("point")).alias("neg"))
-    words = rows.select("finding_id", "neg", F.size("t").alias("n"), F.explode("t").alias("w"))
-    often = words.groupBy("w").agg(F.count("*").alias("df"))
-    ranked = words.join(often, "w").groupBy("finding_id", "neg", "n").agg(F.array_sort(F.collect_list(F.struct("df", "w"))).alias("s"))
-    cut = F.slice("s", 1, F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1)
-    pre = stage(ranked.select("finding_id", "neg", "n", F.explode(cut).alias("p")).select("finding_id", "neg", "n", F.col("p.w").alias("w")), "statements")
-    a = pre.where("not neg").select(F.col("finding_id").alias("a"), F.col("n").alias("na"), "w")
-    b = pre.where("neg").select(F.col("finding_id").alias("b"), F.col("n").alias("nb"), "w")
-    pairs = a.join(b, "w").where(F.least("na", "nb") >= F.greatest("na", "nb") * least).select("a", "b").distinct()
-    joined = pairs.join(rows.select(F.col("finding_id").alias("a"), F.col("t").alias("ta")), "a").join(rows.select(F.col("finding_id").alias("b"), F.col("t").alias("tb")), "b")
-    shared = F.size(F.array_intersect("ta", "tb"))
-    return joined.withColumn("similarity", shared / (F.size("ta") + F.size("tb") - shared)).where(F.col("similarity") >= least).select("a", "b", "similarity")
+    """(a, b, similarity, n_a, n_b): classes of statements alike of which just one denies, the asserting one first.
+
+    n_a asserting statements stand against n_b denying ones (``statement_classes`` has them); they aren't listed pair by pair.
+    """
+    classes, _ = statement_classes(findings)
+    pre = stage(prefixes(classes, least, "neg"), "prefixes")
+    pairs = met(_side(pre.where("not neg"), "a"), _side(pre.where("neg"), "b"), least, F.lit(True))
+    left, right = (classes.select(F.col("class_id").alias(side), F.col("t").alias(f"t{side}"), F.col("members").alias(f"n_{side}")) for side in "ab")
+    rated = pairs.join(left, "a").join(right, "b").withColumn("similarity", _shared("ta", "tb"))
+    return rated.where(F.col("similarity") >= least).select("a", "b", "similarity", "n_a", "n_b")
 
 
 def ghosts(findings: DataFrame, deleted: DataFrame) -> DataFrame:
@@ -129,14 +168,14 @@ def without_deleted(findings: DataFrame, deleted: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class Reduced:
-    """``findings`` (group_id, finding_id, point, confidence, verify, relevance, n_findings, n_files), ``opposed`` (a, b, similarity), ``counts`` (one row)."""
+    """``findings`` (group_id, finding_id, point, confidence, verify, relevance, n_findings, n_files), ``opposed`` (a, b, similarity, n_a, n_b; between findings of equal words), ``counts`` (one row)."""
 
     findings: DataFrame
     opposed: DataFrame
     counts: DataFrame
 
 
-def aggregate_findings(findings: DataFrame, query: str, deleted: DataFrame | None = None, least: float = 0.7, opposed: float = 0.8) -> Reduced:
+def aggregate_findings(findings: DataFrame, query: str, deleted: DataFrame | None = None, least: float = 0.7, opposed: float = 0.4) -> Reduced:
     """The whole reduce of (finding_id, point, confidence, file, ...): ghosts go, near-duplicates merge, contradictions are named, all is counted."""
     total = findings.count()
     kept = stage(findings if deleted is None else without_deleted(findings, deleted), "kept")
@@ -150,7 +189,7 @@ def aggregate_findings(findings: DataFrame, query: str, deleted: DataFrame | Non
     counts = out.agg(F.coalesce(F.sum("n_findings"), F.lit(0)).alias("total_findings"), F.count("*").alias("unique_findings"), F.count_if("verify").alias("verification_required"))
     ratio = F.round(dedup_ratio(F.col("total_findings"), F.col("unique_findings")), 6)
     counts = counts.withColumn("deduplication_ratio", ratio).withColumn("filtered_deleted", F.lit(total) - F.col("total_findings"))
-    return Reduced(out, pairs, counts.withColumn("contradictions", F.lit(pairs.count()).cast("long")))
+    return Reduced(out, pairs, counts.withColumn("contradictions", F.lit(pairs.agg(F.coalesce(F.sum(F.col("n_a") * F.col("n_b")), F.lit(0))).first()[0]).cast("long")))
 
 
 def summary(reduced: DataFrame, most: int = 10) -> DataFrame:

@@ -24,20 +24,36 @@ def contained(root: str, path: str) -> str:
     return f"{root.rstrip('/')}/{parts}"
 
 
-def scan_full(spark: SparkSession, root: str, most_bytes: int = model.FILE_BYTES) -> DataFrame:
-    """(path, name, size, mtime, text) of every readable text file below ``root``."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    rows = raw.where(F.col("length") <= most_bytes).withColumn("path", _relative(F.col("path"), root))
-    text = F.when(F.is_valid_utf8(F.col("content").cast("string")), F.col("content").cast("string"))
-    rows = rows.select("path", _name(F.col("path")).alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), text.alias("text"))
-    return rows.where(F.col("text").isNotNull() & ~F.contains("text", F.lit("\0")))
+def scan_files(spark: SparkSession, root: str, most_bytes: int = model.FILE_BYTES, most_total: int | None = None) -> DataFrame:
+    """(path, name, size, mtime, text, reason) of every file below ``root``; a file that isn't read has no text and a reason: too_large, binary (it holds NUL) or encoding."""
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).withColumn("path", _relative(F.col("path"), root))
+    if most_total is not None and (raw.agg(F.sum("length")).first()[0] or 0) > most_total:
+        raise CorpusError("too_many", f"the files hold more than {most_total} bytes", what=root)
+    held = F.col("content").cast("string")
+    reason = F.when(F.col("length") > most_bytes, "too_large").when(F.contains(F.col("content"), F.lit(b"\0")), "binary").when(~F.is_valid_utf8(held), "encoding")
+    rows = raw.withColumn("reason", reason).withColumn("text", F.when(F.col("reason").isNull(), held))
+    return rows.select("path", _name(F.col("path")).alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "text", "reason")
+
+
+def scan_full(spark: SparkSession, root: str, most_bytes: int = model.FILE_BYTES, most_total: int | None = None) -> DataFrame:
+    """(path, name, size, mtime, text) of every readable text file below ``root``; ``scan_files`` also names the others."""
+    return scan_files(spark, root, most_bytes, most_total).where("reason is null").drop("reason")
 
 
-def scan_lazy(spark: SparkSession, root: str) -> DataFrame:
-    """(path, name, size, mtime): structure only, contents are never read."""
+def scan_lazy(spark: SparkSession, root: str, depth: int | None = 3, most: int | None = 50) -> DataFrame:
+    """(path, name, size, mtime): structure only, contents are never read. At most ``depth`` levels and ``most`` files, the first by path; None lifts a bound."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     path = _relative(F.col("path"), root)
-    return raw.select(path.alias("path"), _name(path).alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+    rows = raw.select(path.alias("path"), _name(path).alias("name"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+    rows = rows if depth is None else rows.where(F.size(F.split("path", "/")) <= depth)
+    return rows if most is None else rows.orderBy("path").limit(most)
+
+
+def with_text(files: DataFrame) -> DataFrame:
+    """``files``, or an error where only their structure was scanned."""
+    if "text" not in files.columns:
+        raise CorpusError("structure_only", "the files were scanned without their texts", what="the files")
+    return files
 
 
 def scan_targeted(files: DataFrame, targets: list[str]) -> DataFrame:
@@ -50,9 +66,9 @@ def scan_targeted(files: DataFrame, targets: list[str]) -> DataFrame:
 
 
 def load_file(files: DataFrame, path: str, most_bytes: int = model.FILE_BYTES) -> DataFrame:
-    """The row of one file, if its text isn't larger than ``most_bytes``; a path that leaves the root raises."""
+    """The row of one file, if its text isn't larger than ``most_bytes`` and holds no NUL; a path that leaves the root raises."""
     contained("", path)
-    return files.where((F.col("path") == path) & (F.octet_length("text") <= most_bytes))
+    return with_text(files).where((F.col("path") == path) & (F.octet_length("text") <= most_bytes) & ~F.contains("text", F.lit("\0")))
 
 
 def _relative(path: Column, root: str) -> Column:
@@ -177,11 +193,12 @@ def export_results(results: DataFrame, session_id: str, query: str, final_answer
 
 
 def export_document(results: DataFrame, notes: DataFrame, session_id: str, query: str, final_answer: str | None, most: int = 10_000) -> DataFrame:
-    """One row: a JSON document of the session, its results and notes. Larger sessions are refused; ``export_results`` takes them."""
-    if results.limit(most + 1).count() > most:
-        raise CorpusError("too_many", f"more than {most} results; export them as lines", what=session_id)
+    """One row: a JSON document of the session, its results and notes. Sessions with more than ``most`` of either are refused; ``export_results`` takes them."""
+    for rows, what in ((results, "results"), (notes, "notes")):
+        if rows.limit(most + 1).count() > most:
+            raise CorpusError("too_many", f"more than {most} {what}; export them as lines", what=session_id)
     noted = F.struct("at", "note")
-    rows = results.select(F.struct("*").alias("r")).unionByName(notes.orderBy("at").limit(most).select(noted.alias("n")), allowMissingColumns=True)
+    rows = results.select(F.struct("*").alias("r")).unionByName(notes.select(noted.alias("n")), allowMissingColumns=True)
     buffers = F.transform(F.sort_array(F.collect_list("n")), lambda n: n["note"])
     both = rows.agg(F.sort_array(F.collect_list("r")).alias("results"), buffers.alias("buffers"))
     document = F.struct(F.lit(session_id).alias("session_id"), F.lit(query).alias("query"), "results", "buffers", F.lit(final_answer).alias("final_answer"))
