@@ -16,12 +16,14 @@ by words / weight; one window over one row per source.
 Scale. Running sums are taken in two steps, so no source and no sequence passes
 through one task: a queue is cut by hash into pieces with their own sums, the
 global sequence into the ranges of its sort; sums of the pieces are summed over
-pieces, and only then are rows summed within their piece.
+pieces, and only then are rows summed within their piece. Texts are read once, for the
+sizes; equal rows get places of their own (``mix``).
 
 Cases. Null or wordless text: size 0, never counted, taken 0. A source without
 words: target 0. Repeated rows are separate documents. Ties in finish time go by
 source, lap, hash and id. An empty table gives an empty table. A corpus of one
-document larger than what remains of the budget takes what fits whole.
+document larger than what remains of the budget takes what fits whole. Long texts are
+counted whole. In ``keep_mix`` other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -116,23 +118,24 @@ def _with_goals(rows: DataFrame, goals: DataFrame, most: int = 10_000) -> DataFr
     return rows.join(F.broadcast(goals) if few else goals, F.col("source").eqNullSafe(F.col("__source"))).drop("__source")
 
 
+def numbered(rows: DataFrame) -> DataFrame:
+    """``sizes`` with a place of its own for each of several equal rows, so that they spread over the queue."""
+    key = ["doc_id", "source", "size", "h"]
+    each = rows.groupBy(*key).agg(F.count("*").alias("n")).withColumn("no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    return each.withColumn("h", F.when(F.col("no") > 1, F.xxhash64("h", "no")).otherwise(F.col("h"))).select(*key)
+
+
 def mix(docs: DataFrame) -> DataFrame:
     """(doc_id, size, source_size, target, taken): one row per row of ``docs``."""
-    rows = stage(sizes(docs), "sizes")
+    rows = stage(numbered(sizes(docs)), "sizes")
     laps = schedule(rows)
     key = ["doc_id", "source", "size", "h"]
     took = laps.where("taken").groupBy(*[F.col(k).alias(f"__{k}") for k in key]).agg(F.count("*").alias("laps"))
-    goals = targets(rows)
-    # Repeated rows share a key; each gets its part of the laps that the key was given.
-    copies = rows.groupBy(*key).agg(F.count("*").alias("copies"))
     cond = F.lit(True)
     for k in key:
         cond &= F.col(k).eqNullSafe(F.col(f"__{k}"))
-    known = copies.join(took, cond, "left").select(*key, "copies", F.coalesce("laps", F.lit(0)).alias("laps"))
-    each = known.withColumn("no", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
-    count = F.floor(F.col("laps") / F.col("copies")) + (F.col("no") <= F.col("laps") % F.col("copies")).cast("long")
-    each = each.withColumn("taken", F.col("size") * count)
-    return _with_goals(each, goals).select("doc_id", "size", "source_size", "target", "taken")
+    each = rows.join(took, cond, "left").select(*key, (F.col("size") * F.coalesce("laps", F.lit(0))).alias("taken"))
+    return _with_goals(each, targets(rows)).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def keep_mix(docs: DataFrame) -> DataFrame:
