@@ -11,27 +11,47 @@ from corpusloom.plans.staging import stage
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 1: documents without a language go."""
+    """Operator 1: documents without a language go.
+
+    Null or empty texts and texts without a letter have none. Repeated rows are judged each, long texts whole. Ties
+    between languages drop nothing. An empty table stays empty; other columns pass, whatever their names.
+    """
     return langid.keep_identified(docs, langid.train(docs))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 2: the smallest id of each component stays."""
+    """Operator 2: the smallest id of each component stays.
+
+    Texts without a word are alike. Rows that repeat an id are one document; rows without an id stay. An empty
+    table stays empty; other columns pass, whatever their names.
+    """
     return simhash.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: documents that hold a benchmark item go."""
+    """Operator 5: documents that hold a benchmark item go.
+
+    Null and wordless texts hold none; all rows of an id go together. Long texts are searched whole. An empty
+    table, of documents or of the benchmark, drops nothing; other columns pass, whatever their names.
+    """
     return decontam.keep_clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: the documents of the mix, those of both laps twice."""
+    """Operator 3: the documents of the mix, those of both laps twice.
+
+    Texts without a word are in no mix; a null source is one of its own. Equal rows are taken together. An empty
+    table stays empty; other columns pass, whatever their names.
+    """
     return mixing.keep_mix(docs)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 8: the store's index, read back from its files."""
+    """Operator 8: the store's index, read back from its files.
+
+    Null and empty texts hold the end id only; rows without an id come first, repeated ones in the files' order. An
+    empty table gives an empty index; of the columns only doc_id and text are stored, whatever the others' names.
+    """
     return token_store.store(docs, tokenizer_path())
 
 
