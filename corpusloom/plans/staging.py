@@ -83,7 +83,8 @@ def bounded_batches(spark: SparkSession, megabytes: int = 8) -> Iterator[None]:
     """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(name)
-    spark.conf.set(name, str(megabytes << 20))
+    if not 0 < int(before.rstrip("b")) <= megabytes << 20:
+        spark.conf.set(name, str(megabytes << 20))
     try:
         yield
     finally:
