@@ -10,6 +10,20 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
+#: Bytes of texts that Python workers get at once in the queries and the pipeline.
+BATCH_BYTES = 2 << 20
+
+
+def configure(spark: SparkSession) -> None:
+    """Settings of an application of these operators (the queries, the pipeline): Arrow batches of ``BATCH_BYTES`` at most.
+
+    The operators themselves leave the session's settings as they are.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(name).rstrip("b")) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

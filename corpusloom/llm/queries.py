@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontam, html, langid, mixing, pii, quality, rules, secrets, simhash, token_store
-from corpusloom.llm.common import held_out, table
+from corpusloom.llm import common, decontam, html, langid, mixing, pii, quality, rules, secrets, simhash, token_store
+from corpusloom.llm.common import held_out
 
 #: File name of the tokenizer; its folder is the ``public_tokenizers`` package.
 TOKENIZER = "word_bpe_49k.json"
@@ -20,6 +20,11 @@ def tokenizer_path() -> str:
     return str(public_tokenizers.path(TOKENIZER))
 
 
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    common.configure(spark)
+    return common.table(spark, sf_dir, name)
+
+
 def op1_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs.select("doc_id", "text"), langid.train(docs))

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusloom.plans.components import star_components
-from corpusloom.plans.staging import drop, join_hot, stage
+from corpusloom.plans.staging import bounded_batches, drop, join_hot, stage
 
 RADIUS = 3
 SHINGLE = 3
@@ -76,6 +76,11 @@ def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
     return docs.select(F.col(id_col).alias("doc_id"), of(F.col(text)).alias("fp"))
 
 
+def _staged(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    with bounded_batches(docs.sparkSession, 2):
+        return stage(fingerprints(docs, text, id_col), "prints")
+
+
 def masks(radius: int = RADIUS, bits: int = 64) -> list[int]:
     """The 2**(radius+1) - 1 covering masks; position p carries the vector 1 + p mod (2**(radius+1) - 1)."""
     n = 2 ** (radius + 1) - 1
@@ -184,7 +189,7 @@ def with_components(prints: DataFrame, radius: int = RADIUS, block: int = BLOCK)
 
 def components(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """(doc_id, fingerprint, component_id), one row for each row of ``docs``."""
-    prints = stage(fingerprints(docs, text, id_col), "prints")
+    prints = _staged(docs, text, id_col)
     found = with_components(prints)
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
@@ -195,7 +200,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows that repeat an id count as one document. Rows without an id form
     their own groups by fingerprint; those are kept, having nothing to be named by.
     """
-    prints = stage(fingerprints(docs), "prints")
+    prints = _staged(docs)
     found = with_components(prints)
     drop = stage(found.where("doc_id <> component_id").select("doc_id").distinct(), "copies")
     again = stage(found.groupBy("doc_id").count().where("count > 1 and doc_id is not null").select("doc_id"), "repeated")
