@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusloom.llm import decontam, langid, mixing, simhash, token_store
-from corpusloom.llm.common import table
+from corpusloom.llm.common import configure, table
 from corpusloom.llm.queries import tokenizer_path
 from corpusloom.plans.staging import stage
 
@@ -16,6 +16,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     Null or empty texts and texts without a letter have none. Repeated rows are judged each, long texts whole. Ties
     between languages drop nothing. An empty table stays empty; other columns pass, whatever their names.
     """
+    configure(spark)
     return langid.keep_identified(docs, langid.train(docs))
 
 
