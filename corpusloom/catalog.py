@@ -380,10 +380,10 @@ def contradictions(spark, sf_dir):
     return reduce.contradictions(statements(spark, sf_dir), 0.8).withColumn("similarity", F.round("similarity", 6))
 
 
-@query(_opposed_sql("s AS (SELECT event_id AS finding_id, event_type || ' was ' || CASE WHEN value < 50 THEN 'not ' ELSE '' END || 'seen by user ' || user_id AS point FROM events)", 0.4))
+@query(_opposed_sql("s AS (SELECT event_id AS finding_id, CASE WHEN value < 50 THEN 'not ' ELSE '' END || event_type || ' u' || user_id || ' h' || hour(ts) || ' d' || day(ts) AS point FROM events)", 0.4))
 def contradictions_broad(spark, sf_dir):
-    """The same at the default similarity, over what events say about their users: many statements of each class."""
-    said = F.concat("event_type", F.lit(" was "), F.when(F.col("value") < 50, "not ").otherwise(""), F.lit("seen by user "), F.col("user_id").cast("string"))
+    """The same at the default similarity, over what events say about user, hour and day."""
+    said = F.concat(F.when(F.col("value") < 50, "not ").otherwise(""), "event_type", F.lit(" u"), F.col("user_id").cast("string"), F.lit(" h"), F.hour("ts").cast("string"), F.lit(" d"), F.day("ts").cast("string"))
     found = reduce.contradictions(table(spark, sf_dir, "events").select(F.col("event_id").alias("finding_id"), said.alias("point")))
     return found.withColumn("similarity", F.round("similarity", 6))
 
