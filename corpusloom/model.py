@@ -40,7 +40,7 @@ TREE_ENTRIES = 10_000
 CHUNK_TOKENS, TOKEN_MARGIN = 40_000, 0.8
 
 # Extensions by kind of content, and the chunk size of each kind.
-CODE_EXTENSIONS = (".py", ".js", ".ts", ".tsx", ".jsx", ".java", ".go", ".rs", ".c", ".cpp", ".h", ".hpp", ".rb", ".php", ".cs", ".swift", ".kt")
+CODE_EXTENSIONS = (".py", ".java", ".ts", ".tsx", ".js", ".jsx", ".go", ".rs", ".c", ".cpp", ".h", ".hpp", ".cs", ".rb", ".php", ".swift", ".kt")
 CONFIG_EXTENSIONS = (".json", ".yaml", ".yml", ".toml")
 CHUNK_SIZES = {
     **dict.fromkeys(CODE_EXTENSIONS, 100_000),
@@ -53,7 +53,8 @@ CHUNK_SIZES = {
     ".html": 150_000,
 }
 DEFAULT_CHUNK_SIZE = 150_000
-LANGUAGES = {".py": "python", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".ts": "typescript", ".tsx": "typescript", ".java": "java", ".go": "go", ".pyi": "python"}
+# Languages of extensions.
+LANGUAGES = {".py": "python", ".pyw": "python", ".js": "javascript", ".jsx": "javascript", ".mjs": "javascript", ".ts": "typescript", ".tsx": "typescript", ".java": "java", ".go": "go"}
 PRUNED_DIRECTORIES = (
     ".git", ".hg", ".svn", "node_modules", "__pycache__", ".venv", "venv", "env", ".env", "dist", "build", "target", ".idea", ".vscode", ".mypy_cache",
     ".pytest_cache", ".tox", ".cache", "coverage",
