@@ -227,11 +227,12 @@ def test_staging(spark, tmp_path, monkeypatch):
     assert made.count() == 5 and fs.exists(path)
     staging.drop(made)
     assert not fs.exists(path)
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    before = spark.conf.get(name)
-    with staging.bounded_batches(spark, 2):
-        assert spark.conf.get(name) != before
-    assert spark.conf.get(name) == before
+    name, own = "spark.sql.execution.arrow.maxBytesPerBatch", spark.newSession()  # other tests may have set theirs
+    for before, inside in (("268435456", str(2 << 20)), ("1048576", "1048576")):
+        own.conf.set(name, before)
+        with staging.bounded_batches(own, 2):
+            assert own.conf.get(name) == inside
+        assert own.conf.get(name) == before
 
     class Cluster:
         class conf:
