@@ -1,4 +1,4 @@
-"""The ten operators and the pipeline as registered queries over the given tables."""
+"""The operators and the pipeline as registered queries over the given tables."""
 
 from __future__ import annotations
 
@@ -7,17 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import common, decontam, html, langid, mixing, pii, quality, rules, secrets, simhash, token_store
-from corpusloom.llm.common import held_out
+from corpusloom.llm import bpe, common, decontam, html, langid, merkle, mixing, pii, prefix_trie, quality, rules, secrets, simhash, token_store
+from corpusloom.llm.common import ascii_lower, held_out
 
 #: File name of the tokenizer; its folder is the ``public_tokenizers`` package.
 TOKENIZER = "word_bpe_49k.json"
+RANKS = "byte_bpe_50k.tiktoken"
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     import public_tokenizers
 
-    return str(public_tokenizers.path(TOKENIZER))
+    return str(public_tokenizers.path(name))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,7 +73,25 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.personal(table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    path, pattern = tokenizer_path(RANKS), public_tokenizers.PATTERN
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), path, pattern), path, pattern)
+
+
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A third of the rows, by their ids, are checked as if their text had been lower-cased."""
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, merkle.leaf(text=ascii_lower(F.col("text"))))
+    rows = merkle.verified(merkle.manifest(table(spark, sf_dir, "documents"), tampered))
+    return rows.select("doc_id", "leaf", "subroot", "root", F.sha2(merkle.proof(F.col("way")), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_langid, op2_simhash, op3_mixing, op4_quality, op5_decontam, op6_secrets, op7_rules, op8_orc_tokens, op9_html, op10_pii)
+    for f in (op1_langid, op2_simhash, op3_mixing, op4_quality, op5_decontam, op6_secrets, op7_rules, op8_orc_tokens, op9_html, op10_pii, op11_prefix_trie, op12_bpe, op13_merkle)
 }
