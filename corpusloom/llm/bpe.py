@@ -38,29 +38,33 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpusloom.llm.token_store import KEPT, Table
+from corpusloom.llm.token_store import Table
 from corpusloom.plans.staging import stage
 
 CHUNK, OVERLAP = 32_768, 1_024
 #: Characters after its end that a match may depend on.
 AHEAD = 8
 FUSED = 8
-KEPT_CHARS = 16 << 20
+#: What a worker keeps of pre-tokens met before: two workers a core run at once, one of them decoding.
+KEPT, KEPT_CHARS = 200_000, 4 << 20
 PIECES = "row long, no long, doc_id long, ids binary"
 
 
+def ranks_of(path: str) -> dict[bytes, int]:
+    """The bytes of every token, in base 64 in the file, and its rank."""
+    with open(path, "rb") as lines:
+        return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
+
+
 class Codec:
-    """Ids of texts and bytes of ids by one file of ranks and one pattern."""
+    """Pre-tokens and ids of texts by one file of ranks and one pattern."""
 
     def __init__(self, path: str, pattern: str):
         import tiktoken
 
-        with open(path, "rb") as lines:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
         self.pattern = regex.compile(pattern)
         #: takes what it is given as one pre-token
-        self.merge = tiktoken.Encoding("whole", pat_str=r"(?s:.+)", mergeable_ranks=ranks, special_tokens={})
-        self.bytes = {rank: token for token, rank in ranks.items()}
+        self.merge = tiktoken.Encoding("whole", pat_str=r"(?s:.+)", mergeable_ranks=ranks_of(path), special_tokens={})
         self.table = Table(self._learn)
         self.held = 0
 
@@ -98,9 +102,6 @@ class Codec:
         raw, ends = ids.astype("<u4").tobytes(), (4 * np.cumsum(counts)).tolist()
         return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
-    def decode(self, ids: bytes) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, np.frombuffer(ids, "<u4").tolist()))
-
 
 _codecs: dict[tuple[str, str], Codec] = {}
 
@@ -112,6 +113,16 @@ def codec(path: str, pattern: str) -> Codec:
     return _codecs[path, pattern]
 
 
+_tokens: dict[str, dict[int, bytes]] = {}
+
+
+def decode(ids: bytes, path: str) -> bytes:
+    """The bytes that ids stand for."""
+    if path not in _tokens:
+        _tokens[path] = {rank: token for token, rank in ranks_of(path).items()}
+    return b"".join(map(_tokens[path].__getitem__, np.frombuffer(ids, "<u4").tolist()))
+
+
 Batches = Iterator[pa.RecordBatch]
 
 
@@ -234,18 +245,17 @@ def encode(docs: DataFrame, path: str, pattern: str, chunk: int = CHUNK, overlap
     return short.unionByName(encode_long(docs.where(is_long), path, pattern, chunk, overlap))
 
 
-def decoded(ids: Column | str, path: str, pattern: str) -> Column:
-    """The bytes that ids stand for."""
+def decoded(ids: Column | str, path: str) -> Column:
+    """The bytes that ids stand for, as a column."""
 
     @F.pandas_udf("binary")
     def run(rows: pd.Series) -> pd.Series:
-        c = codec(path, pattern)
-        return rows.map(lambda x: None if x is None else c.decode(x))
+        return rows.map(lambda x: None if x is None else decode(x, path))
 
     return run(ids)
 
 
-def digests(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
+def digests(encoded: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) of ``encoded``, decoded again."""
     n = (F.octet_length("ids") / 4).cast("long")
-    return encoded.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(decoded("ids", path, pattern), 256).alias("decoded_sha256"))
+    return encoded.select("doc_id", n.alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(decoded("ids", path), 256).alias("decoded_sha256"))

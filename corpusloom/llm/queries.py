@@ -81,7 +81,7 @@ def op12_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path, pattern = tokenizer_path(RANKS), public_tokenizers.PATTERN
-    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), path, pattern), path, pattern)
+    return bpe.digests(bpe.encode(table(spark, sf_dir, "documents"), path, pattern), path)
 
 
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
