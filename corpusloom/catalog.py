@@ -764,6 +764,8 @@ def validate_session_hash(spark, sf_dir):
 _SHAPES = (
     ("(W+)+", False), ("(W*)+", False), ("(W+)*", False), ("(W*)*", False), ("(?:W+)+", False), ("(?:W*)+", False), ("(?P<name>W+)+", False), ("(?P<name>W*)+", False), ("(W|W)+", False), ("(W|W)*", False),
     ("([a-z]+)+W", False), ("(.*){5}W", False), ("(W){2,}", False), ("(W|Wx)+", False), (".*W.*", True), ("W|[0-9]+", True), ("(W)+x", True), ("[0-9]{2,}W", True),
+    ("(?:W(?:W)?){20}b", False), ("x?.*x?.*x?.*x?.*W#", False), ("(?:x{0,900})(?:x{0,900})#W", False), ("(?:a?b?)*#W", False), (r"\s*\n?\s*\n?\s*\n?\s*W", False), ("x?x?x?x?x?x?x?x?x?x?x?x?x?x?x?x?x?x?W", False),
+    ("(?:W(?:W)?){3}b", True), ("W.*[0-9]{4}", True), (r"\w+\s*=\s*W", True), (r"[0-9]{5}-?[0-9]{5}-?W", True), ("(?:(?:a|b)W)*d", True), ("x{2,9}W[0-9]{1,3}", True),
 )
 _SHAPE_ROWS = ", ".join(f"({k}, '{shape}', {safe})" for k, (shape, safe) in enumerate(_SHAPES))
 

@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from corpusloom import model
 from corpusloom.errors import CorpusError
+from corpusloom.functions.ambiguity import too_slow
 
 #: A finding that starts with this asks for a check.
 VERIFY = "NEEDS_VERIFICATION"
@@ -42,9 +43,10 @@ def is_safe_regex(pattern: str) -> bool:
     Refused are, read from the parsed pattern: a repeat inside a repeat (``(a+)+``, ``(.*){5}``, ``(abc){2,}`` over a
     counted group); repeated alternatives that can start with the same character (``(a|a)*``, ``(a|ab)+``); three or more
     open repeats in a row that share a character (``.*.*.*``, two if they are equal: ``\w+\w+``); counts of 1,000 or more.
+    What these shapes let pass is judged by the ways through the pattern's automaton (``ambiguity``).
     """
     try:
-        return not (_unsafe(_parser.parse(pattern), False) or _alike(pattern))
+        return not (_unsafe(_parser.parse(pattern), False) or _alike(pattern) or too_slow(pattern))
     except (re.error, OverflowError, RecursionError):
         return False
 
