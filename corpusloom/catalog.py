@@ -890,8 +890,46 @@ def manifest_saved(spark, sf_dir):
   SELECT CAST(count(*) AS BIGINT) AS total, CAST(count(*) AS BIGINT) AS processed, CAST(0 AS BIGINT) AS failed, 100.0::DOUBLE AS percent, CAST(sum({" + ".join(f"len(regexp_extract_all(content, '{r.pattern}'))" for r in analyse.RULES)}) AS BIGINT) AS n_findings FROM c""")
 def session_run(spark, sf_dir):
     """A session from its start through scan, chunks and map; its status and how many findings its results hold."""
-    s = sessions.Session.init(spark, new_path(spark, "sessions"), "what is in the files", model.Config(chunk_size=50_000), "s-1")
+    s = sessions.Session.init(spark, new_path(spark, "sessions"), "what is in the files", model.Config(chunk_size=50_000, batch_size=1_000), "s-1")
     s.scan(dealt(files(spark, sf_dir)))
-    chunks = s.chunk()
+    chunks = s.chunk(force=True)
     found = s.map()
     return s.status(chunks).withColumn("n_findings", F.lit(found.agg(F.sum(F.size("findings"))).first()[0]).cast("long"))
+
+
+_TRIED = f"""{FILES}, c AS (SELECT doc_id, unnest(range(0, n_chars, 50000)) AS start FROM files),
+  n AS (SELECT *, doc_id % 7 = 0 AS hard, doc_id % 7 = 1 AS late FROM c), total AS (SELECT count(*) AS n FROM n),
+  a AS (SELECT 1 AS attempt, CASE WHEN hard THEN 'complexity' WHEN late THEN 'timeout' END AS failure, NULL AS tier FROM n
+    UNION ALL SELECT 2, CASE WHEN hard THEN 'complexity' END, NULL FROM n WHERE hard OR late UNION ALL SELECT 3, NULL, 'stronger' FROM n WHERE hard)"""
+
+
+def _hard_session(spark: SparkSession, sf_dir: str) -> sessions.Session:
+    """A session whose analyser fails on every seventh file, however often, and on every other seventh once."""
+    s = sessions.Session.init(spark, new_path(spark, "sessions"), "what fails", model.Config(chunk_size=50_000, batch_size=2_500, max_escalation_ratio=0.5, max_cost=1e9), "s-1")
+    s.scan(dealt(files(spark, sf_dir)))
+    s.chunk(force=True)
+    of = F.regexp_extract("path", r"doc_([0-9]+)", 1).cast("long") % 7
+    said = F.when(of == 0, "the chunk is too complex").when((of == 1) & (F.col("attempt") == 1), "no answer, timeout")
+
+    def weak(chunks: DataFrame) -> DataFrame:
+        found = analyse.run_map(chunks).join(chunks.select("chunk_id", said.alias("error")), "chunk_id")
+        return found.withColumn("status", F.when(F.col("error").isNotNull(), "failed").otherwise("success"))
+
+    s.map(weak, analyse.run_map)
+    return s
+
+
+@query(f"""WITH {_TRIED} SELECT CAST(attempt AS INTEGER) AS attempt, CASE WHEN failure IS NULL THEN 'success' ELSE 'failed' END AS status, failure, tier, CAST(count(*) AS BIGINT) AS n FROM a GROUP BY ALL""")
+def session_attempts(spark, sf_dir):
+    """Attempts of a session whose analyser fails: timeouts are tried again, complex chunks escalate at the third."""
+    return _hard_session(spark, sf_dir).attempts().groupBy("attempt", "status", "failure", "tier").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {_TRIED}, k AS (SELECT attempt, count(*) AS n FROM a GROUP BY attempt), b AS (SELECT CAST(sum(ceil(n / greatest(2500, ceil(n / 100)))) AS BIGINT) AS n FROM k)
+  SELECT 'chunk_complete' AS event, CAST(count(*) AS BIGINT) AS n FROM a UNION ALL SELECT 'escalation', CAST(count(*) AS BIGINT) FROM a WHERE tier IS NOT NULL
+  UNION ALL SELECT 'batch_start', n FROM b UNION ALL SELECT 'batch_end', n FROM b""")
+def session_events(spark, sf_dir):
+    """The map's progress log of the same session, followed as a stream to its end; findings are counted in ``session_run``."""
+    log = ev.progress(spark, _hard_session(spark, sf_dir).progress())
+    counts = log.where("event <> 'finding'").groupBy("event").agg(F.count("*").alias("n"))
+    return _drained(spark, counts, "complete", "event string, n long")

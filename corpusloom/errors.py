@@ -16,6 +16,7 @@ FAULTS = {
     "session_name": ("argument", "name can't be a session's", "Use letters, digits, - and _ in {what}."),
     "query": ("argument", "no query", "Say what {what} asks for."),
     "chunk_size": ("argument", "chunk size out of range", "Choose {what} within the limits, or strict=False."),
+    "many_chunks": ("argument", "too many chunks", "Choose a larger {what}, scan less, or force it."),
     "overlap": ("argument", "overlap doesn't fit", "Choose {what} below the chunk size and the largest overlap."),
     "setting": ("argument", "no such value", "Set {what} to one of the values that its documentation lists."),
     "columns": ("data", "columns missing or taken", "Add or rename the columns of {what}."),

@@ -73,6 +73,7 @@ class Config:
     chunk_overlap: int = 0
     adaptive_chunking: bool = False
     max_retries: int = 3
+    batch_size: int = 5
     enable_escalation: bool = True
     max_escalation_ratio: float = 0.15
     max_cost: float = 5.0

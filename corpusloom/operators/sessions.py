@@ -6,7 +6,9 @@ import json
 import re
 import secrets
 import time
-from collections.abc import Callable, Iterator
+import uuid
+import warnings
+from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import asdict
 
@@ -16,17 +18,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.errors import CorpusError
-from corpusloom.model import PHASES, SCAN_MODES, Config
-from corpusloom.operators.analyse import run_map
+from corpusloom.model import MOST_CHUNKS, PHASES, SCAN_MODES, WARN_CHUNKS, Config
+from corpusloom.operators.analyse import numbered_batches, run_map
 from corpusloom.operators.chunking import chunk_adaptive, chunk_fixed
 from corpusloom.operators.incremental import diff, load_manifest, manifest
+from corpusloom.operators.mapping import Analyser, BatchRun, batch_size, run_queue, stop, write_queue
 from corpusloom.plans.reduce import Reduced, aggregate_findings
 from corpusloom.plans.running import running_sum
 from corpusloom.plans.staging import file_system, stage
 from corpusloom.sources.files import export_results, scan_targeted, with_text
 
-#: Results (chunk_id, status, findings) of chunks (chunk_id, content, ...).
-Analyser = Callable[[DataFrame], DataFrame]
 NAME = re.compile(r"[A-Za-z0-9_-]+")
 LOG = "session_id string, query string, phase string, config string, final_answer string, at timestamp"
 NOTES = "note string, at timestamp"
@@ -190,11 +191,19 @@ class Session:
         missing = {"chunk_id", "status", "processed_at"} - set(results.columns)
         if missing:
             raise CorpusError("columns", f"results lack {sorted(missing)}", what="results")
-        results.write.mode("append").parquet(f"{self.path}/results")
+        results.write.parquet(f"{self.path}/results/run=added-{uuid.uuid4().hex}")
+
+    def attempts(self) -> DataFrame:
+        """Every result there ever was: a folder for each batch of the map and each ``add_results``."""
+        return self.spark.read.option("mergeSchema", "true").parquet(f"{self.path}/results").drop("run")
 
     def results(self) -> DataFrame:
         """The latest result of every chunk."""
-        return latest(self.spark.read.parquet(f"{self.path}/results"))
+        return latest(self.attempts())
+
+    def progress(self) -> str:
+        """The folder of the map's events; ``streaming.events.progress`` follows it."""
+        return f"{self.path}/progress"
 
     def add_note(self, note: str) -> None:
         row = self.spark.createDataFrame([(note,)], "note string").withColumn("at", F.current_timestamp())
@@ -219,8 +228,8 @@ class Session:
 
     def reset(self) -> None:
         """Back to the first phase, without results or notes; the query stays."""
-        self._drop("results")
-        self._drop("notes")
+        for what in ("results", "notes", "progress", "queue", "queue-log"):
+            self._drop(what)
         self._append(phase=PHASES[0], final_answer=None)
 
     def clean(self) -> None:
@@ -228,7 +237,8 @@ class Session:
         self._drop("")
 
     def abort(self) -> None:
-        """Cancel what ``map`` and ``reduce`` are running, from another thread; batches that were written stay."""
+        """Cancel what ``map`` and ``reduce`` are running, from another thread; batches that were written stay, and ``map`` goes on with the rest."""
+        stop(self.spark, self._stream)
         self.spark.sparkContext.cancelJobGroup(self.path)
 
     @contextmanager
@@ -246,6 +256,10 @@ class Session:
         finally:
             sc.setLocalProperty("spark.jobGroup.id", None)
 
+    @property
+    def _stream(self) -> str:
+        return f"map of {self.path}"
+
     def config(self) -> Config:
         kept = json.loads(self.log().orderBy(F.desc("at")).first()["config"])
         return Config(**kept | {"target_paths": tuple(kept["target_paths"])})
@@ -271,13 +285,22 @@ class Session:
     def files(self) -> DataFrame:
         return self.spark.read.parquet(f"{self.path}/files")
 
-    def chunk(self, strict: bool = True) -> DataFrame:
-        """Cut the session's files as its configuration says; of files that a previous session has unchanged, chunks and results are taken over."""
+    def chunk(self, strict: bool = True, force: bool = False) -> DataFrame:
+        """Cut the session's files as its configuration says; of files that a previous session has unchanged, chunks and results are taken over.
+
+        More than ``MOST_CHUNKS`` are refused unless forced, more than ``WARN_CHUNKS`` give a warning.
+        """
         config, files = self.config(), self.files()
         cut = lambda rows: chunk_adaptive(rows) if config.adaptive_chunking else chunk_fixed(rows, config.chunk_size, config.chunk_overlap, strict)
         chunks = cut(with_text(files))
         self._drop("chunks")
         chunks.write.parquet(f"{self.path}/chunks")
+        n = self.chunks().count()
+        if n > MOST_CHUNKS and not force:
+            self._drop("chunks")
+            raise CorpusError("many_chunks", f"{n} chunks, of which {MOST_CHUNKS} are allowed", what="chunk_size")
+        if n > WARN_CHUNKS:
+            warnings.warn(f"{n} chunks; up to {WARN_CHUNKS} are advised", stacklevel=2)
         if config.previous_session:
             before = Session(self.spark, self.root, config.previous_session)
             old = load_manifest(self.spark, f"{before.path}/manifest")
@@ -294,24 +317,49 @@ class Session:
     def map(self, analyser: Analyser = run_map, stronger: Analyser | None = None) -> DataFrame:
         """Analyse the chunks without a result, again those that fail, up to ``max_retries`` times in all; (chunk_id, status, findings, ...) of every chunk.
 
-        Chunks that fail twice go to the ``stronger`` analyser, if there is one, as far as ratio and cost allow.
+        Chunks go in batches of ``batch_size``, each written before the next (``mapping``): after an abort another ``map`` does
+        what is left. Chunks that failed twice by quality or complexity go to the ``stronger`` analyser, if there is
+        one, as far as ratio and cost allow; those that failed otherwise are tried again as they were.
         """
         config, chunks = self.config(), self.chunks()
         with self._running("mapping"):
-            total, escalated = chunks.count(), 0
-            cap = min(int(config.max_escalation_ratio * total), int(config.max_cost / 0.01 + 1e-9)) if stronger and config.enable_escalation else 0
+            total = chunks.count()
             for attempt in range(1, config.max_retries + 1):
-                left = chunks if not self._there("results") else chunks.join(self.results().where("status = 'success'").select("chunk_id"), "chunk_id", "left_anti")
-                if left.isEmpty():
-                    break
-                parts = [(left, analyser)]
-                if attempt > 2 and cap > escalated:
-                    chosen = stage(left.orderBy("chunk_id").limit(cap - escalated), "escalated")
-                    escalated += chosen.count()
-                    parts = [(chosen, stronger), (left.join(chosen.select("chunk_id"), "chunk_id", "left_anti"), analyser)]
-                for rows, by in parts:
-                    self.add_results(by(rows).withColumns({"attempt": F.lit(attempt), "processed_at": F.current_timestamp()}))
-        return self.results()
+                left = stage(self._left(chunks, attempt, total, stronger is not None and config.enable_escalation), "map-left")
+                n = left.count()
+                if not n:
+                    continue
+                size = batch_size(n, config.batch_size)
+                numbered = numbered_batches(left.select("chunk_id", "path", "start"), [F.col("path"), F.col("start"), F.col("chunk_id")], size)
+                run = BatchRun(self.spark, f"{self.path}/results", self.progress(), uuid.uuid4().hex, attempt, analyser, stronger)
+                queue = f"{self.path}/queue/{run.run}"
+                queued = left.join(numbered.select("chunk_id", "batch"), "chunk_id").withColumn("attempt", F.lit(attempt))
+                write_queue(queued, queue)
+                run_queue(queue, queued.schema, f"{self.path}/queue-log/{run.run}", self._stream, run)
+                if len(run.done) * size < n:
+                    raise CorpusError("cancelled", "the map was stopped", what=self.session_id)
+        return self.results() if self._there("results") else chunks.select("chunk_id", F.lit("pending").alias("status")).limit(0)
+
+    def _left(self, chunks: DataFrame, attempt: int, total: int, escalating: bool) -> DataFrame:
+        """The chunks of an attempt, with ``tier`` for those that go to the stronger analyser."""
+        none = F.lit(None).cast("string")
+        if not self._there("results"):
+            return chunks.withColumn("tier", none) if attempt == 1 else chunks.limit(0).withColumn("tier", none)
+        every = self.attempts()
+        for name, kind in (("attempt", "int"), ("failure", "string"), ("tier", "string")):
+            if name not in every.columns:
+                every = every.withColumn(name, F.lit(None).cast(kind))
+        last = latest(every.select("chunk_id", "status", "attempt", "failure", "processed_at")).withColumnRenamed("status", "__status")
+        tried = F.when(F.coalesce("__status", F.lit("pending")).isin("pending", "placeholder"), 0).otherwise(F.coalesce("attempt", F.lit(1)))
+        open_ = chunks.join(last, "chunk_id", "left").withColumn("__tried", tried).where((F.coalesce("__status", F.lit("pending")) != "success") & (F.col("__tried") == attempt - 1))
+        if not escalating or attempt < 3:
+            return open_.select(*chunks.columns, none.alias("tier"))
+        config = self.config()
+        cap = min(int(config.max_escalation_ratio * total), int(config.max_cost / 0.01 + 1e-9))
+        used = every.where("tier is not null").select("chunk_id").distinct().count()
+        wanted = open_.where(should_escalate(F.col("failure"), F.col("__tried"))).orderBy("path", "start").limit(max(cap - used, 0))
+        chosen = wanted.select("chunk_id", F.lit("stronger").alias("tier"))
+        return open_.join(chosen, "chunk_id", "left").select(*chunks.columns, "tier")
 
     def reduce(self, least: float = 0.7, opposed: float = 0.4) -> Reduced:
         """Merge the findings of all results: near-duplicates, contradictions, counts."""

@@ -267,7 +267,7 @@ def test_sessions_run_from_scan_to_export(spark, tmp_path):
     root = str(tmp_path)
     rows = [(f"src/f{i}.md", ".md", f"notice {i}\nLicensed under the MIT\n" + "words " * 40) for i in range(6)] + [("docs/none.md", ".md", "")]
     files = spark.createDataFrame(rows, "path string, ext string, text string")
-    config = Config(chunk_size=100, chunk_overlap=10, max_retries=4, max_escalation_ratio=0.5)
+    config = Config(chunk_size=100, chunk_overlap=10, max_retries=4, max_escalation_ratio=0.5, batch_size=1000)
     s = sessions.Session.init(spark, root, "licences", config, "one")
     assert s.config() == config and s.query() == "licences"
     s.scan(files)
@@ -277,7 +277,7 @@ def test_sessions_run_from_scan_to_export(spark, tmp_path):
 
     def weak(part):
         tried.append(part.count())
-        return analyse.run_map(part).withColumn("status", F.when(F.col("chunk_id") < "4", "failed").otherwise(F.col("status")))
+        return analyse.run_map(part).withColumns({"error": F.when(F.col("chunk_id") < "4", "too complex"), "status": F.when(F.col("chunk_id") < "4", "failed").otherwise(F.col("status"))})
 
     def strong(part):
         escalated.append(part.count())
