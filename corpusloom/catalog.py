@@ -228,11 +228,59 @@ def chunk_lines(spark, sf_dir):
 @query(f"""WITH RECURSIVE {FILES}, {LINES}, z AS (SELECT path, max(line) AS last FROM l GROUP BY path),
   n AS MATERIALIZED (SELECT path, line, length(t) + CAST(line < last AS INTEGER) AS n FROM l JOIN z USING (path) WHERE line < last OR t <> ''), {PACKED.format(2000)}
   SELECT path, CAST(no AS BIGINT) AS no, CAST(min(line) AS BIGINT) AS start_line, CAST(max(line) AS BIGINT) AS end_line, true AS is_fallback FROM g GROUP BY 1, 2""")
-def chunk_scopes(spark, sf_dir):
-    """Chunks at scopes or lines; the given texts hold no scopes, code does in the tests."""
+def chunk_scopes_prose(spark, sf_dir):
+    """Texts without a scope: all chunks are cut between lines."""
     return chunking.chunk_scopes(dealt(files(spark, sf_dir)), 2000).drop("content")
 
 
+# Code written from parts, 40 to a file: how a file begins, a part's method (K: its key, N: its name), how it ends, and what the scopes are called.
+_CODE = (
+    (".py", "class Parts:\n", "    def part_K(self):\n        # class Fake: N\n        return 'def fake(): N'\n", "", "class", "method"),
+    (".js", "export class Parts {\n", "  part_K(a) {\n    // class Fake { N\n    return `function fake() { ${a} N`; }\n", "}\n", "class", "method"),
+    (".ts", "abstract class Parts<T> extends Base {\n", "  public part_K<T>(a: T): string {\n    /* class Fake { N */\n    return 'class Fake { N'; }\n", "}\n", "class", "method"),
+    (".java", "public final class Parts {\n", "  public String part_K(int a) {\n    // void fake() { N\n    return \"class Fake { N\"; }\n", "}\n", "class", "method"),
+    (".go", "package parts\n", "func part_K(a int) string {\n\t// func fake() { N\n\treturn \"func fake() { N\" }\n", "", None, "function"),
+)
+_PER_FILE, _CODE_CHUNK = 40, 1500
+
+
+def _of_kind(values, like: str = "f % 5") -> str:
+    quoted = ["NULL" if v is None else "'" + v.replace("'", "''").replace("\n", "' || chr(10) || '").replace("\t", "' || chr(9) || '") + "'" for v in values]
+    return f"CASE {like} " + " ".join(f"WHEN {k} THEN {v}" for k, v in enumerate(quoted)) + " END"
+
+
+_CODE_UNITS = f"""p AS (SELECT p_partkey // {_PER_FILE} AS f, p_partkey AS k, p_name AS n, row_number() OVER (PARTITION BY p_partkey // {_PER_FILE} ORDER BY p_partkey) AS i, count(*) OVER (PARTITION BY p_partkey // {_PER_FILE}) AS m FROM part),
+  u AS (SELECT DISTINCT f, 0 AS i, {_of_kind(c[1] for c in _CODE)} AS t FROM p
+    UNION ALL SELECT f, i, replace(replace({_of_kind(c[2] for c in _CODE)}, 'K', k::VARCHAR), 'N', n) || CASE WHEN i = m THEN {_of_kind(c[3] for c in _CODE)} ELSE '' END FROM p),
+  x AS (SELECT DISTINCT f, 'code/' || f || {_of_kind(c[0] for c in _CODE)} AS path FROM p)"""
+
+
+def _code_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of code in five languages, a class with a method for each of ``_PER_FILE`` parts; strings and comments look like code."""
+    at = lambda k: F.element_at(F.array(*[F.lit(c[k]) for c in _CODE]), (F.col("f") % len(_CODE) + 1).cast("int"))
+    rows = table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / _PER_FILE).alias("f"), "p_partkey", "p_name")
+    method = F.replace(F.replace(at(2), F.lit("K"), F.col("p_partkey").cast("string")), F.lit("N"), F.col("p_name"))
+    whole = rows.withColumn("t", method).groupBy("f").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "t"))).alias("parts"))
+    text = F.concat(at(1), F.array_join(F.transform("parts", lambda p: p["t"]), ""), at(3))
+    return whole.select(F.concat(F.lit("code/"), F.col("f").cast("string"), at(0)).alias("path"), at(0).alias("ext"), text.alias("text"))
+
+
+@query(f"""WITH {_CODE_UNITS} SELECT path, CAST(3 * i - 1 AS BIGINT) AS line, CAST(3 * i + 1 AS BIGINT) AS last_line, CAST(f % 5 <> 4 AS BIGINT) AS depth, {_of_kind(c[5] for c in _CODE)} AS kind, 'part_' || k AS name FROM p JOIN x USING (f)
+  UNION ALL SELECT DISTINCT path, CAST(1 AS BIGINT), CAST(3 * m + 1 + CAST(f % 5 > 0 AS INTEGER) AS BIGINT), CAST(0 AS BIGINT), 'class', 'Parts' FROM p JOIN x USING (f) WHERE f % 5 <> 4""")
+def extract_scopes(spark, sf_dir):
+    """Scopes of code written from parts, whose strings and comments look like scopes."""
+    return chunking.extract_scopes(dealt(_code_files(spark, sf_dir)))
+
+
+@query(f"""WITH RECURSIVE {_CODE_UNITS}, g AS (SELECT f, i, length(t) AS used, 0 AS no FROM u WHERE i = 0 UNION ALL
+    SELECT n.f, n.i, CASE WHEN cut THEN length(n.t) ELSE used + length(n.t) END, no + CAST(cut AS INTEGER) FROM (SELECT u.f, u.i, u.t, g.used, g.no, g.used + length(u.t) > {_CODE_CHUNK} OR u.f % 5 = 4 AND g.used >= {_CODE_CHUNK // 2} AS cut FROM g JOIN u ON u.f = g.f AND u.i = g.i + 1) n)
+  SELECT path, CAST(no AS BIGINT) AS no, CAST(min(CASE i WHEN 0 THEN 1 ELSE 3 * i - 1 END) AS BIGINT) AS start_line, CAST(max(CASE i WHEN 0 THEN 1 ELSE 3 * i + 1 + CAST(i = m AND f % 5 IN (1, 2, 3) AS INTEGER) END) AS BIGINT) AS end_line, false AS is_fallback
+  FROM g JOIN x USING (f) JOIN (SELECT DISTINCT f, m FROM p) USING (f) GROUP BY 1, 2""")
+def chunk_scopes(spark, sf_dir):
+    """The same code in chunks that end where scopes begin: whole methods, as many as fit."""
+    return chunking.chunk_scopes(dealt(_code_files(spark, sf_dir)), _CODE_CHUNK).drop("content")
+
+
 @query(f"""WITH {FILES}, f AS (SELECT path, unnest(range(0, n_chars, 700)) AS start, n_chars FROM files), q AS (SELECT path, start, least(start + 150, n_chars) AS "end" FROM f),
   c AS (SELECT path, n_chars, unnest(range(0, greatest(n_chars - 100, 1), 700)) AS low FROM files WHERE n_chars > 0)
   SELECT q.path, CAST(q.start AS BIGINT) AS start, CAST(c.low // 700 AS BIGINT) AS no FROM q JOIN c ON q.path = c.path AND q.start < least(c.low + 800, c.n_chars) AND c.low < q."end" """)

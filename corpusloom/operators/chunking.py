@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ast
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,6 +13,7 @@ from pyspark.sql import functions as F
 from corpusloom import model
 from corpusloom.errors import CorpusError
 from corpusloom.functions.text import chunk_id, chunk_size, language
+from corpusloom.operators.scopes import DEEPEST, TYPES, Scope, scopes_of
 from corpusloom.sources.files import with_text
 
 
@@ -110,33 +110,30 @@ def chunk_lines_overlapping(files: DataFrame, size: int = model.DEFAULT_CHUNK_SI
     return with_text(files).select("path", "text").mapInPandas(cut, "path string, no long, start_line long, end_line long, content string, is_fallback boolean")
 
 
-SCOPE = {
-    "javascript": re.compile(r"^(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:function|class)\b", re.M),
-    "typescript": re.compile(r"^(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:function|class|interface|enum|type|namespace)\b", re.M),
-    "java": re.compile(r"^\s*(?:(?:public|protected|private|static|final|abstract)\s+)*(?:class|interface|enum|record)\b", re.M),
-    "go": re.compile(r"^(?:func|type)\b", re.M),
-}
+def scopes_in(text: str, lang: str | None) -> list[Scope]:
+    """The classes, functions and methods of a text with their lines and depth, 0 for the outermost, at most ``DEEPEST``: Python by its own parser, others by a lexer."""
+    if lang != "python":
+        return scopes_of(text, lang) if lang in TYPES else []
+    try:
+        inside = [(node, 0) for node in ast.parse(text).body]
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        return []
+    out = []
+    while inside:
+        node, depth = inside.pop()
+        is_scope = isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)) and depth <= DEEPEST
+        if is_scope:
+            line = min([node.lineno, *(d.lineno for d in node.decorator_list)])
+            out.append(Scope(line, depth, "class" if isinstance(node, ast.ClassDef) else "method" if depth else "function", node.name, node.end_lineno))
+        inside += [(child, depth + is_scope) for child in ast.iter_child_nodes(node) if isinstance(child, ast.stmt | ast.match_case | ast.excepthandler)]
+    return sorted(out)
 
 
 def scopes(text: str, lang: str | None) -> dict[int, int]:
-    """1-based first line -> depth of every class and function, 0 for the outermost; by pattern the indentation is the depth."""
+    """1-based first line -> depth of every class and function, 0 for the outermost."""
     out: dict[int, int] = {}
-    if lang == "python":
-        try:
-            inside = [(node, 0) for node in ast.parse(text).body]
-        except (SyntaxError, ValueError, RecursionError, MemoryError):
-            return {}
-        while inside:
-            node, depth = inside.pop()
-            is_scope = isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef))
-            if is_scope:
-                line = min([node.lineno, *(d.lineno for d in node.decorator_list)])
-                out[line] = min(depth, out.get(line, depth))
-            inside += [(child, depth + is_scope) for child in ast.iter_child_nodes(node) if isinstance(child, ast.stmt)]
-    elif lang in SCOPE:
-        for m in SCOPE[lang].finditer(text):
-            start = m.start() + len(m[0]) - len(m[0].lstrip())
-            out[text.count("\n", 0, start) + 1] = 0 if lang != "java" else (start - text.rfind("\n", 0, start) - 1) // 4
+    for s in scopes_in(text, lang):
+        out[s.line] = min(s.depth, out.get(s.line, s.depth))
     return out
 
 
@@ -192,3 +189,15 @@ def chunk_scopes(files: DataFrame, most: int = SCOPE_CHARS) -> DataFrame:
 
     rows = with_text(files).select("path", "text", language(F.col("ext")).alias("lang"))
     return rows.mapInPandas(cut, "path string, no long, start_line long, end_line long, content string, is_fallback boolean")
+
+
+def extract_scopes(files: DataFrame) -> DataFrame:
+    """(path, line, last_line, depth, kind, name) of every scope of the files (path, ext, text)."""
+
+    def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(p, s.line, s.last, s.depth, s.kind, s.name) for p, t, lang in zip(pdf["path"], pdf["text"], pdf["lang"]) for s in scopes_in(t or "", lang)]
+            yield pd.DataFrame(rows, columns=["path", "line", "last_line", "depth", "kind", "name"])
+
+    rows = with_text(files).select("path", "text", language(F.col("ext")).alias("lang"))
+    return rows.mapInPandas(found, "path string, line long, last_line long, depth long, kind string, name string")
