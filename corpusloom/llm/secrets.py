@@ -13,6 +13,10 @@ the corpus itself, whatever its languages: those that are one in ``most`` or mor
 words met, a text counting each once, and values after credential words none. There are
 ``most`` of them at the most; they are ranked by frequency and broadcast.
 
+Values. A quoted value reaches its closing quote, whatever is in it; a bare one ends at white space, quotes, angle brackets, commas,
+semicolons and brackets that it didn't open. A value is judged whole, but for what is made of parts: of a text with spaces,
+a link or a dotted identifier the dearest part decides, and a part of plausible letters (NAME) counts as one rare word.
+
 Cases. Null or empty text: no spans, no cost. Matches that fail a length are dropped
 without another try inside them. Added spans that overlap a base span are left
 out. A cost at the limit is dear. Spans that start together stand in the order of the kinds.
@@ -42,7 +46,7 @@ ASSIGN_CUES = ("passw", "secret", "token", "api")
 
 CONTEXT = re.compile(
     r"(?i:pass(?:word|wd|phrase|code)?|pwd|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|credentials?|auth(?:orization)?|bearer)"
-    r"[\"']?(?:\x20*(?::=|=>|[:=])\x20*(?i:bearer\x20+|basic\x20+)?|\x20+(?i:is)\x20+)[\"']?([^\s\"'<>,;(){}\[\]]+)",
+    r"[\"']?(?:\x20*(?::=|=>|[:=])\x20*(?i:bearer\x20+|basic\x20+)?|\x20+(?i:is)\x20+)(?:\"([^\"\n\\]*(?:\\.[^\"\n\\]*)*)\"|'([^'\n\\]*(?:\\.[^'\n\\]*)*)'|[\"']?([^\s\"'<>,;]+))",
     re.ASCII,
 )
 #: The same for texts in lower case, as Java reads it.
@@ -167,6 +171,55 @@ def guess_cost(value: str, ranks: dict[str, int] = RANK) -> float:
     return best[-1]
 
 
+#: Separators of the parts of a link; an identifier with dots; letters that can be a name: no five consonants in a row, a vowel in five letters.
+LINK = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*://")
+LINK_PARTS = re.compile(r"[/?&=#.:@_~+;,%-]+")
+DOTTED = re.compile(r"\$?[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+(?:\(\w*\))?")
+HUMPS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|\d+")
+CONSONANTS = re.compile(r"[bcdfghjklmnpqrstvwxz]{5}")
+CLOSED = {")": "(", "]": "[", "}": "{"}
+
+
+def is_name(word: str) -> bool:
+    low = word.lower()
+    return low.isalpha() and low.isascii() and 5 * sum(c in "aeiouy" for c in low) >= len(low) and not CONSONANTS.search(low)
+
+
+def part_cost(part: str, ranks: dict[str, int]) -> float:
+    """The cost of a part of a link or identifier: the dearest of its words, a plausible one at most that of the rarest word known."""
+    return max((min(guess_cost(w, ranks), log10(MOST_WORDS)) if is_name(w) else guess_cost(w, ranks) for w in _words(part)), default=0.0)
+
+
+def _words(part: str) -> list[str]:
+    """The words of a part in mixed case or with underscores, if these are all that it is; else the part itself."""
+    words = [w for piece in part.split("_") for w in HUMPS.findall(piece)]
+    return words if all(is_name(w) or len(w) < 5 and w.isdigit() for w in words) else [part]
+
+
+def value_cost(value: str, ranks: dict[str, int] = RANK) -> float:
+    """The cost of a value as a whole, or of its dearest part where it is prose, a link or a dotted identifier."""
+    if any(c.isspace() for c in value):
+        words = [v.strip(".,:;!?()[]{}") for v in value.split()]
+        return max((part_cost(v, ranks) if v.isalpha() else value_cost(v, ranks) for v in words), default=0.0)
+    if LINK.match(value):
+        return max((part_cost(p, ranks) for p in LINK_PARTS.split(value) if p), default=0.0)
+    if DOTTED.fullmatch(value):
+        return max(part_cost(p, ranks) for p in re.split(r"[.()]+", value.strip("$")) if p)
+    return guess_cost(value, ranks)
+
+
+def bare(value: str) -> str:
+    """A value without quotes, up to a bracket that it didn't open, without marks that end a sentence."""
+    opened: list[str] = []
+    for k, c in enumerate(value):
+        if c in "([{":
+            opened.append(c)
+        elif c in CLOSED and (not opened or opened.pop() != CLOSED[c]):
+            value = value[:k]
+            break
+    return value.rstrip(".:!?#*$%&|")
+
+
 def dictionary(docs: DataFrame, most: int = MOST_WORDS) -> dict[str, int]:
     """Rank by frequency of the words that are one in ``most`` or more of all words of the corpus, each once a text."""
     text = F.lower(F.coalesce("text", F.lit("")))
@@ -202,9 +255,9 @@ def added_spans(text: str, lower: str, base: list[Span], ranks: dict[str, int])
     if not any(c in lower for c in CONTEXT_CUES):
         return out, dearest
     for m in CONTEXT.finditer(text):
-        value = m[1].rstrip(".:!?#*$%&|")
-        start, end = m.start(1), m.start(1) + len(value)
-        cost = guess_cost(value, ranks)
+        value, start = (m[m.lastindex], m.start(m.lastindex)) if m.lastindex < 3 else (bare(m[3]), m.start(3))
+        end = start + len(value)
+        cost = value_cost(value, ranks)
         dearest = cost if dearest is None else max(cost, dearest)
         if cost >= DEAR and not any(a < end and start < b for a, b, _ in base):
             out.append((start, end, "guess"))

@@ -43,6 +43,31 @@ def test_words_are_no_secrets():
         assert [k for *_, k in secrets.search(text)[0]] == ["guess"]
 
 
+@pytest.mark.parametrize(
+    ("text", "value"),
+    [
+        ('"password": "Zx9,kQ2vLpW7"', "Zx9,kQ2vLpW7"), ("password: Kx8(vQ2)pL9{z}", "Kx8(vQ2)pL9{z}"), ("pwd = 'q;9(kZ w!x2Lm8)'", "q;9(kZ w!x2Lm8)"), ("login(passphrase=Zx9kQ2!vLpW7)", "Zx9kQ2!vLpW7"), ('pwd: "k8#\\"vQ2)pL9"', '"k8#\\"vQ2)pL9"'[1:-1]),
+        ("auth => https://user:Zx9kQ2vLpW7h@example.com/path", "https://user:Zx9kQ2vLpW7h@example.com/path"), ('{"pwd": "hvqztkwpxuy!7", "x": 1}', "hvqztkwpxuy!7"), ("pwd is kzqwxvptmn.bvcxzlkj", "kzqwxvptmn.bvcxzlkj"), ('pwd: "Zx9kQ2!vLpW7 unclosed', "Zx9kQ2!vLpW7"),
+    ],
+)
+def test_values_are_whole(text, value):
+    """Quoted values reach their quote, bare ones the bracket that they didn't open."""
+    start = text.index(value)
+    assert f"guess:{start}:{start + len(value)}" in [f"{k}:{a}:{b}" for a, b, k in secrets.search(text)[0]]
+
+
+@pytest.mark.parametrize("text", ["token: https://example.com/docs/reference/index.html", "auth = sessionmanager.getinstance", "auth = SessionManager.getInstance()", '"secret": "The secret that you have been given by the administrator"', "pwd = os.environ.get", "token = request.headers.authorizationHeader", 'auth: ""', "auth: ()", "credentials := http://localhost:8080/login?next=start"])
+def test_links_names_and_prose_are_no_secrets(text):
+    assert [s for s in secrets.search(text)[0] if s[2] == "guess"] == []
+
+
+@pytest.mark.parametrize("text", ["pwd: " + "(" * 50_000, 'pwd: "' + "\\" * 50_000, "pwd: '" * 20_000, "auth: " + "a." * 50_000, "pwd: http://" + "x/" * 30_000, 'pwd: "' + "ab " * 30_000 + '"'])
+def test_odd_values_take_linear_time(text):
+    began = time.process_time()
+    secrets.search(text)
+    assert time.process_time() - began < 8
+
+
 def test_words_of_the_corpus(spark):
     """Frequent words of any language are known; values after credential words are not learned, nor are rare words."""
     prose = "der fahrscheinautomat steht neben der bahnhofshalle und die schaffnerin wartet"
