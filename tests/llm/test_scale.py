@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from collections import Counter, defaultdict
 from math import log1p
 
@@ -190,17 +191,15 @@ def test_recall_on_a_table(spark):
 
 
 def test_candidates_of_one_size(spark):
-    """Of 200 items and as many windows of one size less than 5 % of all pairs pass the index."""
+    """Of 200 items and as many windows of one size less than 5 % of all pairs pass the index, and all true ones."""
     r = random.Random(12)
     items = [[f"w{r.randrange(400)}" for _ in range(34)] for _ in range(200)]
     docs = spark.createDataFrame([(i, " ".join(["x", *w[:20], "new", *w[20:]])) for i, w in enumerate(items)], "doc_id long, text string")
     sought = decontam.rare_shingles(decontam.items(spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")), 0.7).cache()
-    found = decontam.windows(docs, sought, 0.7).cache()
-    prints = decontam.simhash(found.dropDuplicates(["content", "size"]).select("content", "size", F.explode("win").alias("s")), ["content", "size"], "s")
-    marks = decontam.simhash(sought.select("item", F.explode("own").alias("s")), ["item"], "s").withColumnRenamed("fp", "item_fp").withColumn("few", F.lit(False))
-    pairs = decontam.near_pairs(found.select("content", "size", "item").distinct().join(prints, ["content", "size"]), marks)
-    contents = found.select("content").distinct().count()
-    assert contents >= 200 and 200 <= pairs.count() < 0.05 * contents * 200 and pairs.select("item").distinct().count() == 200
+    bodies = decontam.suspects(docs, sought).select("d", "h").cache()
+    asked = decontam.candidates(bodies, sought, 0.7).cache()
+    windows = decontam.windows(bodies, sought, 0.7).count()
+    assert windows >= 200 and 200 <= asked.count() < 0.05 * windows * 200 and asked.select("item").distinct().count() == 200
 
 
 def test_the_index_finds_all_within_the_radius(spark):
@@ -208,12 +207,50 @@ def test_the_index_finds_all_within_the_radius(spark):
     rows, marks = [], []
     for k in range(60):
         fp = r.getrandbits(64)
-        marks.append((k, simhash.signed(fp), False))
+        marks.append((k, 20, simhash.signed(fp)))
         for d in (0, 5, 16, 22, 23, 24, 30):
-            rows.append((1000 * k + d, 20, k, simhash.signed(fp ^ sum(1 << b for b in r.sample(range(64), d)))))
-    asked = spark.createDataFrame(rows, "content long, size int, item long, fp long")
-    got = {(x.content, x.item) for x in decontam.near_pairs(asked, spark.createDataFrame(marks, "item long, item_fp long, few boolean")).collect()}
-    assert got == {(c, k) for c, _, k, _ in rows if c % 1000 <= 23}
+            rows.append((20, simhash.signed(fp ^ sum(1 << b for b in r.sample(range(64), d))), k, d))
+    asked = spark.createDataFrame([x[:2] for x in rows] + [(21, x[1]) for x in rows], "size int, fp long")
+    got = {(x.fp, x.item) for x in decontam.near(asked.distinct(), spark.createDataFrame(marks, "item long, size int, item_fp long")).collect()}
+    assert {(fp, k) for _, fp, k, d in rows if d <= 23} == {(fp, k) for fp, k in got if (fp, k) in {(x[1], x[2]) for x in rows}}
+    assert not {(x[1], x[2]) for x in rows if x[3] > 23} & got
+
+
+def test_nothing_is_found_without_the_index(spark, monkeypatch):
+    """Which items a window may be like is known from the index alone."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    known = spark.read.parquet(f"{SF}/benchmark.parquet")
+    assert decontam.leaks(docs, known).count() > 0
+    monkeypatch.setattr(decontam, "near", lambda asked, known: asked.select("size", "fp", F.lit(0).cast("long").alias("item")).limit(0))
+    assert decontam.leaks(docs, known).count() == 0
+
+
+def test_fingerprints_slide(spark):
+    """Differences of running sums give what each window's own shingles give."""
+    r = random.Random(3)
+    h = [r.getrandbits(64) - (1 << 63) for _ in range(60)]
+    bodies = spark.createDataFrame([("a", h), ("b", h[::-1][:20])], "d string, h array<long>")
+    found = spark.createDataFrame([("a", n, a, n) for n in (1, 7, 20) for a in range(0, 61 - n, 3)] + [("b", 30, 0, 20)], "d string, size int, start int, long int")
+    for x in decontam.fingerprints(bodies, found).collect():
+        mine = [v & (2**64 - 1) for v in (h if x.d == "a" else h[::-1][:20])[x.start : x.start + x.long]]
+        assert x.fp & (2**64 - 1) == sum(1 << b for b in range(64) if 2 * sum(v >> b & 1 for v in mine) > len(mine))
+
+
+def test_long_items_take_little_longer(spark):
+    """The work of a leaked item grows with its words, not with their square."""
+
+    def seconds(n):
+        item = " ".join(f"i{n}w{j}" for j in range(n))
+        docs = spark.createDataFrame([(k, f"{'lead ' * k} {item} tail") for k in range(3)] + [(9, "other words here and there")], "doc_id long, text string")
+        bench = spark.createDataFrame([(1, item), (2, "another item of some words that is nowhere " * 3)], "item_id long, text string")
+        began = time.monotonic()
+        got = {(x.doc_id, x.item_id): x.similarity for x in decontam.leaks(docs, bench).collect()}
+        assert got == {(k, 1): 1.0 for k in range(3)}
+        return time.monotonic() - began
+
+    seconds(100)
+    short = seconds(500)
+    assert seconds(10_000) < 4 * short + 5
 
 
 # --- token store
