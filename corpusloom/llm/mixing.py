@@ -38,6 +38,8 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2
 PIECE_ROWS = 20_000
+#: Ranges of the sort at the most, whatever the number of rows; what lies in one is summed as a stream.
+MOST_RANGES = 10_000
 
 
 def _place() -> Column:
@@ -87,6 +89,10 @@ def _running(rows: DataFrame, keys: list[str], piece: str, value: str, order: li
     return joined.withColumn(out, F.col("__before") + F.sum(value).over(within)).drop("__before")
 
 
+def ranges_of(n: int) -> int:
+    return max(2, min(n // PIECE_ROWS * 2, MOST_RANGES))
+
+
 def schedule(rows: DataFrame) -> DataFrame:
     """Both laps of every document of ``sizes`` with ``finish``, ``position`` (running words) and ``taken``.
 
@@ -104,7 +110,7 @@ def schedule(rows: DataFrame) -> DataFrame:
     laps = laps.withColumn("finish", (F.col("lap") * F.col("source_size") + F.col("through")) / F.col("target"))
     laps = stage(laps.drop("piece", "through"), "laps")
     order = ["finish", "source", "lap", "h", "doc_id", "size"]
-    ranged = laps.repartitionByRange(max(2, n // PIECE_ROWS * 2), *order)
+    ranged = laps.repartitionByRange(ranges_of(n), *order)
     ranged = stage(ranged.withColumn("piece", F.spark_partition_id()), "ranges")
     summed = _running(ranged, [], "piece", "size", [F.col(c) for c in order], "position").drop("piece")
     budget = rows.agg(F.floor(SHARE * F.sum("size"))).first()[0] or 0
