@@ -447,12 +447,13 @@ _LEAD = """CASE confidence WHEN 'high' THEN 3 WHEN 'medium' THEN 2 ELSE 1 END"""
 @query(f"""WITH {FINDINGS}, f AS (SELECT *, rule || '|' || evidence AS g FROM findings)
   SELECT g AS group_id, CAST(min(doc_id) AS BIGINT) AS doc_id, any_value(confidence) AS confidence, CAST(count(*) AS BIGINT) AS n_findings, CAST(count(DISTINCT path) AS BIGINT) AS n_files FROM f GROUP BY g""")
 def merge_group(spark, sf_dir):
-    """Findings of one rule and evidence merged; every file counts."""
+    """Findings of one rule and evidence merged by the library's ``merged``; every file counts."""
     rows = files(spark, sf_dir).select("doc_id", "path", "text")
     found = analyse.findings(rows.withColumn("key", F.struct("doc_id", "path")), by="key").select("key.doc_id", F.col("key.path").alias("file"), F.concat_ws("|", "rule", "evidence").alias("group_id"), "confidence")
-    lead = F.min_by(F.struct("doc_id", "confidence"), F.struct(-fn.confidence_score(F.col("confidence")), F.col("doc_id")))
-    out = found.groupBy("group_id").agg(lead.alias("lead"), F.count("*").alias("n_findings"), F.countDistinct("file").alias("n_files"))
-    return out.select("group_id", "lead.doc_id", "lead.confidence", "n_findings", "n_files")
+    # A finding's id says its document and its group, so that a document may be in several groups.
+    found = stage(found.withColumn("id", F.struct("doc_id", "group_id")), "findings")
+    groups = found.select("id", "group_id").distinct()
+    return reduce.merged(found.drop("group_id", "doc_id"), groups, "id").select("group_id", "id.doc_id", "confidence", "n_findings", "n_files")
 
 
 _ATTEMPTS = "a AS (SELECT event_id, user_id AS chunk_id, ts AS processed_at, CASE WHEN event_type = 'error' THEN 'failed' WHEN event_type = 'view' THEN 'placeholder' ELSE 'success' END AS status, value FROM events)"

@@ -32,14 +32,19 @@ def hashed(words: Column) -> Column:
     return F.array_sort(F.transform(words, lambda w: F.xxhash64(w)))
 
 
-def token_classes(rows: DataFrame, id_col: str, text: str, exact: bool = False) -> tuple[DataFrame, DataFrame]:
-    """(classes, members): texts with one token set and one start (``exact``: equal texts) are one class, named by its smallest id."""
+def token_sets(rows: DataFrame, id_col: str, text: str, exact: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(classes with their key and the number ``n`` of their members, (key, id) of the members): texts with one token set and one start (``exact``: equal texts) are one class, named by its smallest id."""
     known = rows.select(F.col(id_col).alias("id"), hashed(tokens(F.col(text))).alias("t"), hashed(block_tokens(F.col(text))).alias("b"), F.length(text).alias("len"), F.col(text).alias("text"))
     same = F.coalesce("text", F.lit("")) if exact else F.to_json(F.struct("t", "b", "len"))
     known = stage(known.withColumn("key", F.sha2(same, 256)).drop("text"), "token-sets")
     classes = known.groupBy("key").agg(F.min("id").alias("class_id"), F.first("t").alias("t"), F.first("b").alias("b"), F.first("len").alias("len"), F.count("*").alias("n"))
-    classes = stage(classes, "token-classes")
-    members = join_hot(known.select("key", "id"), classes.select("key", "class_id", "n"), "key")
+    return stage(classes, "token-classes"), known.select("key", "id")
+
+
+def token_classes(rows: DataFrame, id_col: str, text: str, exact: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(classes, members): the classes of ``token_sets`` and the class of every row."""
+    classes, known = token_sets(rows, id_col, text, exact)
+    members = join_hot(known, classes.select("key", "class_id", "n"), "key")
     return classes.drop("n"), members.select(F.col("id").alias(id_col), "class_id")
 
 
@@ -103,12 +108,14 @@ def similar_classes(classes: DataFrame, least: float, length_ratio: float = 0.5,
 
 def near_groups(rows: DataFrame, id_col: str, text: str, least: float = 0.7) -> DataFrame:
     """(id, class_id, group_id, n_links): a row per row, groups by transitive similarity; links are between classes."""
-    classes, members = token_classes(rows, id_col, text)
-    pairs = stage(similar_classes(classes, least), "pairs")
+    classes, members = token_sets(rows, id_col, text)
+    pairs = stage(similar_classes(classes.drop("n"), least), "pairs")
     roots = star_components(pairs.select(F.col("a").alias("u"), F.col("b").alias("v")))
     both = pairs.select(F.col("a").alias("c")).unionByName(pairs.select(F.col("b").alias("c"))).groupBy("c").agg(F.count("*").alias("n_links"))
-    out = members.join(roots, members.class_id == roots.node, "left").join(both, F.col("class_id") == F.col("c"), "left")
-    return out.select(id_col, "class_id", F.coalesce("root", "class_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    # What a class is called is found once a class; the rows of a class, however many, then meet one row.
+    named = classes.select("key", "class_id", "n").join(roots, F.col("class_id") == F.col("node"), "left").join(both, F.col("class_id") == F.col("c"), "left")
+    named = stage(named.select("key", "n", "class_id", F.coalesce("root", "class_id").alias("group_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links")), "class-groups")
+    return join_hot(members, named, "key").select(F.col("id").alias(id_col), "class_id", "group_id", "n_links")
 
 
 def merged(findings: DataFrame, groups: DataFrame, id_col: str) -> DataFrame:

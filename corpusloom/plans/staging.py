@@ -94,14 +94,17 @@ def bounded_batches(spark: SparkSession, megabytes: int = 8) -> Iterator[None]:
 def join_hot(rows: DataFrame, sizes: DataFrame, key: str, hot: int = 100_000, most: int = 100_000) -> DataFrame:
     """``rows`` joined with ``sizes`` (key, n, ...: a row per key, n rows of it in ``rows``) on a key of which some may be very frequent.
 
-    Keys of over ``hot`` rows, at most ``most`` of them by their number, are joined by broadcast, so that no task gets all rows
-    of one; the rest by shuffle. ``sizes`` must be cheap to read again.
+    Keys of over ``hot`` rows, of more than ``most`` such keys the hottest, are joined by broadcast, so that no task gets all rows
+    of one; the rest by shuffle, of which no key then has over ``hot`` rows, or over a share of 1 / ``most`` of all. ``sizes`` must
+    be cheap to read again.
     """
     many = sizes.where(sizes["n"] > hot)
     found = many.limit(most + 1).count()
-    if not 0 < found <= most:
+    if not found:
         return rows.join(sizes.drop("n"), key)
-    few = sizes.where(sizes["n"] <= hot).drop("n")
+    if found > most:
+        many = stage(many.orderBy(many["n"].desc(), key).limit(most), "hottest")
     many = many.drop("n")
+    few = sizes.drop("n").join(broadcast(many.select(key)), key, "left_anti")
     spread = rows.join(broadcast(many), key)
     return spread.unionByName(rows.join(broadcast(many.select(key)), key, "left_anti").join(few, key))
