@@ -15,6 +15,7 @@ from corpusloom.plans import reduce
 from corpusloom.plans.running import running_sum
 from corpusloom.plans.staging import dealt, new_path, stage
 from corpusloom.sources import files as src
+from corpusloom.sources import tree as tree_source
 from corpusloom.streaming import events as ev
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -847,6 +848,22 @@ def scan_full(spark, sf_dir):
     return rows.groupBy(folder.alias("folder"), F.coalesce("reason", F.lit("read")).alias("reason")).agg(F.sum("size").alias("size"), n_chars.alias("n_chars"))
 
 
+@query("""SELECT 'source=' || source || '/lang=' || lang AS folder, CASE lang WHEN 'de' THEN 'binary' ELSE 'read' END AS reason, CAST(sum(octet_length(encode(text)) + 1 + CAST(lang = 'de' AS INTEGER)) AS BIGINT) AS size,
+  CAST(sum(CASE WHEN lang <> 'de' THEN length(text) + 1 ELSE 0 END) AS BIGINT) AS n_chars FROM documents WHERE lang <> 'fr' GROUP BY source, lang""")
+def scan_tree(spark, sf_dir):
+    """The same folder through the tree source; the folders of one language are pruned while listing."""
+    rows = tree_source.scan_tree(spark, _as_tree(spark, sf_dir), dirs="lang=fr", globs="_SUCCESS,.*", mostBytes=1 << 30)
+    n_chars = F.sum(F.coalesce(F.length("text"), F.lit(0))).cast("long")
+    return rows.groupBy(F.regexp_replace("path", "/[^/]*$", "").alias("folder"), F.coalesce("reason", F.lit("read")).alias("reason")).agg(F.sum("size").alias("size"), n_chars.alias("n_chars"))
+
+
+@query("""SELECT 'source=' || source || '/lang=' || lang AS folder FROM documents GROUP BY source, lang ORDER BY source, lang LIMIT 50""")
+def scan_lazy_bounded(spark, sf_dir):
+    """The folder's structure within the documented bounds: three levels, the first 50 files by path."""
+    rows = src.scan_lazy(spark, _as_tree(spark, sf_dir))
+    return rows.select(F.regexp_replace("path", "/[^/]*$", "").alias("folder"))
+
+
 @query("""SELECT 'source=' || source || '/lang=' || lang AS folder, CAST(sum(octet_length(encode(text)) + 1 + CAST(lang = 'de' AS INTEGER)) AS BIGINT) AS size FROM documents GROUP BY source, lang""")
 def scan_lazy(spark, sf_dir):
     """The same folder's structure, without its texts."""
@@ -982,3 +999,13 @@ def session_events(spark, sf_dir):
     log = ev.progress(spark, _hard_session(spark, sf_dir).progress())
     counts = log.where("event <> 'finding'").groupBy("event").agg(F.count("*").alias("n"))
     return _drained(spark, counts, "complete", "event string, n long")
+
+
+@query(f"WITH {_MANIFESTS} SELECT path AS file_path, 'added' AS change, 1 AS listing FROM m0 UNION ALL SELECT file_path, change, 2 FROM delta WHERE change IS NOT NULL")
+def follow_listings(spark, sf_dir):
+    """Two listings of the tree followed as a stream: what came, changed and went, deletes told by timers."""
+    folder, out, log = (new_path(spark, what) for what in ("listings", "changes", "log"))
+    for day, rows in enumerate(_versions(spark, sf_dir), 1):
+        incremental.listing(rows, f"2024-01-0{day}").write.mode("append").parquet(folder)
+        incremental.watch_listings(spark, folder, f"{out}/listing={day}", log).awaitTermination()
+    return spark.read.schema("file_path string, change string, listing int, batch long").parquet(out).select("file_path", "change", "listing")

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
 from corpusloom.plans.staging import file_system, stage
 
@@ -74,3 +78,79 @@ def watch_files(spark: SparkSession, folder: str, schema: str, manifest_path: st
         mine.write.mode("append").parquet(manifest_path)
 
     return spark.readStream.schema(schema).parquet(folder).writeStream.foreachBatch(step).trigger(availableNow=True).option("checkpointLocation", f"{manifest_path}-{name}-log").start()
+
+
+#: A listing of a tree: every file there was at a time, with what tells whether it has changed.
+LISTING = "file_path string, hash string, listed timestamp"
+CHANGES = T.StructType([T.StructField("file_path", T.StringType()), T.StructField("change", T.StringType()), T.StructField("listed", T.TimestampType())])
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class _Follow(StatefulProcessor):
+    """A file's last hash and when it was listed, and a timer that goes off if a later listing lacks it."""
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "hash string, at long")
+
+    def _rows(self, rows: list[tuple]) -> pd.DataFrame:
+        out = pd.DataFrame(rows, columns=["file_path", "change", "listed"])
+        return out.astype({"listed": "datetime64[us]"})
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 - Spark's names
+        held = self.last.get() if self.last.exists() else None
+        out = []
+        for pdf in rows:
+            for row in pdf.sort_values("listed").itertuples(index=False):
+                at = int(row.listed.value // 1_000_000)
+                if held and at < held[1]:
+                    continue  # a listing older than what is known
+                change = "added" if held is None else "changed" if held[0] != row.hash else None
+                if change:
+                    out.append((key[0], change, row.listed))
+                held = (row.hash, at)
+        if held:
+            for timer in list(self.handle.listTimers()):
+                self.handle.deleteTimer(timer)
+            self.last.update(held)
+            self.handle.registerTimer(held[1] + 1)
+        yield self._rows(out)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        self.last.clear()
+        yield self._rows([(key[0], "deleted", pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms"))])
+
+    def close(self) -> None:
+        pass
+
+
+def listing(files: DataFrame, at: str) -> DataFrame:
+    """A listing (file_path, hash, listed) of ``files`` (path, text) at a time."""
+    return manifest(files).select("file_path", "hash", F.lit(at).cast("timestamp").alias("listed"))
+
+
+def changes(listings: DataFrame) -> DataFrame:
+    """(file_path, change, listed) of a stream of listings: what is added or changed when it is listed, what is deleted once a later listing lacks it.
+
+    State is a hash and a time per file; no manifest is read again, and what hasn't changed gives no row. A file's timer
+    stands just after its last listing; the watermark follows the latest listing, so that the timers of
+    all files that it has were moved on before, and those of missing files go off. A listing must come whole in one batch.
+    """
+    marked = listings.withWatermark("listed", "0 seconds")
+    return marked.groupBy("file_path").transformWithStateInPandas(_Follow(), CHANGES, "Append", "EventTime")
+
+
+def watch_listings(spark: SparkSession, folder: str, out: str, log: str) -> StreamingQuery:
+    """Follow a folder of listings: the changes of each batch go to a folder below ``out``, which a repeated batch replaces."""
+
+    def save(batch: DataFrame, no: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{out}/batch={no}")
+
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, ROCKS)
+    try:
+        found = changes(spark.readStream.schema(LISTING).parquet(folder))
+        return found.writeStream.foreachBatch(save).trigger(availableNow=True).option("checkpointLocation", log).start()
+    finally:
+        spark.conf.set(name, before)
