@@ -705,6 +705,45 @@ def aggregate_findings(spark, sf_dir):
     return reduce.aggregate_findings(found, "toxic document", deleted, 0.9, 0.8).counts
 
 
+_BALANCE = """'customers in nation ' || n_name || 'a ' || n_name || 'b ' || n_name || 'c ' || n_name || 'd balance segment ' || c_mktsegment || CASE WHEN c_acctbal >= 0 THEN ' stays well above zero' ELSE ' does not drop below nothing' END"""
+
+
+def _balances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements about customers: alike within a nation and sign, opposed between the signs of a nation, apart between nations."""
+    rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    of = [F.concat("n_name", F.lit(x)) for x in "abcd"]
+    tail = F.when(F.col("c_acctbal") >= 0, "stays well above zero").otherwise("does not drop below nothing")
+    point = F.concat_ws(" ", F.lit("customers in nation"), *of, F.lit("balance segment"), "c_mktsegment", tail)
+    sure = F.element_at(F.array(F.lit("high"), F.lit("medium"), F.lit("low")), (F.col("c_custkey") % 3 + 1).cast("int"))
+    return rows.select(F.col("c_custkey").alias("finding_id"), point.alias("point"), sure.alias("confidence"), F.concat(F.lit("docs/"), F.col("c_custkey").cast("string")).alias("file"))
+
+
+_SHARE = "len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w) - len(list_intersect(a.w, b.w)))"
+_START = f"list_distinct(list_filter({WORDS.format('point')}, lambda w: length(w) >= 3)[1:5])"
+#: Groups are what similar classes reach; a group's lead is its surest finding, the smallest id on ties.
+_BALANCE_GROUPS = f"""RECURSIVE s AS (SELECT c_custkey AS id, {_BALANCE} AS point, c_custkey % 3 AS rank FROM customer JOIN nation ON c_nationkey = n_nationkey),
+  t AS MATERIALIZED (SELECT min(id) AS id, point, list_distinct({WORDS.format('point')}) AS w, {_START} AS b, length(point) AS n FROM s GROUP BY point),
+  e AS MATERIALIZED (SELECT a.id AS a, b.id AS b FROM t a JOIN t b ON a.id <> b.id AND {_SHARE} >= 0.7 AND list_has_any(a.b, b.b) AND least(a.n, b.n) >= 0.5 * greatest(a.n, b.n)),
+  r AS (SELECT id AS node, id AS root FROM t UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.node),
+  g AS (SELECT node, min(root) AS g FROM r GROUP BY node),
+  m AS MATERIALIZED (SELECT g.g, count(*) AS n, arg_min({{'id': s.id, 'point': s.point, 'rank': s.rank}}, s.rank * 10000000000 + s.id) AS lead FROM s JOIN t USING (point) JOIN g ON g.node = t.id GROUP BY g.g)"""
+
+
+@query(f"""WITH {_BALANCE_GROUPS}, l AS (SELECT {_NEG.format('lead.point')} AS neg, list_distinct({WORDS.format('lead.point')}) AS w FROM m),
+  o AS (SELECT count(*) AS n FROM l a JOIN l b ON NOT a.neg AND b.neg AND {_SHARE} >= 0.4)
+  SELECT CAST(sum(n) AS BIGINT) AS total_findings, CAST(count(*) AS BIGINT) AS unique_findings, CAST(0 AS BIGINT) AS verification_required, round(1 - count(*) / sum(n), 6) AS deduplication_ratio, CAST(0 AS BIGINT) AS filtered_deleted,
+    CAST((SELECT n FROM o) AS BIGINT) AS contradictions FROM m""")
+def aggregate_findings_defaults(spark, sf_dir):
+    """The whole reduce at its defaults, 0.7 and 0.4, over statements that form real groups, as its row of counts."""
+    return reduce.aggregate_findings(_balances(spark, sf_dir), "balance").counts
+
+
+@query(f"""WITH {_BALANCE_GROUPS} SELECT CAST(row_number() OVER (ORDER BY lead.rank, lead.id) AS BIGINT) AS place, '[' || CASE lead.rank WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END || '] ' || lead.point AS line FROM m ORDER BY lead.rank, lead.id LIMIT 10""")
+def format_summary_defaults(spark, sf_dir):
+    """The report's first lines over the same groups."""
+    return reduce.summary(reduce.aggregate_findings(_balances(spark, sf_dir), "balance").findings)
+
+
 @query(f"""WITH {_SAID}, g AS (SELECT point, bool_or(verify) AS verify, min(CASE confidence WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END * 10000000000 + finding_id) AS lead FROM k GROUP BY point)
   SELECT CAST(row_number() OVER (ORDER BY lead) AS BIGINT) AS place, '[' || CASE lead // 10000000000 WHEN 0 THEN 'HIGH' WHEN 1 THEN 'MEDIUM' ELSE 'LOW' END || '] ' || point || CASE WHEN verify THEN ' (to verify)' ELSE '' END AS line
   FROM g ORDER BY lead LIMIT 10""")

@@ -23,6 +23,7 @@ FAULTS = {
     "too_many": ("data", "more rows than one document takes", "Export {what} as lines."),
     "structure_only": ("data", "texts were not loaded", "Scan {what} in full or by targets before reading texts."),
     "binary": ("data", "not a text", "Leave {what} out, or convert it to UTF-8."),
+    "too_large": ("data", "file too large", "Cut {what} into parts, or allow more bytes."),
     "session_exists": ("state", "session exists", "Resume {what}, or replace it with force=True."),
     "no_session": ("state", "no such session", "List the sessions; {what} is not among them."),
     "unsettled": ("system", "components did not settle", "Allow more {what}."),

@@ -323,14 +323,23 @@ def chunking_timeout(n_bytes: Column) -> Column:
 
 
 def content_hash(text: Column, algorithm: str = "sha256") -> Column:
-    """Hex digest of a text: sha256, or xxh64 (seed 42)."""
+    """Hex digest of a text: sha256, xxh64 (seed 42) or xxh3 (64 bits, seed 0); null for null."""
     if algorithm == "xxh64":
         return F.lower(F.lpad(F.hex(F.xxhash64(text)), 16, "0"))
+    if algorithm == "xxh3":
+        return _xxh3(text)
     if algorithm != "sha256":
-        raise CorpusError("setting", f"{algorithm} is not sha256 or xxh64", what="algorithm")
+        raise CorpusError("setting", f"{algorithm} is not sha256, xxh64 or xxh3", what="algorithm")
     return F.sha2(text, 256)
 
 
+@F.pandas_udf(T.StringType())
+def _xxh3(texts: pd.Series) -> pd.Series:
+    from xxhash import xxh3_64_hexdigest
+
+    return texts.map(lambda t: None if t is None else xxh3_64_hexdigest(t.encode()))
+
+
 #: Look-alikes of angle brackets and the solidus, and what they become; invisible characters go.
 LOOK_ALIKES = ("\uff1c\u2039\u27e8\u3008\ufe64\uff1e\u203a\u27e9\u3009\ufe65\uff0f\u2044\u2215", "<<<<<>>>>>///")
 INVISIBLE = "[\u200b-\u200f\u2060-\u2064\ufeff\u00ad]"

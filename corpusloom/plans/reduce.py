@@ -6,7 +6,9 @@ from collections.abc import Callable
 from dataclasses import dataclass
 from difflib import SequenceMatcher
 from itertools import accumulate
+from math import log
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -20,6 +22,8 @@ RARITY = 1 << 16
 #: Texts of one start word that are compared in one task, with as many others; texts compared at once.
 CELL = 1000
 LANES = 64
+#: Columns of character counts.
+FOLDED = 64
 
 
 def exact_groups(rows: DataFrame, key: list[str], id_col: str) -> DataFrame:
@@ -207,50 +211,94 @@ def summary(reduced: DataFrame, most: int = 10) -> DataFrame:
     return best.select(place.cast("long").alias("place"), F.concat(F.lit("["), F.upper("confidence"), F.lit("] "), "point", check).alias("line"))
 
 
+def _cells(rows: DataFrame, id_col: str, text: str, least: float, length_ratio: float) -> DataFrame:
+    """(w, low, high, part, id, text, start): texts of a start word dealt to cells of two parts, whose lengths can fit."""
+    texts = rows.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).groupBy("text").agg(F.min("id").alias("id"))
+    known = stage(texts.where("id is not null").withColumn("start", block_tokens(F.col("text"))), "texts")
+    # Lengths that fit differ by this factor at most, so texts meet those of their own band and of the ones beside it.
+    step = (1 + 1e-9) * max(min((2 - least) / least if least > 0 else 1e9, 1 / length_ratio if length_ratio > 0 else 1e9), 1.01)
+    band = F.floor(F.log(F.greatest(F.length("text"), F.lit(1))) / log(step) + 1e-9).cast("int")
+    each = known.withColumn("w", F.explode("start")).withColumn("band", band)
+    parts = stage(each.groupBy("w", "band").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts")), "ratio-parts")
+    each = each.join(parts, ["w", "band"]).withColumn("own", F.pmod(F.xxhash64("text"), F.col("parts")).cast("int"))
+    for name, other in (("below", 1), ("above", -1)):
+        each = each.join(parts.select("w", (F.col("band") + other).alias("band"), F.col("parts").alias(name)), ["w", "band"], "left")
+    place = lambda band, part: F.struct(band.alias("band"), part.alias("part"))
+    mine = place(F.col("band"), F.col("own"))
+    upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    beside = lambda d: lambda k: place(F.col("band") + d, k)
+    others = F.concat(F.transform(upto(F.col("parts")), beside(0)), F.transform(upto(F.coalesce("below", F.lit(0))), beside(-1)), F.transform(upto(F.coalesce("above", F.lit(0))), beside(1)))
+    each = each.select("w", mine.alias("part"), F.explode(others).alias("other"), "id", "text", "start")
+    return each.select("w", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "id", "text", "start")
+
+
 def similar_by_ratio(rows: DataFrame, id_col: str, text: str, least: float = 0.7, length_ratio: float = 0.5) -> DataFrame:
     """(a, b, ratio) of classes of equal texts whose starts share a word, alike by their characters' order.
 
-    All pairs of a start word are compared, in cells of two parts of its texts, so
-    that a common word is spread over many tasks. A pair meets under each word it
-    shares and is compared under the first. Exact.
+    Exact. Texts of a start word meet in cells of two parts, by bands of length, so that a common word is spread over many tasks. Of
+    the pairs whose lengths fit, only those are compared whose counts of characters are near enough: matching blocks
+    hold no more of a character than either text, so the L1 distance of the counts bounds the ratio. A pair meets
+    under each word it shares and is compared under the first.
     """
-    texts = rows.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).groupBy("text").agg(F.min("id").alias("id"))
-    known = stage(texts.where("id is not null").withColumn("start", block_tokens(F.col("text"))), "texts")
-    each = known.withColumn("w", F.explode("start"))
-    parts = each.groupBy("w").agg(F.ceil(F.count("*") / CELL).cast("int").alias("parts"))
-    each = each.join(parts, "w").withColumn("part", F.pmod(F.xxhash64("text"), F.col("parts")).cast("int"))
-    each = each.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cells = each.select("w", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "id", "text", "start")
     kind = rows.select(F.col(id_col).alias("id")).schema["id"].dataType.simpleString()
 
     def compared(cell: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(ratio_pairs(cell, least, length_ratio), columns=["a", "b", "ratio"])
+        return pd.DataFrame(ratio_pairs(cell, least, length_ratio)[0], columns=["a", "b", "ratio"])
+
+    return _cells(rows, id_col, text, least, length_ratio).groupBy("w", "low", "high").applyInPandas(compared, f"a {kind}, b {kind}, ratio double")
+
 
-    return cells.groupBy("w", "low", "high").applyInPandas(compared, f"a {kind}, b {kind}, ratio double")
+def ratio_work(rows: DataFrame, id_col: str, text: str, least: float = 0.7, length_ratio: float = 0.5) -> DataFrame:
+    """(w, met, compared): for each start word how many pairs meet in its cells, and how many of them need the comparison of their order."""
 
+    def counted(cell: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame([(cell["w"].iat[0], *ratio_pairs(cell, least, length_ratio)[1])], columns=["w", "met", "compared"])
 
-def ratio_pairs(cell: pd.DataFrame, least: float, length_ratio: float) -> list[tuple]:
-    """(a, b, ratio) of the pairs of one cell: of its part, or of a text of each of two parts."""
-    word, low, high = cell["w"].iat[0], cell["low"].iat[0], cell["high"].iat[0]
-    rows = sorted(((len(t), i, t, {x for x in s if x < word}, p) for i, t, s, p in zip(cell["id"], cell["text"], cell["start"], cell["part"])), key=lambda r: r[:2])
+    cells = _cells(rows, id_col, text, least, length_ratio).groupBy("w", "low", "high").applyInPandas(counted, "w string, met long, compared long")
+    return cells.groupBy("w").agg(F.sum("met").alias("met"), F.sum("compared").alias("compared"))
+
+
+def character_counts(texts: list[str]) -> np.ndarray:
+    """How often each character is in each text, characters folded to ``FOLDED`` columns; folding brings counts nearer, never apart."""
+    out = np.zeros((len(texts), FOLDED), np.int32)
+    for k, t in enumerate(texts):
+        codes = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
+        out[k] = np.bincount(codes % FOLDED, minlength=FOLDED)
+    return out
+
+
+def ratio_pairs(cell: pd.DataFrame, least: float, length_ratio: float) -> tuple[list[tuple], tuple[int, int]]:
+    """The pairs (a, b, ratio) of one cell, of its part or of a text of each of two parts, and (pairs that met, pairs compared)."""
+    key = lambda p: (p["band"], p["part"])
+    word, low, high = cell["w"].iat[0], key(cell["low"].iat[0]), key(cell["high"].iat[0])
+    rows = sorted(((len(t), i, t, {x for x in s if x < word}, key(p)) for i, t, s, p in zip(cell["id"], cell["text"], cell["start"], cell["part"])), key=lambda r: r[:2])
     left, right = [r for r in rows if r[4] == low], [r for r in rows if r[4] == high]
-    out = []
+    one = low == high
+    met = len(left) * (len(left) - 1) // 2 if one else len(left) * len(right)
+    counts = character_counts([r[2] for r in right])
+    own = counts if one else character_counts([r[2] for r in left])
+    out, compared = [], 0
     for at in range(0, len(left), LANES):
-        group = left[at : at + LANES]
+        group, vectors = left[at : at + LANES], own[at : at + LANES]
         common = common_lengths([r[2] for r in group])
+        sizes = np.array([r[0] for r in group])
         for place, (n, i, t, earlier, _) in enumerate(right):
-            if low == high and place <= at:
+            if one and place <= at:
+                continue
+            total = sizes + n
+            shorter = np.minimum(sizes, n)
+            near = (2 * shorter >= least * total) & (shorter >= np.maximum(sizes, n) * length_ratio)
+            if not near.any():
                 continue
-            fit = [
-                k for k, (m, j, _, others, _) in enumerate(group)
-                if min(m, n) >= max(m, n) * length_ratio and 2 * min(m, n) >= least * (m + n) and i != j and (low < high or at + k < place) and earlier.isdisjoint(others)
-            ]
+            near &= total - np.abs(vectors - counts[place]).sum(1) >= least * total - 1e-6
+            fit = [k for k in np.flatnonzero(near).tolist() if group[k][1] != i and (not one or at + k < place) and earlier.isdisjoint(group[k][3])]
+            compared += len(fit)
             lengths = common(t) if fit else ()
             for k in fit:
                 m, j, u = group[k][:3]
                 if 2 * lengths[k] / (m + n) >= least and (ratio := SequenceMatcher(None, *sorted((t, u)), autojunk=False).ratio()) >= least:
                     out.append((min(i, j), max(i, j), ratio))
-    return out
+    return out, (met, compared)
 
 
 def common_lengths(texts: list[str]) -> Callable[[str], list[int]]:

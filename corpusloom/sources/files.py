@@ -66,9 +66,15 @@ def scan_targeted(files: DataFrame, targets: list[str]) -> DataFrame:
 
 
 def load_file(files: DataFrame, path: str, most_bytes: int = model.FILE_BYTES) -> DataFrame:
-    """The row of one file, if its text isn't larger than ``most_bytes`` and holds no NUL; a path that leaves the root raises."""
+    """The row of one file, none if there is no such file; raises for a path that leaves the root, a text that holds NUL, and one larger than ``most_bytes``."""
     contained("", path)
-    return with_text(files).where((F.col("path") == path) & (F.octet_length("text") <= most_bytes) & ~F.contains("text", F.lit("\0")))
+    rows = with_text(files).where(F.col("path") == path)
+    found = rows.agg(F.max(F.contains("text", F.lit("\0"))).alias("binary"), F.max(F.octet_length("text")).alias("size")).first()
+    if found["binary"]:
+        raise CorpusError("binary", "the file holds NUL", what=path)
+    if (found["size"] or 0) > most_bytes:
+        raise CorpusError("too_large", f"{found['size']} bytes, of which {most_bytes} are read", what=path)
+    return rows
 
 
 def _relative(path: Column, root: str) -> Column:

@@ -7,7 +7,7 @@ import __spark_entry__ as entry
 from corpusloom import catalog
 
 SF = "/root/testdata/sf0.001"
-TABLES = "customer orders lineitem part events documents pages benchmark labels conversations".split()
+TABLES = "region nation supplier customer orders lineitem part events documents pages benchmark labels conversations".split()
 
 
 @pytest.fixture(scope="module")

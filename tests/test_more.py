@@ -7,6 +7,7 @@ from difflib import SequenceMatcher
 from itertools import combinations
 
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -218,7 +219,12 @@ def test_small_functions(spark):
         fn.content_hash(F.lit("x"), "md0")
     files = spark.createDataFrame([("a/b/c.py", "x", 1), ("a/d.log", "y", 1), (".env", "z", 1)], "path string, text string, n_chars long")
     assert [r.path for r in files.where(~src.should_ignore(F.col("path"))).collect()] == ["a/b/c.py"]
-    assert src.preview_dir(files, "a").startswith("├── b/") and src.load_file(files, "a/d.log", 0).count() == 0
+    assert src.preview_dir(files, "a").startswith("├── b/") and src.load_file(files, "nowhere").count() == 0
+    for code, most, rows in (("too_large", 0, files), ("binary", 99, files.withColumn("text", F.lit("a\0b")))):
+        with pytest.raises(CorpusError, match=code):
+            src.load_file(rows, "a/d.log", most)
+    hashed = spark.createDataFrame([("a",), ("é",), ("",), (None,)], "t string").select(fn.content_hash(F.col("t"), "xxh3").alias("h"))
+    assert [r.h for r in hashed.collect()] == ["e6c632b61e964e1f", xxhash.xxh3_64_hexdigest("é"), "2d06800538d394c2", None]
     with pytest.raises(errors.CorpusError):
         src.load_file(files, "../x")
 
@@ -404,3 +410,17 @@ def test_near_pairs_are_those_of_brute_force(spark):
         want = {(a, b) for a in sets for b in sets if "not" not in sets[a] and "not" in sets[b] and like(sets[a], sets[b]) >= least}
         of = {x.finding_id: x.class_id for x in reduce.statement_classes(rows)[1].collect()}
         assert {(x.a, x.b) for x in opposed} == {(of[a], of[b]) for a, b in want} and sum(x.n_a * x.n_b for x in opposed) == len(want) > 0
+
+
+def test_ratio_compares_few_of_the_pairs_that_meet(spark):
+    """Texts of one start word: those of unlike lengths don't meet, those of unlike characters aren't compared; what is alike is found."""
+    r = random.Random(4)
+    make = lambda letters, n: "same " + "".join(r.choice(letters) for _ in range(n))
+    texts = [make(letters, n) for letters in ("abcdef", "uvwxyz") for n in (30, 31, 32, 200, 210, 900) for _ in range(8)]
+    texts += [t + "!" for t in texts[::5]]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    work = {x.w: x for x in reduce.ratio_work(rows, "id", "text", 0.9).collect()}
+    square = len(texts) * (len(texts) - 1) // 2
+    assert work["same"].met < 0.6 * square and work["same"].compared < 0.25 * square
+    got = {(x.a, x.b) for x in reduce.similar_by_ratio(rows, "id", "text", 0.9).collect()}
+    assert {(k, len(texts) - len(texts[:96][::5]) + i) for i, k in enumerate(range(0, 96, 5))} <= got
