@@ -1048,3 +1048,85 @@ def follow_listings(spark, sf_dir):
         incremental.listing(rows, f"2024-01-0{day}").write.mode("append").parquet(folder)
         incremental.watch_listings(spark, folder, f"{out}/listing={day}", log).awaitTermination()
     return spark.read.schema("file_path string, change string, listing int, batch long").parquet(out).select("file_path", "change", "listing")
+
+
+@query("""WITH p AS (SELECT CASE event_id % 6 WHEN 0 THEN '/' WHEN 1 THEN '../' WHEN 2 THEN 'a/../../' WHEN 3 THEN 'a..b/' WHEN 4 THEN chr(92) ELSE './' END || event_type || '/' || user_id AS path FROM events)
+  SELECT path, NOT (starts_with(replace(path, chr(92), '/'), '/') OR list_contains(string_split(replace(path, chr(92), '/'), '/'), '..')) AS inside, CAST(count(*) AS BIGINT) AS n FROM p GROUP BY ALL""")
+def path_containment(spark, sf_dir):
+    """Paths of which some lead out of their root."""
+    lead = F.element_at(F.array(*map(F.lit, ("/", "../", "a/../../", "a..b/", "\\", "./"))), (F.col("event_id") % 6 + 1).cast("int"))
+    path = F.concat(lead, "event_type", F.lit("/"), F.col("user_id").cast("string"))
+    return table(spark, sf_dir, "events").select(path.alias("path")).groupBy("path").agg(F.count("*").alias("n")).select("path", src.is_contained(F.col("path")).alias("inside"), "n")
+
+
+_SHOWN = "CASE WHEN size < 1024 THEN size || ' B' WHEN size < 1048576 THEN printf('%.1f', size / 1024.0) || ' KB' ELSE printf('%.1f', size / 1048576.0) || ' MB' END"
+
+
+@query(f"""WITH {FILES}, d AS (SELECT source AS name, sum(n_chars) AS size, row_number() OVER (ORDER BY lower(source), source) AS i, count(*) OVER () AS n FROM files GROUP BY source)
+  SELECT CAST(i AS BIGINT) AS no, CASE WHEN i = n THEN '└── ' ELSE '├── ' END || name || '/ (' || {_SHOWN} || ')' AS line FROM d
+  UNION ALL SELECT CAST(max(n) + 1 AS BIGINT), '0 files, ' || max(n) || ' directories' FROM d""")
+def tree_view(spark, sf_dir):
+    """The top level of the tree as text, a row for each line."""
+    lines = src.tree_view(files(spark, sf_dir), depth=1).split("\n")
+    return spark.createDataFrame(list(enumerate(lines, 1)), "no long, line string")
+
+
+@query(f"""WITH {FILES}, f AS (SELECT lang AS name, sum(n_chars) AS size FROM (SELECT path, n_chars, split_part(path, '/', 1) AS source, split_part(path, '/', 2) AS lang FROM files) WHERE source = (SELECT min(source) FROM files) GROUP BY lang),
+  d AS (SELECT *, row_number() OVER (ORDER BY lower(name), name) AS i, count(*) OVER () AS n FROM f)
+  SELECT CAST(i AS BIGINT) AS no, CASE WHEN i = n THEN '└── ' ELSE '├── ' END || name || '/ (' || {_SHOWN} || ')' AS line FROM d UNION ALL SELECT CAST(max(n) + 1 AS BIGINT), '0 files, ' || max(n) || ' directories' FROM d""")
+def preview_dir(spark, sf_dir):
+    """One directory's first level, a row for each line."""
+    rows = files(spark, sf_dir)
+    lines = src.preview_dir(rows, rows.agg(F.min("source")).first()[0] or "none", depth=1).split("\n")
+    return spark.createDataFrame(list(enumerate(lines, 1)), "no long, line string")
+
+
+@query(f"""WITH {FILES}, e AS (SELECT source AS path, true AS is_dir FROM files UNION SELECT source || '/' || split_part(path, '/', 2), true FROM files UNION ALL SELECT path, false FROM files)
+  SELECT path, is_dir FROM (SELECT *, regexp_replace(path, '/?[^/]*$', '') AS parent, regexp_extract(path, '[^/]*$') AS name FROM e) ORDER BY parent, is_dir DESC, lower(name), name LIMIT 50""")
+def tree_cap(spark, sf_dir):
+    """The first entries of the listing, of which it has too many."""
+    return src.tree(files(spark, sf_dir), depth=3, most=50).select("path", "is_dir")
+
+
+@query(f"""WITH {FILES}, c AS (SELECT source, unnest(range(0, n_chars, 1000)) AS start FROM files) SELECT 'placeholder' AS status, CAST(count(*) AS BIGINT) AS n, CAST(0 AS BIGINT) AS n_findings FROM c""")
+def placeholder_results(spark, sf_dir):
+    """Results of chunks that no analyser has seen."""
+    made = analyse.placeholders(chunking.chunk_fixed(files(spark, sf_dir), 1000, 0, strict=False))
+    return made.groupBy("status").agg(F.count("*").alias("n"), F.sum(F.size("findings")).cast("long").alias("n_findings"))
+
+
+@query(f"""WITH c AS (SELECT conv_id || '-' || turn AS chunk_id, row_number() OVER (ORDER BY conv_id, turn) AS no, text AS content, CASE WHEN turn % 3 = 0 THEN 'failed' ELSE 'pending' END AS status, count(*) OVER () AS n FROM conversations)
+  SELECT chunk_id, concat_ws(chr(10), '<system>{analyse.FOCUS["architecture"]}</system>', '<query>what is said</query>', '<position>' || no || ' of ' || n || '</position>', '<instructions>{analyse.DUTIES}</instructions>',
+    '<content>' || {_SAFE.format("content")} || '</content>', '<format>{analyse.FORMAT}</format>') AS prompt FROM c WHERE status = 'failed' ORDER BY no LIMIT 5 OFFSET 5""")
+def map_instructions(spark, sf_dir):
+    """Prompts for the second page of the chunks that failed."""
+    rows = table(spark, sf_dir, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("chunk_id"), "conv_id", "turn", F.col("text").alias("content"), F.when(F.col("turn") % 3 == 0, "failed").otherwise("pending").alias("status"))
+    numbered = stage(running_sum(rows, F.lit(1), [F.col("conv_id"), F.col("turn")], "no"), "numbered-turns")
+    return analyse.map_instructions(numbered, "what is said", 2, 5, True, "architecture")
+
+
+@query("""WITH l AS (SELECT lang, count(*) AS n, count(*) FILTER (doc_id % 5 <> 0) AS ok, count(*) FILTER (doc_id % 5 = 0) AS failed, row_number() OVER (ORDER BY lang) AS i FROM documents WHERE lang IS NOT NULL GROUP BY lang)
+  SELECT 's-' || lang AS session_id, CASE i WHEN 1 THEN 'completed' WHEN 2 THEN 'initialized' ELSE 'reducing' END AS phase, CASE i WHEN 1 THEN n || ' documents' END AS final_answer, CAST(n AS BIGINT) AS total, CAST(CASE i WHEN 2 THEN 0 ELSE ok END AS BIGINT) AS processed,
+    CAST(CASE i WHEN 2 THEN 0 ELSE failed END AS BIGINT) AS failed, CAST(CASE i WHEN 2 THEN 0 ELSE 2 END AS BIGINT) AS notes FROM l WHERE i <= 3""")
+def session_lifecycle(spark, sf_dir):
+    """Sessions of the first languages through their life: results and notes come, one is completed, one reset, a fourth one removed; what the list and the status then say."""
+    docs, root = table(spark, sf_dir, "documents").where("lang is not null"), new_path(spark, "sessions")
+    langs = [r["lang"] for r in docs.select("lang").distinct().orderBy("lang").limit(3).collect()]
+    sessions.Session.init(spark, root, "nothing", session_id="gone").clean()
+    rows = []
+    for k, lang in enumerate(langs):
+        s = sessions.Session.init(spark, root, f"what is written in {lang}", session_id=f"s-{lang}")
+        chunks = docs.where(F.col("lang") == lang).select(F.col("doc_id").cast("string").alias("chunk_id"), F.when(F.col("doc_id") % 5 == 0, "failed").otherwise("success").alias("status"))
+        s.add_results(chunks.withColumn("processed_at", F.current_timestamp()))
+        s.add_note("one")
+        s.add_note("two")
+        s.set_phase("reducing")
+        if k == 0:
+            s.set_final_answer(f"{chunks.count()} documents")
+        if k == 1:
+            s.reset()
+        rows.append(s.status(chunks).select(F.lit(s.session_id).alias("session_id"), "total", "processed", "failed", F.lit(s.notes().count()).cast("long").alias("notes")))
+    state = rows[0]
+    for more in rows[1:]:
+        state = state.unionByName(more)
+    return sessions.Session.every(spark, root).select("session_id", "phase", "final_answer").join(state, "session_id")

@@ -36,6 +36,7 @@ WARN_CHUNKS, MOST_CHUNKS = 100, 500
 PREVIEW_CHARS, OUTPUT_CHARS = 50_000, 500_000
 GREP_MATCHES, GREP_WINDOW = 20, 100
 FILE_BYTES = 10 << 20
+PROGRESS_BYTES = 10 << 20
 TREE_ENTRIES = 10_000
 CHUNK_TOKENS, TOKEN_MARGIN = 40_000, 0.8
 

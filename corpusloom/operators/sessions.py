@@ -26,7 +26,7 @@ from corpusloom.operators.mapping import Analyser, BatchRun, batch_size, run_que
 from corpusloom.plans.reduce import Reduced, aggregate_findings
 from corpusloom.plans.running import running_sum
 from corpusloom.plans.staging import file_system, stage
-from corpusloom.sources.files import export_results, scan_targeted, with_text
+from corpusloom.sources.files import export_results, rotate, scan_targeted, with_text
 
 NAME = re.compile(r"[A-Za-z0-9_-]+")
 LOG = "session_id string, query string, phase string, config string, final_answer string, at timestamp"
@@ -322,6 +322,7 @@ class Session:
         one, as far as ratio and cost allow; those that failed otherwise are tried again as they were.
         """
         config, chunks = self.config(), self.chunks()
+        rotate(self.spark, self.progress())
         with self._running("mapping"):
             total = chunks.count()
             for attempt in range(1, config.max_retries + 1):

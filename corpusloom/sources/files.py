@@ -11,6 +11,7 @@ from corpusloom import model
 from corpusloom.errors import CorpusError
 from corpusloom.functions.text import extension, format_size, glob_to_regex
 from corpusloom.plans.running import running_sum
+from corpusloom.plans.staging import file_system
 
 #: Endings dealt to documents by id, so that tables of documents can stand for trees of files.
 ENDINGS = (".py", ".md", ".json", ".txt", ".html", ".xml", ".csv", ".js")
@@ -24,6 +25,12 @@ def contained(root: str, path: str) -> str:
     return f"{root.rstrip('/')}/{parts}"
 
 
+def is_contained(path: Column) -> Column:
+    """Whether a path stays below whatever root it is put under: as ``contained``, for paths that come as rows."""
+    plain = F.translate(path, "\\", "/")
+    return ~(plain.startswith("/") | F.array_contains(F.split(plain, "/"), "..") | F.contains(path, F.lit("\0")))
+
+
 def scan_files(spark: SparkSession, root: str, most_bytes: int = model.FILE_BYTES, most_total: int | None = None) -> DataFrame:
     """(path, name, size, mtime, text, reason) of every file below ``root``; a file that isn't read has no text and a reason: too_large, binary (it holds NUL) or encoding."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).withColumn("path", _relative(F.col("path"), root))
@@ -214,3 +221,13 @@ def export_document(results: DataFrame, notes: DataFrame, session_id: str, query
 def emit(events: DataFrame, folder: str) -> None:
     """Append events (ts, event, chunk_id, batch, data) to the progress log, a folder of JSON lines."""
     events.write.mode("append").json(folder)
+
+
+def rotate(spark: SparkSession, folder: str, most_bytes: int = model.PROGRESS_BYTES) -> bool:
+    """Put a progress log of over ``most_bytes`` aside as ``folder.1``, in place of the one put aside before; whether it was."""
+    fs, path = file_system(spark, folder)
+    if not fs.exists(path) or fs.getContentSummary(path).getLength() <= most_bytes:
+        return False
+    _, aside = file_system(spark, f"{folder}.1")
+    fs.delete(aside, True)
+    return fs.rename(path, aside)

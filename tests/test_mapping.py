@@ -114,3 +114,15 @@ def test_many_chunks_make_larger_batches():
     from corpusloom.operators.mapping import batch_size
 
     assert batch_size(40, 5) == 5 and batch_size(500, 5) == 5 and batch_size(1_000_000, 5) == 10_000
+
+
+def test_the_progress_log_is_put_aside_when_large(spark, tmp_path):
+    from corpusloom.sources import files as src
+
+    folder = str(tmp_path / "progress")
+    assert not src.rotate(spark, folder)
+    row = spark.sql("SELECT current_timestamp() AS ts, 'finding' AS event, 'c' AS chunk_id, 1L AS batch, 'x' AS data")
+    for _ in range(2):
+        src.emit(row, folder)
+        assert not src.rotate(spark, folder, 10_000) and src.rotate(spark, folder, 10)
+    assert spark.read.json(f"{folder}.1").count() == 1
