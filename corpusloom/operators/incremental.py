@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from contextlib import contextmanager
+from hashlib import sha256
 
 import pandas as pd
 from py4j.protocol import Py4JJavaError
@@ -12,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
 
-from corpusloom.plans.staging import file_system, stage
+from corpusloom.plans.staging import file_system
 
 
 def manifest(files: DataFrame) -> DataFrame:
@@ -56,33 +58,64 @@ def chunks_for_file(chunk_map: DataFrame, path: str) -> DataFrame:
     return chunk_map.where(F.col("path") == path).orderBy("start")
 
 
+class _Fresh(StatefulProcessor):
+    """The hash of a file's last text; a row goes on if its text has another."""
+
+    def init(self, handle) -> None:
+        self.last = handle.getValueState("last", "hash string")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 - Spark's names
+        known = self.last.get()[0] if self.last.exists() else None
+        newest = None
+        for pdf in rows:
+            newest = pdf.tail(1)
+        text = newest["text"].iat[0]
+        now = "" if text is None else sha256(text.encode()).hexdigest()
+        if now != known:
+            self.last.update((now,))
+            yield newest
+        else:
+            yield newest.head(0)
+
+    def close(self) -> None:
+        pass
+
+
+@contextmanager
+def _rocks(spark: SparkSession) -> Iterator[None]:
+    """Streams that are started inside keep their state in RocksDB, which states by key need; the session's setting returns after."""
+    name = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(name)
+    spark.conf.set(name, ROCKS)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def watch_files(spark: SparkSession, folder: str, schema: str, manifest_path: str, name: str) -> StreamingQuery:
-    """Follow a folder of Parquet tables of files: each batch's new or changed files go to the table ``name``'s folder beside the manifest.
+    """Follow a folder of Parquet tables of files (path, text, ...): each batch's new or changed files go to the table ``name``'s folder beside the manifest.
 
-    The manifest is appended to; the last entry of a path counts. A repeated batch
-    finds its own entries and gives nothing twice.
+    What a file's last text was is state, a hash for each path; the manifest is appended to and never read again. A
+    repeated batch replaces its own folders. Of several rows of a path in a batch one counts.
     """
 
     def step(batch: DataFrame, no: int) -> None:
-        now = batch.sparkSession
-        fresh = stage(batch.dropDuplicates(["path"]), "arrivals")
-        seen = load_manifest(now, manifest_path)
-        mine = manifest(fresh).withColumn("batch", F.lit(no))
-        if seen is None:
-            changed = fresh
-        else:
-            last = seen.where(F.col("batch") < no).groupBy("file_path").agg(F.max_by("hash", "batch").alias("hash"))
-            same = last.join(mine.select("file_path", "hash"), ["file_path", "hash"], "left_semi").select(F.col("file_path").alias("path"))
-            changed = fresh.join(same, "path", "left_anti")
-        changed.write.mode("overwrite").parquet(f"{manifest_path}-{name}/batch={no}")
-        mine.write.mode("append").parquet(manifest_path)
+        batch = batch.persist()
+        batch.write.mode("overwrite").parquet(f"{manifest_path}-{name}/batch={no}")
+        manifest(batch).write.mode("overwrite").parquet(f"{manifest_path}/batch={no}")
+        batch.unpersist()
 
-    return spark.readStream.schema(schema).parquet(folder).writeStream.foreachBatch(step).trigger(availableNow=True).option("checkpointLocation", f"{manifest_path}-{name}-log").start()
+    with _rocks(spark):
+        rows = spark.readStream.schema(schema).parquet(folder)
+        fresh = rows.groupBy("path").transformWithStateInPandas(_Fresh(), rows.schema, "Append", "None")
+        return fresh.writeStream.foreachBatch(step).trigger(availableNow=True).option("checkpointLocation", f"{manifest_path}-{name}-log").start()
 
 
 #: A listing of a tree: every file there was at a time, with what tells whether it has changed.
 LISTING = "file_path string, hash string, listed timestamp"
 CHANGES = T.StructType([T.StructField("file_path", T.StringType()), T.StructField("change", T.StringType()), T.StructField("listed", T.TimestampType())])
+#: State by key needs this store.
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -146,11 +179,6 @@ def watch_listings(spark: SparkSession, folder: str, out: str, log: str) -> Stre
     def save(batch: DataFrame, no: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/batch={no}")
 
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name)
-    spark.conf.set(name, ROCKS)
-    try:
+    with _rocks(spark):
         found = changes(spark.readStream.schema(LISTING).parquet(folder))
         return found.writeStream.foreachBatch(save).trigger(availableNow=True).option("checkpointLocation", log).start()
-    finally:
-        spark.conf.set(name, before)
