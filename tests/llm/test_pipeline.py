@@ -50,7 +50,7 @@ def test_names():
 
 def test_registered(spark):
     assert [n for n in entry.queries() if n.startswith("op") and n[2].isdigit()] == [
-        "op1_langid", "op2_simhash", "op3_mixing", "op4_quality", "op5_decontam", "op6_secrets", "op7_rules", "op8_orc_tokens", "op9_html", "op10_pii",
+        "op1_langid", "op2_simhash", "op3_mixing", "op4_quality", "op5_decontam", "op6_secrets", "op7_rules", "op8_orc_tokens", "op9_html", "op10_pii", "op11_prefix_trie", "op12_bpe", "op13_merkle",
     ]
 
 
