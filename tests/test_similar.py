@@ -38,3 +38,30 @@ def test_signs_drop_no_similar_sets_and_most_others(spark):
         alike = {(i, j) for i, j in pairs if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])}
         assert alike and alike <= near
         assert least < 0.7 or len(near) < len(pairs) * 0.3
+
+
+def test_opposed_statements_meet_by_what_they_must_share(spark):
+    r = random.Random(3)
+    words = [f"w{k}" for k in range(14)]
+    rows = [(k, " ".join(r.sample(words, r.choice((1, 2, 3, 4, 5, 8, 9, 12))) + r.choice(([], ["not", "seen"])))) for k in range(400)]
+    findings = spark.createDataFrame(rows, "finding_id long, point string")
+    first: dict = {}
+    for k, p in rows:
+        w = frozenset(p.split())
+        first.setdefault(("not" in w, w), [k, 0])[1] += 1
+    for least in (0.4, 0.8):
+        got = {(x.a, x.b): (round(x.similarity, 9), x.n_a, x.n_b) for x in reduce.contradictions(findings, least).collect()}
+        want = {}
+        for (na, wa), (a, ca) in first.items():
+            for (nb, wb), (b, cb) in first.items():
+                if not na and nb and len(wa & wb) >= least * len(wa | wb):
+                    want[a, b] = (round(len(wa & wb) / len(wa | wb), 9), ca, cb)
+        assert got == want and got
+
+
+def test_small_statements_make_no_prefixes(spark, monkeypatch):
+    """Words of statements of a few words are all frequent; pairs that share one alone would be most of all pairs."""
+    monkeypatch.setattr(reduce, "prefixes", None)
+    said = [(k, f"{'not ' if k % 2 else ''}seen u{k // 2 % 7} h{k // 14 % 5} d{k // 70}") for k in range(500)]
+    found = reduce.contradictions(spark.createDataFrame(said, "finding_id long, point string"))
+    assert found.where("similarity < 0.4").isEmpty() and found.count() > 0
