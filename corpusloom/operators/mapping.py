@@ -1,6 +1,7 @@
 """The map step as a stream of batches: each is written once, watched, and followed by events.
 
-Numbered chunks wait in a queue, a file for every batch. A stream takes one file at a time; what a batch
+Numbered chunks wait in a queue, a folder for every batch, in files of ``FILE_CHUNKS``, so that a large batch is work for many tasks.
+A stream takes one batch's number at a time; what a batch
 gives is written to a folder of its own before the next begins, so that an end at any time costs the running batch only, and
 one that is run again replaces its own folder. What is left to do follows from the results, not from the stream's log.
 
@@ -19,6 +20,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corpusloom.functions.text import failure_type
 from corpusloom.sources.files import emit
@@ -28,6 +30,8 @@ from corpusloom.streaming.events import PROGRESS
 Analyser = Callable[[DataFrame], DataFrame]
 #: However many chunks there are, they go in so many batches at the most.
 MOST_BATCHES = 100
+#: Chunks that one file of the queue holds at the most.
+FILE_CHUNKS = 1000
 
 
 def batch_size(chunks: int, wanted: int, most: int = MOST_BATCHES) -> int:
@@ -42,7 +46,7 @@ def with_failure(results: DataFrame) -> DataFrame:
     return results.withColumn("failure", F.when(F.col("status") == "failed", said))
 
 
-def event(kind: str, batch: int, chunk: Column | None = None, data: Column | None = None) -> list[Column]:
+def event(kind: str | Column, batch: int, chunk: Column | None = None, data: Column | None = None) -> list[Column]:
     null = F.lit(None).cast("string")
     columns = (F.current_timestamp(), F.lit(kind), null if chunk is None else chunk, F.lit(batch).cast("long"), null if data is None else data)
     return [c.alias(n.split()[0]) for c, n in zip(columns, PROGRESS.split(", "))]
@@ -50,7 +54,7 @@ def event(kind: str, batch: int, chunk: Column | None = None, data: Column | Non
 
 @dataclass
 class BatchRun:
-    """One pass over a queue. ``done`` has the number, the failures and the way of every batch that was written."""
+    """One pass over a queue, whose folders of chunks have the columns ``schema``. ``done`` has the number, the failures and the way of every batch that was written."""
 
     spark: SparkSession
     results: str
@@ -59,15 +63,19 @@ class BatchRun:
     attempt: int
     analyser: Analyser
     stronger: Analyser | None
+    queue: str
+    schema: StructType
     done: list[dict] = field(default_factory=list)
 
     def sequential(self) -> bool:
         """Whether two batches in a row had over half their chunks failed; once so, it stays."""
         return any(a["rate"] > 0.5 and b["rate"] > 0.5 for a, b in zip(self.done, self.done[1:]))
 
-    def step(self, rows: DataFrame, no: int) -> None:
-        spark, one_by_one = rows.sparkSession, self.sequential()
-        emit(spark.range(1).select(*event("batch_start", no)), self.progress)
+    def step(self, numbers: DataFrame, no: int) -> None:
+        spark, one_by_one = numbers.sparkSession, self.sequential()
+        one = spark.range(0, 1, 1, 1)
+        emit(one.select(*event("batch_start", no)), self.progress)
+        rows = waiting(spark, self.queue, self.schema, no + 1)
         rows = rows.coalesce(1) if one_by_one else rows
         weak, strong = rows.where("tier is null").drop("tier"), rows.where("tier is not null").drop("tier")
         out = self.analyser(weak).withColumn("tier", F.lit(None).cast("string"))
@@ -81,23 +89,31 @@ class BatchRun:
         told = seen.get | {"sequential": one_by_one}
         told["rate"] = round(told["failed"] / told["n"], 4) if told["n"] else 0.0
         self.done.append(told)
-        made = spark.read.parquet(folder)
-        chunk, line = F.col("chunk_id").cast("string"), F.to_json(F.struct("status", "failure", "attempt"))
-        events = made.select(*event("chunk_complete", no, chunk, line))
-        events = events.unionByName(made.select("chunk_id", F.explode("findings").alias("f")).select(*event("finding", no, chunk, F.to_json("f"))))
-        events = events.unionByName(made.where("tier is not null").select(*event("escalation", no, chunk, F.to_json(F.struct("tier", "attempt")))))
-        emit(events.unionByName(spark.range(1).select(*event("batch_end", no, data=F.lit(json.dumps(told))))), self.progress)
+        made = spark.read.schema(out.schema).parquet(folder)
+        tell = lambda kind, data: F.struct(F.lit(kind).alias("event"), data.alias("data"))
+        found = F.transform(F.coalesce("findings", F.array()), lambda f: tell("finding", F.to_json(f)))
+        raised = F.when(F.col("tier").isNotNull(), F.array(tell("escalation", F.to_json(F.struct("tier", "attempt")))))
+        lines = F.concat(F.array(tell("chunk_complete", F.to_json(F.struct("status", "failure", "attempt")))), found, F.coalesce(raised, F.slice(found, 1, 0)))
+        events = made.select(F.col("chunk_id").cast("string").alias("chunk_id"), F.explode(lines).alias("e")).select(*event(F.col("e.event"), no, F.col("chunk_id"), F.col("e.data")))
+        emit(events.unionByName(one.select(*event("batch_end", no, data=F.lit(json.dumps(told))))), self.progress)
 
 
-def write_queue(chunks: DataFrame, path: str) -> None:
-    """Chunks with their ``batch``: a file for every batch."""
-    chunks.repartition("batch").write.partitionBy("batch").parquet(path)
+def write_queue(chunks: DataFrame, batches: int, path: str) -> None:
+    """Chunks with their ``batch`` from 1: a folder for every batch, and a file with its number."""
+    chunks.repartition("batch").write.option("maxRecordsPerFile", FILE_CHUNKS).partitionBy("batch").parquet(f"{path}/chunks")
+    chunks.sparkSession.range(1, batches + 1, 1, batches).select(F.col("id").alias("batch")).write.parquet(f"{path}/numbers")
 
 
-def run_queue(queue: str, schema, log: str, name: str, run: BatchRun) -> None:
-    """Take the files of a queue, one a batch, until all are written or the stream named ``name`` is stopped."""
-    waiting = run.spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(queue)
-    stream = waiting.writeStream.queryName(name).foreachBatch(run.step).option("checkpointLocation", log).trigger(availableNow=True).start()
+def waiting(spark: SparkSession, queue: str, schema: StructType, batch: int) -> DataFrame:
+    """The chunks of one batch of a queue."""
+    held = StructType([f for f in schema if f.name != "batch"])
+    return spark.read.schema(held).parquet(f"{queue}/chunks/batch={batch}").withColumn("batch", F.lit(batch).cast("long")).select(*schema.names)
+
+
+def run_queue(log: str, name: str, run: BatchRun) -> None:
+    """Take a run's batches in order until all are written or the stream named ``name`` is stopped; each file of a number is a turn of the stream."""
+    numbers = run.spark.readStream.schema("batch long").option("maxFilesPerTrigger", 1).parquet(f"{run.queue}/numbers")
+    stream = numbers.writeStream.queryName(name).foreachBatch(run.step).option("checkpointLocation", log).trigger(availableNow=True).start()
     stream.awaitTermination()
 
 

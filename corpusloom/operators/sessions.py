@@ -332,11 +332,11 @@ class Session:
                     continue
                 size = batch_size(n, config.batch_size)
                 numbered = numbered_batches(left.select("chunk_id", "path", "start"), [F.col("path"), F.col("start"), F.col("chunk_id")], size)
-                run = BatchRun(self.spark, f"{self.path}/results", self.progress(), uuid.uuid4().hex, attempt, analyser, stronger)
-                queue = f"{self.path}/queue/{run.run}"
+                name = uuid.uuid4().hex
                 queued = left.join(numbered.select("chunk_id", "batch"), "chunk_id").withColumn("attempt", F.lit(attempt))
-                write_queue(queued, queue)
-                run_queue(queue, queued.schema, f"{self.path}/queue-log/{run.run}", self._stream, run)
+                run = BatchRun(self.spark, f"{self.path}/results", self.progress(), name, attempt, analyser, stronger, f"{self.path}/queue/{name}", queued.schema)
+                write_queue(queued, -(-n // size), run.queue)
+                run_queue(f"{self.path}/queue-log/{name}", self._stream, run)
                 if len(run.done) * size < n:
                     raise CorpusError("cancelled", "the map was stopped", what=self.session_id)
         return self.results() if self._there("results") else chunks.select("chunk_id", F.lit("pending").alias("status")).limit(0)

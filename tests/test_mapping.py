@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusloom.errors import CorpusError
 from corpusloom.model import Config
-from corpusloom.operators import analyse, sessions
+from corpusloom.operators import analyse, mapping, sessions
 
 
 def session(spark, folder, n=12, **config):
@@ -126,3 +126,15 @@ def test_the_progress_log_is_put_aside_when_large(spark, tmp_path):
         src.emit(row, folder)
         assert not src.rotate(spark, folder, 10_000) and src.rotate(spark, folder, 10)
     assert spark.read.json(f"{folder}.1").count() == 1
+
+
+def test_a_batch_is_work_for_many_tasks(spark, tmp_path, monkeypatch):
+    """One file a batch was one task a batch, however many chunks it had."""
+    monkeypatch.setattr(mapping, "FILE_CHUNKS", 10)
+    chunks = spark.range(70).select(F.col("id").alias("chunk_id"), F.lit("x").alias("content"), (F.floor(F.col("id") / 35) + 1).cast("long").alias("batch"))
+    mapping.write_queue(chunks, 2, str(tmp_path / "q"))
+    for batch in (1, 2):
+        rows = mapping.waiting(spark, str(tmp_path / "q"), chunks.schema, batch)
+        assert len(rows.inputFiles()) == 4
+        assert {(r.chunk_id, r.batch) for r in rows.collect()} == {(k + 35 * (batch - 1), batch) for k in range(35)}
+    assert len(spark.read.schema("batch long").parquet(str(tmp_path / "q/numbers")).inputFiles()) == 2
