@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import ast
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -85,6 +85,22 @@ def overlapping(findings: DataFrame, chunks: DataFrame, step: int) -> DataFrame:
     return a.join(b, meet).where(first).select(*[f"`{c}`" for c in findings.columns], "no", "chunk_id")
 
 
+#: Characters of chunks that leave a Python worker together, and the most rows.
+FRAME_CHARS, FRAME_ROWS = 1 << 20, 10_000
+
+
+def frames(rows: Iterable[tuple], columns: list[str]) -> Iterator[pd.DataFrame]:
+    """Frames of rows, each sent when its texts reach ``FRAME_CHARS``, so that a batch's chunks are never held together."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += sum(len(x) for x in row if isinstance(x, str))
+        if size >= FRAME_CHARS or len(held) >= FRAME_ROWS:
+            yield pd.DataFrame(held, columns=columns)
+            held, size = [], 0
+    yield pd.DataFrame(held, columns=columns)
+
+
 def line_chunks(text: str, size: int, overlap_lines: int) -> list[tuple[int, int, str]]:
     """(first line, last line, content): as many whole lines as fit, at least one, each chunk led by the lines before it."""
     lines = text.split("\n")
@@ -104,8 +120,8 @@ def chunk_lines_overlapping(files: DataFrame, size: int = model.DEFAULT_CHUNK_SI
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(p, k, *c, True) for p, t in zip(pdf["path"], pdf["text"]) for k, c in enumerate(line_chunks(t or "", size, overlap_lines))]
-            yield pd.DataFrame(rows, columns=["path", "no", "start_line", "end_line", "content", "is_fallback"])
+            rows = ((p, k, *c, True) for p, t in zip(pdf["path"], pdf["text"]) for k, c in enumerate(line_chunks(t or "", size, overlap_lines)))
+            yield from frames(rows, ["path", "no", "start_line", "end_line", "content", "is_fallback"])
 
     return with_text(files).select("path", "text").mapInPandas(cut, "path string, no long, start_line long, end_line long, content string, is_fallback boolean")
 
@@ -184,8 +200,8 @@ def chunk_scopes(files: DataFrame, most: int = SCOPE_CHARS) -> DataFrame:
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(p, k, *c) for p, t, lang in zip(pdf["path"], pdf["text"], pdf["lang"]) for k, c in enumerate(scope_chunks(t or "", lang, most))]
-            yield pd.DataFrame(rows, columns=["path", "no", "start_line", "end_line", "content", "is_fallback"])
+            rows = ((p, k, *c) for p, t, lang in zip(pdf["path"], pdf["text"], pdf["lang"]) for k, c in enumerate(scope_chunks(t or "", lang, most)))
+            yield from frames(rows, ["path", "no", "start_line", "end_line", "content", "is_fallback"])
 
     rows = with_text(files).select("path", "text", language(F.col("ext")).alias("lang"))
     return rows.mapInPandas(cut, "path string, no long, start_line long, end_line long, content string, is_fallback boolean")
@@ -196,8 +212,8 @@ def extract_scopes(files: DataFrame) -> DataFrame:
 
     def found(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [(p, s.line, s.last, s.depth, s.kind, s.name) for p, t, lang in zip(pdf["path"], pdf["text"], pdf["lang"]) for s in scopes_in(t or "", lang)]
-            yield pd.DataFrame(rows, columns=["path", "line", "last_line", "depth", "kind", "name"])
+            rows = ((p, s.line, s.last, s.depth, s.kind, s.name) for p, t, lang in zip(pdf["path"], pdf["text"], pdf["lang"]) for s in scopes_in(t or "", lang))
+            yield from frames(rows, ["path", "line", "last_line", "depth", "kind", "name"])
 
     rows = with_text(files).select("path", "text", language(F.col("ext")).alias("lang"))
     return rows.mapInPandas(found, "path string, line long, last_line long, depth long, kind string, name string")
