@@ -27,6 +27,8 @@ from corpusloom.sources.files import contained
 SCHEMA = "path string, name string, size long, mtime timestamp, text string, reason string"
 #: Bytes of files that one task reads at least, and the most tasks.
 TASK_BYTES, MOST_TASKS = 64 << 20, 10_000
+#: Bytes of texts that a task holds before it sends them on.
+SENT_BYTES = 4 << 20
 
 
 @dataclass(frozen=True)
@@ -123,7 +125,23 @@ class TreeReader(DataSourceReader):
     def partitions(self) -> list[Share]:
         return dealt(self.listing.files(), self.task_bytes)
 
-    def read(self, partition: Share) -> Iterator[tuple]:
+    def read(self, partition: Share) -> Iterator:
+        """Batches of rows, each sent when its files reach ``SENT_BYTES``: Spark would gather 10,000 tuples, whatever they hold."""
+        import pyarrow as pa
+
+        kinds = [pa.string(), pa.string(), pa.int64(), pa.timestamp("us", tz="UTC"), pa.string(), pa.string()]
+        names = [c.split()[0] for c in SCHEMA.split(", ")]
+        held, size = [], 0
+        batch = lambda: pa.RecordBatch.from_arrays([pa.array([r[k] for r in held], kind) for k, kind in enumerate(kinds)], names)
+        for row in self._rows(partition):
+            held.append(row)
+            size += row[2]
+            if size >= SENT_BYTES:
+                yield batch()
+                held, size = [], 0
+        yield batch()
+
+    def _rows(self, partition: Share) -> Iterator[tuple]:
         from datetime import UTC, datetime
 
         for f in partition.files:

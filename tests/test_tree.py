@@ -61,3 +61,13 @@ def test_tasks_by_size():
     files = [tree.Found(f"f{k}", n, 0.0, False) for k, n in enumerate([100, 90, 50, 40, 10, 10])]
     shares = tree.dealt(files, task_bytes=100)
     assert sorted(sum(f.size for f in s.files) for s in shares) == [100, 100, 100] and len(tree.dealt([])) == 1 and len(tree.dealt(files, 1, most=2)) == 2
+
+
+def test_texts_are_sent_as_they_fill(tmp_path, monkeypatch):
+    """A task holds a few megabytes of texts, not its whole share."""
+    for k in range(10):
+        (tmp_path / f"f{k}.md").write_text("x" * 100)
+    monkeypatch.setattr(tree, "SENT_BYTES", 250)
+    reader = tree.TreeReader({"path": str(tmp_path)})
+    sent = [b.num_rows for share in reader.partitions() for b in reader.read(share)]
+    assert sum(sent) == 10 and max(sent) == 3
