@@ -11,8 +11,8 @@ from py4j.protocol import Py4JJavaError
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from corpusloom.plans.staging import file_system
 
@@ -114,47 +114,30 @@ def watch_files(spark: SparkSession, folder: str, schema: str, manifest_path: st
 
 #: A listing of a tree: every file there was at a time, with what tells whether it has changed.
 LISTING = "file_path string, hash string, listed timestamp"
-CHANGES = T.StructType([T.StructField("file_path", T.StringType()), T.StructField("change", T.StringType()), T.StructField("listed", T.TimestampType())])
 #: State by key needs this store.
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class _Follow(StatefulProcessor):
-    """A file's last hash and when it was listed, and a timer that goes off if a later listing lacks it."""
-
-    def init(self, handle) -> None:
-        self.handle = handle
-        self.last = handle.getValueState("last", "hash string, at long")
-
-    def _rows(self, rows: list[tuple]) -> pd.DataFrame:
-        out = pd.DataFrame(rows, columns=["file_path", "change", "listed"])
-        return out.astype({"listed": "datetime64[us]"})
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803 - Spark's names
-        held = self.last.get() if self.last.exists() else None
-        out = []
-        for pdf in rows:
-            for row in pdf.sort_values("listed").itertuples(index=False):
-                at = int(row.listed.value // 1_000_000)
-                if held and at < held[1]:
-                    continue  # a listing older than what is known
-                change = "added" if held is None else "changed" if held[0] != row.hash else None
-                if change:
-                    out.append((key[0], change, row.listed))
-                held = (row.hash, at)
-        if held:
-            for timer in list(self.handle.listTimers()):
-                self.handle.deleteTimer(timer)
-            self.last.update(held)
-            self.handle.registerTimer(held[1] + 1)
-        yield self._rows(out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        self.last.clear()
-        yield self._rows([(key[0], "deleted", pd.Timestamp(timerValues.getCurrentWatermarkInMs(), unit="ms"))])
-
-    def close(self) -> None:
-        pass
+def _follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The changes of a file, whose last hash and time are state; the state runs out if a later listing lacks the file. Times are microseconds."""
+    if state.hasTimedOut:
+        state.remove()
+        yield pd.DataFrame({"file_path": [key[0]], "change": ["deleted"], "at": [state.getCurrentWatermarkMs() * 1000]})
+        return
+    held = state.get if state.exists else None
+    rows = sorted((at, h) for pdf in batches for at, h in zip(pdf["at"].tolist(), pdf["hash"].tolist()))
+    out = []
+    for at, h in rows:
+        if held and at < held[1]:
+            continue  # a listing older than what is known
+        change = "added" if held is None else "changed" if held[0] != h else None
+        if change:
+            out.append((key[0], change, at))
+        held = (h, at)
+    state.update(held)
+    state.setTimeoutTimestamp(held[1] // 1000 + 1)
+    if out:
+        yield pd.DataFrame(out, columns=["file_path", "change", "at"])
 
 
 def listing(files: DataFrame, at: str) -> DataFrame:
@@ -165,12 +148,13 @@ def listing(files: DataFrame, at: str) -> DataFrame:
 def changes(listings: DataFrame) -> DataFrame:
     """(file_path, change, listed) of a stream of listings: what is added or changed when it is listed, what is deleted once a later listing lacks it.
 
-    State is a hash and a time per file; no manifest is read again, and what hasn't changed gives no row. A file's timer
-    stands just after its last listing; the watermark follows the latest listing, so that the timers of
+    State is a hash and a time per file, which go to Python and back in batches of files, not in calls for each; no manifest is read
+    again, and what hasn't changed gives no row. A file's timer stands just after its last listing; the watermark follows the latest listing, so that the timers of
     all files that it has were moved on before, and those of missing files go off. A listing must come whole in one batch.
     """
-    marked = listings.withWatermark("listed", "0 seconds")
-    return marked.groupBy("file_path").transformWithStateInPandas(_Follow(), CHANGES, "Append", "EventTime")
+    marked = listings.withWatermark("listed", "0 seconds").select("file_path", "hash", "listed", F.unix_micros("listed").alias("at"))
+    found = marked.groupBy("file_path").applyInPandasWithState(_follow, "file_path string, change string, at long", "hash string, at long", "append", GroupStateTimeout.EventTimeTimeout)
+    return found.select("file_path", "change", F.timestamp_micros("at").alias("listed"))
 
 
 def watch_listings(spark: SparkSession, folder: str, out: str, log: str) -> StreamingQuery:

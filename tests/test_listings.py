@@ -21,3 +21,10 @@ def test_deletes_are_told_once(spark, tmp_path):
     assert listed([("a", "1"), ("b", "2"), ("c", "9")], 3) == sorted(third)
     assert listed([("a", "1"), ("b", "2"), ("c", "9")], 4) == sorted(third)
     assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == state
+
+
+def test_state_goes_to_python_in_batches(spark, tmp_path):
+    """No call for each file's state: those grew to hours on large trees."""
+    listings = spark.readStream.schema(incremental.LISTING).parquet(str(tmp_path))
+    plan = incremental.changes(listings)._jdf.queryExecution().logical().toString()
+    assert "TransformWithState" not in plan
