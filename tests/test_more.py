@@ -6,6 +6,8 @@ import re
 from difflib import SequenceMatcher
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -424,3 +426,64 @@ def test_ratio_compares_few_of_the_pairs_that_meet(spark):
     assert work["same"].met < 0.6 * square and work["same"].compared < 0.25 * square
     got = {(x.a, x.b) for x in reduce.similar_by_ratio(rows, "id", "text", 0.9).collect()}
     assert {(k, len(texts) - len(texts[:96][::5]) + i) for i, k in enumerate(range(0, 96, 5))} <= got
+
+
+def test_ratio_texts_without_a_partner_are_in_no_cell(spark):
+    """Start words of one text meet nothing; words of few texts share cells."""
+    texts = [f"own{k:03} pair{k // 2:03} and more" for k in range(300)] + ["alone withall nobody"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    cells = reduce._cells(rows, "id", "text", 0.7, 0.5)
+    assert cells.count() == 3 * 300 and cells.select("big", "deal", "low", "high").distinct().count() == 1
+    got = reduce.similar_by_ratio(rows, "id", "text", 0.7).collect()
+    assert len(got) == len({(x.a, x.b) for x in got}) and {(2 * k, 2 * k + 1) for k in range(150)} <= {(x.a, x.b) for x in got}
+
+
+def test_ratio_from_runs_is_that_of_characters():
+    r = random.Random(2)
+    for _ in range(1500):
+        letters = r.choice(["ab", "abc", "abcdefgh", "aé😀"])
+        a = "".join(r.choice(letters) for _ in range(r.randrange(60)))
+        b = list(a) if r.random() < 0.6 else [r.choice(letters) for _ in range(r.randrange(60))]
+        for _ in range(r.randrange(12) if b else 0):
+            b[r.randrange(len(b))] = r.choice(["", "x", r.choice(letters) * 2])
+        assert reduce.block_ratio(a, "".join(b)) == SequenceMatcher(None, a, "".join(b), autojunk=False).ratio()
+
+
+@pytest.mark.parametrize("lanes", [1, 1 << 14])
+def test_common_lengths_are_never_too_short(monkeypatch, lanes):
+    """Against the table of all prefixes, with lengths about a word's and stretches that match nothing."""
+    monkeypatch.setattr(reduce, "LANES", lanes)
+    r, codes = random.Random(5), {}
+    for k in range(60):
+        n, letters = r.choice([0, 1, 5, 62, 63, 64, 126, 127, 190, 300]), r.choice([2, 4, 20, 60])
+        text = [r.randrange(letters) for _ in range(n)]
+        codes[k] = np.array([61] * r.choice([63, 130, 200]) + text + [62] * 70 if k % 5 == 0 else text, np.uint8)
+    x, y = (np.array([r.randrange(60) for _ in range(200)]) for _ in "xy")
+
+    def longest(a: list, b: list) -> int:
+        row = [0] * (len(b) + 1)
+        for c in a:
+            before, row = row, [0]
+            for k, d in enumerate(b):
+                row.append(before[k] + 1 if c == d else max(before[k + 1], row[k]))
+        return row[-1]
+
+    more = reduce.common_lengths(codes, x, y) - np.array([longest(codes[a].tolist(), codes[b].tolist()) for a, b in zip(x.tolist(), y.tolist())])
+    assert more.min() == 0 and more.max() <= 5 and (more == 0).mean() > 0.9
+
+
+def test_few_ratio_pairs_are_compared_whole(monkeypatch):
+    """Texts of one language have alike counts; the order of their rarer letters tells them apart."""
+    r = random.Random(6)
+    words = "the and of to in that was for with had when from his they but which would there could into time about people".split()
+    texts = ["the " + " ".join(r.choice(words) for _ in range(r.randrange(90, 110))) for _ in range(60)]
+    texts += [t.replace("that", "taht") for t in texts[::6]]
+    place = {"band": 0, "part": 0}
+    cell = pd.DataFrame({"w": "the", "id": range(len(texts)), "text": texts, "start": [["the"]] * len(texts), "low": [place] * len(texts), "high": [place] * len(texts), "part": [place] * len(texts)})
+    rated, ratio, taken, common = [], reduce.block_ratio, [], reduce.common_lengths
+    monkeypatch.setattr(reduce, "block_ratio", lambda a, b: rated.append((a, b)) or ratio(a, b))
+    monkeypatch.setattr(reduce, "common_lengths", lambda codes, x, y: taken.append(len(x)) or common(codes, x, y))
+    got = {(a, b) for a, b, _ in reduce.ratio_pairs(cell, 0.7, 0.5)}
+    want = {(i, j) for i, j in combinations(range(len(texts)), 2) if ratio(*sorted((texts[i], texts[j]))) >= 0.7}
+    assert got == want >= {(6 * k, 60 + k) for k in range(10)}
+    assert taken[0] > 2000 and taken[-1] < 0.05 * taken[0] and len(rated) < 0.05 * taken[0]
