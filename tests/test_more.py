@@ -482,8 +482,54 @@ def test_few_ratio_pairs_are_compared_whole(monkeypatch):
     cell = pd.DataFrame({"w": "the", "id": range(len(texts)), "text": texts, "start": [["the"]] * len(texts), "low": [place] * len(texts), "high": [place] * len(texts), "part": [place] * len(texts)})
     rated, ratio, taken, common = [], reduce.block_ratio, [], reduce.common_lengths
     monkeypatch.setattr(reduce, "block_ratio", lambda a, b: rated.append((a, b)) or ratio(a, b))
-    monkeypatch.setattr(reduce, "common_lengths", lambda codes, x, y: taken.append(len(x)) or common(codes, x, y))
+    monkeypatch.setattr(reduce, "common_lengths", lambda codes, x, y, *more: taken.append(len(x)) or common(codes, x, y, *more))
     got = {(a, b) for a, b, _ in reduce.ratio_pairs(cell, 0.7, 0.5)}
     want = {(i, j) for i, j in combinations(range(len(texts)), 2) if ratio(*sorted((texts[i], texts[j]))) >= 0.7}
     assert got == want >= {(6 * k, 60 + k) for k in range(10)}
     assert taken[0] > 2000 and taken[-1] < 0.05 * taken[0] and len(rated) < 0.05 * taken[0]
+
+
+def test_words_out_of_reach_lose_no_match_within(monkeypatch):
+    """Codes that are matched no further ahead than allowed are all counted, where words are skipped."""
+    r, codes, places = random.Random(7), {}, {}
+    for k in range(40):
+        n = r.choice([70, 130, 189, 190, 252, 400])
+        codes[k] = np.array([r.randrange(6) for _ in range(n)], np.uint8)
+        places[k] = np.array(sorted(r.sample(range(3 * n), n)))
+    x, y = (np.array([r.randrange(40) for _ in range(60)]) for _ in "xy")
+    ahead = tuple(np.array([r.choice([0, 5, 40, 300]) for _ in x]) for _ in "xy")
+
+    def longest(i: int, j: int, far_x: int, far_y: int) -> int:
+        row = [0] * (len(codes[j]) + 1)
+        for c, at in zip(codes[i].tolist(), places[i].tolist()):
+            before, row = row, [0]
+            for k, (d, other) in enumerate(zip(codes[j].tolist(), places[j].tolist())):
+                row.append(before[k] + 1 if c == d and at - other <= far_x and other - at <= far_y else max(before[k + 1], row[k]))
+        return row[-1]
+
+    want = np.array([longest(*q) for q in zip(x.tolist(), y.tolist(), *[a.tolist() for a in ahead])])
+    whole = reduce.common_lengths(codes, x, y)
+    skipped = 0
+    for lanes in (1, 40, 1 << 14):
+        monkeypatch.setattr(reduce, "LANES", lanes)
+        got = reduce.common_lengths(codes, x, y, places, ahead)
+        assert (got >= want).all() and (got <= whole + 5).all()
+        skipped += int((whole - got).sum())
+    assert skipped > 0
+
+
+def test_ratio_pairs_of_shifted_texts():
+    """Matches as far ahead as a ratio allows are found, those of long and of unlike lengths, too."""
+    r = random.Random(9)
+    line = lambda n: "".join(r.choice("etaoinshrdlu ") for _ in range(n))
+    texts = []
+    for n in (300, 900):
+        core = line(n)
+        for cut in (0.2, 0.4, 0.42, 0.43, 0.44, 0.5):
+            texts += ["the " + core + line(int(cut * n)), "the " + line(int(cut * n)) + core, "the " + line(int(cut * n / 2)) + core + line(int(cut * n / 2))]
+    place = {"band": 0, "part": 0}
+    cell = pd.DataFrame({"w": "the", "id": range(len(texts)), "text": texts, "start": [["the"]] * len(texts), "low": [place] * len(texts), "high": [place] * len(texts), "part": [place] * len(texts)})
+    got = sorted((a, b) for a, b, _ in reduce.ratio_pairs(cell, 0.7, 0.5))
+    fits = lambda s, t: min(len(s), len(t)) >= 0.5 * max(len(s), len(t))
+    want = [(i, j) for i, j in combinations(range(len(texts)), 2) if fits(texts[i], texts[j]) and reduce.block_ratio(*sorted((texts[i], texts[j]))) >= 0.7]
+    assert got == want and len(want) > 30
