@@ -65,3 +65,22 @@ def test_small_statements_make_no_prefixes(spark, monkeypatch):
     said = [(k, f"{'not ' if k % 2 else ''}seen u{k // 2 % 7} h{k // 14 % 5} d{k // 70}") for k in range(500)]
     found = reduce.contradictions(spark.createDataFrame(said, "finding_id long, point string"))
     assert found.where("similarity < 0.4").isEmpty() and found.count() > 0
+
+
+def test_statements_that_share_a_subset_alone_are_rated_with_it(spark, monkeypatch):
+    """The words of hardly any such pair are compared."""
+    said = [(k, f"{'not ' if k % 2 else ''}seen u{k} h1 d2") for k in range(60)]
+    findings = spark.createDataFrame(said, "finding_id long, point string")
+    want = {(x.a, x.b, round(x.similarity, 6)) for x in reduce.contradictions(findings).collect()}
+    assert want == {(a, b, 0.5) for a in range(0, 60, 2) for b in range(1, 60, 2)}
+    monkeypatch.setattr(reduce, "_shared", lambda a, b: F.lit(-1.0))
+    known = {(x.a, x.b, x.similarity) for x in reduce.contradictions(findings).collect()}
+    assert known <= want and len(known) > 0.99 * len(want)
+
+
+def test_words_with_the_same_bits_are_compared(spark):
+    """The fourth words have the same bits in both longs: one pair has the same word there, one another word."""
+    classes = [(1, [10, 20, 30, 77], False, 2), (2, [10, 20, 30, 40, 77], True, 3), (3, [10, 20, 30, 77 + (1 << 20)], False, 1)]
+    classes = spark.createDataFrame(classes, "class_id long, t array<long>, neg boolean, members long")
+    got = [tuple(x) for x in reduce.opposed_small(classes, 0.4, [4], [5], digits=2).orderBy("a").collect()]
+    assert got == [(1, 2, 0.8, 2, 3), (3, 2, 0.5, 1, 3)]
