@@ -84,3 +84,43 @@ def test_words_with_the_same_bits_are_compared(spark):
     classes = spark.createDataFrame(classes, "class_id long, t array<long>, neg boolean, members long")
     got = [tuple(x) for x in reduce.opposed_small(classes, 0.4, [4], [5], digits=2).orderBy("a").collect()]
     assert got == [(1, 2, 0.8, 2, 3), (3, 2, 0.5, 1, 3)]
+
+
+def test_similar_sets_share_several_rare_words(spark, monkeypatch):
+    """Sets that share one rare word by chance aren't fetched; sets of a few words are, by all that they must share."""
+    r = random.Random(4)
+    word = lambda: r.getrandbits(64) - (1 << 63)
+    once = [word() for _ in range(400)]
+    sets = [{word() for _ in range(38)} | {once[k // 2], once[(k + 7) % 400]} for k in range(800)]
+    sets += [s | {word() for _ in range(r.randrange(20))} for s in sets[::8]]
+    small = [word() for _ in range(9)]
+    sets += [set(r.sample(small, r.choice((1, 2, 3, 4)))) for _ in range(60)]
+    classes = _classes(spark, sets).withColumn("b", F.array(F.lit(1).cast("long"))).withColumn("len", F.lit(1))
+    pairs = [(i, j) for i in range(len(sets)) for j in range(i + 1, len(sets))]
+    want = {(i, j, round(len(sets[i] & sets[j]) / len(sets[i] | sets[j]), 9)) for i, j in pairs if len(sets[i] & sets[j]) >= 0.7 * len(sets[i] | sets[j])}
+    fetched = []
+    stage = reduce.stage
+    monkeypatch.setattr(reduce, "near_enough", lambda least: F.lit(True))
+    monkeypatch.setattr(reduce, "stage", lambda df, what: fetched.append((what, out := stage(df, what))) or out)
+    got = {(x.a, x.b, round(x.similarity, 9)) for x in reduce.similar_classes(classes, 0.7).collect()}
+    assert got == want and len(want) > 100
+    # 400 words bring two sets together each, and 800 places two neighbours more.
+    assert dict(fetched)["candidates"].count() < 1.2 * len(want)
+
+
+def test_the_table_of_levels_is_in_no_row(spark):
+    """Each row would hold a copy, of 16 MB for large tables."""
+    sets = [{k, k + 1, k + 2} for k in range(50)]
+    node = reduce.prefixes(_classes(spark, sets), 0.7)._jdf.queryExecution().optimizedPlan()
+    while True:
+        assert "rarity" not in node.output().toString()
+        if node.children().isEmpty():
+            break
+        node = node.children().head()
+
+
+def test_words_of_a_level_are_in_order_of_their_hashes(spark):
+    sets = [{-5, 7, 1 << 40}, {-5, 7, 1 << 40}]
+    rows = reduce.prefixes(_classes(spark, sets), 0.0).orderBy("class_id", "at").collect()
+    first = [x.h for x in rows if x.class_id == 0]
+    assert first == sorted(first) and len(first) == 3 and first == [x.h for x in rows if x.class_id == 1]
