@@ -124,3 +124,14 @@ def test_words_of_a_level_are_in_order_of_their_hashes(spark):
     rows = reduce.prefixes(_classes(spark, sets), 0.0).orderBy("class_id", "at").collect()
     first = [x.h for x in rows if x.class_id == 0]
     assert first == sorted(first) and len(first) == 3 and first == [x.h for x in rows if x.class_id == 1]
+
+
+def test_cells_are_dealt_to_tasks_by_their_number(spark, monkeypatch):
+    """Their bytes are few, their work isn't: put together by bytes, they would be one task."""
+    monkeypatch.setattr(reduce, "CELL", 20)
+    rows = spark.createDataFrame([(k, f"same start {k:06d} " + "x" * (k % 7)) for k in range(200)], "id long, text string")
+    cells = reduce._cells(rows, "id", "text", 0.7, 0.5)
+    n = cells.select("big", "deal", "low", "high").distinct().count()
+    assert n > 20 and n / 2 <= cells.rdd.getNumPartitions() <= 8 * n
+    monkeypatch.setattr(reduce, "TASKS", 5)
+    assert reduce._cells(rows, "id", "text", 0.7, 0.5).rdd.getNumPartitions() == 5
