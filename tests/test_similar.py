@@ -135,3 +135,12 @@ def test_cells_are_dealt_to_tasks_by_their_number(spark, monkeypatch):
     assert n > 20 and n / 2 <= cells.rdd.getNumPartitions() <= 8 * n
     monkeypatch.setattr(reduce, "TASKS", 5)
     assert reduce._cells(rows, "id", "text", 0.7, 0.5).rdd.getNumPartitions() == 5
+
+
+def test_a_text_is_cut_into_words_once(spark):
+    """For its key, its set and its start; in near_groups, where keys are made again, twice."""
+    rows = spark.createDataFrame([(1, "Some Words\tof a text\n"), (2, None), (3, "some words of a text text")], "id long, text string")
+    _, keys = reduce.token_sets(rows, "id", "text")
+    assert keys._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
+    groups = reduce.near_groups(rows, "id", "text").orderBy("id").collect()
+    assert [tuple(x) for x in groups] == [(1, 1, 1, 1), (2, 2, 2, 0), (3, 3, 1, 1)]
